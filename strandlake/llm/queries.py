@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, html_text, langid, quality, sharding, simhash, url_filter
+from . import bpe, decontaminate, html_text, langid, quality, secrets, sharding, simhash, url_filter
 
 #: The operators' rank file, in the folder of public tokenizers.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -35,6 +35,24 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = secrets.listing(F.filter("spans", lambda s: s["kind"] != "markov"))
+    return found.select(
+        "doc_id",
+        *[of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex", "markov")],
+        F.sha2(base, 256).alias("base_sha256"),
+        secrets.listing(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.deal(table(spark, sf_dir, "documents")).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
@@ -68,7 +86,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op4_sharding, op5_langid, op6_bpe, op7_simhash, op9_quality_rules, op10_url_filter)
+    for f in (op1_html_text, op2_decontamination, op3_secrets, op4_sharding, op5_langid, op6_bpe, op7_simhash, op9_quality_rules, op10_url_filter)
 }
 
 _SPACES = r"[^\x20\x09-\x0D]+"
@@ -124,4 +142,29 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed_as IS NULL
 FROM rows LEFT JOIN best USING (k)
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": OP9_SQL, "op10_url_filter": OP10_SQL}
+_FOLDED = f"regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP2_SQL = f"""
+WITH items AS (
+  SELECT item_id::VARCHAR AS item, {_FOLDED} AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win, least(10, len(w)) AS size
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
+), docs AS (
+  SELECT row_number() OVER () AS k, doc_id, {_FOLDED} AS w FROM documents
+), doc_windows AS (
+  SELECT k, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT k, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM item_windows) WHERE len(w) >= size)
+), hits AS (
+  SELECT k, i, d.size, item FROM doc_windows d JOIN item_windows v ON d.win = v.win AND d.size = v.size
+), words_hit AS (
+  SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT k, unnest(range(i, i + size)) AS p FROM hits) GROUP BY k
+), items_hit AS (
+  SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY k
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words_hit USING (k) LEFT JOIN items_hit USING (k)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op9_quality_rules": OP9_SQL, "op10_url_filter": OP10_SQL}
