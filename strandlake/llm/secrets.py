@@ -82,7 +82,8 @@ def log_ratios(counts: dict[tuple[str, int], int]) -> list[float]:
     """Log of random over ordinary transition probability for each pair of characters.
 
     The random model is half what its samples show and half uniform, since samples of one encoding
-    must not make another look ordinary; the ordinary one backs off to its single characters.
+    must not make another look ordinary; the ordinary one is mixed with its single characters and a
+    uniform part, since identifiers may hold any character now and then.
     """
     size = len(ALPHABET)
     seen = {label: [[counts.get((label, a * size + b), 0) for b in range(size)] for a in range(size)] for label in ("random", "ordinary")}
@@ -94,7 +95,7 @@ def log_ratios(counts: dict[tuple[str, int], int]) -> list[float]:
         n, m = sum(random), sum(ordinary)
         for b in range(size):
             p = 0.5 * (random[b] / n if n else 1 / size) + 0.5 / size
-            q = (ordinary[b] + size * single[b]) / (m + size)
+            q = 0.9 * (ordinary[b] / m if m else single[b]) + 0.08 * single[b] + 0.02 / size
             out.append(math.log(p) - math.log(q) if n or m else 0.0)
     return out
 
