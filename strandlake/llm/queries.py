@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, decontaminate, html_text, langid, quality, secrets, sharding, simhash, url_filter
+from . import bpe, decontaminate, html_text, langid, quality, repeats, secrets, sharding, simhash, url_filter
 
 #: The operators' rank file, in the folder of public tokenizers.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -72,6 +72,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     rows = quality.apply_policy(quality.apply_policy(rows, "base", "base_kept"), "v1", "kept")
@@ -86,7 +90,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_decontamination, op3_secrets, op4_sharding, op5_langid, op6_bpe, op7_simhash, op9_quality_rules, op10_url_filter)
+    for f in (op1_html_text, op2_decontamination, op3_secrets, op4_sharding, op5_langid, op6_bpe, op7_simhash, op8_repeats, op9_quality_rules, op10_url_filter)
 }
 
 _SPACES = r"[^\x20\x09-\x0D]+"
