@@ -70,7 +70,7 @@ def insert_probability(reads: DataFrame, most: int = 1000) -> DataFrame:
                 out[k] = average
         return pd.DataFrame({"insert_size": np.arange(most), "p": out / max(out.sum(), 1e-300)})
 
-    return counts.groupBy(F.lit(1)).applyInPandas(lambda g: smooth(g), "insert_size int, p double")
+    return counts.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda g: smooth(g), "insert_size int, p double")
 
 
 def covering_clipping(molecules: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def reference_chunks(contigs: DataFrame, size: int = CHUNK) -> DataFrame:
 def with_reference(bases: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
     """Bases with the reference letter wt at their position."""
     keyed = bases.withColumn("chunk", F.floor(F.col("pos") / size).cast("int"))
-    return keyed.join(chunks, ["contig", "chunk"]).withColumn("wt", F.substr("seq", F.col("pos") % size + 1, F.lit(1))).drop("chunk", "seq")
+    own = chunks.select("contig", "chunk", F.col("seq").alias("__reference"))
+    return keyed.join(own, ["contig", "chunk"]).withColumn("wt", F.substr("__reference", F.col("pos") % size + 1, F.lit(1))).drop("chunk", "__reference")
 
 
 def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_last: int = 0) -> DataFrame:
