@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are held in numpy form at one time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 256 << 10
+#: Rows of an Arrow batch: whole texts may be long, so batches are small.
+BATCH_ROWS = 1000
 
 
 def chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, list]]:
@@ -27,6 +29,13 @@ def chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, list]]:
         yield first, values
 
 
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS; results don't depend on it."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def with_columns(
     df: DataFrame,
     text: str,
@@ -46,14 +55,20 @@ def with_columns(
     clash = set(names) & set(keep)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    kept = text in keep
     value = F.col(f"`{text}`")
-    narrow = df.select(*[F.col(f"`{k}`") for k in keep], (value.cast("binary") if as_bytes else value).alias("__text"))
+    own = [F.col(f"`{k}`") for k in keep]
+    narrow = df.select(*own) if kept else df.select(*own, (value.cast("binary") if as_bytes else value).alias("__text"))
+    place = keep.index(text) if kept else len(keep)
+    small_batches(df)
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
     out = pa.schema([pa.field(n, types[t]) for n, t in wanted])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(len(keep))
+            column = batch.column(place)
+            if kept and as_bytes:
+                column = column.cast(pa.binary())
             for first, values in chunks(column, limit):
                 made = function(values)
                 old = [batch.column(k).slice(first, len(values)) for k in range(len(keep))]
