@@ -4,7 +4,8 @@ A string of `length` bytes is known by the smallest hash among its k-byte parts
 equal strings always meet. Stages, all keyed and bounded:
 
 1. every batch of documents sends the minimizers of its strings to buckets of minimizers, which
-   keep those that come from two texts or more and tell the buckets of texts that have them;
+   keep those that come from two buckets of texts or more and tell these buckets (texts of one
+   bucket find there what they share);
 2. buckets of texts cut out the stretches of strings under such a minimizer (their contents, each
    once with its smallest document) and send them to the minimizers' buckets;
 3. there a suffix array of the contents (two-stage sorting) and the common prefixes of neighbours
@@ -33,13 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import chunks
+from .batches import chunks, small_batches
 from .suffixes import END, same_prefix, suffix_array, words_at
 
 PART = 16
 BUCKET_BYTES = 6 << 20
 FEWEST_BUCKETS = 256
 BATCH_BYTES = 8 << 20
+WORK_BYTES = 256 << 10
 LAST = (1 << 63) - 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 ROW = "bucket int, kind int, source int, blob binary"
@@ -47,18 +49,34 @@ TEXTS, SHARED, CONTENTS, ANSWERS, KNOWN = range(5)
 
 
 def part_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the PART bytes from each place, by doubling."""
+    """48-bit hash of the PART bytes from each place. It only brings strings together: where two parts
+    have one hash, strings meet that differ, and are told apart by their bytes."""
     value = words_at(data)
     nxt = np.zeros_like(value)
     nxt[: len(value) - 8] = value[8:]
     value = (value ^ (value >> np.uint64(29))) * _ODD[0] + (nxt ^ (nxt >> np.uint64(31))) * _ODD[1]
     value ^= value >> np.uint64(32)
     value *= _ODD[2]
-    return value ^ (value >> np.uint64(29))
+    return (value ^ (value >> np.uint64(29))) >> np.uint64(16)
 
 
 def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, first place in the text, strings, minimizer) of runs of strings with one minimizer."""
+    """(text number, first place in the text, strings, minimizer) of runs of strings with one minimizer.
+
+    Texts are taken some at a time, so that the arrays of a place each stay in cache.
+    """
+    found, begin, size = [], 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= WORK_BYTES or k + 1 == len(texts):
+            owner, *rest = _stretches(texts[begin : k + 1], length)
+            found.append((owner + begin, *rest))
+            begin, size = k + 1, 0
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (empty, empty, empty, np.zeros(0, np.uint64))
+
+
+def _stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts) + bytes(64), np.uint8)
     total = int(sizes.sum())
@@ -162,20 +180,26 @@ def _arrow(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 
 def minimizer_rows(texts: dict[bytes, int], length: int, buckets: int) -> list[tuple[int, int, int, bytes]]:
-    """One record for each minimizer and bucket of texts; what the batch itself shows to be shared
-    needs no company, so only one of its records goes to the minimizer's bucket."""
+    """One record for each minimizer and bucket of texts that has it.
+
+    A minimizer that the batch has for two buckets is shared whatever other batches hold, so one of
+    its records is enough and the others pass through. Two texts of one bucket find each other there.
+    """
     every = list(texts)
     owner, _, _, least = stretches(every, length)
     home = np.fromiter((key_of(t) % buckets for t in every), np.int32, len(every))
-    pairs = np.unique(np.rec.fromarrays([least, owner], names="m,o"))
-    m, o = pairs["m"], pairs["o"]
+    m, at = least, home[owner]
+    order = np.lexsort((at, m))
+    m, at = m[order], at[order]
+    once = np.ones(len(m), bool)
+    once[1:] = (m[1:] != m[:-1]) | (at[1:] != at[:-1])
+    m, at = m[once], at[once]
     again = np.zeros(len(m), bool)
     again[1:] = m[1:] == m[:-1]
     first = ~again
     shared = again.copy()
     shared[:-1] |= again[1:]
     rows = []
-    at = home[o]
     one = np.flatnonzero(first)
     for bucket, places in _split((m[one] % np.uint64(buckets)).astype(np.int64)):
         own = one[places]
@@ -197,12 +221,12 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     found = [unpack(b) for b in group["blob"][group["kind"] == SHARED]]
     if found:
         m, home, sure = (np.concatenate([f[n] for f in found]) for n in ("m", "home", "sure"))
-        order = np.argsort(m, kind="stable")
-        m, home, sure = m[order], home[order], sure[order]
-        same = m[1:] == m[:-1]
-        keep = sure.astype(bool)
-        keep[1:] |= same
-        keep[:-1] |= same
+        order = np.lexsort((home, m))
+        m, home, sure = m[order], home[order], sure[order].astype(bool)
+        begins = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+        several = np.maximum.reduceat(home, begins) > np.minimum.reduceat(home, begins)
+        several |= np.logical_or.reduceat(sure, begins)
+        keep = np.repeat(several, np.diff(np.append(begins, len(m))))
         for bucket, places in _split(home[keep].astype(np.int64)):
             rows.append((bucket, SHARED, 0, pack(m=np.unique(m[keep][places]))))
     return _rows(rows)
@@ -218,15 +242,22 @@ def _texts_of(group: pd.DataFrame) -> dict[bytes, int]:
     return found
 
 
+def _met_here(m: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Minimizers that two texts of the bucket itself have."""
+    order = np.argsort(m, kind="stable")
+    m, owner = m[order], owner[order]
+    return m[1:][(m[1:] == m[:-1]) & (owner[1:] != owner[:-1])]
+
+
 def _cut_out(length: int, buckets: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         wanted = [unpack(b)["m"] for b in group["blob"][group["kind"] == SHARED]]
         texts = _texts_of(group)
-        if not wanted or not texts:
+        if not texts:
             return _rows([])
         every, source = list(texts), int(group["bucket"].iloc[0])
         owner, first, n, least = stretches(every, length)
-        use = np.flatnonzero(np.isin(least, np.unique(np.concatenate(wanted))))
+        use = np.flatnonzero(np.isin(least, np.unique(np.concatenate([*wanted, _met_here(least, owner)]))))
         contents: dict[bytes, list[int]] = {}
         for o, a, z, m in zip(owner[use].tolist(), first[use].tolist(), (first + n)[use].tolist(), least[use].tolist(), strict=True):
             text = every[o]
@@ -244,7 +275,7 @@ def _cut_out(length: int, buckets: int):
         low, high, m = (np.array([contents[c][k] for c in listed], t) for k, t in ((0, np.int64), (1, np.int64), (2, np.uint64)))
         return _rows(
             [
-                (b, CONTENTS, source, pack(content=[listed[k] for k in p.tolist()], low=low[p], high=high[p]))
+                (b, CONTENTS, source, pack(content=[listed[k] for k in p.tolist()], low=low[p], high=high[p], m=m[p]))
                 for b, p in _split((m % np.uint64(buckets)).astype(np.int64))
             ]
         )
@@ -285,18 +316,18 @@ def _answer(length: int):
                 elif low < docs[k]:
                     docs[k] = low
                 places.append(k)
-            asked.append((source, np.array(places), own["high"]))
+            asked.append((source, np.array(places), own["high"], own["m"]))
         listed = list(number)
         found = smallest_documents(listed, np.array(docs, np.int64), length)
         lowest = np.array([int(f.min()) for f in found], np.int64)
         rows = []
-        for source, places, high in asked:
+        for source, places, high, m in asked:
             # a string of a smaller document matters only to a text of a larger one
             tell = np.flatnonzero(lowest[places] < high)
             if len(tell):
                 own = places[tell].tolist()
                 digests = [xxhash.xxh3_128_digest(listed[k]) for k in own]
-                rows.append((source, ANSWERS, 0, pack(content=digests, least=[_runs(found[k]) for k in own])))
+                rows.append((source, ANSWERS, 0, pack(content=digests, least=[_runs(found[k]) for k in own], m=m[tell])))
         return _rows(rows)
 
     return run
@@ -323,15 +354,18 @@ def _finish(length: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         texts = _texts_of(group)
         known: dict[bytes, list[list[int]]] = {}
+        wanted = []
         for blob in group["blob"][group["kind"] == ANSWERS]:
             own = unpack(blob)
+            wanted.append(own["m"])
             known.update((c, np.frombuffer(x, "<i8").reshape(-1, 2).tolist()) for c, x in zip(own["content"], own["least"], strict=True))
         every = list(texts)
         edges: dict[int, list[tuple[int, int]]] = {}
         if known:
-            owner, first, n, _ = stretches(every, length)
+            owner, first, n, m = stretches(every, length)
+            use = np.flatnonzero(np.isin(m, np.unique(np.concatenate(wanted))))
             digest = xxhash.xxh3_128_digest
-            for o, a, size in zip(owner.tolist(), first.tolist(), n.tolist(), strict=True):
+            for o, a, size in zip(owner[use].tolist(), first[use].tolist(), n[use].tolist(), strict=True):
                 text = every[o]
                 runs = known.get(digest(text[a : a + size + length - 1]))
                 if runs is None:
@@ -358,6 +392,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), value.alias("text"))
+    small_batches(docs)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(FEWEST_BUCKETS, -(-total // BUCKET_BYTES))
 
