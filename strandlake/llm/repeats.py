@@ -23,6 +23,7 @@ other columns of the input are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -283,8 +284,12 @@ def _cut_out(length: int, buckets: int):
     return run
 
 
-def smallest_documents(contents: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each content, the smallest document of the string from each of its places."""
+def smallest_documents(contents: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest document of the string from each place of each content, and where contents begin.
+
+    The strings of a content are its first ones in the flat result; `length` values follow that
+    belong to no string.
+    """
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     data = np.frombuffer(b"".join(c + bytes([END]) for c in contents) + bytes(64), np.uint8)
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -296,46 +301,60 @@ def smallest_documents(contents: list[bytes], docs: np.ndarray, length: int) ->
     new = np.ones(len(own), bool)
     new[1:] = ~same_prefix(words, own[:-1], own[1:], length)
     least = np.minimum.reduceat(docs[owner[own]], np.flatnonzero(new))
-    at = np.empty(len(data), np.int64)
+    at = np.full(len(data), LAST, np.int64)
     at[own] = least[np.cumsum(new) - 1]
-    return [at[s : s + n - length + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return at, starts
 
 
 def _answer(length: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         number: dict[bytes, int] = {}
-        docs: list[int] = []
-        asked = []
+        asked, lows, marks = [], [], []
         for source, blob in zip(group["source"].tolist(), group["blob"], strict=True):
             own = unpack(blob)
-            places = []
-            for content, low in zip(own["content"], own["low"].tolist(), strict=True):
-                k = number.setdefault(content, len(number))
-                if k == len(docs):
-                    docs.append(low)
-                elif low < docs[k]:
-                    docs[k] = low
-                places.append(k)
-            asked.append((source, np.array(places), own["high"], own["m"]))
+            places = np.array([number.setdefault(c, len(number)) for c in own["content"]], np.int64)
+            asked.append((source, places, own["high"], own["m"]))
+            lows.append(own["low"])
+            marks.append(own["m"])
+        every = np.concatenate([p for _, p, _, _ in asked])
+        docs, m = np.full(len(number), LAST, np.int64), np.zeros(len(number), np.uint64)
+        np.minimum.at(docs, every, np.concatenate(lows))
+        m[every] = np.concatenate(marks)
         listed = list(number)
-        found = smallest_documents(listed, np.array(docs, np.int64), length)
-        lowest = np.array([int(f.min()) for f in found], np.int64)
+        # a content that is alone under its minimizer has no string in common with another
+        _, back, counts = np.unique(m, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(counts[back] > 1)
+        lowest, runs = docs.copy(), {}
+        if len(several):
+            some = [listed[k] for k in several.tolist()]
+            at, starts = smallest_documents(some, docs[several], length)
+            lowest[several] = np.minimum.reduceat(at, starts)
+            for k, s, content in zip(several.tolist(), starts.tolist(), some, strict=True):
+                runs[k] = (s, s + len(content) - length + 1)
         rows = []
-        for source, places, high, m in asked:
+        for source, places, high, marked in asked:
             # a string of a smaller document matters only to a text of a larger one
             tell = np.flatnonzero(lowest[places] < high)
             if len(tell):
                 own = places[tell].tolist()
                 digests = [xxhash.xxh3_128_digest(listed[k]) for k in own]
-                rows.append((source, ANSWERS, 0, pack(content=digests, least=[_runs(found[k]) for k in own], m=m[tell])))
+                least = [_runs(at[slice(*runs[k])]) if k in runs else _one_run(len(listed[k]) - length + 1, int(docs[k])) for k in own]
+                rows.append((source, ANSWERS, 0, pack(content=digests, least=least, m=marked[tell])))
         return _rows(rows)
 
     return run
 
 
+def _one_run(size: int, value: int) -> bytes:
+    return struct.pack("<qq", size, value)
+
+
 def _runs(values: np.ndarray) -> bytes:
     """Run ends and values, as signed 64-bit numbers."""
-    last = np.append(np.flatnonzero(np.diff(values)), len(values) - 1)
+    last = np.flatnonzero(values[1:] != values[:-1])
+    if not len(last):
+        return _one_run(len(values), int(values[0]))
+    last = np.append(last, len(values) - 1)
     return np.column_stack((last + 1, values[last])).astype("<i8").tobytes()
 
 
