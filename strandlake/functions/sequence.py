@@ -156,15 +156,19 @@ def safe_ratio(a: Column, b: Column) -> Column:
 
 
 def adapter_start(seq: Column, adapter: str, most: int = 3, least_overlap: int = 5) -> Column:
-    """First place (from 1) where the adapter's beginning fits within `most` edits; null if nowhere."""
+    """Place (from 1) where the adapter's beginning fits best, within `most` edits of a whole adapter.
+
+    Best: fewest edits for the letters that overlap, then the first place; null if it fits nowhere.
+    """
     size = len(adapter)
     starts = F.sequence(F.lit(1), F.greatest(F.length(seq) - least_overlap + 1, F.lit(1)))
 
-    def fits(k: Column) -> Column:
+    def fit(k: Column) -> Column:
         rest = F.least(F.length(seq) - k + 1, F.lit(size))
-        return (rest >= least_overlap) & (F.levenshtein(F.substr(seq, k, rest), F.substr(F.lit(adapter), F.lit(1), rest)) * size <= most * rest)
+        edits = F.levenshtein(F.substr(seq, k, rest), F.substr(F.lit(adapter), F.lit(1), rest))
+        return F.struct((edits / rest).alias("share"), k.alias("at"), ((rest >= least_overlap) & (edits * size <= most * rest)).alias("fits"))
 
-    return F.array_min(F.filter(starts, fits))
+    return F.array_min(F.filter(F.transform(starts, fit), lambda f: f["fits"]))["at"]
 
 
 def mask_from(seq: Column, place: Column) -> Column:

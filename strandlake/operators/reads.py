@@ -78,7 +78,7 @@ def one_per_key(reads: DataFrame, key: list[str], on_duplicate: str = "keep_best
     rows = reads.withColumn("__row", F.row_number().over(order))
     if on_duplicate == "fail":
         error = F.raise_error(F.concat_ws(" ", F.lit("duplicate read"), *[F.col(k).cast("string") for k in key]))
-        return rows.withColumn("__row", F.when(F.col("__row") > 1, error.cast("int")).otherwise(F.col("__row"))).drop("__row")
+        return rows.where(F.when(F.col("__row") > 1, error.cast("boolean")).otherwise(True)).drop("__row")
     return rows.where("__row = 1").drop("__row")
 
 

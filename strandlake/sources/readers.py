@@ -25,7 +25,7 @@ def sam(spark: SparkSession, path: str | list[str], sample: str | None = None) -
     tags = F.map_from_entries(
         F.transform(F.slice(parts, 12, 1_000_000), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substr(t, F.lit(6)).alias("v")))
     )
-    cols = [parts[k].cast("int").alias(n) if n in ("flag", "mapq", "tlen") else (parts[k].cast("int") - 1).alias(n) if n.endswith("start") else parts[k].alias(n) for k, n in enumerate(SAM_FIELDS)]
+    cols = [F.get(parts, F.lit(k)).try_cast("int").alias(n) if n in ("flag", "mapq", "tlen") else (F.get(parts, F.lit(k)).try_cast("int") - 1).alias(n) if n.endswith("start") else F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(SAM_FIELDS)]
     rows = lines.select(*cols, tags.alias("tags"))
     rows = rows.withColumn("mate_contig", F.when(F.col("mate_contig") == "=", F.col("contig")).otherwise(F.col("mate_contig")))
     return rows if sample is None else rows.withColumn("sample", F.lit(sample))
@@ -114,17 +114,17 @@ def bed(spark: SparkSession, path: str, columns: list[str] | None = None, contig
 def name_map(spark: SparkSession, path: str) -> DataFrame:
     """(id, names, extras): sets of second and further columns of a tab-separated file."""
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).where(F.trim("value") != "").select(parts[0].alias("id"), F.try_element_at(parts, F.lit(2)).alias("name"), F.slice(parts, 3, 1_000_000).alias("extra"))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.get(parts, F.lit(0)).alias("id"), F.try_element_at(parts, F.lit(2)).alias("name"), F.slice(parts, 3, 1_000_000).alias("extra"))
     return rows.groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("extra")))).alias("extras"))
 
 
 def mutation_list(spark: SparkSession, path: str) -> DataFrame:
     """(sample, contig, pos, kind, wildtype, sequence, note) of a list to annotate; bare numbers become chrN."""
     parts = F.split("value", "\t")
-    contig = F.when(parts[1].rlike(r"^(\d+|X|Y)$"), F.concat(F.lit("chr"), parts[1])).otherwise(parts[1])
+    contig = F.when(F.get(parts, F.lit(1)).rlike(r"^(\d+|X|Y)$"), F.concat(F.lit("chr"), F.get(parts, F.lit(1)))).otherwise(F.get(parts, F.lit(1)))
     kind, wildtype, sequence = S.parse_change(F.col("change"))
     rows = spark.read.text(path).where(F.trim("value") != "").select(
-        parts[0].alias("sample"), contig.alias("contig"), (_whole_number(F.regexp_replace(parts[2], ",", "")) - 1).alias("pos"), parts[3].alias("change"), F.try_element_at(parts, F.lit(5)).alias("note")
+        F.get(parts, F.lit(0)).alias("sample"), contig.alias("contig"), (_whole_number(F.regexp_replace(F.get(parts, F.lit(2)), ",", "")) - 1).alias("pos"), F.get(parts, F.lit(3)).alias("change"), F.try_element_at(parts, F.lit(5)).alias("note")
     )
     return rows.select("sample", "contig", "pos", kind.alias("kind"), wildtype.alias("wildtype"), sequence.alias("sequence"), "note")
 
@@ -172,8 +172,8 @@ def gene_annotations(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", "\t")
     numbers = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.cast("long"))
     return spark.read.text(path).select(
-        parts[1].alias("name"), parts[0].alias("gene"), parts[2].alias("contig"), parts[4].cast("long").alias("start"), (parts[5].cast("long") - 1).alias("end"),
-        (parts[3] == "-").alias("negative"), numbers(parts[9]).alias("exon_starts"), numbers(parts[10]).alias("exon_ends"),
+        F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(0)).alias("gene"), F.get(parts, F.lit(2)).alias("contig"), F.get(parts, F.lit(4)).cast("long").alias("start"), (F.get(parts, F.lit(5)).cast("long") - 1).alias("end"),
+        (F.get(parts, F.lit(3)) == "-").alias("negative"), numbers(F.get(parts, F.lit(9))).alias("exon_starts"), numbers(F.get(parts, F.lit(10))).alias("exon_ends"),
     )
 
 
