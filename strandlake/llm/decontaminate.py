@@ -1,10 +1,11 @@
 """Benchmark decontamination: a prefix-filtered join of item windows with documents.
 
 A window is `width` consecutive words of an item (a shorter item is one window). Its tokens are its
-word shingles, ordered by rarity; a document that contains the window contains every token, so the
-single rarest one is the necessary prefix. Documents are joined on prefix tokens only; a match at a
-position gives the only place where the window can stand (positional bound), which must lie inside
-the text (length bound), and the words there are compared with the window's.
+word shingles, ordered by how often they stand in all documents. A document that contains the window
+contains every token, so the single rarest one is the necessary prefix, and windows with a token of
+no document are out at once. Documents are joined on prefix tokens only; a match at a position gives
+the only place where the window can stand (positional bound), which must lie inside the text (length
+bound), and the words there are compared with the window's.
 
 All of it is DataFrame operations. Documents keep their words inside one stage up to the exact
 comparison, so that only hits are shuffled. The benchmark is taken in blocks of at most
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # The letters to fold and what separates words.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,12 +57,44 @@ def tokens(found: DataFrame) -> DataFrame:
     return each.withColumn("token", F.xxhash64(F.slice("window", F.col("offset") + 1, F.col("size"))))
 
 
-def prefixes(found: DataFrame) -> DataFrame:
-    """Each window with its rarest token: fewest windows first, then the smallest hash."""
-    all_tokens = tokens(found)
-    rarity = all_tokens.groupBy("token", "size").agg(F.count("*").alias("n"))
-    ranked = all_tokens.join(rarity, ["token", "size"])
-    rarest = ranked.groupBy("window").agg(F.min(F.struct("n", "token", "offset")).alias("r"))
+def placed_tokens(docs: DataFrame, size: int, with_itself: bool) -> DataFrame:
+    """(doc_id, h, w, at, token): a row for each token of `size` words; place 0 is the document itself."""
+    first = 0 if with_itself else 1
+    last = F.size("w") - size + 1
+    positions = F.sequence(F.lit(first), F.greatest(last, F.lit(first)))
+    placed = docs.select("doc_id", "h", "w", F.explode(positions).alias("at"))
+    token = F.when((F.col("at") > 0) & (F.col("at") <= last), F.xxhash64(F.slice("w", F.greatest(F.col("at"), F.lit(1)), F.lit(size))))
+    return placed.withColumn("token", F.when(F.col("at") == 0, F.lit(ITSELF).cast("long")).otherwise(token))
+
+
+def blocks_of(rows: DataFrame, key: str) -> list[tuple[int, DataFrame]]:
+    """(size, rows) of each token size, in blocks of at most about BLOCK_WINDOWS rows."""
+    sizes = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    out = []
+    for size, n in sorted(sizes.items(), reverse=True):
+        blocks = max(1, -(-n // BLOCK_WINDOWS))
+        out += [(size, rows.where((F.col("size") == size) & (F.pmod(F.xxhash64(key), F.lit(blocks)) == b))) for b in range(blocks)]
+    return out
+
+
+def rarity(docs: DataFrame, all_tokens: DataFrame) -> DataFrame:
+    """(token, size, n): how often each token of the windows stands in the documents."""
+    counts = None
+    for size, own in blocks_of(all_tokens.select("token", "size").distinct(), "token"):
+        met = placed_tokens(docs, size, False).select("token").join(F.broadcast(own), "token")
+        part = met.groupBy("token", "size").agg(F.count("*").alias("n"))
+        counts = part if counts is None else counts.unionByName(part)
+    return all_tokens.select("token", "size", F.lit(0).cast("long").alias("n")).limit(0) if counts is None else counts
+
+
+def prefixes(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each window with its rarest token: fewest places in the documents, then the smallest hash.
+
+    A window that has a token of no document stands in none; it is left out.
+    """
+    every = tokens(found)
+    ranked = every.join(rarity(docs, every), ["token", "size"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = ranked.groupBy("window").agg(F.min(F.struct("n", "token", "offset")).alias("r")).where("r.n > 0")
     return found.join(rarest, "window").select("window", "length", "size", "items", "r.token", "r.offset")
 
 
@@ -68,12 +103,7 @@ def hits(docs: DataFrame, needed: DataFrame, size: int, with_itself: bool) -> Da
 
     docs: (doc_id, h, w). needed: prefixes of one token size, bounded.
     """
-    first = 0 if with_itself else 1
-    last = F.size("w") - size + 1
-    positions = F.sequence(F.lit(first), F.greatest(last, F.lit(first)))
-    placed = docs.select("doc_id", "h", "w", F.explode(positions).alias("at"))
-    token = F.when((F.col("at") > 0) & (F.col("at") <= last), F.xxhash64(F.slice("w", F.greatest(F.col("at"), F.lit(1)), F.lit(size))))
-    probe = placed.withColumn("token", F.when(F.col("at") == 0, F.lit(ITSELF).cast("long")).otherwise(token))
+    probe = placed_tokens(docs, size, with_itself)
     table = needed.select("window", "length", "items", "token", "offset")
     if with_itself:
         kinds = dict(table.dtypes)
@@ -111,17 +141,12 @@ def contamination(
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated) for every row of `docs`."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), words(F.col(text)).alias("w"))
-    found = prefixes(windows(items, width, shingle)).persist()
-    sizes = {r["size"]: r["n"] for r in found.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    passes = []
-    for size, n in sorted(sizes.items(), reverse=True) or [(shingle, 0)]:
-        blocks = max(1, -(-n // BLOCK_WINDOWS))
-        for block in range(blocks):
-            needed = found.where((F.col("size") == size) & (F.pmod(F.xxhash64("window"), F.lit(blocks)) == block))
-            passes.append(hits(rows, needed, size, with_itself=not passes))
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.unionByName(more)
+    found = cut(prefixes(windows(items, width, shingle), rows))
+    blocks = blocks_of(found, "window") or [(shingle, found)]
+    every = None
+    for size, needed in blocks:
+        part = hits(rows, needed, size, with_itself=every is None)
+        every = part if every is None else every.unionByName(part)
     is_hit = F.col("start") > 0
     grouped = every.groupBy("doc_id", "h", "n_words").agg(
         F.sum(F.when(is_hit, 0).otherwise(1)).alias("copies"),
