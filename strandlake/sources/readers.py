@@ -19,8 +19,13 @@ READS = T.StructType(
 
 
 def sam(spark: SparkSession, path: str | list[str], sample: str | None = None) -> DataFrame:
-    """Reads of SAM text: positions 0-based, tags as a map, `=` resolved, header lines left out."""
-    lines = spark.read.text(path).where(~F.startswith("value", F.lit("@")) & (F.length("value") > 0))
+    """Reads of SAM text files."""
+    return sam_rows(spark.read.text(path), sample)
+
+
+def sam_rows(text: DataFrame, sample: str | None = None) -> DataFrame:
+    """Reads of SAM lines (value): positions 0-based, tags as a map, `=` resolved, header lines left out."""
+    lines = text.where(~F.startswith("value", F.lit("@")) & (F.length("value") > 0))
     parts = F.split("value", "\t")
     tags = F.map_from_entries(
         F.transform(F.slice(parts, 12, 1_000_000), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substr(t, F.lit(6)).alias("v")))
@@ -90,8 +95,13 @@ def bed(spark: SparkSession, path: str, columns: list[str] | None = None, contig
     end, name, score, strand. Digits may hold `_`. A strand other than + and -, and a contig that
     `contigs` lacks, are errors. Files of three columns get names by place.
     """
+    return bed_rows(spark.read.text(path), columns, contigs, shift)
+
+
+def bed_rows(text: DataFrame, columns: list[str] | None = None, contigs: DataFrame | None = None, shift: int = -1) -> DataFrame:
+    """Intervals of BED lines (value); see `bed`."""
     names = columns or ["contig", "start", "end", "name", "score", "strand"]
-    lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
+    lines = text.where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
     parts = F.split("value", "\t")
     field = lambda n: F.try_element_at(parts, F.lit(names.index(n) + 1)) if n in names else F.lit(None).cast("string")
     strand = field("strand")
@@ -113,17 +123,25 @@ def bed(spark: SparkSession, path: str, columns: list[str] | None = None, contig
 
 def name_map(spark: SparkSession, path: str) -> DataFrame:
     """(id, names, extras): sets of second and further columns of a tab-separated file."""
+    return name_map_rows(spark.read.text(path))
+
+
+def name_map_rows(text: DataFrame) -> DataFrame:
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.get(parts, F.lit(0)).alias("id"), F.try_element_at(parts, F.lit(2)).alias("name"), F.slice(parts, 3, 1_000_000).alias("extra"))
+    rows = text.where(F.trim("value") != "").select(F.get(parts, F.lit(0)).alias("id"), F.try_element_at(parts, F.lit(2)).alias("name"), F.slice(parts, 3, 1_000_000).alias("extra"))
     return rows.groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("extra")))).alias("extras"))
 
 
 def mutation_list(spark: SparkSession, path: str) -> DataFrame:
     """(sample, contig, pos, kind, wildtype, sequence, note) of a list to annotate; bare numbers become chrN."""
+    return mutation_rows(spark.read.text(path))
+
+
+def mutation_rows(text: DataFrame) -> DataFrame:
     parts = F.split("value", "\t")
     contig = F.when(F.get(parts, F.lit(1)).rlike(r"^(\d+|X|Y)$"), F.concat(F.lit("chr"), F.get(parts, F.lit(1)))).otherwise(F.get(parts, F.lit(1)))
     kind, wildtype, sequence = S.parse_change(F.col("change"))
-    rows = spark.read.text(path).where(F.trim("value") != "").select(
+    rows = text.where(F.trim("value") != "").select(
         F.get(parts, F.lit(0)).alias("sample"), contig.alias("contig"), (_whole_number(F.regexp_replace(F.get(parts, F.lit(2)), ",", "")) - 1).alias("pos"), F.get(parts, F.lit(3)).alias("change"), F.try_element_at(parts, F.lit(5)).alias("note")
     )
     return rows.select("sample", "contig", "pos", kind.alias("kind"), wildtype.alias("wildtype"), sequence.alias("sequence"), "note")
@@ -131,7 +149,11 @@ def mutation_list(spark: SparkSession, path: str) -> DataFrame:
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
     """(contig, pos, half) of a text file with several `chr:1,234` or `chr:5-9` a line."""
-    words = spark.read.text(path).select(F.explode(F.filter(F.split("value", r"\s+"), lambda w: w != "")).alias("w"))
+    return position_rows(spark.read.text(path))
+
+
+def position_rows(text: DataFrame) -> DataFrame:
+    words = text.select(F.explode(F.filter(F.split("value", r"\s+"), lambda w: w != "")).alias("w"))
     first = F.regexp_replace(F.regexp_extract("w", r":([\d,]+)", 1), ",", "").cast("long") - 1
     last = F.regexp_replace(F.regexp_extract("w", r"-([\d,]+)$", 1), ",", "").try_cast("long") - 1
     span = F.explode(F.sequence(first, F.coalesce(last, first))).alias("pos")
