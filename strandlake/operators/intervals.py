@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BIN = 64
 WIDER = 16
 LEVELS = 7
+#: Places of a contig that one task orders.
+STRETCH = 1 << 16
 
 
 def _level(length: Column) -> Column:
@@ -110,17 +112,47 @@ def touched(intervals: DataFrame, hits: DataFrame) -> DataFrame:
     return intervals.join(counts, "name").select("name", "contig", "start", "end", "n_hits")
 
 
+def running(rows: DataFrame, at: str, totals: list[str], stretch: int = STRETCH) -> DataFrame:
+    """Running sums (as run_<name>) along each contig, and the next row's place (as next_at).
+
+    A contig is dealt out in stretches of places: sums run inside a stretch, and each stretch gets
+    what lies before it from the stretches' own totals, so no task holds a whole contig. Rows of one
+    place must be one row.
+    """
+    cut = rows.withColumn("__part", F.floor(F.col(at) / stretch))
+    parts = cut.groupBy("contig", "__part").agg(F.min(at).alias("__first"), *[F.sum(t).alias(f"__{t}") for t in totals])
+    along = Window.partitionBy("contig").orderBy("__part")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("contig", "__part", F.lead("__first").over(along).alias("__next"), *[F.coalesce(F.sum(f"__{t}").over(before), F.lit(0)).alias(f"__{t}") for t in totals])
+    own = Window.partitionBy("contig", "__part").orderBy(at)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.select("*", F.lead(at).over(own).alias("__lead"), *[F.sum(t).over(upto).alias(f"__own_{t}") for t in totals])
+    joined = local.join(parts, ["contig", "__part"])
+    return joined.select(*rows.columns, F.coalesce("__lead", "__next").alias("next_at"), *[(F.col(f"__own_{t}") + F.col(f"__{t}")).alias(f"run_{t}") for t in totals])
+
+
 def merge(intervals: DataFrame, slack: int = 1) -> DataFrame:
-    """Union of intervals: islands of those that overlap or touch (within `slack`)."""
-    order = Window.partitionBy("contig").orderBy("start", "end")
+    """Union of intervals: islands of those that overlap or touch (within `slack`).
+
+    Islands are made within stretches of starts first; only what is left of them is merged along
+    whole contigs.
+    """
+    near = _islands(intervals.withColumn("__part", F.floor(F.col("start") / STRETCH)), ["contig", "__part"], slack)
+    return _islands(near.select("contig", "start", "end"), ["contig"], slack).select("contig", "start", "end")
+
+
+def _islands(intervals: DataFrame, keys: list[str], slack: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("reach", reach).withColumn("new", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + slack), 1).otherwise(0))
-    numbered = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("contig", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    marked = intervals.withColumn("__reach", reach)
+    new = F.when(F.col("__reach").isNull() | (F.col("start") > F.col("__reach") + slack), 1).otherwise(0)
+    numbered = marked.withColumn("__new", new).withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def _boundaries(a: DataFrame, b: DataFrame) -> DataFrame:
     """Stretches between boundaries of two merged sets, with how many sets cover each."""
+
     def edges(df: DataFrame, side: str) -> DataFrame:
         plus = df.select("contig", F.col("start").alias("at"), F.lit(1).alias("d"), F.lit(side).alias("side"))
         return plus.union(df.select("contig", F.col("end") + 1, F.lit(-1), F.lit(side)))
@@ -129,11 +161,8 @@ def _boundaries(a: DataFrame, b: DataFrame) -> DataFrame:
     steps = both.groupBy("contig", "at").agg(
         F.sum(F.when(F.col("side") == "a", F.col("d")).otherwise(0)).alias("da"), F.sum(F.when(F.col("side") == "b", F.col("d")).otherwise(0)).alias("db")
     )
-    order = Window.partitionBy("contig").orderBy("at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(
-        "contig", F.col("at").alias("start"), (F.lead("at").over(order) - 1).alias("end"), F.sum("da").over(upto).alias("in_a"), F.sum("db").over(upto).alias("in_b")
-    ).where("end IS NOT NULL AND end >= start")
+    made = running(steps, "at", ["da", "db"])
+    return made.select("contig", F.col("at").alias("start"), (F.col("next_at") - 1).alias("end"), F.col("run_da").alias("in_a"), F.col("run_db").alias("in_b")).where("end >= start")
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -166,10 +195,16 @@ def scatter(intervals: DataFrame, size: int) -> DataFrame:
 
 def threshold_runs(values: DataFrame, threshold: float, value: str = "value") -> DataFrame:
     """Runs of neighbouring positions at or above a threshold, with the last position's value."""
-    order = Window.partitionBy("contig").orderBy("pos")
-    kept = values.where(F.col(value) >= threshold)
-    rows = kept.withColumn("run", F.col("pos") - F.row_number().over(order))
-    return rows.groupBy("contig", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.max_by(value, "pos").alias("last_value")).drop("run")
+    kept = values.where(F.col(value) >= threshold).withColumn("__part", F.floor(F.col("pos") / STRETCH))
+    order = Window.partitionBy("contig", "__part").orderBy("pos")
+    rows = kept.withColumn("__run", F.col("pos") - F.row_number().over(order))
+    runs = rows.groupBy("contig", "__part", "__run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.max_by(value, "pos").alias("last_value"))
+    # runs of neighbouring stretches that touch are one
+    along = Window.partitionBy("contig").orderBy("start")
+    new = F.when(F.col("start") == F.lag("end").over(along) + 1, 0).otherwise(1)
+    numbered = runs.withColumn("__new", new).withColumn("__island", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy("contig", "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("last_value", "end").alias("last_value"))
+    return whole.drop("__island")
 
 
 def moving_average(values: DataFrame, alpha: float, bin_size: int, threshold: float | None = None, value: str = "value") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import NO_MATE
+from .intervals import running
 
 KEY = ["sample", "contig", "left_start", "right_end", "left_bc", "right_bc"]
 
@@ -78,10 +79,19 @@ def covering_clipping(molecules: DataFrame) -> DataFrame:
     plus = molecules.select("contig", F.col("start").alias("at"), F.lit(1).alias("d"), F.col("n_clipped").alias("c"))
     events = plus.union(molecules.select("contig", F.col("end") + 1, F.lit(-1), -F.col("n_clipped")))
     steps = events.groupBy("contig", "at").agg(F.sum("d").alias("d"), F.sum("c").alias("c"))
-    order = Window.partitionBy("contig").orderBy("at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = steps.select("contig", F.col("at").alias("start"), (F.lead("at").over(order) - 1).alias("end"), F.sum("d").over(upto).alias("n"), F.sum("c").over(upto).alias("total"))
-    return rows.where("n > 0 AND end IS NOT NULL").withColumn("mean_clipping", F.round(F.col("total") / F.col("n"), 6)).drop("total")
+    made = running(steps, "at", ["d", "c"]).select("contig", F.col("at").alias("start"), (F.col("next_at") - 1).alias("end"), F.col("run_d").alias("n"), F.col("run_c").alias("total"))
+    return made.where("n > 0 AND end IS NOT NULL").withColumn("mean_clipping", F.round(F.col("total") / F.col("n"), 6)).drop("total")
+
+
+def merged_barcode_mismatches(molecules: DataFrame, merged: DataFrame, length: int) -> DataFrame:
+    """Counts of letters that differ between merged molecules' left barcodes and their targets', by place."""
+    into = molecules.select(F.col("molecule").alias("merged_into"), F.col("left_bc").alias("target_bc"))
+    pairs = merged.where("molecule <> merged_into").join(into, "merged_into")
+    places = F.explode(F.sequence(F.lit(1), F.lit(length))).alias("place")
+    letters = pairs.select(places, "left_bc", "target_bc").select(
+        "place", F.substr("target_bc", F.col("place"), F.lit(1)).alias("fst"), F.substr("left_bc", F.col("place"), F.lit(1)).alias("snd")
+    )
+    return letters.where("fst <> snd").groupBy("place", "fst", "snd").agg(F.count("*").alias("n"))
 
 
 def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, chunk: list[str]) -> DataFrame:

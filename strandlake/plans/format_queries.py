@@ -193,3 +193,21 @@ def v20(spark, sf):
 def v21(spark, sf):
     each = view(spark, sf, "reads_v").select("line", F.explode(F.split("qual", "")).alias("q"))
     return each.groupBy("line").agg(F.min(F.ascii("q")).alias("lowest"), F.max(F.ascii("q")).alias("highest"))
+
+
+@query("S05_fasta", "SELECT name AS contig, repeat('ACGN', (score % 5)::INT + 1) AS seq FROM features_v")
+def s05(spark, sf):
+    f = view(spark, sf, "features_v")
+    body = F.regexp_replace(F.repeat(F.lit("acgn"), (F.col("score") % 5 + 1).cast("int")), "(.{6})", "$1\n")
+    return readers.fasta_rows(f.select(F.concat("name", F.lit(" text\n"), body, F.lit("\n")).alias("value")))
+
+
+@query("S04_point_lookup", "SELECT order_id, line, start FROM reads_v WHERE order_id = 7 AND line > 1")
+def s04(spark, sf):
+    return view(spark, sf, "reads_v").where("order_id = 7 AND line > 1").select("order_id", "line", "start")
+
+
+@query("P06_collectors", "SELECT contig, list_sort(list(DISTINCT value)) AS seen, list_sort(list(value))[1:5] AS lowest FROM coverage_v GROUP BY contig")
+def p06(spark, sf):
+    rows = view(spark, sf, "coverage_v").groupBy("contig")
+    return rows.agg(F.array_sort(F.collect_set("value")).alias("seen"), F.slice(F.array_sort(F.collect_list("value")), 1, 5).alias("lowest"))

@@ -193,3 +193,19 @@ def v14(spark, sf):
 @query("K12_feature_coverage", f"""SELECT f.name, coalesce(sum(c.value), 0)::BIGINT AS raw FROM features_v f LEFT JOIN coverage_v c ON {ON} GROUP BY f.name""")
 def k12(spark, sf):
     return I.feature_breakdown(_coverage(spark, sf), _features(spark, sf)).select("name", "raw")
+
+
+@query("W07_running_depth", """WITH e AS (SELECT contig, at_pos, sum(d)::BIGINT AS d FROM (SELECT contig, start AS at_pos, 1 AS d FROM features_v UNION ALL SELECT contig, "end" + 1, -1 FROM features_v) GROUP BY ALL)
+SELECT contig, at_pos, (sum(d) OVER (PARTITION BY contig ORDER BY at_pos))::BIGINT AS depth, lead(at_pos) OVER (PARTITION BY contig ORDER BY at_pos) AS next_at FROM e""")
+def w07(spark, sf):
+    f = _features(spark, sf)
+    edges = f.select("contig", F.col("start").alias("at_pos"), F.lit(1).alias("d")).union(f.select("contig", F.col("end") + 1, F.lit(-1)))
+    steps = edges.groupBy("contig", "at_pos").agg(F.sum("d").alias("d"))
+    return I.running(steps, "at_pos", ["d"], stretch=100).select("contig", "at_pos", F.col("run_d").alias("depth"), "next_at")
+
+
+@query("P02_feature_testers", f"SELECT c.contig, c.pos, EXISTS (SELECT 1 FROM features_v f WHERE {ON}) AS inside FROM coverage_v c")
+def p02(spark, sf):
+    rows = _coverage(spark, sf)
+    hits = I.inside(rows.select("contig", "pos"), _features(spark, sf)).withColumn("inside", F.lit(True))
+    return rows.join(hits, ["contig", "pos"], "left").select("contig", "pos", F.coalesce("inside", F.lit(False)).alias("inside"))

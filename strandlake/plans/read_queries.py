@@ -554,3 +554,14 @@ def v19(spark, sf):
 def s13(spark, sf):
     lengths = view(spark, sf, "coverage_v").groupBy("contig").agg((F.max("pos") + 1).alias("length"))
     return R.random_positions(lengths, 0.05, seed=3)
+
+
+@query("A46_barcode_mismatches")
+def a46(spark, sf):
+    rows = M.start_islands(_molecules(spark, sf).where("sample = 'A'").dropDuplicates(["molecule"]), 1).withColumn("chunk", F.floor(F.col("left_start") / 50))
+    return M.merged_barcode_mismatches(rows, M.fuzzy_merge(rows, 2, 1, ["sample", "chunk"]), 3)
+
+
+@query("A49_records", "SELECT contig, count(*) AS n_records, sum(length(seq))::BIGINT AS n_bases FROM reads_v GROUP BY contig")
+def a49(spark, sf):
+    return _reads(spark, sf).groupBy("contig").agg(F.count("*").alias("n_records"), F.sum(F.length("seq")).alias("n_bases"))

@@ -74,7 +74,12 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
     Each file is read as records that begin with `>`, so files of many contigs are split by contig.
     """
-    records = spark.read.option("lineSep", ">").text(path).where(F.length("value") > 0)
+    return fasta_rows(spark.read.option("lineSep", ">").text(path))
+
+
+def fasta_rows(text: DataFrame) -> DataFrame:
+    """(contig, seq) of FASTA records (value) without their `>`."""
+    records = text.where(F.length("value") > 0)
     name = F.regexp_extract("value", r"^(\S+)", 1)
     seq = F.upper(F.regexp_replace(F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1), r"\s", ""))
     return records.select(name.alias("contig"), seq.alias("seq"))
