@@ -94,39 +94,59 @@ def merged_barcode_mismatches(molecules: DataFrame, merged: DataFrame, length: i
     return letters.where("fst <> snd").groupBy("place", "fst", "snd").agg(F.count("*").alias("n"))
 
 
+def _differs(a: str, b: str) -> int:
+    return sum(x != y and x != "N" and y != "N" for x, y in zip(a, b, strict=False))
+
+
+def _merge_group(rows: list[tuple], tolerance: int, barcode_mismatches: int) -> list[tuple[int, int]]:
+    """(molecule, merged_into) of (molecule, left_start, right_end, left_bc, right_bc, n_top, n_bottom) rows."""
+    if len(rows) == 1:
+        return [(rows[0][0], rows[0][0])]
+    ordered = sorted(rows, key=lambda r: (-(r[5] + r[6]), -min(r[5], r[6]), *r[1:5], r[0]))
+    kept: list[tuple] = []
+    out = []
+    for r in ordered:
+        for k in kept:
+            near = abs(k[1] - r[1]) <= tolerance and abs(k[2] - r[2]) <= tolerance
+            if near and _differs(k[3], r[3]) <= barcode_mismatches and _differs(k[4], r[4]) <= barcode_mismatches:
+                out.append((r[0], k[0]))
+                break
+        else:
+            kept.append(r)
+            out.append((r[0], r[0]))
+    return out
+
+
 def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, chunk: list[str]) -> DataFrame:
     """Molecules with merged_into, merging greedily into the first compatible one.
 
-    Order: most reads, then smallest strand count, positions and barcodes. Two molecules are
+    Order: most reads, then larger minimum over strands, positions and barcodes. Two molecules are
     compatible if both ends lie within `tolerance` and both barcodes differ in `barcode_mismatches`
-    letters at most, N fitting anything. A chunk (islands of close starts) bounds a group.
+    letters at most, N fitting anything. Molecules of one chunk only are merged: the start itself
+    where `tolerance` is 0, islands of close starts otherwise. Chunks are sorted within partitions
+    and taken one after another, so that small ones cost no call each.
     """
-    def differs(a: str, b: str) -> int:
-        return sum(x != y and x != "N" and y != "N" for x, y in zip(a, b, strict=False))
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.assign(least=group[["n_top", "n_bottom"]].min(axis=1), total=group["n_top"] + group["n_bottom"])
-        rows = rows.sort_values(["total", "least", "left_start", "right_end", "left_bc", "right_bc", "molecule"], ascending=[False, False, True, True, True, True, True])
-        kept: list[tuple] = []
-        into = []
-        for r in rows.itertuples():
-            target = next(
-                (
-                    k
-                    for k in kept
-                    if max(abs(k[1] - r.left_start), abs(k[2] - r.right_end)) <= tolerance
-                    and differs(k[3], r.left_bc) <= barcode_mismatches
-                    and differs(k[4], r.right_bc) <= barcode_mismatches
-                ),
-                None,
-            )
-            if target is None:
-                kept.append((r.molecule, r.left_start, r.right_end, r.left_bc, r.right_bc))
-            into.append(r.molecule if target is None else target[0])
-        return pd.DataFrame({"molecule": rows["molecule"], "merged_into": into})
-
-    needed = ["molecule", "left_start", "right_end", "left_bc", "right_bc", "n_top", "n_bottom"]
-    merged = molecules.select(*chunk, *[c for c in needed if c not in chunk]).groupBy(*chunk).applyInPandas(lambda g: merge(g), "molecule long, merged_into long")
+    fields = ["molecule", "left_start", "right_end", "left_bc", "right_bc", "n_top", "n_bottom"]
+    keys = [F.col(c).alias(f"__k{k}") for k, c in enumerate(chunk)]
+    names = [f"__k{k}" for k in range(len(chunk))]
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            done: list[tuple[int, int]] = []
+            for row in batch.itertuples(index=False, name=None):
+                own = row[: len(names)]
+                if own != key and held:
+                    done += _merge_group(held, tolerance, barcode_mismatches)
+                    held = []
+                key = own
+                held.append(row[len(names) :])
+            yield pd.DataFrame(done, columns=["molecule", "merged_into"], dtype="int64")
+        if held:
+            yield pd.DataFrame(_merge_group(held, tolerance, barcode_mismatches), columns=["molecule", "merged_into"], dtype="int64")
+
+    rows = molecules.select(*keys, *fields).repartition(*names).sortWithinPartitions(*names)
+    merged = rows.mapInPandas(run, "molecule long, merged_into long")
     return molecules.join(merged, "molecule")
 
 
@@ -150,7 +170,8 @@ def neighbours(molecules: DataFrame, distance: int = 5) -> DataFrame:
 def optical_duplicates(reads: DataFrame, distance: int, key: list[str]) -> DataFrame:
     """Reads with optical_duplicate: all but the best of a chain of close spots on a tile.
 
-    Groups are the reads of one molecule on one tile, a handful.
+    Groups are the reads of one molecule on one tile, a handful; those of a single read never leave
+    the JVM.
     """
     def mark(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group["x"].to_numpy(float), group["y"].to_numpy(float)
@@ -172,5 +193,7 @@ def optical_duplicates(reads: DataFrame, distance: int, key: list[str]) -> DataF
         ranked = group.assign(chain=chain).sort_values(["chain", "avg_phred", "read_id"], ascending=[True, False, True])
         return pd.DataFrame({"read_id": ranked["read_id"], "optical_duplicate": ranked.duplicated("chain")})
 
-    flags = reads.select(*key, "run_tile", "read_id", "x", "y", "avg_phred").groupBy(*key, "run_tile").applyInPandas(lambda g: mark(g), "read_id long, optical_duplicate boolean")
-    return reads.join(flags, "read_id", "left")
+    size = F.count("*").over(Window.partitionBy(*key, "run_tile"))
+    several = reads.select(*key, "run_tile", "read_id", "x", "y", "avg_phred").withColumn("__n", size).where("__n > 1").drop("__n")
+    flags = several.groupBy(*key, "run_tile").applyInPandas(lambda g: mark(g), "read_id long, optical_duplicate boolean")
+    return reads.join(flags, "read_id", "left").withColumn("optical_duplicate", F.coalesce("optical_duplicate", F.lit(False)))

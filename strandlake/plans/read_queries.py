@@ -306,9 +306,16 @@ def a01_forced(spark, sf):
 
 @query("A02_fuzzy_merge")
 def a02(spark, sf):
-    rows = M.start_islands(_molecules(spark, sf).where("sample = 'A'").dropDuplicates(["molecule"]), 1)
-    rows = rows.withColumn("chunk", F.floor(F.col("left_start") / 50))
-    return M.fuzzy_merge(rows, 2, 1, ["sample", "chunk"]).select("molecule", "merged_into")
+    return M.fuzzy_merge(_single(spark, sf), 0, 1, ["sample", "contig", "left_start"]).select("molecule", "merged_into")
+
+
+def _single(spark, sf):
+    """One row of the stand-in for each molecule."""
+    from pyspark.sql import Window
+
+    first = Window.partitionBy("molecule").orderBy("left_start", "right_end", "left_bc", "right_bc", "n_top", "n_bottom")
+    rows = _molecules(spark, sf).withColumn("right_end", F.col("left_start") + 100)
+    return rows.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
 
 @query("A03_barcode_consensus", """WITH c AS (SELECT sample, left_start, left_bc FROM molecules_v),
@@ -558,8 +565,8 @@ def s13(spark, sf):
 
 @query("A46_barcode_mismatches")
 def a46(spark, sf):
-    rows = M.start_islands(_molecules(spark, sf).where("sample = 'A'").dropDuplicates(["molecule"]), 1).withColumn("chunk", F.floor(F.col("left_start") / 50))
-    return M.merged_barcode_mismatches(rows, M.fuzzy_merge(rows, 2, 1, ["sample", "chunk"]), 3)
+    rows = _single(spark, sf)
+    return M.merged_barcode_mismatches(rows, M.fuzzy_merge(rows, 0, 1, ["sample", "contig", "left_start"]), 3)
 
 
 @query("A49_records", "SELECT contig, count(*) AS n_records, sum(length(seq))::BIGINT AS n_bases FROM reads_v GROUP BY contig")
