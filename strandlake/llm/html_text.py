@@ -62,6 +62,8 @@ BOILERPLATE = frozenset(
     "breadcrumbs topbar toolbar masthead footer comment comments commentlist disqus discussion replies reactions respond related recommended recommendations "
     "share sharing social pagination pager widget widgets skip login search complementary contentinfo dialog alertdialog".split()
 )
+#: Parts of a name that say that something is absent or merely beside.
+NEGATIONS = frozenset("no not has with without hide non".split())
 #: Elements and marks whose whole content is the article.
 ARTICLE_MARKS = frozenset({"articlebody"})
 
@@ -83,14 +85,21 @@ class Node:
         self.density = 0.0
 
 
-def _marks(node: Node, attributes: str, in_article: bool) -> None:
+def _is_boilerplate(tag: str, name: str) -> bool:
+    """Whether a class, id or role names boilerplate; `no-sidebar` and the like don't, nor do whole pages."""
+    parts = {p for p in _NAME_PARTS.split(_CAMEL.sub(" ", name).lower()) if p}
+    if tag in ("html", "body", "main") or parts & NEGATIONS:
+        return False
+    return bool(parts) and parts <= BOILERPLATE if tag == "article" else bool(parts & BOILERPLATE)
+
+
+def _marks(node: Node, attributes: str) -> None:
     if not attributes or attributes.isspace():
         return
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
-            names = [set(_NAME_PARTS.split(_CAMEL.sub(" ", v).lower())) for v in value.split()]
-            if any(each & BOILERPLATE for each in names):
+            if any(_is_boilerplate(node.tag, v) for v in value.split()):
                 node.drop = True
             if name == "role" and value.lower() in ("main", "article"):
                 node.whole = True
@@ -137,7 +146,7 @@ def parse(html: str) -> Node:
         child = Node(tag, node)
         child.drop = tag in EXCLUDED
         child.whole = tag in ("article", "main")
-        _marks(child, m[2] or "", False)
+        _marks(child, m[2] or "")
         node.children.append(child)
         node.content.append(child)
         if tag in VOID:

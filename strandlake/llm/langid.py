@@ -25,6 +25,8 @@ from .batches import chunks, with_columns
 BUCKETS = 1 << 13
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
+#: Best scores above this are never rejected.
+SURE = 0.4
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -133,7 +135,7 @@ def train(texts: list[bytes], labels: list[str], width: int = 16, epochs: int =
     """SGD over shuffled minibatches; a fifth of the texts is held back for calibration.
 
     The threshold rejects a held-back text of its own language with a share of `reject_share` at
-    most, and never a text whose best score is above one half.
+    most, and never a text whose best score is above SURE.
     """
     languages = sorted(set(labels))
     if not languages:
@@ -166,7 +168,7 @@ def train(texts: list[bytes], labels: list[str], width: int = 16, epochs: int =
         shares = softmax(logits / temperature)
         right = shares.argmax(1) == y[held]
         if right.any():
-            threshold = min(0.5, float(np.quantile(shares.max(1)[right], reject_share)))
+            threshold = min(SURE, float(np.quantile(shares.max(1)[right], reject_share)))
     return Model(languages, table.astype(np.float64), bias.astype(np.float64), temperature, threshold)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .batches import with_columns
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bars", "n_shouts", "n_upper", "n_lines"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bars", "n_shouts", "n_upper", "n_lines", "n_stutters"]
 
 #: Rules in bit order: name and failure condition over the measurements.
 RULES: list[tuple[str, str]] = [
@@ -30,12 +30,13 @@ RULES: list[tuple[str, str]] = [
     ("CAPITALS", "2 * n_upper > word_chars"),
     ("DUPLICATE_LINES", "n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines"),
     ("LONG_WORDS", "word_chars > 25 * n_words"),
+    ("STUTTER", "10 * n_stutters > 3 * n_words"),
 ]
 
 #: Policies by version: the rules that reject.
 POLICIES: dict[str, list[str]] = {
     "base": ["TOO_FEW_WORDS", "REPEATED_WINDOWS"],
-    "v1": ["TOO_FEW_WORDS", "REPEATED_WINDOWS", "SYMBOLS", "TABLE_BARS", "SHOUTING", "CAPITALS", "DUPLICATE_LINES", "LONG_WORDS"],
+    "v1": ["TOO_FEW_WORDS", "REPEATED_WINDOWS", "SYMBOLS", "TABLE_BARS", "SHOUTING", "CAPITALS", "DUPLICATE_LINES", "LONG_WORDS", "STUTTER"],
 }
 
 _SPACE = np.zeros(256, np.uint8)
@@ -104,6 +105,7 @@ def measure(texts: list[bytes | None]) -> dict[str, np.ndarray]:
         "n_shouts": np.bincount(doc, weights=ends[codes] if len(codes) else None, minlength=len(texts)).astype(np.int64),
         "n_upper": total(_UPPER[data]),
         "n_lines": n_lines,
+        "n_stutters": np.bincount(doc[1:], weights=(codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1]), minlength=len(texts)).astype(np.int64),
     }
 
 

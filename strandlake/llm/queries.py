@@ -118,7 +118,8 @@ WITH rows AS (
     length(regexp_replace(text, '[^|]', '', 'g'))::BIGINT AS n_bars,
     len(list_filter(words, lambda x: ends_with(x, '!!')))::BIGINT AS n_shouts,
     length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
-    coalesce(n_lines, 0)::BIGINT AS n_lines
+    coalesce(n_lines, 0)::BIGINT AS n_lines,
+    len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1]))::BIGINT AS n_stutters
   FROM rows LEFT JOIN repeated USING (k) LEFT JOIN lines USING (k)
 ), failed AS (
   SELECT *, ({' + '.join(f'CASE WHEN {c} THEN {1 << b} ELSE 0 END' for b, (_, c) in enumerate(quality.RULES))})::BIGINT AS fail_bits FROM measured

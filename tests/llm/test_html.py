@@ -32,6 +32,11 @@ def test_boilerplate_is_left_out():
     assert X.main_text(page(body)) == "\n\n".join(["Title", LONG.strip(), "Second & last é."])
 
 
+def test_names_that_only_sound_like_boilerplate():
+    body = f"<div class='layout no-sidebar has-comments'><article class='post with-ad'><p>{LONG}</p></article><article class='comment'><p>Me too</p></article></div>"
+    assert X.main_text(f"<body class='menu'>{body}</body>") == LONG.strip()
+
+
 def test_density_finds_unmarked_content():
     links = "".join(f"<li><a href='/{k}'>Link number {k}</a></li>" for k in range(30))
     body = f"<div><ul>{links}</ul></div><div><div><p>{LONG}</p><p>{LONG}</p><p>Short.</p></div></div><div><ul>{links}</ul></div>"
