@@ -12,13 +12,18 @@ from ..functions import cigar as C
 from ..functions.sequence import matches_reference
 
 CHUNK = 10_000
+#: Letters of the next chunk that a chunk holds too, and the longest piece of a block.
+OVERLAP = 1_000
 
 
-def reference_chunks(contigs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(contig, chunk, seq) of sequences (contig, seq), so that no row holds a whole contig."""
+def reference_chunks(contigs: DataFrame, size: int = CHUNK, overlap: int = 0) -> DataFrame:
+    """(contig, chunk, seq) of sequences (contig, seq), so that no row holds a whole contig.
+
+    With an overlap, a chunk also has the first letters of the next one.
+    """
     chunks = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size).cast("int"))
     rows = contigs.select("contig", "seq", F.explode(chunks).alias("chunk"))
-    return rows.select("contig", "chunk", F.upper(F.substr("seq", F.col("chunk") * size + 1, F.lit(size))).alias("seq"))
+    return rows.select("contig", "chunk", F.upper(F.substr("seq", F.col("chunk") * size + 1, F.lit(size + overlap))).alias("seq"))
 
 
 def with_reference(bases: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -28,64 +33,64 @@ def with_reference(bases: DataFrame, chunks: DataFrame, size: int = CHUNK) -> Da
     return keyed.join(own, ["contig", "chunk"]).withColumn("wt", F.substr("__reference", F.col("pos") % size + 1, F.lit(1))).drop("chunk", "__reference")
 
 
-def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_last: int = 0) -> DataFrame:
+def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_last: int = 0, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """A row for each base, gap, insertion and deletion that reads show.
 
     kind: WILDTYPE, SUBSTITUTION, INSERTION, DELETION or INTRON. Every base of a block but the last
     adds a wildtype row for the gap after it. A deletion has one reportable row, for its first place,
     and hidden ones for the rest. `seq` is the read's base, the inserted or the deleted letters.
+    Bases beyond the end of a contig are left out.
+
+    reference: chunks with `overlap`. Reference letters are joined to blocks (in pieces of at most
+    `overlap` letters), not to bases, so what is shuffled grows with reads, and reads are scanned once.
     """
-    rows = reads.select(*keep, "contig", "start", F.col("seq").alias("read_seq"), F.col("qual"), C.blocks(F.col("cigar"), F.col("start")).alias("blocks"))
-    rows = rows.withColumn("read_size", F.length("read_seq")).withColumn("b", F.explode("blocks")).drop("blocks")
-    common = [*keep, "contig"]
-
-    matched = rows.where(F.col("b.op").isin("M", "=", "X")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1)))
-    place = F.col("b.read") + F.col("k")
-    base = matched.select(
-        *common,
-        (F.col("b.ref") + F.col("k")).alias("pos"),
-        F.lit(False).alias("half"),
-        F.substr("read_seq", place + 1, F.lit(1)).alias("seq"),
-        (F.ascii(F.substr("qual", place + 1, F.lit(1))) - 33).alias("phred"),
-        place.alias("read_place"),
-        "read_size",
-    ).where(F.col("read_place") < F.col("read_size") - ignore_last)
-    letters = with_reference(base, reference)
-    fits = matches_reference(F.col("seq"), F.col("wt"))
-    bases = letters.select(*common, "pos", "half", F.when(fits, "WILDTYPE").otherwise("SUBSTITUTION").alias("kind"), "seq", "wt", "phred", F.lit(False).alias("hidden"))
-
-    gaps = matched.where(F.col("k") < F.col("b.len") - 1).select(
-        *common,
-        (F.col("b.ref") + F.col("k")).alias("pos"),
-        F.lit(True).alias("half"),
-        F.lit("WILDTYPE").alias("kind"),
-        F.lit("").alias("seq"),
-        F.lit("").alias("wt"),
-        F.lit(None).cast("int").alias("phred"),
-        F.lit(False).alias("hidden"),
+    rows = reads.select(*keep, "contig", F.col("seq").alias("read_seq"), "qual", F.explode(C.blocks(F.col("cigar"), F.col("start"))).alias("b")).where("b.op NOT IN ('S', 'H', 'P')")
+    whole = F.col("b.op") == "I"
+    pieces = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.floor((F.col("b.len") - 1) / overlap).cast("int")))
+    rows = rows.withColumn("piece", F.explode(F.transform(pieces, lambda p: p * overlap))).withColumn("at", F.col("b.ref") + F.col("piece"))
+    rows = rows.withColumn("chunk", F.floor(F.col("at") / size).cast("int"))
+    letters = F.substr("__reference", F.col("at") % size + 1, F.least(F.col("b.len") - F.col("piece"), F.lit(overlap)).cast("int"))
+    own = reference.select("contig", "chunk", F.col("seq").alias("__reference"))
+    rows = rows.join(own, ["contig", "chunk"], "left").withColumn("letters", letters).drop("__reference", "chunk")
+
+    matched, deleted = F.col("b.op").isin("M", "=", "X"), F.col("b.op").isin("D", "N")
+    steps = F.when(whole, F.lit(1)).otherwise(F.least(F.col("b.len") - F.col("piece"), F.lit(overlap)).cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), steps - 1)))
+    inner = matched & (F.col("piece") + F.col("k") < F.col("b.len") - 1)
+    halves = F.when(inner, F.array(F.lit(False), F.lit(True))).otherwise(F.array(whole))
+    rows = rows.withColumn("half", F.explode(halves))
+
+    base = matched & ~F.col("half")
+    place = F.col("b.read") + F.col("piece") + F.col("k")
+    deletion = F.concat(F.col("b.ref").cast("string"), F.lit("+"), F.col("b.len").cast("string"))
+    seq = (
+        F.when(whole, F.substr("read_seq", F.col("b.read") + 1, F.col("b.len")))
+        .when(base, F.substr("read_seq", place + 1, F.lit(1)))
+        .when(deleted, deletion)
+        .otherwise("")
     )
-    inserted = rows.where("b.op = 'I'").select(
-        *common,
-        (F.col("b.ref") - 1).alias("pos"),
-        F.lit(True).alias("half"),
-        F.lit("INSERTION").alias("kind"),
-        F.substr("read_seq", F.col("b.read") + 1, F.col("b.len")).alias("seq"),
-        F.lit("").alias("wt"),
-        F.lit(None).cast("int").alias("phred"),
-        F.lit(False).alias("hidden"),
+    rows = rows.select(
+        *keep,
+        "contig",
+        F.when(whole, F.col("b.ref") - 1).otherwise(F.col("at") + F.col("k")).alias("pos"),
+        "half",
+        seq.alias("seq"),
+        F.when(base, F.substr("letters", F.col("k") + 1, F.lit(1))).otherwise("").alias("wt"),
+        F.when(base, F.ascii(F.substr("qual", place + 1, F.lit(1))) - 33).alias("phred"),
+        (deleted & (F.col("piece") + F.col("k") > 0)).alias("hidden"),
+        F.col("b.op").alias("__op"),
+        (base & (place >= F.length("read_seq") - ignore_last)).alias("__late"),
+        base.alias("__base"),
     )
-    gone = rows.where("b.op IN ('D', 'N')").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1)))
-    deleted = gone.select(
-        *common,
-        (F.col("b.ref") + F.col("k")).alias("pos"),
-        F.lit(False).alias("half"),
-        F.when(F.col("b.op") == "D", "DELETION").otherwise("INTRON").alias("kind"),
-        F.concat(F.col("b.ref").cast("string"), F.lit("+"), F.col("b.len").cast("string")).alias("seq"),
-        F.lit("").alias("wt"),
-        F.lit(None).cast("int").alias("phred"),
-        (F.col("k") > 0).alias("hidden"),
+    kind = (
+        F.when(F.col("__op") == "I", "INSERTION")
+        .when(F.col("__op") == "D", "DELETION")
+        .when(F.col("__op") == "N", "INTRON")
+        .when(F.col("__base") & ~matches_reference(F.col("seq"), F.col("wt")), "SUBSTITUTION")
+        .otherwise("WILDTYPE")
     )
-    return bases.unionByName(gaps).unionByName(inserted).unionByName(deleted)
+    kept = rows.where("NOT __late AND (NOT __base OR wt <> '')")
+    return kept.select(*keep, "contig", "pos", "half", kind.alias("kind"), "seq", "wt", "phred", "hidden")
 
 
 def pileup(rows: DataFrame, keys: list[str]) -> DataFrame:

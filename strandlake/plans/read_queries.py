@@ -359,9 +359,9 @@ SELECT contig, pos::INT AS pos, seq, count(*) AS n_reads FROM b GROUP BY ALL""")
 def a08(spark, sf):
     from ..operators import pileup
 
-    chunks = spark.createDataFrame([(c, k) for c in ("chrA", "chrN", "chrR", "chrUn_7") for k in range(30)], "contig string, chunk int").withColumn("seq", F.repeat(F.lit("A"), F.lit(1000)))
+    chunks = spark.createDataFrame([(c, k) for c in ("chrA", "chrN", "chrR", "chrUn_7") for k in range(30)], "contig string, chunk int").withColumn("seq", F.repeat(F.lit("A"), F.lit(11_000)))
     rows = _reads(spark, sf).where("cigar IN ('32M', '5S27M')")
-    seen = pileup.observed(rows, [], chunks.withColumn("seq", F.repeat(F.lit("A"), F.lit(10_000)))).where("NOT half")
+    seen = pileup.observed(rows, [], chunks).where("NOT half")
     return pileup.pileup(seen, []).groupBy("contig", "pos", "seq").agg(F.sum("n_reads").alias("n_reads"))
 
 

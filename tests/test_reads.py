@@ -114,6 +114,34 @@ def test_observed_bases(spark):
     assert sum(x[0] == "a" and x[2] for x in found) == 3
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(10_000, 1_000), (7, 3), (5, 1)])
+def test_observed_bases_in_chunks(spark, size, overlap):
+    """Chunks and pieces of any size give the bases that a walk along the alignment gives."""
+    rng = random.Random(size)
+    contig = "".join(rng.choices("ACGT", k=60))
+    rows = []
+    for k in range(40):
+        cigar = rng.choice(["12M", "3S9M", "5M2I5M", "6M4D6M", "4M9N8M", "2M1I2M1D5M2S", "12X"])
+        length = sum(int(n) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar) if op in "MIS=X")
+        rows.append((k, "c", rng.randint(0, 52), "".join(rng.choices("ACGT", k=length)), "I" * length, cigar))
+    reference = pileup.reference_chunks(spark.createDataFrame([("c", contig)], "contig string, seq string"), size, overlap)
+    frame = spark.createDataFrame(rows, "name int, contig string, start int, seq string, qual string, cigar string")
+    seen = pileup.observed(frame, ["name"], reference, size=size, overlap=overlap)
+    got = sorted((r["name"], r["pos"], r["kind"], r["seq"], r["wt"]) for r in seen.where("NOT half AND kind IN ('WILDTYPE', 'SUBSTITUTION')").collect())
+    expected = []
+    for name, _, start, seq, _, cigar in rows:
+        for ref, read, op in walk(cigar, start):
+            if op == "M" and ref < len(contig):
+                expected.append((name, ref, "WILDTYPE" if seq[read] == contig[ref] else "SUBSTITUTION", seq[read], contig[ref]))
+    assert got == sorted(expected)
+    gone = seen.where("kind IN ('DELETION', 'INTRON')").groupBy("name").agg(F.count("*").alias("n"), F.count_if(~F.col("hidden")).alias("first")).collect()
+    assert {r["name"]: (r["n"], r["first"]) for r in gone} == {r[0]: (sum(op in "DN" for _, _, op in walk(r[5], 0)), 1) for r in rows if re.search("[DN]", r[5])}
+    assert seen.where("kind = 'INSERTION'").count() == sum("I" in r[5] for r in rows)
+    blocks = sum(len([x for x in re.findall(r"(\d+)([M=X])", r[5])]) for r in rows)
+    bases = sum(op == "M" for r in rows for _, _, op in walk(r[5], 0))
+    assert seen.where("half AND kind = 'WILDTYPE'").count() == bases - blocks
+
+
 def test_filters_and_duplicates(spark):
     rows = spark.createDataFrame([("q", 5, 3, "5M"), ("q", 9, 3, "5M")], "qname string, mapq int, start int, cigar string")
     assert reads.one_per_key(rows, ["qname"]).first()["mapq"] == 9
