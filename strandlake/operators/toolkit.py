@@ -197,3 +197,32 @@ def quality_encoding(lowest: int, highest: int) -> str:
     if lowest >= 64 and highest > 74:
         return "ILLUMINA"
     return "SOLEXA" if lowest < 64 and highest > 74 else "UNKNOWN"
+
+
+def filter_names(reads: DataFrame, names: DataFrame, include: bool = True) -> DataFrame:
+    """Reads whose name is (or isn't) in a list (qname)."""
+    return reads.join(names.select("qname").distinct(), "qname", "left_semi" if include else "left_anti")
+
+
+def reordered(reads: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Reads in the contig order of another reference (contig, place); reads of other contigs are dropped."""
+    return reads.join(contigs, "contig").repartitionByRange("place", "start").sortWithinPartitions("place", "start")
+
+
+def fixed_mates(reads: DataFrame, key: list[str]) -> DataFrame:
+    """Mate columns taken from the mate itself; null without one."""
+    from .reads import with_mates
+
+    return with_mates(reads.drop("mate_start", "mate_mapq", "mate_cigar"), key)
+
+
+def with_read_group(reads: DataFrame, group: str) -> DataFrame:
+    """Reads with their RG tag replaced."""
+    others = F.map_filter(F.coalesce("tags", F.create_map().cast("map<string,string>")), lambda k, _: k != "RG")
+    return reads.withColumn("tags", F.map_concat(others, F.create_map(F.lit("RG"), F.lit(group))))
+
+
+def with_alignment(unmapped: DataFrame, aligned: DataFrame) -> DataFrame:
+    """Unmapped reads with the alignment of the same name and place in the pair, where there is one."""
+    found = aligned.select("qname", "is_first", "contig", "start", "mapq", "cigar")
+    return unmapped.drop("contig", "start", "mapq", "cigar").join(found, ["qname", "is_first"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calls as K
 from ..operators import consensus as C
+from ..operators import statistics
 from ..operators import stats as S
 from ..params import Params
 from ..standins import view
@@ -376,3 +377,18 @@ def j11(spark, sf):
 
     listed = table(spark, sf, "part").where("p_size < 20").select(F.lit("A").alias("sample"), (F.col("p_partkey") * 3).alias("pos"), F.lit("T").alias("allele")).distinct()
     return sinks.annotated_list(listed, _support(spark, sf).select("sample", "pos", "allele"), ["sample", "pos", "allele"])
+
+
+@query("B01_read_statistics", statistics.sql(statistics.READS, "reads_v"))
+def b01(spark, sf):
+    return statistics.collect(view(spark, sf, "reads_v"), statistics.READS)
+
+
+@query("B02_molecule_statistics", f"WITH {GRADED} " + statistics.sql(statistics.MOLECULES, "graded"))
+def b02(spark, sf):
+    return statistics.collect(C.graded_molecules(_bases(spark, sf), PARAMS), statistics.MOLECULES)
+
+
+@query("B03_allele_statistics", f"WITH {FREQ} " + statistics.sql(statistics.ALLELES, "freqs"))
+def b03(spark, sf):
+    return statistics.collect(K.totals(_support(spark, sf)), statistics.ALLELES)

@@ -572,3 +572,28 @@ def a46(spark, sf):
 @query("A49_records", "SELECT contig, count(*) AS n_records, sum(length(seq))::BIGINT AS n_bases FROM reads_v GROUP BY contig")
 def a49(spark, sf):
     return _reads(spark, sf).groupBy("contig").agg(F.count("*").alias("n_records"), F.sum(F.length("seq")).alias("n_bases"))
+
+
+@query("V16_filtered_names", "SELECT qname, line FROM reads_v WHERE qname NOT IN (SELECT qname FROM reads_v WHERE line = 1)")
+def v16d(spark, sf):
+    rows = _reads(spark, sf)
+    return T.filter_names(rows, rows.where("line = 1"), include=False).select("qname", "line")
+
+
+@query("V15_reordered", "SELECT contig, start, line FROM reads_v WHERE contig IN ('chrR', 'chrA')")
+def v15b(spark, sf):
+    order = spark.createDataFrame([("chrR", 0), ("chrA", 1)], "contig string, place int")
+    return T.reordered(_reads(spark, sf), order).select("contig", "start", "line")
+
+
+@query("V15_fixed_mates", f"WITH {ONE} SELECT a.order_id, a.is_first, m.start AS mate_start FROM one a LEFT JOIN one m ON a.order_id = m.order_id AND a.is_first <> m.is_first")
+def v15c(spark, sf):
+    rows = _reads(spark, sf).select("order_id", "is_first", "start", "mapq", "cigar", "mate_start")
+    return T.fixed_mates(rows, ["order_id"]).select("order_id", "is_first", "mate_start")
+
+
+@query("V17_read_groups", "SELECT order_id, line, line::VARCHAR AS dq, 'g1' AS rg FROM reads_v")
+def v17c(spark, sf):
+    rows = _reads(spark, sf).withColumn("tags", F.create_map(F.lit("DQ"), F.col("line").cast("string"), F.lit("RG"), F.lit("old")))
+    made = T.with_read_group(rows, "g1")
+    return made.select("order_id", "line", F.col("tags")["DQ"].alias("dq"), F.col("tags")["RG"].alias("rg"))
