@@ -9,7 +9,8 @@ bound), and the words there are compared with the window's.
 
 All of it is DataFrame operations. Documents keep their words inside one stage up to the exact
 comparison, so that only hits are shuffled. The benchmark is taken in blocks of at most
-`BLOCK_WINDOWS` windows, so what is broadcast stays bounded however large the benchmark is.
+`BLOCK_WINDOWS` windows and about `BLOCK_BYTES` bytes, so what is broadcast stays bounded however
+large the benchmark is.
 
 Defined results: null and wordless texts have no words and no hits; null and wordless items have no
 window; items of equal id count once, an item without id never; repeated documents stay repeated;
@@ -27,7 +28,7 @@ from ..session import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-BLOCK_WINDOWS = 50_000
+BLOCK_WINDOWS, BLOCK_BYTES = 50_000, 32 << 20
 #: Token of the row that stands for the document itself.
 ITSELF = 0
 
@@ -67,20 +68,20 @@ def placed_tokens(docs: DataFrame, size: int, with_itself: bool) -> DataFrame:
     return placed.withColumn("token", F.when(F.col("at") == 0, F.lit(ITSELF).cast("long")).otherwise(token))
 
 
-def blocks_of(rows: DataFrame, key: str) -> list[tuple[int, DataFrame]]:
-    """(size, rows) of each token size, in blocks of at most about BLOCK_WINDOWS rows."""
-    sizes = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count("*").alias("n")).collect()}
+def blocks_of(rows: DataFrame, key: str, weight: Column) -> list[tuple[int, DataFrame]]:
+    """(size, rows) of each token size, in blocks of at most about BLOCK_WINDOWS rows and BLOCK_BYTES bytes."""
+    measured = rows.groupBy("size").agg(F.count("*").alias("n"), F.sum(weight.cast("long")).alias("bytes")).collect()
     out = []
-    for size, n in sorted(sizes.items(), reverse=True):
-        blocks = max(1, -(-n // BLOCK_WINDOWS))
-        out += [(size, rows.where((F.col("size") == size) & (F.pmod(F.xxhash64(key), F.lit(blocks)) == b))) for b in range(blocks)]
+    for r in sorted(measured, key=lambda r: -r["size"]):
+        blocks = max(1, -(-r["n"] // BLOCK_WINDOWS), -(-(r["bytes"] or 0) // BLOCK_BYTES))
+        out += [(r["size"], rows.where((F.col("size") == r["size"]) & (F.pmod(F.xxhash64(key), F.lit(blocks)) == b))) for b in range(blocks)]
     return out
 
 
 def rarity(docs: DataFrame, all_tokens: DataFrame) -> DataFrame:
     """(token, size, n): how often each token of the windows stands in the documents."""
     counts = None
-    for size, own in blocks_of(all_tokens.select("token", "size").distinct(), "token"):
+    for size, own in blocks_of(all_tokens.select("token", "size").distinct(), "token", F.lit(16)):
         met = placed_tokens(docs, size, False).select("token").join(F.broadcast(own), "token")
         part = met.groupBy("token", "size").agg(F.count("*").alias("n"))
         counts = part if counts is None else counts.unionByName(part)
@@ -142,7 +143,8 @@ def contamination(
     """(doc_id, n_words, n_hit, n_items, items, contaminated) for every row of `docs`."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), words(F.col(text)).alias("w"))
     found = cut(prefixes(windows(items, width, shingle), rows))
-    blocks = blocks_of(found, "window") or [(shingle, found)]
+    held = F.octet_length(F.array_join("window", " ")) + 24 * F.size("items") + 8 * F.col("length")
+    blocks = blocks_of(found, "window", held) or [(shingle, found)]
     every = None
     for size, needed in blocks:
         part = hits(rows, needed, size, with_itself=every is None)

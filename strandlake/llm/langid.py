@@ -5,7 +5,9 @@ row of an embedding matrix; a text is the average of its rows; a linear softmax
 Matrix and softmax are trained together by stochastic gradient descent in numpy on a bounded sample
 of labelled rows, then a temperature and a rejection threshold are fitted on a held-back part.
 
-Sample bound: `per_language` texts a language, whole texts, by a hash of their rows.
+Sample bound: `PER_LANGUAGE` texts a language and `MOST_TEXTS` in all, whole texts, by a hash of
+their rows, for the `MOST_LANGUAGES` languages with most rows. Executors turn them into counts of at
+most BUCKETS buckets, so what the driver holds doesn't depend on how long they are.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and is rejected;
 rows without a language are never learned from; repeated rows get equal results; with no labelled
@@ -20,11 +22,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import chunks, with_columns
+from .batches import with_columns
 
 BUCKETS = 1 << 13
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
+PER_LANGUAGE, MOST_TEXTS, MOST_LANGUAGES = 400, 4000, 500
 #: Best scores above this are never rejected.
 SURE = 0.4
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
@@ -60,20 +63,26 @@ def _joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return _FOLD[np.frombuffer(b"".join(parts), np.uint8)], bounds
 
 
-def bags(texts: list[bytes | None]) -> np.ndarray:
-    """(texts, BUCKETS) share of each bucket among a text's n-grams; for training only."""
-    out = np.zeros((len(texts), BUCKETS), np.float32)
-    for k, text in enumerate(texts):
-        data, _ = _joined([text])
-        # an n-gram starts at a letter or at the space before one, and has no space further on
-        word = data != 32
-        starts = word | np.concatenate((word[1:], [False]))
-        total = 0
-        for size, bucket in zip(SIZES, _hashes(data), strict=True):
-            use = _inside(word, starts, size)
-            out[k] += np.bincount(bucket[use], minlength=BUCKETS)
-            total += int(use.sum())
-        out[k] /= max(total, 1)
+def bag(text: bytes | None) -> bytes:
+    """Counts of the buckets of a text's n-grams, packed: which buckets, then how often."""
+    data, _ = _joined([text])
+    # an n-gram starts at a letter or at the space before one, and has no space further on
+    word = data != 32
+    starts = word | np.concatenate((word[1:], [False]))
+    counts = np.zeros(BUCKETS, np.int64)
+    for size, bucket in zip(SIZES, _hashes(data), strict=True):
+        counts += np.bincount(bucket[_inside(word, starts, size)], minlength=BUCKETS)
+    used = np.flatnonzero(counts)
+    return used.astype("<u2").tobytes() + counts[used].astype("<u4").tobytes()
+
+
+def shares(packed: list[bytes]) -> np.ndarray:
+    """(texts, BUCKETS) share of each bucket among a text's n-grams."""
+    out = np.zeros((len(packed), BUCKETS), np.float32)
+    for k, data in enumerate(packed):
+        n = len(data) // 6
+        counts = np.frombuffer(data, "<u4", n, 2 * n)
+        out[k, np.frombuffer(data, "<u2", n)] = counts / max(int(counts.sum()), 1)
     return out
 
 
@@ -131,8 +140,8 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], width: int = 16, epochs: int = 12, rate: float = 12.0, seed: int = 7, reject_share: float = 0.001) -> Model:
-    """SGD over shuffled minibatches; a fifth of the texts is held back for calibration.
+def train(x: np.ndarray, labels: list[str], width: int = 16, epochs: int = 12, rate: float = 12.0, seed: int = 7, reject_share: float = 0.001) -> Model:
+    """SGD over shuffled minibatches of bucket shares; a fifth of the texts is held back for calibration.
 
     The threshold rejects a held-back text of its own language with a share of `reject_share` at
     most, and never a text whose best score is above SURE.
@@ -140,7 +149,7 @@ def train(texts: list[bytes], labels: list[str], width: int = 16, epochs: int =
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    x, y = bags(texts), np.array([languages.index(v) for v in labels])
+    y = np.array([languages.index(v) for v in labels])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
@@ -172,21 +181,23 @@ def train(texts: list[bytes], labels: list[str], width: int = 16, epochs: int =
     return Model(languages, table.astype(np.float64), bias.astype(np.float64), temperature, threshold)
 
 
-def sample(rows: DataFrame, per_language: int) -> tuple[list[bytes], list[str]]:
-    """At most `per_language` whole texts a language, chosen by a hash of (id, text)."""
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def sample(rows: DataFrame, per_language: int) -> tuple[np.ndarray, list[str]]:
+    """Bucket shares and languages of a bounded number of whole texts, chosen by a hash of (id, text)."""
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
-        return [], []
-    share = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(min(1.0, 0.9 * per_language / n)))])
+        return np.zeros((0, BUCKETS), np.float32), []
+    each = min(per_language, max(1, MOST_TEXTS // len(counts)))
+    share = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(min(1.0, 0.9 * each / n)))])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(draw < share[F.col("lang")]).select("lang", F.col("text").cast("binary").alias("text"))
-    got = drawn.limit(per_language * len(counts)).toArrow()
-    texts, labels = [], []
-    for _, values in chunks(got["text"].combine_chunks(), 1 << 62):
-        texts += values
-    labels = got["lang"].to_pylist()
-    use = sorted((lab, t) for t, lab in zip(texts, labels, strict=True) if has_letter(t))
-    return [t for _, t in use], [lab for lab, _ in use]
+    drawn = rows.where(draw < share[F.col("lang")]).select("lang", "text").limit(each * len(counts))
+
+    def packed(texts: list[bytes | None]) -> dict[str, list]:
+        return {"bag": [bag(t) for t in texts], "letters": [has_letter(t) for t in texts]}
+
+    got = with_columns(drawn, "text", packed, "bag binary, letters boolean", ["lang"]).where("letters").toArrow()
+    use = sorted(zip(got["lang"].to_pylist(), got["bag"].to_pylist(), strict=True))
+    return shares([b for _, b in use]), [lang for lang, _ in use]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -194,7 +205,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, per_language: int = 400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     return train(*sample(rows, per_language))
