@@ -90,9 +90,11 @@ def _inside(word: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     use = starts.copy()
     if size == 1:
         return use & word
-    for step in range(1, size):
+    for step in range(1, min(size, len(word))):
         use[: len(word) - step] &= word[step:]
         use[len(word) - step :] = False
+    if size > len(word):
+        use[:] = False
     return use
 
 

@@ -98,6 +98,13 @@ def test_languages_of_odd_texts(spark, documents, docs):
     assert langid.identify(docs("x").limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize("texts", [["a"], [""], [None], ["é"], ["a", "b"], ["ab c"]])
+def test_languages_of_tiny_tables(docs, texts):
+    rows = docs(*texts, partitions=1)
+    made = langid.identify(rows, langid.fit(rows)).collect()
+    assert len(made) == len(texts)
+
+
 def test_no_labels_give_no_language(docs):
     rows = docs("some text", None).withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.identify(rows, langid.fit(rows)).collect()} == {"und"}
