@@ -31,11 +31,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of repeated rows of that doc_id the one with the smallest text stays.
     """
-    groups = simhash.near_duplicates(docs).select("doc_id", "component_id").distinct()
-    chosen = groups.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select(*COLUMNS)
-    first = kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return first.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars")
+    # null has a key of its own, and one key serves the join and the grouping: texts move once
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
+    groups = simhash.near_duplicates(docs)
+    chosen = groups.where("doc_id = component_id OR component_id IS NULL").select(key).distinct()
+    kept = docs.select(key, *COLUMNS).join(chosen, "__key", "left_semi")
+    first = kept.groupBy("__key").agg(F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("r"))
+    return first.select(*[F.col(f"r.{c}").alias(c) for c in COLUMNS])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

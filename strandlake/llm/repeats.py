@@ -35,6 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .batches import chunks, small_batches
 from .suffixes import END, same_prefix, suffix_array, words_at
 
@@ -426,7 +427,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
 
     narrow = rows.select("doc_id", "doc", F.xxhash64("text").alias("k"), F.octet_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     least = narrow.where(F.col("n") >= length).groupBy("k", "n").agg(F.min("doc").alias("least"))
-    found = least.join(done, ["k", "n"], "left")
+    # cut here, so that the last join meets two plain shuffles and a hot text's rows can be split
+    found = cut(least.join(done, ["k", "n"], "left"))
     joined = narrow.join(found, ["k", "n"], "left")
     copy = F.col("doc") > F.col("least")
     return joined.select(
