@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, decontaminate, langid, secrets, simhash
+from strandlake.llm import bpe, decontaminate, jaccard, langid, secrets
 from strandlake.llm.queries import tokenizer
 from strandlake.session import cut, table
 
@@ -29,12 +29,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Of repeated rows of that doc_id the one with the smallest text stays.
+    Near duplicates have a Jaccard similarity of 0.8 or more of their five-word shingles; all pairs are
+    found. Of repeated rows of that doc_id the one with the smallest text stays.
     """
+    keyed = docs.withColumn("__t", jaccard.text_key(F.col("text")))
+    roots = jaccard.near_duplicates(keyed.select(F.col("__t").alias("t"), "text"))
+    rooted = keyed.select("__t", "doc_id").join(roots, F.col("__t") == roots["t"], "left").select("doc_id", F.coalesce("root", "__t").alias("root"))
     # null has a key of its own, and one key serves the join and the grouping: texts move once
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
-    groups = simhash.near_duplicates(docs)
-    chosen = groups.where("doc_id = component_id OR component_id IS NULL").select(key).distinct()
+    chosen = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select(key).distinct()
     kept = docs.select(key, *COLUMNS).join(chosen, "__key", "left_semi")
     first = kept.groupBy("__key").agg(F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("r"))
     return first.select(*[F.col(f"r.{c}").alias(c) for c in COLUMNS])
