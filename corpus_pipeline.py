@@ -27,18 +27,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One row of each component of near duplicates: the one with the smallest doc_id, nulls last.
 
     Near duplicates have a Jaccard similarity of 0.8 or more of their five-word shingles; all pairs are
-    found. Of repeated rows of that doc_id the one with the smallest text stays.
+    found. Rows are known by doc_id and text, so different texts of one doc_id, or without one, are
+    rows of their own; of repeated rows one stays.
     """
-    keyed = docs.withColumn("__t", jaccard.text_key(F.col("text")))
+    row = [F.col("doc_id"), jaccard.text_key(F.col("text"))]
+    keyed = docs.select("doc_id", row[1].alias("__t"), "text")
     roots = jaccard.near_duplicates(keyed.select(F.col("__t").alias("t"), "text"))
-    rooted = keyed.select("__t", "doc_id").join(roots, F.col("__t") == roots["t"], "left").select("doc_id", F.coalesce("root", "__t").alias("root"))
+    rooted = keyed.select("doc_id", "__t").join(roots, F.col("__t") == roots["t"], "left").select("doc_id", "__t", F.coalesce("root", "__t").alias("root"))
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__t").alias("t"))).alias("r"))
     # null has a key of its own, and one key serves the join and the grouping: texts move once
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
-    chosen = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select(key).distinct()
-    kept = docs.select(key, *COLUMNS).join(chosen, "__key", "left_semi")
+    key = lambda doc_id, t: F.concat_ws(" ", t.cast("string"), doc_id.cast("string")).alias("__key")
+    chosen = least.select(key(F.col("r.doc_id"), F.col("r.t")))
+    kept = docs.select(key(*row), *COLUMNS).join(chosen, "__key", "left_semi")
     first = kept.groupBy("__key").agg(F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("r"))
     return first.select(*[F.col(f"r.{c}").alias(c) for c in COLUMNS])
 

@@ -75,3 +75,10 @@ def test_stage_keeps_one_of_each_component(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert not {2, 56} <= stays
     assert stays == set(roots_of(texts).values())
+
+
+def test_texts_without_or_under_one_id_stay(spark, docs):
+    one, two, three = (" ".join(f"{p}{k}" for k in range(30)) for p in "abc")
+    rows = docs((None, one), (None, two), (7, two), (7, three), (8, three + " end"), (8, "clean and short"), (None, one))
+    kept = corpus_pipeline.near_duplicates(spark, rows, FOLDER).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("None", one), ("7", two), ("7", three), ("8", "clean and short")])
