@@ -27,10 +27,11 @@ def reference_chunks(contigs: DataFrame, size: int = CHUNK, overlap: int = 0) ->
 
 
 def with_reference(bases: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Bases with the reference letter wt at their position."""
+    """Bases with the reference letter wt at their position; beyond the known letters wt is empty."""
     keyed = bases.withColumn("chunk", F.floor(F.col("pos") / size).cast("int"))
     own = chunks.select("contig", "chunk", F.col("seq").alias("__reference"))
-    return keyed.join(own, ["contig", "chunk"]).withColumn("wt", F.substr("__reference", F.col("pos") % size + 1, F.lit(1))).drop("chunk", "__reference")
+    letter = F.coalesce(F.substr("__reference", F.col("pos") % size + 1, F.lit(1)), F.lit(""))
+    return keyed.join(own, ["contig", "chunk"], "left").withColumn("wt", letter).drop("chunk", "__reference")
 
 
 def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_last: int = 0, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -182,11 +182,11 @@ def revert(reads: DataFrame) -> DataFrame:
 
 
 def extract_sequences(intervals: DataFrame, chunks: DataFrame, size: int = 10_000) -> DataFrame:
-    """Reference letters of each interval, joined over its chunks."""
+    """Reference letters of each interval, joined over its chunks; beyond the known letters there are none."""
     parts = intervals.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / size).cast("int"), F.floor(F.col("end") / size).cast("int"))))
     low = F.greatest(F.col("start") - F.col("chunk") * size, F.lit(0))
     high = F.least(F.col("end") - F.col("chunk") * size, F.lit(size - 1))
-    pieces = parts.join(chunks, ["contig", "chunk"]).select("name", "chunk", F.substr("seq", low + 1, high - low + 1).alias("s"))
+    pieces = parts.join(chunks, ["contig", "chunk"], "left").select("name", "chunk", F.coalesce(F.substr("seq", low + 1, high - low + 1), F.lit("")).alias("s"))
     return pieces.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "s"))), lambda p: p["s"]), "").alias("seq"))
 
 

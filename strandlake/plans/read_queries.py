@@ -243,7 +243,7 @@ def j03(spark, sf):
     each = spark.createDataFrame([("A",), ("N",), ("R",)], "c string").select("c", F.explode(F.sequence(F.lit(0), F.lit(699))).alias("k")).withColumn("s", letters)
     contigs = each.groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda p: p["s"]), "").alias("seq")).select(F.concat(F.lit("chr"), "c").alias("contig"), "seq")
     chunks = pileup.reference_chunks(contigs, 1000)
-    rows = _reads(spark, sf).select("contig", F.col("start").alias("pos"))
+    rows = _reads(spark, sf).select("contig", F.col("start").alias("pos")).join(F.broadcast(contigs.select("contig")), "contig", "left_semi")
     return pileup.with_reference(rows, chunks, 1000).groupBy("contig", "pos", "wt").agg(F.count("*").alias("n"))
 
 
