@@ -1,26 +1,32 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a tree; every node gets the link-adjusted characters per tag
+A page is parsed into a tree; every block and every link gets the link-adjusted characters per tag
 
     (C / T) * log_b((C / LC) * (T / LT)),   b = ln((C / NLC) * LC + (LCb / Cb) * C + e)
 
 with C characters, T tags, LC and NLC characters inside and outside links, LT link tags, b the body.
-A node's density sum is the sum over its children. The subtree of the largest density sum is the
-content; the smallest density on the path from the body to it is the threshold that a sibling of
-the path needs to be part of the article too.
+Elements inside a line of text (bold, spans, line breaks) are no tags of their own. A node's density
+sum is the sum over its children, its own loose text being one. On every page the subtree of the
+largest density sum is the content, and the smallest density on the path from the body to it is the
+threshold that a sibling of the path needs to be part of the article too.
 
-Elements that never hold article text (scripts, menus, footers, forms, ...) and elements marked by
-role, class or id as adverts, notices or comments take no part and are left out of the result.
+Marks only weigh in: inside an enclosing `article` or `main` a sibling needs no density (but must not
+be mostly links), outside of one it needs the largest density on the path. Elements that hold no
+article text by the HTML standard (scripts, menus, footers, forms, ...) take no part, nor do elements
+whose class, id or role is wholly made of words for adverts, notices, comments and the like, unless
+the page has no other text.
 
 Defined results: a null or empty page, and one without text, gives the empty text; unclosed and
-truncated markup is closed at the end; repeated rows stay repeated; other columns are carried only
-if asked for; an empty table gives an empty result.
+truncated markup is closed at the end; an attribute whose quote is never closed ends at the next `>`;
+repeated rows stay repeated; other columns are carried only if asked for; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -35,10 +41,12 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary "
     "table tbody td tfoot th thead tr ul search caption".split()
 )
+LINKS = frozenset("a button select".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 #: Elements that hold no article text.
 EXCLUDED = frozenset(
     "head script style noscript template nav footer aside form button select option textarea iframe object embed svg canvas "
-    "audio video menu dialog title input label fieldset noembed noframes search map".split()
+    "audio video menu dialog title input noembed noframes search map".split()
 )
 #: An open element of the first kind ends where one of the second begins.
 IMPLIED_END = {
@@ -52,214 +60,206 @@ IMPLIED_END = {
     "option": {"option", "optgroup"},
     "head": {"body"},
 }
-#: What ends the search for an element of the first kind that is still open.
+#: What hides an element of the first kind that is still open.
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "p": {"td", "th", "table", "button", "object", "body"}}
+_ENDED_BY = {tag: [kind for kind, enders in IMPLIED_END.items() if tag in enders] for tag in set().union(*IMPLIED_END.values())}
 
-#: Words of class, id or role that mark an element as boilerplate.
+#: Words for what an article is to be told from: menus, sidebars, notices, adverts, reader comments.
 BOILERPLATE = frozenset(
-    "ad ads adbox adbanner adslot advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies "
-    "consent gdpr notice notices notification alert popup modal overlay paywall newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb "
-    "breadcrumbs topbar toolbar masthead footer comment comments commentlist disqus discussion replies reactions respond related recommended recommendations "
-    "share sharing social pagination pager widget widgets skip login search complementary contentinfo dialog alertdialog".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup "
+    "modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus "
+    "discussion replies responses related recommended share sharing social pagination widget widgets search complementary contentinfo dialog".split()
 )
-#: Parts of a name that say that something is absent or merely beside.
-NEGATIONS = frozenset("no not has with without hide non".split())
-#: Elements and marks whose whole content is the article.
-ARTICLE_MARKS = frozenset({"articlebody"})
+#: Words that may stand beside them in a name.
+BESIDE = frozenset("article post page site blog entry user reader list section box block area wrap wrapper container slot unit thread bar left right top bottom inner outer main links form".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(?:/?[a-zA-Z][^>]*)\Z", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+_MARK = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(?![\"'])([^\s>]*)|[\"']([^>]*)))?)")
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("children", "chars", "content", "density", "drop", "link_chars", "link_tags", "parent", "tag", "tags", "whole")
+    __slots__ = ("article", "chars", "content", "density", "drop", "holder", "link_chars", "link_tags", "marked", "own", "parts", "stands", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.content = tag, parent, []
-        self.children: list[Node] = []
-        self.drop = self.whole = False
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = 0.0
-
-
-def _is_boilerplate(tag: str, name: str) -> bool:
-    """Whether a class, id or role names boilerplate; `no-sidebar` and the like don't, nor do whole pages."""
+        self.tag, self.content = tag, []
+        #: whether this is a tag of its own, and not part of a line; the nearest such node around it, and those within it
+        self.stands = parent is None or tag in BLOCK or tag in LINKS
+        self.holder = parent if parent is None or parent.stands else parent.holder
+        self.parts: list[Node] = []
+        self.drop = tag in EXCLUDED
+        self.marked = False
+        self.article = tag in ("article", "main")
+        self.chars = self.own = self.tags = self.link_chars = self.link_tags = 0
+        self.density = self.total = 0.0
+
+
+def is_boilerplate(tag: str, name: str) -> bool:
+    """Whether a class, id or role is wholly made of words for boilerplate and what stands beside them."""
     parts = {p for p in _NAME_PARTS.split(_CAMEL.sub(" ", name).lower()) if p}
-    if tag in ("html", "body", "main") or parts & NEGATIONS:
-        return False
-    return bool(parts) and parts <= BOILERPLATE if tag == "article" else bool(parts & BOILERPLATE)
-
-
-def _marks(node: Node, attributes: str) -> None:
-    if not attributes or attributes.isspace():
-        return
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role"):
-            if any(_is_boilerplate(node.tag, v) for v in value.split()):
-                node.drop = True
-            if name == "role" and value.lower() in ("main", "article"):
-                node.whole = True
-        elif name == "itemprop" and value.lower() in ARTICLE_MARKS:
-            node.whole = True
-        elif (name == "style" and _HIDDEN.search(value.lower())) or (name == "aria-hidden" and value.lower() == "true"):
-            node.drop = True
-    if re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
+    return tag not in ("html", "body", "main") and bool(parts & BOILERPLATE) and parts <= BOILERPLATE | BESIDE
+
+
+def _weigh(node: Node, name: str, value: str) -> None:
+    name, low = name.lower(), value.lower()
+    if name in ("class", "id", "role"):
+        node.marked |= any(is_boilerplate(node.tag, v) for v in value.split())
+        node.article |= name == "role" and low in ("main", "article")
+    elif name == "itemprop":
+        node.article |= low == "articlebody"
+        node.marked |= low == "comment"
+    elif name == "hidden" or (name == "style" and _HIDDEN.search(low)) or (name == "aria-hidden" and low == "true"):
         node.drop = True
 
 
+def attributes(html: str, at: int) -> tuple[list[tuple[str, str]], int]:
+    """(name, value) pairs of a tag from its name's end, and where the tag ends."""
+    found = []
+    while m := _ATTRIBUTE.match(html, at):
+        at = m.end()
+        if m[1]:
+            return found, at
+        found.append((m[2], unescape(m[3] or m[4] or m[5] or m[6] or "")))
+    return found, len(html)
+
+
 def parse(html: str) -> Node:
-    """The tree of a page. Text is decoded; `content` holds strings and nodes in page order."""
-    root = node = Node("#root", None)
-    at, size = 0, len(html)
-    lower = None
+    """The tree of a page, in one pass. Text is decoded; `content` holds strings and nodes in page order."""
+    root = Node("#root", None)
+    opened, places = [root], defaultdict(list)
+    at, size, lower = 0, len(html), None
+
+    def close_to(depth: int) -> None:
+        while len(opened) > depth:
+            places[opened.pop().tag].pop()
+
     while at < size:
-        m = _TAG.search(html, at)
+        m = _MARK.search(html, at)
         begin = m.start() if m else size
         if begin > at:
-            node.content.append(unescape(html[at:begin]))
+            opened[-1].content.append(unescape(html[at:begin]))
         if not m:
             break
-        at = m.end()
-        if not m[1]:
+        if not m[3]:
+            end = html.find("-->" if m[1] else ">", m.end())
+            at = size if end < 0 else end + (3 if m[1] else 1)
             continue
-        tag, closing = m[1].lower(), html[begin + 1] == "/"
-        if closing:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+        tag = m[3].lower()
+        found, at = attributes(html, m.end())
+        if m[2]:
+            if places[tag]:
+                close_to(places[tag][-1])
             elif tag in ("p", "br"):
-                node.content.append("\n")
+                opened[-1].content.append("\n")
             continue
-        for kind, enders in IMPLIED_END.items():
-            if tag in enders:
-                up = node
-                while up is not root and up.tag != kind and up.tag not in SCOPE.get(kind, ()):
-                    up = up.parent
-                if up is not root and up.tag == kind:
-                    node = up.parent
-        child = Node(tag, node)
-        child.drop = tag in EXCLUDED
-        child.whole = tag in ("article", "main")
-        _marks(child, m[2] or "")
-        node.children.append(child)
-        node.content.append(child)
+        for kind in _ENDED_BY.get(tag, ()):
+            if places[kind] and places[kind][-1] > max((places[b][-1] for b in SCOPE.get(kind, ()) if places[b]), default=0):
+                close_to(places[kind][-1])
+        node = Node(tag, opened[-1])
+        for name, value in found:
+            _weigh(node, name, value)
+        opened[-1].content.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
             lower = html.lower() if lower is None else lower
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]").search(lower, at) if len(lower) == size else re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
+            same = len(lower) == size
+            end = re.compile(rf"</{re.escape(tag)}[\s/>]", 0 if same else re.I).search(lower if same else html, at)
             stop = end.start() if end else size
-            child.content.append(html[at:stop])
+            node.content.append(html[at:stop])
             close = html.find(">", stop)
             at = close + 1 if end and close >= 0 else size
             continue
-        node = child
+        places[tag].append(len(opened))
+        opened.append(node)
     return root
 
 
-def _header_drops(root: Node) -> None:
-    """A header is article text only inside an article, main element or section of one."""
-    stack = [(root, False)]
+def live(root: Node, use_marks: bool) -> list[Node]:
+    """Nodes that take part, in page order. A header does so only inside an article or main element."""
+    found, stack = [], [(root, False)]
     while stack:
         node, inside = stack.pop()
-        if node.tag == "header" and not inside:
-            node.drop = True
-        for child in node.children:
-            stack.append((child, inside or node.tag in ("article", "main") or node.whole))
+        if node.drop or (use_marks and node.marked) or (node.tag == "header" and not inside):
+            continue
+        found.append(node)
+        inside |= node.article
+        stack.extend((part, inside) for part in reversed(node.content) if isinstance(part, Node))
+    return found
 
 
-def _in_order(root: Node) -> list[Node]:
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(node.children)
-    return order
-
-
-def densities(root: Node) -> Node:
-    """Fill counts and densities, and return the body (or the root of a page without one)."""
-    order = _in_order(root)
-    for node in reversed(order):
-        own = sum(len("".join(part.split())) for part in node.content if isinstance(part, str))
-        kept = [] if node.tag in ("script", "style", "title", "noscript", "template") else node.children
-        node.chars = (0 if node.tag in ("script", "style", "title", "noscript", "template") else own) + sum(c.chars for c in kept)
-        node.tags = len(kept) + sum(c.tags for c in kept)
-        if node.tag in ("a", "button", "select"):
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Link-adjusted characters per tag; share: the body's share of characters inside links."""
+    if not chars:
+        return 0.0
+    tags = max(tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    return chars / tags * max(math.log(chars / max(link_chars, 1) * (tags / max(link_tags, 1))), 0.0) / math.log(base + 1.0)
+
+
+def measure(nodes: list[Node]) -> Node:
+    """Fill counts, densities and density sums of nodes in page order; returns the body (or the root)."""
+    standing = [n for n in nodes if n.stands]
+    for node in standing:
+        node.parts, node.own, node.chars, node.tags, node.link_chars, node.link_tags, node.total = [], 0, 0, 0, 0, 0, 0.0
+    for node in nodes:
+        (node if node.stands else node.holder).own += sum(len("".join(part.split())) for part in node.content if isinstance(part, str))
+    for node in reversed(standing):
+        node.chars += node.own
+        if node.tag in LINKS:
             node.link_chars, node.link_tags = node.chars, node.tags + 1
-        else:
-            node.link_chars, node.link_tags = sum(c.link_chars for c in kept), sum(c.link_tags for c in kept)
-    body = next((n for n in order if n.tag == "body"), root)
+        up = node.holder
+        if up is not None:
+            up.chars += node.chars
+            up.tags += node.tags + 1
+            up.link_chars += node.link_chars
+            up.link_tags += node.link_tags
+    body = next((n for n in standing if n.tag == "body"), nodes[0])
     share = body.link_chars / max(body.chars, 1)
-    for node in order:
-        if not node.chars:
-            continue
-        tags, link, link_tags = max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        plain = max(node.chars - node.link_chars, 1)
-        base = math.log(node.chars / plain * node.link_chars + share * node.chars + math.e)
-        ratio = node.chars / link * (tags / link_tags)
-        node.density = node.chars / tags * max(math.log(max(ratio, 1.0)), 0.0) / math.log(base + 1.0)
+    for node in standing:
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        node.total += density(node.own, 1, 0, 0, share)
+        if node.holder is not None:
+            node.holder.total += node.density
+            node.holder.parts.append(node)
     return body
 
 
-def _path(node: Node, top: Node) -> list[Node]:
-    path = [node]
-    while node is not top and node.parent is not None:
-        node = node.parent
-        path.append(node)
-    return path
+def choose(body: Node) -> tuple[list[Node], set[int]]:
+    """The path from the densest subtree up to the body, and its siblings that are no part of the article.
 
-
-def content_roots(root: Node) -> list[Node]:
-    """Subtrees that make up the article, in page order."""
-    body = densities(root)
-    live, stack, best, best_sum = [], [body], None, 0.0
+    Sums inside an `article` or `main` count double.
+    """
+    best, most, stack = body, -1.0, [(body, False)]
     while stack:
-        node = stack.pop()
-        if node.drop:
-            continue
-        live.append(node)
-        total = sum(c.density for c in node.children if not c.drop)
-        if total > best_sum or best is None:
-            best, best_sum = node, total
-        stack.extend(node.children)
-    if best is None:
-        return []
-    path = _path(best, body)
-    # what the page itself marks as the article is taken whole around the densest subtree
-    marked = [k for k, n in enumerate(path) if n.whole]
-    if marked:
-        return [path[marked[-1]]]
-    if not best.children or best is body:
-        return [body]
-    threshold = min(n.density for n in path)
-    chosen = {id(best)}
-    for node in path[1:]:
-        for child in node.children:
-            plain = child.link_chars * 2 < child.chars
-            heading = child.tag in ("h1", "h2", "h3")
-            if not child.drop and child not in path and plain and (child.density >= threshold or heading):
-                chosen.add(id(child))
-    return [n for n in _page_order(body) if id(n) in chosen]
-
-
-def _page_order(top: Node) -> list[Node]:
-    order, stack = [], [top]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(reversed(node.children))
-    return order
-
-
-def blocks(top: Node) -> list[str]:
-    """Texts of the blocks below `top`, without what is left out."""
+        node, inside = stack.pop()
+        inside |= node.article
+        weighed = node.total * (2 if inside else 1)
+        if weighed > most:
+            best, most = node, weighed
+        stack.extend((part, inside) for part in reversed(node.parts))
+    path = [best]
+    while path[-1] is not body:
+        path.append(path[-1].holder)
+    marked = max((k for k, n in enumerate(path) if n.article), default=-1)
+    least, largest = min(n.density for n in path), max(n.density for n in path)
+    on_path, out = {id(n) for n in path}, set()
+    for k, node in enumerate(path[1:], 1):
+        for part in node.parts:
+            plain = 2 * part.link_chars < part.chars
+            needed = 0.0 if k <= marked or (marked < 0 and part.tag in HEADINGS) else least if marked < 0 else largest
+            if id(part) not in on_path and not (plain and part.density >= needed):
+                out.add(id(part))
+        if k > marked and density(node.own, 1, 0, 0, 0.0) < (least if marked < 0 else largest):
+            # loose text of the path that is too thin
+            out.add(-id(node))
+    return path, out
+
+
+def blocks(top: Node, taken: set[int], out: set[int]) -> list[str]:
+    """Texts of the blocks below `top`: of nodes in `taken` and not in `out`; -id there mutes a node's loose text."""
     found: list[str] = []
     line: list[str] = []
 
@@ -269,14 +269,15 @@ def blocks(top: Node) -> list[str]:
         if text:
             found.append(text)
 
-    stack: list = [top]
+    stack: list = [(top, False)]
     while stack:
-        item = stack.pop()
+        item, mute = stack.pop()
         if item is None:
             close()
         elif isinstance(item, str):
-            line.append(item)
-        elif item.drop:
+            if not mute:
+                line.append(item)
+        elif id(item) not in taken or id(item) in out:
             continue
         elif item.tag in VOID:
             line.append(" ")
@@ -285,8 +286,9 @@ def blocks(top: Node) -> list[str]:
         else:
             if item.tag in BLOCK:
                 close()
-                stack.append(None)
-            stack.extend(reversed(item.content))
+                stack.append((None, False))
+            mute = -id(item) in out if item.stands else mute
+            stack.extend((part, mute) for part in reversed(item.content))
     close()
     return found
 
@@ -295,8 +297,13 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
-    _header_drops(root)
-    return "\n\n".join(text for top in content_roots(root) for text in blocks(top))
+    for use_marks in (True, False):
+        nodes = live(root, use_marks)
+        body = measure(nodes)
+        if body.chars:
+            path, out = choose(body)
+            return "\n\n".join(blocks(path[-1], {id(n) for n in nodes}, out))
+    return ""
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

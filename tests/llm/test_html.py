@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html as entities
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -81,3 +83,93 @@ def test_table_cases(spark):
     made = X.extract(rows).collect()
     assert sorted((str(r["page_id"]), r["text"]) for r in made) == [("1", ""), ("1", ""), ("None", "é")]
     assert X.extract(rows.limit(0)).collect() == []
+
+
+def test_attributes_are_read_as_browsers_do():
+    assert X.main_text("<p class=it's>first</p><p>second isn't lost</p>") == "first\n\nsecond isn't lost"
+    assert X.main_text('one <a href="foo>link') == "one link"
+    found, end = X.attributes(" a=1 b = 'x y' c=\"<p>\" d e=&amp;/>rest", 0)
+    assert found == [("a", "1"), ("b", "x y"), ("c", "<p>"), ("d", ""), ("e", "&/")] and end == 34
+
+
+def test_names_of_article_parts_are_kept():
+    body = f'<article><p>{LONG}</p><div class="notice-period"><p>Two weeks.</p></div><p>Press <label>Enter</label> now</p><div class="post-comments"><p>Nice</p></div></article>'
+    assert X.main_text(page(body)) == "\n\n".join([LONG.strip(), "Two weeks.", "Press Enter now"])
+
+
+def test_text_that_is_all_marked_is_still_found():
+    assert X.main_text(page("<div class=widget><p>All there is.</p></div>")) == "All there is."
+
+
+def test_hundred_thousand_nested_elements():
+    for source in ("<div>" * 100_000 + "deep" + "</div>" * 100_000, "<p><button><div>" * 30_000 + "deep", "<b><p>" * 50_000 + "deep", "<ul><li>" * 50_000 + "deep"):
+        begin = time.perf_counter()
+        X.main_text(source)
+        assert time.perf_counter() - begin < 20
+
+
+def plain_sums(root):
+    """Weighed density sums of all standing nodes below the body, from counts made anew for each node."""
+    nodes = X.live(root, True)
+    standing = [n for n in nodes if n.stands]
+    body = next((n for n in standing if n.tag == "body"), root)
+
+    def chain(node):
+        while node is not None:
+            yield node
+            node = node.holder
+
+    own = {id(n): 0 for n in standing}
+    for n in nodes:
+        own[id(n if n.stands else n.holder)] += sum(len(re.sub(r"\s", "", part)) for part in n.content if isinstance(part, str))
+    below = lambda top: [n for n in standing if top in chain(n)]
+
+    def counts(top):
+        inside = below(top)
+        linked = [n for n in inside if any(c.tag in X.LINKS for c in chain(n) if c in inside)]
+        return sum(own[id(n)] for n in inside), len(inside) - 1, sum(own[id(n)] for n in linked), len(linked)
+
+    chars, _, link_chars, _ = counts(body)
+    value = lambda *c: X.density(*c, link_chars / max(chars, 1))
+    sums = [(n, (value(own[id(n)], 1, 0, 0) + sum(value(*counts(c)) for c in standing if c.holder is n)) * (2 if any(c.article for c in chain(n)) else 1)) for n in below(body)]
+    return body, sums
+
+
+def random_page(rng):
+    def part(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.4:
+            return f"<p>{' '.join('word' for _ in range(rng.randint(1, 40)))}<b>x</b></p>"
+        if kind < 0.6:
+            return f"<ul>{''.join(f'<li><a href=/{k}>link {k}</a></li>' for k in range(rng.randint(1, 5)))}</ul>"
+        tag = rng.choice(["div", "section", "article", "span"])
+        return f"<{tag}>loose {''.join(part(depth - 1) for _ in range(rng.randint(1, 4)))}</{tag}>"
+
+    return page("".join(part(3) for _ in range(rng.randint(1, 4))))
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_the_densest_subtree_is_chosen(seed):
+    root = X.parse(random_page(random.Random(seed)))
+    body = X.measure(X.live(root, True))
+    path, _ = X.choose(body)
+    same, sums = plain_sums(root)
+    assert body is same
+    most = max(s for _, s in sums)
+    assert next(s for n, s in sums if n is path[0]) == pytest.approx(most)
+
+
+def test_density_decides_every_page(spark):
+    """No page is cut out by its tags alone: each goes through the choice, and holds what is chosen."""
+    decided = same = 0
+    for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        root = X.parse(row["html"])
+        body = X.measure(X.live(root, True))
+        path, _ = X.choose(body)
+        _, sums = plain_sums(root)
+        decided += next(s for n, s in sums if n is path[0]) == pytest.approx(max(s for _, s in sums))
+        # the same page without article tags
+        plain = re.sub("(</?)article", r"\1div", row["html"])
+        same += X.main_text(plain) == X.main_text(row["html"])
+    n = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+    assert decided == n and same >= 0.95 * n
