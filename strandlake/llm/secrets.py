@@ -1,22 +1,24 @@
 """Secret scans: three fixed kinds of matches, and strings that look random to Markov models.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are
-trained on labelled samples: values of fixed matches are random, letter runs outside of them are
-ordinary. A run of token characters is a span of kind `markov` if the log-likelihood ratio of the
-models is above `THRESHOLD` and no fixed match overlaps it. All of it is DataFrame operations on
-single rows; scanning needs no shuffle.
+trained on labelled samples: long values of fixed matches are random, runs of token characters in
+texts without any are ordinary. A run of `RUN` is a span of kind `markov` if the log-likelihood ratio
+of the models is above `THRESHOLD` and no fixed match overlaps it. All of it is DataFrame functions
+on single rows, in time linear in a text's length and its spans; scanning needs no shuffle.
 
-Sample bound: `SAMPLE_DOCS` whole texts that have a fixed match and as many that have none. What
-comes to the driver is two tables of 68 x 68 counts.
+Sample bound: about `SAMPLE_DOCS` distinct whole texts that have a fixed match and as many that have
+none, chosen by a hash of the text among all of them, so that file layout doesn't matter. What comes
+to the driver is two counts and two tables of 68 x 68 counts.
 
 Defined results: a null text has no span; positions count code points; fixed matches of different
-kinds may overlap and are all kept; a row of the table without any sample scores zero; repeated rows stay repeated; an empty table gives an empty result; other columns are
-carried only if asked for.
+kinds may overlap and are all kept; without any sample every string scores zero; repeated rows stay
+repeated; an empty table gives an empty result; other columns are carried only if asked for.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,35 +36,69 @@ QUICK = {
     "hex": r"[0-9a-f]{24}",
 }
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
-RUN = r"([A-Za-z0-9+/_=-]{20,})"
-IDENTIFIER = r"([A-Za-z_]{4,})"
+#: Runs that the models judge, and runs that teach what is ordinary.
+RUN = r"([A-Za-z0-9+/_=-]{12,})"
+ORDINARY = r"([A-Za-z0-9+/_=-]{4,})"
 THRESHOLD = math.log(1e4)
 SAMPLE_DOCS = 2000
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+FOUND = "struct<spans:array<struct<start:int,end:int,value:string>>,cover:binary>"
+#: Elements that running totals take at a time.
+STRETCH = 256
 
 
-def _spans(text: Column, pattern: str, group: int, keep) -> Column:
-    """array<struct<start, end, value>> of the matches whose value (the group) `keep` accepts."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of non-negative ints by an associative step, in stretches.
+
+    An array that grows is copied at each step, so totals are made within stretches, then over them.
+    """
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        at = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.array_append(acc["out"], at).alias("out"))
+
+    def shift(acc: Column, stretch: Column) -> Column:
+        return F.struct(step(acc["at"], stretch["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+
+    def joined(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(STRETCH))
+        stretches = F.transform(starts, lambda k: F.aggregate(F.slice(v, k, STRETCH), zero, add))
+        return let(stretches, lambda each: F.flatten(F.zip_with(each, F.aggregate(each, zero, shift, lambda acc: acc["out"]), lambda own, before: F.transform(own["out"], lambda x: step(before, x)))))
+
+    return let(values, joined)
+
+
+def _matches(text: Column, pattern: str, group: int, keep: Callable[[Column], Column]) -> Column:
+    """(spans, cover) of the matches whose value (the group) `keep` accepts.
+
+    cover has a byte for each code point up to the last match: 1 inside of spans, else 0.
+    """
     whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    each = F.zip_with(F.arrays_zip(whole.alias("whole"), value.alias("value")), F.slice(between, F.lit(1), F.size(whole)), lambda m, b: F.struct(F.char_length(b).alias("gap"), F.char_length(m["whole"]).alias("size"), m["value"].alias("value")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
-    def add(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        end = start + m["size"]
-        span = F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(keep(m["value"]), F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def measured(w: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(w))
+        return F.zip_with(F.arrays_zip(w.alias("w"), value.alias("v")), between, lambda m, b: F.struct(F.char_length(b).alias("gap"), F.char_length(m["w"]).alias("size"), m["v"].alias("value"), keep(m["v"]).alias("kept")))
+
+    def placed(each: Column) -> Column:
+        ends = running(F.transform(each, lambda m: m["gap"] + m["size"]), lambda a, b: a + b)
+        spans = F.zip_with(each, ends, lambda m, end: F.struct((end - m["size"]).alias("start"), end.alias("end"), m["value"].alias("value"), m["kept"].alias("kept")))
+        own = F.transform(F.filter(spans, lambda s: s["kept"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        cover = F.array_join(F.transform(each, lambda m: F.concat(F.repeat(F.lit("0"), m["gap"]), F.repeat(F.when(m["kept"], "1").otherwise("0"), m["size"]))), "")
+        return F.struct(own.alias("spans"), cover.cast("binary").alias("cover"))
 
-    return F.aggregate(each, zero, add, lambda acc: acc["found"])
+    return let(let(whole, measured), placed)
 
 
 def fixed(text: Column, kind: str) -> Column:
-    """Spans of one fixed kind; null where there is none."""
+    """(spans, cover) of one fixed kind; null where there is none."""
     pattern, group, least = next((p, g, n) for k, p, g, n in KINDS if k == kind)
-    found = _spans(text, pattern, group, lambda v: F.char_length(v) >= least)
-    return F.when(text.rlike(QUICK[kind]), found)
+    return F.when(text.rlike(QUICK[kind]), _matches(text, pattern, group, lambda v: F.char_length(v) >= least)).cast(FOUND)
 
 
 def _none() -> Column:
@@ -71,10 +107,9 @@ def _none() -> Column:
 
 def bigram_counts(strings: DataFrame) -> DataFrame:
     """(label, cell, n) over the neighbouring characters of (label, value)."""
-    at = F.explode(F.sequence(F.lit(1), F.char_length("value") - 1)).alias("at")
-    pairs = strings.where(F.char_length("value") > 1).select("label", "value", at)
-    left, right = F.substr("value", F.col("at"), F.lit(1)), F.substr("value", F.col("at") + 1, F.lit(1))
-    coded = pairs.select("label", (F.call_function("instr", F.lit(ALPHABET), left) - 1).alias("a"), (F.call_function("instr", F.lit(ALPHABET), right) - 1).alias("b"))
+    pair = let(codes(F.col("value")), lambda c: F.arrays_zip(F.slice(c, F.lit(1), F.size(c) - 1).alias("a"), F.slice(c, F.lit(2), F.size(c) - 1).alias("b")))
+    each = strings.where(F.char_length("value") > 1).select("label", F.explode(pair).alias("p"))
+    coded = each.select("label", (F.col("p.a") - 1).alias("a"), (F.col("p.b") - 1).alias("b"))
     return coded.where("a >= 0 AND b >= 0").groupBy("label", (F.col("a") * len(ALPHABET) + F.col("b")).alias("cell")).agg(F.count("*").alias("n"))
 
 
@@ -102,31 +137,35 @@ def log_ratios(counts: dict[tuple[str, int], int]) -> list[float]:
 
 def train(docs: DataFrame, text: str = "text") -> list[float]:
     """The models' log ratios from a bounded sample of `docs`."""
-    value = F.col(text)
-    rows = docs.where(value.isNotNull()).select(value.alias("text"))
-    quick = "|".join(f"(?:{p})" for p in QUICK.values())
-    n = rows.count()
-    share = min(1.0, 20.0 * SAMPLE_DOCS / max(n, 1))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    having, without = drawn.where(F.col("text").rlike(quick)).limit(SAMPLE_DOCS), drawn.where(~F.col("text").rlike(quick)).limit(SAMPLE_DOCS)
-    spans = F.concat(*[F.coalesce(fixed(F.col("text"), kind), _none()) for kind, *_ in KINDS])
-    random = having.select(F.lit("random").alias("label"), F.explode(F.transform(spans, lambda s: s["value"])).alias("value"))
-    ordinary = without.select(F.lit("ordinary").alias("label"), F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(1))).alias("value"))
-    counts = bigram_counts(random.where(F.col("value").rlike("[0-9]") & (F.char_length("value") >= 16)).unionByName(ordinary))
+    rows = docs.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    matching = F.col("text").rlike("|".join(f"(?:{p})" for p in QUICK.values()))
+    n = rows.agg(F.count("*").alias("all"), F.count_if(matching).alias("having")).first()
+    share = {label: int(min(1.0, SAMPLE_DOCS / max(m, 1)) * (1 << 30)) for label, m in (("random", n["having"]), ("ordinary", n["all"] - n["having"]))}
+    draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))
+    labelled = rows.where(draw < max(share.values())).withColumn("label", F.when(matching, "random").otherwise("ordinary"))
+    drawn = labelled.where(draw < F.when(F.col("label") == "random", share["random"]).otherwise(share["ordinary"])).distinct()
+    spans = F.concat(*[F.coalesce(fixed(F.col("text"), kind)["spans"], _none()) for kind, *_ in KINDS])
+    secret = F.filter(F.transform(spans, lambda s: s["value"]), lambda v: v.rlike("[0-9]") & (F.char_length(v) >= 16))
+    values = F.when(F.col("label") == "random", secret).otherwise(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(1)))
+    counts = bigram_counts(drawn.select("label", F.explode(values).alias("value")))
     return log_ratios({(r["label"], r["cell"]): r["n"] for r in counts.collect()})
 
 
+def codes(value: Column) -> Column:
+    """Places of a string's characters in the alphabet, from 1; 0 for others."""
+    return F.transform(F.split(value, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
+
+
 def score(value: Column, ratios: list[float]) -> Column:
     """Log-likelihood ratio of a string; characters outside the alphabet end no run and count zero."""
     table = F.array(*[F.lit(float(r)) for r in ratios])
-    code = lambda k: F.call_function("instr", F.lit(ALPHABET), F.substr(value, k, F.lit(1)))
-    steps = F.sequence(F.lit(1), F.greatest(F.char_length(value) - 1, F.lit(1)))
 
-    def add(acc: Column, k: Column) -> Column:
-        a, b = code(k), code(k + 1)
-        return acc + F.when((a > 0) & (b > 0), F.element_at(table, (a - 1) * len(ALPHABET) + b)).otherwise(0.0)
+    def total(c: Column) -> Column:
+        n = F.greatest(F.size(c) - 1, F.lit(0))
+        steps = F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.when((a > 0) & (b > 0), F.element_at(table, (a - 1) * len(ALPHABET) + b)).otherwise(0.0))
+        return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
 
-    return F.aggregate(steps, F.lit(0.0), add)
+    return let(codes(value), total)
 
 
 def _ranked(rank: int, kind: str):
@@ -139,19 +178,26 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", keep: list[st
     rank is the kind's place: fixed kinds first, markov last.
     """
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(*(keep or ["doc_id"]), value.alias("__text"))
-    for kind, *_ in KINDS:
-        rows = rows.withColumn(f"__{kind}", fixed(F.col("__text"), kind))
-    base = F.concat(
-        *[F.coalesce(F.transform(f"__{kind}", _ranked(k, kind)), F.array().cast(SPANS)) for k, (kind, *_) in enumerate(KINDS)]
-    )
-    rows = rows.withColumn("__base", base)
-    runs = _spans(F.col("__text"), RUN, 1, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (score(v, ratios) > THRESHOLD))
-    runs = F.when(F.col("__text").rlike(RUN), runs)
-    rows = rows.withColumn("__runs", runs)
-    free = F.filter("__runs", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    markov = F.transform(free, _ranked(len(KINDS), "markov"))
-    return rows.select(*(keep or ["doc_id"]), F.array_sort(F.concat("__base", F.coalesce(markov, F.array().cast(SPANS)))).alias("spans"))
+    none, no_runs = F.array().cast(SPANS), _none()
+
+    def spans(base: Column, runs: Column) -> Column:
+        def is_free(s: Column) -> Column:
+            free = F.lit(True)
+            for kind, *_ in KINDS:
+                own = F.substring(base[kind]["cover"], s["start"] + 1, s["end"] - s["start"])
+                free = free & (base[kind].isNull() | (F.call_function("instr", own.cast("string"), F.lit("1")) == 0))
+            return free
+
+        fixed_ones = F.concat(*[F.coalesce(F.transform(base[kind]["spans"], _ranked(k, kind)), none) for k, (kind, *_) in enumerate(KINDS)])
+        markov = F.transform(F.filter(runs, is_free), _ranked(len(KINDS), "markov"))
+        return F.array_sort(F.concat(fixed_ones, markov))
+
+    def found(t: Column) -> Column:
+        runs = F.when(t.rlike(RUN), _matches(t, RUN, 1, lambda v: score(v, ratios) > THRESHOLD)["spans"])
+        base = F.struct(*[fixed(t, kind).alias(kind) for kind, *_ in KINDS])
+        return let(base, lambda b: let(F.coalesce(runs, no_runs), lambda r: spans(b, r)))
+
+    return docs.select(*[F.col(f"`{k}`") for k in keep or ["doc_id"]], let(value, found).alias("spans"))
 
 
 def listing(spans: Column) -> Column:
@@ -159,12 +205,18 @@ def listing(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """`text` with each stretch that spans cover replaced by `mark`."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """`text` with each stretch that spans (in order of start) cover replaced by `mark`."""
+
+    def piece(points: Column, a: Column, n: Column) -> Column:
+        """n code points from place a, by their places in a fixed-width encoding."""
+        return F.decode(F.substring(points, 4 * a + 1, 4 * F.greatest(n, F.lit(0))), "UTF-32")
+
+    def replaced(points: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        return let(reach, lambda r: F.concat(F.array_join(parts(points, r), ""), piece(points, F.element_at(r, -1), F.octet_length(points))))
 
-    def add(acc: Column, s: Column) -> Column:
-        between = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), fresh.alias("out"))
+    def parts(points: Column, r: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(r, F.lit(1), F.size(r) - 1))
+        return F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(piece(points, at, s["start"] - at), F.lit(mark))).otherwise(""))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.encode(text, "UTF-32"), replaced)).otherwise(text)

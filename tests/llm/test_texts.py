@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -163,6 +165,60 @@ def test_models_separate_held_out_samples(spark):
     assert np.mean([r["hit"] == bool(r["random"]) for r in made]) > 0.97
 
 
+def test_recall_on_forms_unseen_in_training(spark, docs):
+    """Random strings of other alphabets, lengths and separators than the fixed kinds that teach."""
+    ratios = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = random.Random(12)
+    low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    forms = {
+        "base64": lambda: "".join(rng.choices(low + up + digit + "+/", k=40)) + "==",
+        "url-safe": lambda: "".join(rng.choices(low + up + digit + "-_", k=43)),
+        "base32": lambda: "".join(rng.choices(up + "234567", k=32)),
+        "upper hex": lambda: "".join(rng.choices(digit + "ABCDEF", k=32)),
+        "lower alphanumeric": lambda: "".join(rng.choices(low + digit, k=24)),
+        "short": lambda: "".join(rng.choices(low + up + digit, k=14)),
+        "letters": lambda: "".join(rng.choices(low + up, k=24)),
+        "grouped": lambda: "-".join("".join(rng.choices(up + digit, k=5)) for _ in range(5)),
+        "prefixed": lambda: "sk_live_" + "".join(rng.choices(low + up + digit, k=24)),
+    }
+    made = [(name, form()) for name, form in forms.items() for _ in range(40)]
+    rows = docs(*[f"see {value} here" for _, value in made])
+    hits = {r["doc_id"] for r in secrets.scan(rows, ratios).where("size(spans) > 0").collect()}
+    recall = {name: np.mean([k in hits for k, (n, _) in enumerate(made) if n == name]) for name in forms}
+    assert all(v >= 0.9 for v in recall.values()), recall
+
+
+def test_long_runs_and_many_spans(spark, documents):
+    """A million characters without a break, and a hundred thousand spans, take seconds."""
+    ratios = secrets.train(documents)
+    many = "\u00e9 token=abcdef " * 100_000
+    rows = spark.createDataFrame([(0, "aB3" * 350_000), (1, many)], "doc_id long, text string")
+    begin = time.perf_counter()
+    made = secrets.scan(rows, ratios, keep=["doc_id", "text"])
+    got = {r["doc_id"]: r for r in made.select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1).alias("last"), secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert time.perf_counter() - begin < 60
+    assert got[1]["n"] == 100_000 and got[1]["last"]["end"] == len(many) - 1 and got[1]["t"] == "\u00e9 [secret] " * 100_000
+    assert got[0]["n"] == 1 and got[0]["t"] == "[secret]"
+
+
+def test_running_totals(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        values = [random.Random(k).randint(0, 9) for k in range(n)]
+        row = spark.createDataFrame([(values,)], "v array<int>").select(secrets.running(F.col("v"), lambda a, b: a + b).alias("s"), secrets.running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m")).first()
+        assert row["s"] == list(accumulate(values)) and row["m"] == list(accumulate(values, max))
+
+
+def test_secret_scan_has_no_python_in_its_plan(spark, documents):
+    plan = secrets.scan(documents, secrets.train(documents))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Exchange" not in plan
+
+
+def test_secrets_of_clashing_columns(docs):
+    rows = docs("token=abcdef", None).withColumns({"spans": F.lit("x"), "value": F.lit(1), "label": F.lit("y"), "start": F.lit(2)})
+    made = secrets.scan(rows, secrets.train(rows), keep=["doc_id", "value"]).collect()
+    assert sorted((r["doc_id"], r["value"], len(r["spans"])) for r in made) == [(0, 1, 1), (1, 1, 0)]
+
+
 def test_redaction(docs):
     rows = docs(*SECRETS, None, "plain")
     made = secrets.scan(rows, secrets.train(rows), keep=["doc_id", "text"])
