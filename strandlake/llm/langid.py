@@ -1,13 +1,16 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax.
 
 Every letter n-gram (1 to 4 UTF-8 bytes of a lower-cased word with its boundaries) is hashed to a
-row of an embedding matrix; a text is the average of its rows; a linear softmax gives the language.
-Matrix and softmax are trained together by stochastic gradient descent in numpy on a bounded sample
-of labelled rows, then a temperature and a rejection threshold are fitted on a held-back part.
+row of an embedding matrix; a text is the average of its rows; a linear softmax gives the language,
+or a class of its own for nonsense, which is learned from the same texts read backwards. Matrix and
+softmax are trained together by stochastic gradient descent in numpy on a bounded sample of labelled
+rows; then a temperature and a rejection threshold are fitted on a part held back. A text is rejected
+if its best language has a score below the threshold: texts that look like nonsense, or like several
+languages at once.
 
-Sample bound: `PER_LANGUAGE` texts a language and `MOST_TEXTS` in all, whole texts, by a hash of
-their rows, for the `MOST_LANGUAGES` languages with most rows. Executors turn them into counts of at
-most BUCKETS buckets, so what the driver holds doesn't depend on how long they are.
+Sample bound: about `PER_LANGUAGE` distinct texts a language and `MOST_TEXTS` in all, whole texts,
+chosen by a hash of the text, for the `MOST_LANGUAGES` languages with most rows. Executors turn them
+into counts of at most BUCKETS buckets, so what the driver holds doesn't depend on how long they are.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and is rejected;
 rows without a language are never learned from; repeated rows get equal results; with no labelled
@@ -16,7 +19,7 @@ row at all every text is `und`; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,16 +31,15 @@ BUCKETS = 1 << 13
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
 PER_LANGUAGE, MOST_TEXTS, MOST_LANGUAGES = 400, 4000, 500
-#: Best scores above this are never rejected.
-SURE = 0.4
+#: Share of held-back texts, rightly named, that the threshold may reject; a language that is likelier than all
+#: else together is never rejected.
+REJECTED_SHARE, SURE = 0.001, 0.5
+#: Weight of all classes alike in the labels of calibration, against overconfidence.
+SMOOTHING = 0.02
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
 _FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = True
-_LETTER[0x80:] = True
-_FOLD[~_LETTER & ~((np.arange(256) >= 65) & (np.arange(256) < 91))] = 32
+_FOLD[:97] = _FOLD[123:128] = 32
 
 
 def _hashes(data: np.ndarray) -> list[np.ndarray]:
@@ -56,11 +58,30 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+def _lower(text: bytes) -> bytes:
+    return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+
+
 def _joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Folded bytes of all texts, each with a space before and after, and the texts' bounds."""
-    parts = [b" " + (t or b"") + b" " for t in texts]
+    """Folded bytes of all texts, each with a space before and after, and the texts' bounds.
+
+    All but letters is a space: of the characters beyond ASCII, signs of Latin-1 and punctuation.
+    """
+    parts = [b" " + _lower(t or b"") + b" " for t in texts]
     bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-    return _FOLD[np.frombuffer(b"".join(parts), np.uint8)], bounds
+    data = _FOLD[np.frombuffer(b"".join(parts), np.uint8)]
+    # lead bytes of U+0080 to U+00BF, U+2000 to U+207F and U+3000 to U+303F; a space ends the data
+    signs = np.flatnonzero(data == 0xC2)
+    three = np.flatnonzero((data[:-1] == 0xE2) & (data[1:] >> 1 == 0x40) | (data[:-1] == 0xE3) & (data[1:] == 0x80))
+    for places, size in ((signs, 2), (three, 3)):
+        for k in range(size):
+            data[places + k] = 32
+    return data, bounds
+
+
+def backwards(text: bytes | None) -> bytes:
+    """The text's characters in reverse: letters of a language in an order that it doesn't have."""
+    return (text or b"").decode("utf-8", "replace")[::-1].encode()
 
 
 def bag(text: bytes | None) -> bytes:
@@ -101,23 +122,25 @@ def _inside(word: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # (BUCKETS, languages): embeddings times softmax weights
+    table: np.ndarray  # (BUCKETS, languages and nonsense): embeddings times softmax weights
     bias: np.ndarray
     temperature: float
     threshold: float
+    #: On texts held back: share kept, share of these named rightly, and shares rejected of mixtures and of nonsense.
+    report: dict[str, float] = field(default_factory=dict)
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        """Calibrated probabilities, a row a text; the average is over whole texts."""
+        """Calibrated probabilities of the languages and of nonsense, a row a text; averages are over whole texts."""
         data, bounds = _joined(texts)
         word = data != 32
         starts = word | np.concatenate((word[1:], [False]))
-        sums = np.zeros((len(texts), len(self.languages)))
+        sums = np.zeros((len(texts), self.table.shape[1]))
         total = np.zeros(len(texts))
         for size, bucket in zip(SIZES, _hashes(data), strict=True):
             place = np.flatnonzero(_inside(word, starts, size))
             own = np.searchsorted(bounds, place, side="right") - 1
             total += np.bincount(own, minlength=len(texts))
-            for k in range(len(self.languages)):
+            for k in range(self.table.shape[1]):
                 sums[:, k] += np.bincount(own, weights=self.table[bucket[place], k], minlength=len(texts))
         logits = (sums / np.maximum(total, 1)[:, None] + self.bias) / self.temperature
         return softmax(logits)
@@ -126,7 +149,7 @@ class Model:
         letters = np.array([has_letter(t) for t in texts], bool)
         if not self.languages:
             return {"lang_pred": [UNKNOWN] * len(texts), "score": [0.0] * len(texts), "rejected": [True] * len(texts)}
-        shares = self.scores(texts)
+        shares = self.scores(texts)[:, : len(self.languages)]
         best = shares.argmax(1)
         score = np.where(letters, shares[np.arange(len(texts)), best], 0.0)
         return {
@@ -142,22 +165,24 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(x: np.ndarray, labels: list[str], width: int = 16, epochs: int = 12, rate: float = 12.0, seed: int = 7, reject_share: float = 0.001) -> Model:
+def train(x: np.ndarray, nonsense: np.ndarray, labels: list[str], width: int = 16, epochs: int = 12, rate: float = 12.0, seed: int = 7) -> Model:
     """SGD over shuffled minibatches of bucket shares; a fifth of the texts is held back for calibration.
 
-    The threshold rejects a held-back text of its own language with a share of `reject_share` at
-    most, and never a text whose best score is above SURE.
+    `nonsense` holds the bucket shares of the same texts backwards. The threshold rejects a held-back
+    text that is named rightly with a share of REJECTED_SHARE at most, and never one above SURE.
     """
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    y = np.array([languages.index(v) for v in labels])
+    n, classes = len(labels), len(languages) + 1
+    x = np.concatenate((x, nonsense))
+    y = np.concatenate(([languages.index(v) for v in labels], np.full(n, classes - 1)))
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(y))
-    held, used = order[: len(y) // 5], order[len(y) // 5 :]
+    order = rng.permutation(n)
+    held, used = order[: n // 5], np.concatenate((order[n // 5 :], order[n // 5 :] + n))
     embed = rng.normal(0, 0.1, (BUCKETS, width)).astype(np.float32)
-    out, bias = rng.normal(0, 0.1, (width, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
-    one = np.eye(len(languages), dtype=np.float32)
+    out, bias = rng.normal(0, 0.1, (width, classes)).astype(np.float32), np.zeros(classes, np.float32)
+    one = np.eye(classes, dtype=np.float32)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         rng.shuffle(used)
@@ -170,36 +195,45 @@ def train(x: np.ndarray, labels: list[str], width: int = 16, epochs: int = 12, r
             bias -= 0.02 * step * error.sum(0)
             embed -= step * (x[rows].T @ back)
     table = embed @ out
-    temperature, threshold = 1.0, 0.0
+    model = Model(languages, table.astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
     if len(held):
-        logits = x[held] @ table + bias
-        grid = np.geomspace(0.1, 4.0, 40)
-        loss = [-np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
-        shares = softmax(logits / temperature)
+        both = np.concatenate((held, held + n))
+        logits = x[both] @ table + bias
+        grid = np.geomspace(0.1, 20.0, 60)
+        target = (1 - SMOOTHING) * one[y[both]] + SMOOTHING / classes
+        loss = [-(target * np.log(softmax(logits / t) + 1e-12)).sum(1).mean() for t in grid]
+        model.temperature = float(grid[int(np.argmin(loss))])
+        best = lambda v: softmax((v @ table + bias) / model.temperature)[:, :-1]
+        shares = best(x[held])
         right = shares.argmax(1) == y[held]
         if right.any():
-            threshold = min(SURE, float(np.quantile(shares.max(1)[right], reject_share)))
-    return Model(languages, table.astype(np.float64), bias.astype(np.float64), temperature, threshold)
-
-
-def sample(rows: DataFrame, per_language: int) -> tuple[np.ndarray, list[str]]:
-    """Bucket shares and languages of a bounded number of whole texts, chosen by a hash of (id, text)."""
+            model.threshold = min(SURE, float(np.quantile(shares.max(1)[right], REJECTED_SHARE)))
+        kept = shares.max(1) >= model.threshold
+        other = rng.permutation(held)
+        differ = y[held] != y[other]
+        mixed = best((x[held] + x[other])[differ] / 2).max(1) if differ.any() else np.zeros(0)
+        odd = best(x[held + n]).max(1)
+        model.report = {"kept": kept.mean(), "right": right[kept].mean(), "mixed": (mixed < model.threshold).mean() if len(mixed) else 0.0, "nonsense": (odd < model.threshold).mean()}
+    return model
+
+
+def sample(rows: DataFrame, per_language: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Bucket shares, those of the texts backwards, and languages of a bounded number of whole texts."""
     most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
-        return np.zeros((0, BUCKETS), np.float32), []
+        return np.zeros((0, BUCKETS), np.float32), np.zeros((0, BUCKETS), np.float32), []
     each = min(per_language, max(1, MOST_TEXTS // len(counts)))
-    share = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(min(1.0, 0.9 * each / n)))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(draw < share[F.col("lang")]).select("lang", "text").limit(each * len(counts))
+    share = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(min(1.0, each / n)))])
+    draw = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.where(draw < share[F.col("lang")]).select("lang", "text").distinct()
 
     def packed(texts: list[bytes | None]) -> dict[str, list]:
-        return {"bag": [bag(t) for t in texts], "letters": [has_letter(t) for t in texts]}
+        return {"bag": [bag(t) for t in texts], "odd": [bag(backwards(t)) for t in texts], "letters": [has_letter(t) for t in texts]}
 
-    got = with_columns(drawn, "text", packed, "bag binary, letters boolean", ["lang"]).where("letters").toArrow()
-    use = sorted(zip(got["lang"].to_pylist(), got["bag"].to_pylist(), strict=True))
-    return shares([b for _, b in use]), [lang for lang, _ in use]
+    got = with_columns(drawn, "text", packed, "bag binary, odd binary, letters boolean", ["lang"]).where("letters").toArrow()
+    use = sorted(zip(got["lang"].to_pylist(), got["bag"].to_pylist(), got["odd"].to_pylist(), strict=True))
+    return shares([b for _, b, _ in use]), shares([o for _, _, o in use]), [lang for lang, _, _ in use]
 
 
 def held_out(doc_id: Column) -> Column:

@@ -91,6 +91,30 @@ def test_held_out_accuracy(spark, documents):
     assert all(0 <= r["score"] <= 1 for r in rows) and sum(r["rejected"] for r in rows) <= 0.01 * len(rows)
 
 
+def test_rejection(spark, docs):
+    """Nonsense and mixtures are rejected, clean texts are not; figures are of texts held back."""
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(corpus)
+    assert model.report["kept"] > 0.995 and model.report["right"] > 0.98 and model.report["nonsense"] > 0.9, model.report
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randint(2, 9))) for _ in range(60)) for _ in range(40)]
+    made = langid.identify(docs(*texts), model).collect()
+    assert np.mean([r["rejected"] for r in made]) > 0.9
+    kept = langid.identify(corpus, model).where("NOT rejected").count()
+    assert kept >= 0.99 * corpus.count()
+
+
+def test_letters_beyond_ascii_fold():
+    data, _ = langid._joined(["É“é”—ß×\u3001x".encode()])
+    assert data.tobytes().split() == ["é".encode(), "é".encode(), "ß×".encode(), b"x"]
+
+
+def test_languages_of_clashing_columns(docs, documents):
+    rows = docs("ein Text", None).withColumns({"lang_pred": F.lit(1), "score": F.lit("x"), "bag": F.lit(2), "odd": F.lit(3), "letters": F.lit("y")})
+    made = langid.identify(rows, langid.fit(documents), keep=["doc_id", "bag"]).collect()
+    assert sorted((r["doc_id"], r["bag"], r["lang_pred"] == "und") for r in made) == [(0, 2, False), (1, 2, True)]
+
+
 def test_languages_of_odd_texts(spark, documents, docs):
     model = langid.fit(documents)
     made = {r["doc_id"]: r for r in langid.identify(docs(*ODD, "12 34 !!", "ñ"), model).collect()}
