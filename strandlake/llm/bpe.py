@@ -1,10 +1,11 @@
 """Byte-level BPE on length-bucketed, padded numpy matrices.
 
-Distinct pieces of a chunk are put into buckets by byte length, one padded matrix of token ids a
-bucket. In every round each row merges its leftmost pair of minimum rank; the rank of a pair is
-looked up in an open-addressing hash table, and the row is compacted. Finished rows leave the
-matrix. A piece too long for a matrix is a bucket of its own row in which a round merges all
-occurrences of the minimum pair from the left, up to the first that would open a lower rank.
+Distinct pieces of a chunk are put into buckets by byte length, padded matrices of token ids of
+bounded size. In every round each row merges its leftmost pair of minimum rank and is compacted; the
+ranks of pairs are kept beside the ids, and only the two pairs that a merge makes are looked up, in
+an open-addressing hash table. Finished rows leave the matrix. A piece longer than `LONGEST_ROW` is
+one row folded into a matrix: a round merges its leftmost pair of minimum rank likewise, but compacts
+only the fold that it stands in, and the minimum of each fold is remembered.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows stay
 repeated; whole texts are encoded whatever their length; an empty table gives an empty result;
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 
 from .batches import with_columns
 
-#: Longest piece, in bytes, that goes into a matrix of many rows.
-LONGEST_ROW = 64
-#: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Longest piece, in bytes, that is not folded, and the width of a fold.
+LONGEST_ROW, FOLD = 2048, 512
+#: Cells of a matrix.
+CELLS = 1 << 20
+#: Bytes of pieces and ids that a worker remembers before it starts anew.
+REMEMBERED = 64 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -89,63 +92,82 @@ class Codec:
             self.bytes_of[rank] = token
         self.byte_ids = np.array([self.tokens[bytes([b])] for b in range(256)], np.int64)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def _rows(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """All pieces have a length of at most one bucket's width."""
         width = max(map(len, pieces))
         ids = np.full((len(pieces), width), -1, np.int64)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        inside = np.arange(width) < lengths[:, None]
-        ids[inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        ids[np.arange(width) < lengths[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         done: list[tuple[int, ...]] = [()] * len(pieces)
         rows = np.arange(len(pieces))
+        # the last column has no pair and never a rank
+        ranks = np.full(ids.shape, _NONE)
+        ranks[:, :-1] = self.table.ranks(ids[:, :-1], ids[:, 1:])
         while True:
-            ranks = self.table.ranks(ids[:, :-1], ids[:, 1:]) if ids.shape[1] > 1 else np.full((len(ids), 1), _NONE)
             at = ranks.argmin(1)
             best = ranks[np.arange(len(ids)), at]
             over = best == _NONE
-            for row, values in zip(rows[over].tolist(), ids[over].tolist(), strict=True):
-                done[row] = tuple(v for v in values if v >= 0)
-            if over.all():
-                return done
-            ids, at, best, rows = ids[~over], at[~over], best[~over], rows[~over]
-            ids[np.arange(len(ids)), at] = best
+            if over.any():
+                for row, values in zip(rows[over].tolist(), ids[over].tolist(), strict=True):
+                    done[row] = tuple(v for v in values if v >= 0)
+                if over.all():
+                    return done
+                ids, ranks, at, best, rows = ids[~over], ranks[~over], at[~over], best[~over], rows[~over]
+            each = np.arange(len(ids))
             keep = np.arange(ids.shape[1]) != at[:, None] + 1
-            ids = ids[keep].reshape(len(ids), -1)
-
-    def _long(self, piece: bytes) -> tuple[int, ...]:
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].copy()
-        while len(ids) > 1:
-            ranks = self.table.ranks(ids[:-1], ids[1:])
-            least = ranks.min()
-            if least == _NONE:
-                break
-            at = np.flatnonzero(ranks == least)
-            run = np.cumsum(np.concatenate(([True], np.diff(at) > 1)))
-            begins = np.flatnonzero(np.concatenate(([True], np.diff(run) > 0)))
-            at = at[(at - at[begins][run - 1]) % 2 == 0]
-            merged = ids.copy()
-            merged[at] = least
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            new = merged[keep]
-            place = at - np.arange(len(at))
-            after = self.table.ranks(new[:-1], new[1:]) if len(new) > 1 else np.zeros(0, np.int64)
-            lower = np.zeros(len(at), bool)
-            # when a merge is made, all merges to its left are done and none to its right
-            right, left = at + 2 < len(ids), place > 0
-            lower[right] |= self.table.ranks(np.full(int(right.sum()), least), ids[at[right] + 2]) < least
-            lower[left] |= after[place[left] - 1] < least
-            if lower.any():
-                at = at[: int(lower.argmax()) + 1]
-                # of the merges before the first that opens a lower rank none does, so all are leftmost ones
-                merged = ids.copy()
-                merged[at] = least
-                keep = np.ones(len(ids), bool)
-                keep[at + 1] = False
-                new = merged[keep]
-            ids = new
-        return tuple(ids.tolist())
+            ids[each, at] = best
+            ids, ranks = ids[keep].reshape(len(ids), -1), ranks[keep].reshape(len(ids), -1)
+            last = ids.shape[1] - 1
+            after = np.minimum(at + 1, last)
+            ranks[each, at] = np.where(at < last, self.table.ranks(best, ids[each, after]), _NONE)
+            before = np.flatnonzero(at > 0)
+            ranks[before, at[before] - 1] = self.table.ranks(ids[before, at[before] - 1], best[before])
+
+    def _folded(self, piece: bytes) -> tuple[int, ...]:
+        flat = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        folds = -(-len(flat) // FOLD)
+        ids, ranks = np.full(folds * FOLD, -1, np.int64), np.full(folds * FOLD, _NONE)
+        ids[: len(flat)] = flat
+        ranks[: len(flat) - 1] = self.table.ranks(flat[:-1], flat[1:])
+        ids, ranks = ids.reshape(folds, FOLD), ranks.reshape(folds, FOLD)
+        sizes = [FOLD] * (folds - 1) + [len(flat) - (folds - 1) * FOLD]
+        left, right = list(range(-1, folds - 1)), [*range(1, folds), -1]
+        least = ranks.min(1)
+        while True:
+            f = int(least.argmin())
+            best = least[f]
+            if best == _NONE:
+                return tuple(ids[ids >= 0].tolist())
+            k = int(ranks[f].argmin())
+            # the second token of the pair stands in this fold or is the first of the next one
+            g, j = (f, k + 1) if k + 1 < sizes[f] else (right[f], 0)
+            for own, empty in ((ids, -1), (ranks, _NONE)):
+                own[g, j:-1] = own[g, j + 1 :]
+                own[g, -1] = empty
+            sizes[g] -= 1
+            if not sizes[g]:
+                left_of, right_of = left[g], right[g]
+                right[left_of] = right_of
+                if right_of >= 0:
+                    left[right_of] = left_of
+            ids[f, k] = best
+            touched = {f, g}
+            places, pairs = [], []
+            after = ids[f, k + 1] if k + 1 < sizes[f] else ids[right[f], 0] if right[f] >= 0 else -1
+            places.append((f, k))
+            pairs.append((best, after))
+            if k > 0 or left[f] >= 0:
+                h, i = (f, k - 1) if k > 0 else (left[f], sizes[left[f]] - 1)
+                places.append((h, i))
+                pairs.append((ids[h, i], best))
+                touched.add(h)
+            found = self.table.ranks(*np.array(pairs, np.int64).T)
+            for place, rank in zip(places, found, strict=True):
+                ranks[place] = rank
+            for t in touched:
+                least[t] = ranks[t].min()
 
     def pieces(self, pieces: list[str]) -> None:
         """Encode distinct pieces that are not yet known."""
@@ -154,16 +176,18 @@ class Codec:
             size = len(piece.encode())
             buckets.setdefault(1 << (size - 1).bit_length() if size <= LONGEST_ROW else 0, []).append(piece)
         for width, own in buckets.items():
-            raw = [p.encode() for p in own]
-            if width:
-                self.known.update(zip(own, self._rows(raw), strict=True))
-            else:
-                self.known.update((p, self._long(b)) for p, b in zip(own, raw, strict=True))
+            step = max(1, CELLS // width) if width else 1
+            for first in range(0, len(own), step):
+                raw = [p.encode() for p in own[first : first + step]]
+                made = self._rows(raw) if width else [self._folded(b) for b in raw]
+                self.known.update(zip(own[first : first + step], made, strict=True))
+                self.held += sum(map(len, raw)) + 8 * sum(map(len, made))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.pattern.findall(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         self.pieces(list(dict.fromkeys(p for each in cut for p in each if p not in self.known)))
         known = self.known
         return [[i for p in each for i in known[p]] for each in cut]

@@ -56,12 +56,33 @@ def test_encoding_of_any_text(text):
 
 
 @pytest.mark.parametrize("letters", ["a", "ab", "theanding", "=-", "0", "aA", "é漢", "errorthinges"])
-@pytest.mark.parametrize("size", [63, 64, 65, 66, 300, 4000])
+@pytest.mark.parametrize("size", [63, 64, 65, 66, 300, 2048, 2049, 4000])
 def test_long_pieces(reference, codec, letters, size):
     text = "".join(random.Random(size).choices(letters, k=size))
     assert codec.encode([text])[0] == reference.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("fold", [2, 3, 7, 64])
+def test_folded_rows(reference, codec, monkeypatch, fold):
+    """Folds that are crossed and emptied often give the same ids."""
+    monkeypatch.setattr(bpe, "FOLD", fold)
+    rng = random.Random(fold)
+    for letters in ("a", "ab", "theanding", "errorthinges", "é漢", "=-"):
+        for size in (1, 2, 3, 5, 50, 400):
+            piece = "".join(rng.choices(letters, k=size))
+            ids = codec._folded(piece.encode())
+            assert ids == codec._rows([piece.encode()])[0]
+            assert b"".join(codec.bytes_of[i] for i in ids) == piece.encode()
+
+
+def test_long_pieces_take_seconds(reference, codec):
+    text = "".join(random.Random(9).choices("abcdefghijklmnopqrstuvwxyz", k=40_000))
+    begin = time.perf_counter()
+    ids = codec._folded(text.encode())
+    assert time.perf_counter() - begin < 20
+    assert list(ids) == reference.encode_ordinary(text)
+
+
 def test_encoding_of_a_table(docs, reference):
     path, pattern = queries.tokenizer()
     made = {r["doc_id"]: r for r in bpe.encode(docs(*ODD).withColumn("ids", F.lit(1)), path, pattern).collect()}
