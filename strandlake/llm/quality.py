@@ -122,9 +122,12 @@ def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: l
     return made.withColumnRenamed(doc_id, "doc_id").withColumn("fail_bits", failures(rules))
 
 
+def bit(name: str, rules: list[tuple[str, str]] = RULES) -> int:
+    return [own for own, _ in rules].index(name)
+
+
 def policy_mask(version: str, rules: list[tuple[str, str]] = RULES, policies: dict[str, list[str]] = POLICIES) -> int:
-    names = [name for name, _ in rules]
-    return sum(1 << names.index(name) for name in policies[version])
+    return sum(1 << bit(name, rules) for name in policies[version])
 
 
 def apply_policy(rows: DataFrame, version: str, column: str = "kept") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ URL_RULES = [
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 ]
-#: Sites that are blocked where no rule decides.
-URL_BLOCKLIST = [("spam-farm.example.org", "/"), ("cheap-pills.example.com", "/"), ("casino-win.example.com", "/"), ("casino-win.example.org", "/")]
+# Names of sites that are listed, under each of the example domains.
+LISTED_NAMES = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x"]
+#: Canonical URLs that are blocked, with all below them, where no rule decides.
+URL_BLOCKLIST = [f"http://{name}.example.{end}/" for name in LISTED_NAMES for end in ("com", "net", "org")]
 
 
 def tokenizer() -> tuple[str, str]:
@@ -79,12 +82,19 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     rows = quality.apply_policy(quality.apply_policy(rows, "base", "base_kept"), "v1", "kept")
-    return rows.withColumn("base_failed", ~F.col("base_kept")).drop("base_kept")
+    return rows.withColumns({"base_failed": ~F.col("base_kept"), "policy": F.lit("v1")}).drop("base_kept")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and what it alone rejects, over all documents."""
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    each = [quality.ablations(rows, version).withColumn("policy", F.lit(version)) for version in quality.POLICIES]
+    return reduce(DataFrame.unionByName, each)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    blocklist = spark.createDataFrame(URL_BLOCKLIST, "host string, path string")
+    blocklist = spark.createDataFrame([(u,) for u in URL_BLOCKLIST], "url string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules, blocklist)
 
 
@@ -93,10 +103,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_html_text, op2_decontamination, op3_secrets, op4_sharding, op5_langid, op6_bpe, op7_simhash, op8_repeats, op9_quality_rules, op10_url_filter)
 }
 
+#: Further queries of the operators' own results.
+REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"quality_ablations": quality_ablations}
+
 _SPACES = r"[^\x20\x09-\x0D]+"
 _WORDS = f"regexp_extract_all(coalesce(text, ''), '{_SPACES}')"
 
-OP9_SQL = f"""
+_LEDGER_SQL = f"""
 WITH rows AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents
 ), windows AS (
@@ -124,11 +137,21 @@ WITH rows AS (
 ), failed AS (
   SELECT *, ({' + '.join(f'CASE WHEN {c} THEN {1 << b} ELSE 0 END' for b, (_, c) in enumerate(quality.RULES))})::BIGINT AS fail_bits FROM measured
 )
-SELECT *, fail_bits & {quality.policy_mask('base')} <> 0 AS base_failed, fail_bits & {quality.policy_mask('v1')} = 0 AS kept FROM failed
+"""
+
+OP9_SQL = f"""{_LEDGER_SQL}
+SELECT *, fail_bits & {quality.policy_mask('base')} <> 0 AS base_failed, fail_bits & {quality.policy_mask('v1')} = 0 AS kept, 'v1' AS policy FROM failed
+"""
+
+_POLICY_ROWS = ", ".join(f"('{v}', {quality.policy_mask(v)}, '{r}', {1 << quality.bit(r)})" for v, rs in quality.POLICIES.items() for r in rs)
+
+ABLATIONS_SQL = f"""{_LEDGER_SQL}, policies(policy, mask, rule, bit) AS (VALUES {_POLICY_ROWS})
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_only
+FROM failed, policies GROUP BY policy, rule
 """
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in URL_RULES)
-_LIST_ROWS = ", ".join(f"('{h}', '{p}', 'block', false)" for h, p in URL_BLOCKLIST)
+_LIST_ROWS = ", ".join(f"('{u.split('/')[2]}', '/', 'block', false)" for u in URL_BLOCKLIST)
 
 OP10_SQL = f"""
 WITH entries(e_host, e_path, verdict, is_rule) AS (VALUES {_RULE_ROWS}, {_LIST_ROWS}),
@@ -173,3 +196,4 @@ FROM docs LEFT JOIN words_hit USING (k) LEFT JOIN items_hit USING (k)
 """
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op9_quality_rules": OP9_SQL, "op10_url_filter": OP10_SQL}
+REPORT_SQL: dict[str, str] = {"quality_ablations": ABLATIONS_SQL}

@@ -18,12 +18,12 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL | queries.REPORT_SQL))
 def test_query_equals_sql(spark, duck, name):
-    found = queries.QUERIES[name](spark, FOLDER)
+    found = (queries.QUERIES | queries.REPORTS)[name](spark, FOLDER)
     columns = sorted(found.columns)
     ours = sorted(str([row[c] for c in columns]) for row in found.collect())
-    result = duck.execute(queries.ORACLE_SQL[name])
+    result = duck.execute((queries.ORACLE_SQL | queries.REPORT_SQL)[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     assert ours == sorted(str([row[names.index(c)] for c in columns]) for row in result.fetchall())
