@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, decontaminate, jaccard, langid, secrets
+from strandlake.llm import bpe, decontaminate, jaccard, langid, secrets, simhash
 from strandlake.llm.queries import tokenizer
 from strandlake.session import cut, table
 
@@ -29,13 +29,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates: the one with the smallest doc_id, nulls last.
 
-    Near duplicates have a Jaccard similarity of 0.8 or more of their five-word shingles; all pairs are
-    found. Rows are known by doc_id and text, so different texts of one doc_id, or without one, are
+    Near duplicates have a Jaccard similarity of 0.8 or more of their five-word shingles; SimHash links are
+    verified, and completed so that all pairs are found. Rows are known by doc_id and text, so different texts of one doc_id, or without one, are
     rows of their own; of repeated rows one stays.
     """
     row = [F.col("doc_id"), jaccard.text_key(F.col("text"))]
     keyed = docs.select("doc_id", row[1].alias("__t"), "text")
-    roots = jaccard.near_duplicates(keyed.select(F.col("__t").alias("t"), "text"))
+    roots = simhash.similar_texts(keyed.select(F.col("__t").alias("t"), "text"))
     rooted = keyed.select("doc_id", "__t").join(roots, F.col("__t") == roots["t"], "left").select("doc_id", "__t", F.coalesce("root", "__t").alias("root"))
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__t").alias("t"))).alias("r"))
     # null has a key of its own, and one key serves the join and the grouping: texts move once

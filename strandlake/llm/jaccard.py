@@ -1,16 +1,17 @@
-"""Exact pairs of texts whose sets of word shingles have a Jaccard similarity of a bound or more.
+"""Exact links between texts whose sets of word shingles have a Jaccard similarity of a bound or more.
 
-A prefix-filtered join. Shingles have one global order; of two sets with similarity t or more, the first
-n - ceil(t n) + 1 shingles of each share one. Only these prefixes are dealt out by shingle, and only
-pairs that can still reach the bound are compared in full: shared shingles of the prefixes, and all
-that lies behind them, must suffice.
+The completion of a SimHash join: fingerprints of a fixed radius miss similar texts, so the links that
+they give are verified here, and a prefix-filtered join finds what is left. Shingles have one global
+order; of two sets with similarity p or more, the first n - ceil(p n) + 1 shingles of each share one.
+Only these prefixes are dealt out by shingle. Shingles that a sample of the texts has often come last,
+so that prefixes hold few common ones; the rest are ordered by hash. Any order gives the same pairs.
 
-Any order gives the same pairs. Shingles that a sample of the texts has often come last, so that
-prefixes hold few common ones; the rest are ordered by hash.
+A shingle whose texts are all in one component already needs no look. Else every text meets a few
+leaders of each of its shingles first, and after that only texts that are still outside of the
+shingle's largest component meet the others. The closure is that of all pairs.
 
-Shingles in more than `DENSE` prefixes (large groups of near copies) are not paired at once: a few
-leaders of each are compared with its members first, and then only members that are not yet in the
-largest component of that shingle, with all others. The closure is that of all pairs.
+Candidates are filtered by the Manhattan distance of the sets' counts over `BINS` bins of hashes, a
+lower bound of their difference, before whole sets are fetched and compared.
 
 Defined results: words are lower-cased and split at ASCII spaces; a text of no more words than a
 shingle is one shingle; all wordless and null texts are alike.
@@ -18,7 +19,7 @@ shingle is one shingle; all wordless and null texts are alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,49 +32,63 @@ from .batches import CHUNK_BYTES, chunks, small_batches
 from .components import components
 
 SEED = 42
-DENSE = 48
 LEADERS = 3
+BINS = 128
 #: Texts of one in so many are sampled; so many of them make a shingle common; so many are known at most.
 SAMPLED, OFTEN, MOST_COMMON = 16, 8, 200_000
+#: Words of at most so many bytes, and so many of them, whose hashes a worker remembers.
+REMEMBERED_SIZE, REMEMBERED = 32, 200_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_known: dict[bytes, int] = {}
 
 
-def shingles_of(text: bytes | None, size: int) -> np.ndarray:
-    """Distinct signed 64-bit hashes of a text's shingles, ascending."""
+def _word_hash(word: bytes) -> int:
+    value = xxhash.xxh64_intdigest(word, SEED)
+    if len(word) <= REMEMBERED_SIZE:
+        _known[word] = value
+    return value
+
+
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
+    """Unsigned 64-bit hashes of a text's shingles, repeats included: words are hashed once, then mixed in order."""
     words = (text or b"").lower().split()
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return np.array([digest(line, SEED)], np.uint64).view(np.int64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-size]))
-    return np.unique(np.fromiter((digest(line[a:z], SEED) for a, z in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)).view(np.int64))
+    if len(_known) > REMEMBERED:
+        _known.clear()
+    each = np.fromiter((_known.get(w) or _word_hash(w) for w in words), np.uint64, len(words))
+    n = max(len(words) - size + 1, 1)
+    value = np.full(n, len(words) if len(words) < size else size, np.uint64)
+    for k in range(min(size, len(words))):
+        value = (value ^ (value >> np.uint64(29))) * _MIX + each[k : k + n]
+    value = (value ^ (value >> np.uint64(32))) * _MIX
+    return value ^ (value >> np.uint64(29))
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(texts: DataFrame, size: int, percent: int | None = None, common: list[int] | None = None) -> DataFrame:
-    """(t, n, s): number of shingles, and all of them or, with `percent`, the prefix."""
-    last = None if percent is None else np.array(sorted(common or []), np.int64)
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _of_texts(texts: DataFrame, function: Callable[[bytes | None], tuple], schema: str, fields: list[pa.Field]) -> DataFrame:
+    """(t, values of `function`) for every row of (t, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
             for first, values in chunks(batch.column(1), CHUNK_BYTES):
-                found = [shingles_of(v, size) for v in values]
-                sizes = [len(s) for s in found]
-                if last is not None:
-                    found = [s[np.argsort(np.isin(s, last), kind="stable")[: prefix_length(len(s), percent)]] if len(last) else s[: prefix_length(len(s), percent)] for s in found]
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(first, len(values)), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["t", "n", "s"]
-                )
+                made = list(zip(*map(function, values), strict=True))
+                arrays = [pa.array(list(v), type=f.type) for v, f in zip(made, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(values)), *arrays], names=["t", *[f.name for f in fields]])
 
     small_batches(texts)
-    return texts.select("t", F.col("text").cast("binary")).mapInArrow(run, "t long, n int, s array<long>")
+    return texts.select("t", F.col("text").cast("binary")).mapInArrow(run, f"t long, {schema}")
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(t, s): the distinct shingles of each text."""
+    one = lambda text: (np.unique(shingle_hashes(text, size)).view(np.int64),)
+    return _of_texts(texts, one, "s array<long>", [pa.field("s", pa.list_(pa.int64()))])
 
 
 def common_shingles(texts: DataFrame, size: int) -> list[int]:
@@ -83,12 +98,39 @@ def common_shingles(texts: DataFrame, size: int) -> list[int]:
     return [r["g"] for r in counts.orderBy(F.desc("n"), "g").limit(MOST_COMMON).select("g").collect()]
 
 
-def _needed(n: Column, m: Column, percent: int) -> Column:
-    """Fewest common shingles of two sets, times 100 + percent."""
-    return percent * (n + m)
+def profiles(texts: DataFrame, size: int, percent: int, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
+    """(t, n, prefix, bins, fp) of each distinct text: its number of shingles, their prefix, counts by bin, and a fingerprint."""
+    last = texts.sparkSession.sparkContext.broadcast(np.array(sorted(common_shingles(texts, size)), np.int64))
+
+    def one(text: bytes | None) -> tuple:
+        every = shingle_hashes(text, size)
+        own = np.unique(every)
+        signed = own.view(np.int64)
+        if len(last.value):
+            place = np.minimum(np.searchsorted(last.value, signed), len(last.value) - 1)
+            signed = signed[np.argsort(last.value[place] == signed, kind="stable")]
+        bins = np.minimum(np.bincount((own >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS), 32767)
+        return len(own), signed[: prefix_length(len(own), percent)], bins.astype(np.int16), fingerprint(every)
+
+    fields = [pa.field("n", pa.int32()), pa.field("prefix", pa.list_(pa.int64())), pa.field("bins", pa.list_(pa.int16())), pa.field("fp", pa.int64())]
+    made = _of_texts(texts, one, "n int, prefix array<long>, bins array<short>, fp long", fields)
+    return cut(made.groupBy("t").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "bins", "fp")]))
+
 
+def plausible(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, whose sizes and counts by bin allow the similarity."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    a, b = (made.select(F.col("t").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(f"bins_{k}")) for k in "ab")
+    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, d: acc + d)
+    both = ordered.join(a, "a").join(b, "b").where(_sized(F.col("n_a"), F.col("n_b"), percent))
+    return both.where(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+
+def _sized(n: Column, m: Column, percent: int) -> Column:
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets really have the similarity."""
     pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
@@ -96,61 +138,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     sets = cut(_sets(once, size))
     left, right = (sets.select(F.col("t").alias(k), F.col("s").alias(f"s_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    enough = shared * (100 + percent) >= _needed(F.size("s_a"), F.size("s_b"), percent)
-    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
-
-
-def links(texts: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(a, b) keys that span the graph of texts (t, text) with a similarity of percent / 100 or more."""
-    found = _sets(texts, size, percent, common_shingles(texts, size)).select("t", "n", F.explode("s").alias("g"))
-    # repeated texts are one; one shuffle serves the grouping and the count
-    placed = found.repartition("g").groupBy("g", "t").agg(F.first("n").alias("n")).withColumn("many", F.count("*").over(Window.partitionBy("g")))
-    members = cut(placed.where("many > 1"))
-    dense = members.where(F.col("many") > DENSE)
-    # what the prefixes of a text have in dense and in other shared shingles
-    held = members.groupBy("t").agg(F.count_if(F.col("many") > DENSE).alias("n_dense"), F.count_if(F.col("many") <= DENSE).alias("n_small"))
-
-    def possible(counted: DataFrame, other: str) -> DataFrame:
-        """Pairs (a, b) that can still reach the bound with c shared shingles; `other` ones weren't counted."""
-        rest = lambda n: F.ceil(percent * n / 100) - 1
-        a, b = (held.select(F.col("t").alias(k), F.col(other).alias(f"o_{k}")) for k in "ab")
-        both = counted.join(a, "a").join(b, "b")
-        reach = F.col("c") + F.least("o_a", "o_b") + F.greatest(rest(F.col("n")), rest(F.col("m")))
-        return both.where(reach * (100 + percent) >= _needed(F.col("n"), F.col("m"), percent)).select("a", "b")
-
-    sized = lambda x, y: (x * 100 >= y * percent) & (y * 100 >= x * percent)
-    small = members.where(F.col("many") <= DENSE).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("ms"))
-    pair = F.flatten(
-        F.transform(
-            "ms",
-            lambda x: F.transform(
-                F.filter("ms", lambda y: (x["t"] < y["t"]) & sized(x["n"], y["n"])),
-                lambda y: F.struct(x["t"].alias("a"), y["t"].alias("b"), x["n"].alias("n"), y["n"].alias("m")),
-            ),
-        )
-    )
-    sparse = small.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.first("p.n").alias("n"), F.first("p.m").alias("m"), F.count("*").alias("c"))
-    candidates = possible(sparse, "n_dense")
-
-    heads = dense.groupBy("g").agg(*[F.min_by(F.struct("t", "n"), F.xxhash64("t", F.lit(k))).alias(f"h{k}") for k in range(LEADERS)])
-    led = dense.join(heads, "g").select("t", "n", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(LEADERS)]))).alias("h")).where((F.col("t") != F.col("h.t")) & sized(F.col("n"), F.col("h.n")))
-    first = candidates.union(led.select(F.least("t", "h.t").alias("a"), F.greatest("t", "h.t").alias("b"))).distinct()
-    known = cut(_verified(first, texts, size, percent))
-
-    roots = components(known)
-    rooted = dense.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-    rooted = cut(rooted.select("g", "t", "n", "root"))
-    main = rooted.groupBy("g", "root").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    enough = shared * (100 + percent) >= percent * (F.size("s_a") + F.size("s_b"))
+    return cut(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"))
+
+
+def _rooted(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """`rows` (t, ...) with the component of each text."""
+    roots = components(known).select(F.col("node").alias("t"), "root")
+    return rows.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
+
+
+def complete(texts: DataFrame, made: DataFrame, first: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(a, b) keys that span the graph of texts (t, text) with a similarity of percent / 100 or more.
+
+    made: their profiles. first: pairs that may be links, as many as another method found.
+    """
+    known = verified(plausible(first, made, percent), texts, size, percent)
+    dealt = _rooted(made.select("t", "n", "prefix"), known).select("t", "n", "root", F.explode("prefix").alias("g"))
+    by_shingle = Window.partitionBy("g")
+    open_ = dealt.withColumns({"low": F.min("root").over(by_shingle), "high": F.max("root").over(by_shingle)}).where("low <> high")
+    members = cut(open_.select("g", "t", "n", "root"))
+
+    heads = members.groupBy("g").agg(*[F.min_by(F.struct("t", "n", "root"), F.xxhash64("t", F.lit(k))).alias(f"h{k}") for k in range(LEADERS)])
+    led = members.join(heads, "g").select("t", "n", "root", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(LEADERS)]))).alias("h"))
+    met = led.where((F.col("root") != F.col("h.root")) & _sized(F.col("n"), F.col("h.n"), percent)).select(F.col("t").alias("a"), F.col("h.t").alias("b"))
+    known = known.union(verified(plausible(met, made, percent), texts, size, percent))
+
+    rooted = cut(_rooted(members.select("g", "t", "n"), known).select("g", "t", "n", "root"))
+    sizes = rooted.groupBy("g", "root").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("g").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     marked = rooted.join(main.select("g", F.col("top.root").alias("top")), "g")
-    outside = marked.where("root <> top").select("g", F.col("t").alias("u"), F.col("n").alias("k"), F.col("root").alias("own"))
-    inside = marked.select("g", "t", "n", "root", (F.col("root") == F.col("top")).alias("in_top"))
-    met = outside.join(inside, "g").where((F.col("own") != F.col("root")) & (F.col("in_top") | (F.col("u") < F.col("t"))) & sized(F.col("k"), F.col("n")))
-    lower = F.col("u") < F.col("t")
-    turned = met.select("g", F.least("u", "t").alias("a"), F.greatest("u", "t").alias("b"), F.when(lower, F.col("k")).otherwise(F.col("n")).alias("n"), F.when(lower, F.col("n")).otherwise(F.col("k")).alias("m"))
-    late = turned.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("c"))
-    return known.union(_verified(possible(late, "n_small"), texts, size, percent)).distinct()
-
-
-def near_duplicates(texts: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(t, root) of texts (t, text) that have a near duplicate; root is the smallest key of the component."""
-    return components(links(texts, size, percent)).select(F.col("node").alias("t"), "root")
+    outside = marked.where("root <> top").select("g", F.col("t").alias("a"), F.col("n").alias("k"), F.col("root").alias("own"))
+    inside = marked.select("g", F.col("t").alias("b"), "n", "root", (F.col("root") == F.col("top")).alias("in_top"))
+    late = outside.join(inside, "g").where((F.col("own") != F.col("root")) & (F.col("in_top") | (F.col("a") < F.col("b"))) & _sized(F.col("k"), F.col("n"), percent))
+    return known.union(verified(plausible(late.select("a", "b"), made, percent), texts, size, percent))

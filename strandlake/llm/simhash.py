@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import jaccard
 from .batches import with_columns
 from .components import components
 
@@ -35,6 +36,12 @@ BLOCK = 1024
 EVEN_BITS = 0x5555555555555555
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint: bits that are set in over half of the hashes."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64))
+
+
 def fingerprints_of(texts: list[bytes | None], shingle: int = 3) -> np.ndarray:
     """Signed 64-bit fingerprints of UTF-8 texts: majority of the bits of the shingles' XXH64."""
     digest = xxhash.xxh64_intdigest
@@ -54,8 +61,7 @@ def fingerprints_of(texts: list[bytes | None], shingle: int = 3) -> np.ndarray:
                 np.uint64,
                 len(starts),
             )
-        ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64)
+        out[k] = majority(hashes)
     return out
 
 
@@ -104,6 +110,22 @@ def grid_groups(rows: int, radius: int) -> int:
     return radius + 3 + max(0, (max(rows, 1).bit_length() - 22) // 4)
 
 
+def bounds_of(fps: np.ndarray, one: np.uint64) -> np.ndarray:
+    """Manhattan distances of the embeddings of `fps` from that of `one`, in numpy."""
+    even, low, field = np.uint64(EVEN_BITS), np.uint64(0x3333333333333333), np.uint64(0x1111111111111111)
+
+    def packed(v: np.ndarray) -> np.ndarray:
+        nxt = v >> np.uint64(1)
+        return ((v ^ nxt) & even) | ((v & nxt & even) << np.uint64(1))
+
+    total = np.zeros(len(fps), np.int64)
+    for shift in (np.uint64(0), np.uint64(2)):
+        d = (((packed(fps) >> shift) & low) | np.uint64(0x4444444444444444)) - ((packed(one) >> shift) & low)
+        odd = d & field
+        total += np.bitwise_count(odd) + 2 * np.bitwise_count((d >> np.uint64(1)) & field & ~odd)
+    return total
+
+
 def forest(fps: np.ndarray, radius: int) -> np.ndarray:
     """Edges (k, 2) of a spanning forest of the graph that links values within `radius` bits."""
     fps = fps.astype(np.uint64)
@@ -112,7 +134,8 @@ def forest(fps: np.ndarray, radius: int) -> np.ndarray:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             node = frontier.pop()
-            near = np.bitwise_count(fps[left] ^ fps[node]) <= radius
+            near = bounds_of(fps[left], fps[node]) <= radius
+            near[near] = np.bitwise_count(fps[left[near]] ^ fps[node]) <= radius
             if near.any():
                 hit = left[near]
                 left = left[~near]
@@ -171,5 +194,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_texts(texts: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 3) -> DataFrame:
+    """(t, root) of texts (t, text) with a word-shingle Jaccard similarity of percent / 100 or more to another one.
+
+    Links of fingerprints within `radius` bits come first and are verified by the sets. Similar texts may
+    differ in far more bits than any grid can join, so an exact completion finds all others. root is the
+    smallest key of the component.
+    """
+    made = jaccard.profiles(texts, shingle, percent, majority)
+    classes = cut(made.groupBy("fp").agg(F.min("t").alias("rep")))
+    a, b = (classes.select(F.col("fp").alias(k), F.col("rep").alias(f"rep_{k}")) for k in "ab")
+    near = links(classes.select("fp"), radius).join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    equal = made.select("t", "fp").join(classes, "fp").where("t <> rep").select(F.col("t").alias("a"), F.col("rep").alias("b"))
+    found = jaccard.complete(texts, made, near.union(equal), shingle, percent)
+    return components(found).select(F.col("node").alias("t"), "root")
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandlake.llm import jaccard
+from strandlake.llm import jaccard, simhash
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -38,7 +38,7 @@ def roots_of(texts):
 
 def found_roots(spark, texts):
     rows = spark.createDataFrame(list(texts.items()), "t long, text string").repartition(3)
-    found = {r["t"]: r["root"] for r in jaccard.near_duplicates(rows).collect()}
+    found = {r["t"]: r["root"] for r in simhash.similar_texts(rows).collect()}
     return {k: found.get(k, k) for k in texts}
 
 
