@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import shared_folder, table
 from ..streaming import windows as W
 from .registry import query
 
 
 def _folder(spark) -> str:
-    """A new folder beside the shared checkpoints, or a local one where none are configured."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlake-stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder beside the shared checkpoints."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, sf):
