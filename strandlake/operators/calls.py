@@ -1,8 +1,9 @@
 """Candidates at positions, totals, frequencies, and calls across samples.
 
-`support` has a row for each sample, position and allele with n_good, n_good_dubious and n_all
-molecules. Sister samples are the other samples at a position; all cross-sample work is windows over
-the position, so samples are never joined with each other.
+`support` has a row for each sample, place (contig, position, half) and allele with n_good,
+n_good_dubious and n_all molecules. Sister samples are the other samples at a place; all cross-sample
+work is windows over the place, so samples are never joined with each other, and one shuffle serves
+all of them. Medians and percentiles keep counts of values, not the values of a deep place.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lattice
-from ..functions.sequence import safe_ratio, sorted_element, upper_median
+from ..functions.sequence import safe_ratio
 from ..params import Params
+from .consensus import LOCATION, MOLECULE, PLACE
 
-LOCATION = ["sample", "pos"]
+
+def element(value: str, share: float) -> Column:
+    """The value at place floor(share * n) from 0 of the n sorted values; counts of distinct values are kept."""
+    return F.expr(f"percentile_disc({share + 1e-10:.12f}) WITHIN GROUP (ORDER BY {value})").cast("int")
 
 
 def candidates(bases: DataFrame, qualities: DataFrame, params: Params = Params()) -> DataFrame:
     """Quality of each allele: from the phred scores and from its molecules' best quality."""
-    phred = bases.groupBy(*LOCATION, "allele").agg(upper_median(F.collect_list("phred")).alias("median_phred"), F.count("*").alias("n_reads"))
+    phred = bases.groupBy(*LOCATION, "allele").agg(element("phred", 0.5).alias("median_phred"), F.count("*").alias("n_reads"))
     best = qualities.groupBy(*LOCATION, F.coalesce("top_allele", "bottom_allele").alias("allele")).agg(
         F.max("quality").alias("max_molecule_quality"), F.count_if(F.col("quality") >= lattice.DUBIOUS).alias("n_q1_molecules")
     )
@@ -43,12 +48,11 @@ def insert_summary(bases: DataFrame) -> DataFrame:
 
 def position_statistics(bases: DataFrame) -> DataFrame:
     """Upper median phred (127 if there is none), share of wrong pairs, insert percentiles."""
-    scores, inserts = F.collect_list("phred"), F.collect_list("insert_size")
     return bases.groupBy(*LOCATION).agg(
-        F.coalesce(upper_median(scores), F.lit(127)).alias("median_phred"),
+        F.coalesce(element("phred", 0.5), F.lit(127)).alias("median_phred"),
         F.round(F.avg(F.col("wrong_pair").cast("int")), 9).alias("wrong_pairs"),
-        sorted_element(inserts, 0.1).alias("insert_10"),
-        sorted_element(inserts, 0.9).alias("insert_90"),
+        element("insert_size", 0.1).alias("insert_10"),
+        element("insert_size", 0.9).alias("insert_90"),
     )
 
 
@@ -91,17 +95,16 @@ def capped_disagreements(disagreements: DataFrame, frequencies: DataFrame, param
 
 def collision_probability(molecules: DataFrame, insert_probability: DataFrame, start: str = "pos") -> DataFrame:
     """1 - (1 - p(size))^n for the n molecules of a start."""
-    n = F.count("*").over(Window.partitionBy("sample", start))
-    joined = molecules.withColumn("n_start", n).join(F.broadcast(insert_probability), "insert_size", "left")
+    n = F.count("*").over(Window.partitionBy("sample", "contig", start))
+    joined = molecules.withColumn("n_start", n).join(insert_probability, "insert_size", "left")
     return joined.withColumn("p_collision", F.round(1 - F.pow(1 - F.coalesce("p", F.lit(0.0)), F.col("n_start")), 9))
 
 
 def cross_sample(support: DataFrame, wildtype: str) -> DataFrame:
     """Each allele with what other samples show at its position."""
-    here, allele = Window.partitionBy("pos"), Window.partitionBy("pos", "allele")
-    sample = Window.partitionBy("pos", "sample")
+    here, allele, sample = Window.partitionBy(*PLACE), Window.partitionBy(*PLACE, "allele"), Window.partitionBy(*LOCATION)
     wild = F.col("allele") == wildtype
-    rows = totals(support).withColumn("sample_wild", F.max(F.when(wild & (F.col("n_all") > 0), 1).otherwise(0)).over(sample))
+    rows = totals(support.repartition(*PLACE)).withColumn("sample_wild", F.max(F.when(wild & (F.col("n_all") > 0), 1).otherwise(0)).over(sample))
     return rows.withColumns(
         {
             "n_samples_with_allele": F.count("*").over(allele),
@@ -116,9 +119,9 @@ def cross_sample(support: DataFrame, wildtype: str) -> DataFrame:
 def unique_calls(support: DataFrame, wildtype: str, disagreements: DataFrame, params: Params = Params(), report_below: float | None = None) -> DataFrame:
     """Mutant alleles with the flags that decide whether they are unique to their sample."""
     rows = cross_sample(support, wildtype).where(F.col("allele") != wildtype)
-    capped = disagreements.where(F.col("quality") >= lattice.GOOD).select("sample", "pos", F.col("snd").alias("allele")).distinct()
-    flagged = rows.join(capped.withColumn("has_disagreement", F.lit(True)), ["sample", "pos", "allele"], "left")
-    several = F.count_if(F.col("n_good") >= params.minQ2DuplexesToCallMutation).over(Window.partitionBy("sample", "pos")) > 1
+    capped = disagreements.where(F.col("quality") >= lattice.GOOD).select(*LOCATION, F.col("snd").alias("allele")).distinct()
+    flagged = rows.join(capped.withColumn("has_disagreement", F.lit(True)), [*LOCATION, "allele"], "left")
+    several = F.count_if(F.col("n_good") >= params.minQ2DuplexesToCallMutation).over(Window.partitionBy(*LOCATION)) > 1
     flags = {
         "present_in_sister": F.col("n_samples_with_allele") > 1,
         "several_at_position": several,
@@ -138,21 +141,27 @@ def unique_calls(support: DataFrame, wildtype: str, disagreements: DataFrame, pa
 def concurring(molecules: DataFrame, params: Params = Params()) -> DataFrame:
     """Molecules of each allele that meet the conditions; the best one always counts.
 
-    Also the smallest and largest distance to it.
+    Also the smallest and largest distance to it: the larger one of the distances between left starts
+    and between right ends.
     """
-    best = F.max_by("dup", F.struct("quality", "n_reads", -F.col("dup"))).over(Window.partitionBy(*LOCATION, "allele"))
+    best = F.max_by(F.struct("dup", "left_start", "right_end"), F.struct("quality", "n_reads", -F.col("dup"))).over(Window.partitionBy(*LOCATION, "allele"))
     good = (F.col("n_reads") >= params.minConcurringDuplexReads) & (F.col("quality") >= lattice.DUBIOUS)
-    rows = molecules.withColumn("best", best).withColumn("counts", good | (F.col("dup") == F.col("best")))
-    distance = F.abs(F.col("dup") - F.col("best"))
+    rows = molecules.withColumn("best", best).withColumn("counts", good | (F.col("dup") == F.col("best.dup")))
+    distance = F.greatest(F.abs(F.col("left_start") - F.col("best.left_start")), F.abs(F.col("right_end") - F.col("best.right_end")))
     return rows.where("counts").groupBy(*LOCATION, "allele").agg(
-        F.count("*").alias("n_concurring"), F.min(F.when(distance > 0, distance)).alias("min_distance"), F.max(distance).alias("max_distance")
+        F.count("*").alias("n_concurring"), F.min(F.when(F.col("dup") != F.col("best.dup"), distance)).alias("min_distance"), F.max(distance).alias("max_distance")
     )
 
 
+def molecule_ends(bases: DataFrame) -> DataFrame:
+    """Outermost places of each molecule."""
+    return bases.groupBy(*MOLECULE).agg(F.min("left_start").alias("left_start"), F.max("right_end").alias("right_end"))
+
+
 def denominators(support: DataFrame, params: Params = Params()) -> DataFrame:
     """Q2 positions and molecules of each sample where the sister samples were covered too."""
     rows = support.groupBy(*LOCATION).agg(F.sum("n_good").alias("n_good"), F.sum("n_good_dubious").alias("n_gd"))
-    sister = F.sum("n_gd").over(Window.partitionBy("pos")) - F.col("n_gd")
+    sister = F.sum("n_gd").over(Window.partitionBy(*PLACE)) - F.col("n_gd")
     return rows.withColumn("sister", sister).where((F.col("n_good") > 0) & (F.col("sister") >= params.minNumberDuplexesSisterSamples)).groupBy("sample").agg(
         F.count("*").alias("q2_positions"), F.sum("n_good").alias("q2_molecules")
     )
@@ -168,5 +177,5 @@ def mutation_rate(calls: DataFrame, denominator: DataFrame) -> DataFrame:
 
 def minimum_coverage(support: DataFrame, n_samples: Column | int) -> DataFrame:
     """Smallest coverage of a position over all samples; a sample without rows has zero."""
-    rows = support.groupBy("pos", "sample").agg(F.sum("n_good_dubious").alias("n"))
-    return rows.groupBy("pos").agg(F.when(F.count("*") < n_samples, 0).otherwise(F.min("n")).alias("min_coverage"))
+    rows = support.groupBy(*LOCATION).agg(F.sum("n_good_dubious").alias("n"))
+    return rows.groupBy(*PLACE).agg(F.when(F.count("*") < n_samples, 0).otherwise(F.min("n")).alias("min_coverage"))

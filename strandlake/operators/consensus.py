@@ -1,8 +1,11 @@
 """From bases to molecules' strand consensus, their quality, and disagreements between strands.
 
-`bases` has a row for each observed base: sample, pos, dup (molecule), strand, allele, phred and, where
-asked for, mapq, mate_mapq, lig_dist and wildtype. Ties are settled by allele. The row groups shrink
-at every step: bases are reduced to alleles of a strand, those to strands, those to molecules.
+`bases` has a row for each observed base: sample, contig, pos, half, dup (molecule), strand, allele, phred
+and, where asked for, mapq, mate_mapq, lig_dist, left_start and right_end. A place is a position of a
+contig or the gap after it (half). An allele is the text of a change, so that its kind is part of it:
+letters, `^letters^` for an insertion, `-letters-` for a deletion. Ties are settled by allele. The row
+groups shrink at every step: bases are reduced to alleles of a strand, those to strands, those to
+molecules.
 """
 
 from __future__ import annotations
@@ -13,8 +16,17 @@ from pyspark.sql import functions as F
 from ..functions import lattice
 from ..params import Params
 
-MOLECULE = ["sample", "pos", "dup"]
-LOCATION = ["sample", "pos"]
+PLACE = ["contig", "pos", "half"]
+LOCATION = ["sample", *PLACE]
+MOLECULE = [*LOCATION, "dup"]
+
+
+def kind_of(allele: Column) -> Column:
+    return F.when(F.startswith(allele, F.lit("^")), "INSERTION").when(F.startswith(allele, F.lit("-")), "DELETION").otherwise("SUBSTITUTION")
+
+
+def letters_of(allele: Column) -> Column:
+    return F.regexp_replace(allele, r"[\^-]", "")
 
 
 def allele_counts(bases: DataFrame, min_phred: int = 0) -> DataFrame:
@@ -30,7 +42,7 @@ def allele_counts(bases: DataFrame, min_phred: int = 0) -> DataFrame:
 
 def strand_consensus(counts: DataFrame) -> DataFrame:
     """Most frequent allele of each strand: top, n_top, n_strand, n_q2."""
-    best = F.max_by(F.struct("allele", "n", "n_q2"), F.struct(F.col("n"), -F.ascii("allele")))
+    best = F.min_by(F.struct("allele", "n", "n_q2"), F.struct(-F.col("n"), F.col("allele")))
     return (
         counts.groupBy(*MOLECULE, "strand")
         .agg(best.alias("b"), F.sum("n").alias("n_strand"), F.max("max_lig").alias("max_lig"))

@@ -10,9 +10,11 @@ def detection_rows(calls: DataFrame) -> DataFrame:
     """One row for each call and sample with 1-based positions, highest frequency before the second."""
     return calls.select(
         F.when(F.col("unique_mutation"), "*").otherwise("").alias("flag"),
-        F.concat_ws(":", "sample", F.lit("chr"), (F.col("pos") + 1).cast("string")).alias("place"),
+        F.concat_ws(":", "sample", "contig", F.concat((F.col("pos") + 1).cast("string"), F.when(F.col("half"), ".5").otherwise(""))).alias("place"),
         "sample",
+        "contig",
         (F.col("pos") + 1).alias("position"),
+        "half",
         "allele",
         "n_good",
         "n_good_dubious",
@@ -32,7 +34,8 @@ def disagreement_bed(disagreements: DataFrame, with_wildtype: bool) -> DataFrame
 
 
 def coverage_bed(support: DataFrame) -> DataFrame:
-    rows = support.groupBy("sample", "contig", "pos").agg(F.sum("n_good_dubious").alias("molecules"))
+    """Molecules over each base; half places are no bases."""
+    rows = support.where("NOT half").groupBy("sample", "contig", "pos").agg(F.sum("n_good_dubious").alias("molecules"))
     return rows.where("molecules > 0").select("sample", "contig", F.col("pos").alias("start"), F.col("pos").alias("end"), "molecules")
 
 

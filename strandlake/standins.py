@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .session import table
 
-#: One observed base a row: samples A, N, R; strands F (top) and O (bottom); three molecules a position.
+#: One observed base a row: samples A, N, R; strands F (top) and O (bottom); three molecules a place. Each
+#: position stands on two contigs and has a half place; alleles are changes of all kinds.
 BASES = """
-SELECT l_returnflag AS sample, l_linestatus AS strand, l_partkey AS pos, l_suppkey % 3 AS dup,
-  CASE WHEN l_linenumber = 7 THEN 'T' ELSE 'A' END AS allele, CAST(l_quantity AS INT) AS phred,
+SELECT l_returnflag AS sample, l_linestatus AS strand, concat('c', CAST(l_partkey % 2 + 1 AS STRING)) AS contig,
+  CAST(floor(l_partkey / 4) AS BIGINT) AS pos, l_partkey % 4 >= 2 AS half, l_suppkey % 3 AS dup,
+  CASE WHEN l_linenumber <> 7 THEN 'A' WHEN l_partkey % 4 >= 2 THEN '^TC^' WHEN l_partkey % 12 = 1 THEN '-A-' ELSE 'T' END AS allele,
+  CAST(l_quantity AS INT) AS phred,
   CAST(l_suppkey % 45 AS INT) AS lig_dist, CAST(l_orderkey % 61 AS INT) AS mapq,
   CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_suppkey % 61 AS INT) END AS mate_mapq,
-  CAST(l_orderkey % 900 + 100 AS INT) AS insert_size, l_linenumber = 6 AS wrong_pair
+  CAST(l_orderkey % 900 + 100 AS INT) AS insert_size, l_linenumber = 6 AS wrong_pair,
+  CAST(floor(l_partkey / 4) AS BIGINT) - l_suppkey % 7 AS left_start, CAST(floor(l_partkey / 4) AS BIGINT) + 100 + l_suppkey % 11 AS right_end
 FROM lineitem
 """
 
