@@ -1,43 +1,46 @@
 """Removal of byte strings that also start in a document with a smaller doc_id.
 
 A string of `length` bytes is known by the smallest hash among its k-byte parts (its minimizer), so
-equal strings always meet. Stages, all keyed and bounded:
+equal strings always meet. Texts are dealt to homes by a hash of the text. Stages, all keyed and bounded:
 
-1. every batch of documents sends the minimizers of its strings to buckets of minimizers, which
-   keep those that come from two buckets of texts or more and tell these buckets (texts of one
-   bucket find there what they share);
-2. buckets of texts cut out the stretches of strings under such a minimizer (their contents, each
-   once with its smallest document) and send them to the minimizers' buckets;
+1. every batch of documents sends each minimizer of its strings with the home of its text, as one
+   number a row; those that two homes have are told to these homes (texts of one home find there what
+   they share);
+2. homes cut out the stretches of strings under such a minimizer (their contents, each once with its
+   smallest document) and send them to the minimizers' buckets;
 3. there a suffix array of the contents (two-stage sorting) and the common prefixes of neighbours
-   give the smallest document of every string, which goes back to the buckets of texts;
-4. buckets of texts mark what is covered, and hash what is left.
+   give the smallest document of every string, which goes back to the homes;
+4. homes mark what is covered, and hash what is left.
 
-Equal texts are one text with its smallest document, in every stage; a very common string is one
-record for each batch or bucket that has it. Texts travel compressed. Nothing is sampled or capped.
+A minimizer with over `HOT` rows of the first stage (a very common passage) has no bucket: its strings
+are rows of their own, reduced to their smallest document by an aggregation that combines before its
+shuffle, and joined back. So no group holds what a common passage, or the edges of its copies, have in
+all homes. Equal texts are one text with its smallest document, in every stage. Texts travel
+compressed, once. Nothing is sampled or capped.
 
 Defined results: a null text is empty; a text shorter than `length` keeps all; of equal texts all
 but those with the smallest id lose every byte (if long enough); repeated rows of one id are no
-copies of each other; a null doc_id counts as the largest; an empty table gives an empty result;
-other columns of the input are ignored.
+copies of each other; a null doc_id counts as the largest; an id that is no whole number is an error;
+an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 from .batches import chunks, small_batches
-from .suffixes import END, same_prefix, suffix_array, words_at
+from .suffixes import END, common_prefixes, suffix_array, words_at
 
 PART = 16
 BUCKET_BYTES = 6 << 20
@@ -45,13 +48,27 @@ FEWEST_BUCKETS = 256
 BATCH_BYTES = 8 << 20
 WORK_BYTES = 256 << 10
 LAST = (1 << 63) - 1
+#: Bits of a home in a row of the first stage; the rest are the minimizer's.
+HOME_BITS = 24
+#: Rows of the first stage (one for each batch and home) beyond which a minimizer is hot.
+HOT = 512
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
-ROW = "bucket int, kind int, source int, blob binary"
-TEXTS, SHARED, CONTENTS, ANSWERS, KNOWN = range(5)
+_PACK = zstandard.ZstdCompressor(level=1, write_checksum=False)
+_UNPACK = zstandard.ZstdDecompressor()
+
+TEXTS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+CONTENTS = pa.schema([("bucket", pa.int32()), ("source", pa.int32()), ("blob", pa.binary())])
+STRINGS = pa.schema([("bucket", pa.int32()), ("d", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("m", pa.int64())])
+DONE = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+_SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema)
 
 
 def part_hashes(data: np.ndarray) -> np.ndarray:
-    """48-bit hash of the PART bytes from each place. It only brings strings together: where two parts
+    """40-bit hash of the PART bytes from each place. It only brings strings together: where two parts
     have one hash, strings meet that differ, and are told apart by their bytes."""
     value = words_at(data)
     nxt = np.zeros_like(value)
@@ -59,7 +76,7 @@ def part_hashes(data: np.ndarray) -> np.ndarray:
     value = (value ^ (value >> np.uint64(29))) * _ODD[0] + (nxt ^ (nxt >> np.uint64(31))) * _ODD[1]
     value ^= value >> np.uint64(32)
     value *= _ODD[2]
-    return (value ^ (value >> np.uint64(29))) >> np.uint64(16)
+    return (value ^ (value >> np.uint64(29))) >> np.uint64(HOME_BITS)
 
 
 def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +92,7 @@ def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
             found.append((owner + begin, *rest))
             begin, size = k + 1, 0
     empty = np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (empty, empty, empty, np.zeros(0, np.uint64))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (empty, empty, empty, np.zeros(0, np.int64))
 
 
 def _stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +101,7 @@ def _stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     total = int(sizes.sum())
     empty = np.zeros(0, np.int64)
     if total < length:
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.int64)
     least = part_hashes(data)
     span, want = 1, length - PART + 1
     while 2 * span <= want:
@@ -106,30 +123,28 @@ def _stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     stops = np.append(stops, total)[np.searchsorted(stops, begins, side="right")]
     owner = np.searchsorted(starts, begins, side="right") - 1
     stops = np.minimum(stops, starts[owner] + sizes[owner] - length + 1)
-    return owner, begins - starts[owner], stops - begins, least[begins]
+    return owner, begins - starts[owner], stops - begins, least[begins].astype(np.int64)
 
 
 def key_of(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text, 42)
 
 
-def pack(**arrays: np.ndarray | list) -> bytes:
-    """Named arrays of numbers or lists of bytes, compressed."""
-    sink = pa.BufferOutputStream()
-    columns = [pa.array(v, pa.binary()) if isinstance(v, list) else pa.array(v) for v in arrays.values()]
-    batch = pa.RecordBatch.from_arrays(columns, names=list(arrays))
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
-
+def pack(items: list[bytes], *numbers: np.ndarray) -> bytes:
+    """Byte strings and arrays of as many whole numbers, compressed."""
+    sizes = np.fromiter(map(len, items), "<i4", len(items))
+    raw = b"".join([struct.pack("<i", len(items)), sizes.tobytes(), *[np.asarray(v, "<i8").tobytes() for v in numbers], *items])
+    return _PACK.compress(raw)
 
-def unpack(blob: bytes) -> dict[str, np.ndarray | list]:
-    batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_next_batch()
-    return {n: c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
 
-
-def _rows(found: list[tuple[int, int, int, bytes]]) -> pd.DataFrame:
-    return pd.DataFrame(found, columns=["bucket", "kind", "source", "blob"])
+def unpack(blob: bytes) -> tuple[list[bytes], Callable[[int], np.ndarray]]:
+    """The byte strings, and a function from an array's place to the array."""
+    raw = _UNPACK.decompress(blob)
+    n = struct.unpack_from("<i", raw)[0]
+    ends = np.cumsum(np.frombuffer(raw, "<i4", n, 4), dtype=np.int64) + (len(raw) - int(np.frombuffer(raw, "<i4", n, 4).sum()))
+    starts = np.concatenate((ends[:0], [len(raw) - int(np.frombuffer(raw, "<i4", n, 4).sum())], ends[:-1])) if n else ends
+    items = [raw[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return items, lambda k: np.frombuffer(raw, "<i8", n, 4 + 4 * n + 8 * n * k)
 
 
 def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -140,15 +155,20 @@ def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(keys[places[0]]), places
 
 
-def _distinct(texts: list[bytes], docs: list[int]) -> dict[bytes, int]:
+def _smallest(pairs: Iterator[tuple[bytes, int]]) -> dict[bytes, int]:
     found: dict[bytes, int] = {}
-    for text, doc in zip(texts, docs, strict=True):
+    for text, doc in pairs:
         if found.get(text, LAST + 1) > doc:
             found[text] = doc
     return found
 
 
-def _batches(docs: DataFrame, function, length: int) -> DataFrame:
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _batches(docs: DataFrame, function: Callable[[dict[bytes, int]], pa.Table], ddl: str, length: int) -> DataFrame:
     """Rows that `function` makes of the distinct texts (with their smallest document) of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,113 +177,72 @@ def _batches(docs: DataFrame, function, length: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, values in chunks(batch.column(1), BATCH_BYTES):
-                for text, doc in _distinct(values, ids[first : first + len(values)]).items():
+                for text, doc in _smallest(zip(values, ids[first : first + len(values)], strict=True)).items():
                     if text not in held:
                         size += len(text)
                         held[text] = doc
                     elif doc < held[text]:
                         held[text] = doc
                 if size >= BATCH_BYTES:
-                    yield from _arrow(function(held))
+                    yield from function(held).to_batches()
                     held, size = {}, 0
         if held:
-            yield from _arrow(function(held))
+            yield from function(held).to_batches()
 
     narrow = docs.select("doc", "text").where(F.octet_length("text") >= length).select("doc", F.col("text").cast("binary"))
-    return narrow.mapInArrow(run, ROW)
+    return narrow.mapInArrow(run, ddl)
 
 
-def _arrow(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    if rows:
-        buckets, kinds, sources, blobs = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(sources, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "source", "blob"]
-        )
+def homes(texts: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter((key_of(t) % buckets for t in texts), np.int64, len(texts))
 
 
-def minimizer_rows(texts: dict[bytes, int], length: int, buckets: int) -> list[tuple[int, int, int, bytes]]:
-    """One record for each minimizer and bucket of texts that has it.
-
-    A minimizer that the batch has for two buckets is shared whatever other batches hold, so one of
-    its records is enough and the others pass through. Two texts of one bucket find each other there.
-    """
+def minimizer_rows(texts: dict[bytes, int], length: int, buckets: int) -> np.ndarray:
+    """Each minimizer with each home that the batch has for it, in one number."""
     every = list(texts)
     owner, _, _, least = stretches(every, length)
-    home = np.fromiter((key_of(t) % buckets for t in every), np.int32, len(every))
-    m, at = least, home[owner]
-    order = np.lexsort((at, m))
-    m, at = m[order], at[order]
-    once = np.ones(len(m), bool)
-    once[1:] = (m[1:] != m[:-1]) | (at[1:] != at[:-1])
-    m, at = m[once], at[once]
-    again = np.zeros(len(m), bool)
-    again[1:] = m[1:] == m[:-1]
-    first = ~again
-    shared = again.copy()
-    shared[:-1] |= again[1:]
-    rows = []
-    one = np.flatnonzero(first)
-    for bucket, places in _split((m[one] % np.uint64(buckets)).astype(np.int64)):
-        own = one[places]
-        rows.append((bucket, SHARED, 0, pack(m=m[own], home=at[own], sure=shared[own])))
-    sure = np.flatnonzero(shared & again)
-    for bucket, places in _split(at[sure].astype(np.int64)):
-        rows.append((int(m[sure[places[0]]] % np.uint64(buckets)), KNOWN, bucket, pack(m=np.unique(m[sure[places]]))))
-    return rows
-
-
-def text_rows(texts: dict[bytes, int], buckets: int) -> list[tuple[int, int, int, bytes]]:
+    return np.unique(least << HOME_BITS | homes(every, buckets)[owner])
+
+
+def text_rows(texts: dict[bytes, int], buckets: int) -> list[tuple[int, bytes]]:
     every = list(texts)
-    home = np.fromiter((key_of(t) % buckets for t in every), np.int64, len(every))
-    return [(b, TEXTS, 0, pack(text=[every[k] for k in p.tolist()], doc=np.array([texts[every[k]] for k in p.tolist()], np.int64))) for b, p in _split(home)]
-
-
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    rows = [(int(r.source), SHARED, 0, r.blob) for r in group.itertuples() if r.kind == KNOWN]
-    found = [unpack(b) for b in group["blob"][group["kind"] == SHARED]]
-    if found:
-        m, home, sure = (np.concatenate([f[n] for f in found]) for n in ("m", "home", "sure"))
-        order = np.lexsort((home, m))
-        m, home, sure = m[order], home[order], sure[order].astype(bool)
-        begins = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-        several = np.maximum.reduceat(home, begins) > np.minimum.reduceat(home, begins)
-        several |= np.logical_or.reduceat(sure, begins)
-        keep = np.repeat(several, np.diff(np.append(begins, len(m))))
-        for bucket, places in _split(home[keep].astype(np.int64)):
-            rows.append((bucket, SHARED, 0, pack(m=np.unique(m[keep][places]))))
-    return _rows(rows)
-
-
-def _texts_of(group: pd.DataFrame) -> dict[bytes, int]:
-    found: dict[bytes, int] = {}
-    for blob in group["blob"][group["kind"] == TEXTS]:
-        own = unpack(blob)
-        for text, doc in zip(own["text"], own["doc"].tolist(), strict=True):
-            if found.get(text, LAST + 1) > doc:
-                found[text] = doc
-    return found
+    docs = np.fromiter(texts.values(), np.int64, len(every))
+    return [(b, pack([every[k] for k in p.tolist()], docs[p])) for b, p in _split(homes(every, buckets))]
+
+
+def _texts_of(table: pa.Table) -> dict[bytes, int]:
+    def pairs() -> Iterator[tuple[bytes, int]]:
+        for blob in table["blob"].to_pylist():
+            texts, arrays = unpack(blob)
+            yield from zip(texts, arrays(0).tolist(), strict=True)
+
+    return _smallest(pairs())
 
 
 def _met_here(m: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Minimizers that two texts of the bucket itself have."""
+    """Minimizers that two texts of the home itself have."""
     order = np.argsort(m, kind="stable")
     m, owner = m[order], owner[order]
     return m[1:][(m[1:] == m[:-1]) & (owner[1:] != owner[:-1])]
 
 
+def _wanted(shared: pa.Table, hot: bool) -> np.ndarray:
+    return np.unique(shared["m"].to_numpy()[shared["hot"].to_numpy(zero_copy_only=False) == hot])
+
+
 def _cut_out(length: int, buckets: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        wanted = [unpack(b)["m"] for b in group["blob"][group["kind"] == SHARED]]
-        texts = _texts_of(group)
-        if not texts:
-            return _rows([])
-        every, source = list(texts), int(group["bucket"].iloc[0])
+    def run(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
+        found = _texts_of(texts)
+        if not found:
+            return _table([], CONTENTS)
+        every, source = list(found), key[0].as_py()
         owner, first, n, least = stretches(every, length)
-        use = np.flatnonzero(np.isin(least, np.unique(np.concatenate([*wanted, _met_here(least, owner)]))))
+        cold = np.setdiff1d(np.concatenate((_wanted(shared, False), _met_here(least, owner))), _wanted(shared, True))
+        use = np.flatnonzero(np.isin(least, cold))
         contents: dict[bytes, list[int]] = {}
         for o, a, z, m in zip(owner[use].tolist(), first[use].tolist(), (first + n)[use].tolist(), least[use].tolist(), strict=True):
             text = every[o]
-            content, doc = text[a : z + length - 1], texts[text]
+            content, doc = text[a : z + length - 1], found[text]
             old = contents.get(content)
             if old is None:
                 contents[content] = [doc, doc, m]
@@ -271,16 +250,32 @@ def _cut_out(length: int, buckets: int):
                 old[0] = doc
             elif doc > old[1]:
                 old[1] = doc
-        if not contents:
-            return _rows([])
         listed = list(contents)
-        low, high, m = (np.array([contents[c][k] for c in listed], t) for k, t in ((0, np.int64), (1, np.int64), (2, np.uint64)))
-        return _rows(
-            [
-                (b, CONTENTS, source, pack(content=[listed[k] for k in p.tolist()], low=low[p], high=high[p], m=m[p]))
-                for b, p in _split((m % np.uint64(buckets)).astype(np.int64))
-            ]
-        )
+        low, high, m = (np.array([contents[c][k] for c in listed], np.int64) for k in range(3))
+        rows = [(b, source, pack([listed[k] for k in p.tolist()], low[p], high[p], m[p])) for b, p in _split(m % buckets)]
+        return _table(rows, CONTENTS)
+
+    return run
+
+
+def _hot_strings(length: int):
+    """Every string under a hot minimizer, with its smallest and largest document in the home."""
+
+    def run(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
+        hot = _wanted(shared, True)
+        if not len(hot):
+            return _table([], STRINGS)
+        found, source = _texts_of(texts), key[0].as_py()
+        every, strings = list(found), {}
+        owner, first, n, least = stretches(every, length)
+        use = np.flatnonzero(np.isin(least, hot))
+        for o, a, size, m in zip(owner[use].tolist(), first[use].tolist(), n[use].tolist(), least[use].tolist(), strict=True):
+            text = every[o]
+            doc = found[text]
+            for k in range(a, a + size):
+                old = strings.setdefault(text[k : k + length], [doc, doc, m])
+                old[0], old[1] = min(old[0], doc), max(old[1], doc)
+        return _table([(source, xxhash.xxh3_128_digest(s), *v) for s, v in strings.items()], STRINGS)
 
     return run
 
@@ -292,15 +287,15 @@ def smallest_documents(contents: list[bytes], docs: np.ndarray, length: int) ->
     belong to no string.
     """
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-    data = np.frombuffer(b"".join(c + bytes([END]) for c in contents) + bytes(64), np.uint8)
+    data = np.frombuffer(b"".join(c + bytes([END]) for c in contents) + bytes(length + 16), np.uint8)
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     words = words_at(data)
-    order = suffix_array(data, words)
+    order = suffix_array(data, words, length)
     owner = np.repeat(np.arange(len(contents)), sizes + 1)
     own = order[order < len(owner)]
     own = own[own - starts[owner[own]] <= sizes[owner[own]] - length]
-    new = np.ones(len(own), bool)
-    new[1:] = ~same_prefix(words, own[:-1], own[1:], length)
+    # strings are equal where the suffixes' common prefix reaches their length
+    new = np.concatenate(([True], common_prefixes(words, own, length) < length))
     least = np.minimum.reduceat(docs[owner[own]], np.flatnonzero(new))
     at = np.full(len(data), LAST, np.int64)
     at[own] = least[np.cumsum(new) - 1]
@@ -308,19 +303,16 @@ def smallest_documents(contents: list[bytes], docs: np.ndarray, length: int) ->
 
 
 def _answer(length: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
-        asked, lows, marks = [], [], []
-        for source, blob in zip(group["source"].tolist(), group["blob"], strict=True):
-            own = unpack(blob)
-            places = np.array([number.setdefault(c, len(number)) for c in own["content"]], np.int64)
-            asked.append((source, places, own["high"], own["m"]))
-            lows.append(own["low"])
-            marks.append(own["m"])
-        every = np.concatenate([p for _, p, _, _ in asked])
-        docs, m = np.full(len(number), LAST, np.int64), np.zeros(len(number), np.uint64)
-        np.minimum.at(docs, every, np.concatenate(lows))
-        m[every] = np.concatenate(marks)
+        asked = []
+        for source, blob in zip(table["source"].to_pylist(), table["blob"].to_pylist(), strict=True):
+            items, arrays = unpack(blob)
+            asked.append((source, np.array([number.setdefault(c, len(number)) for c in items], np.int64), arrays(0), arrays(1), arrays(2)))
+        every = np.concatenate([a[1] for a in asked])
+        docs, m = np.full(len(number), LAST, np.int64), np.zeros(len(number), np.int64)
+        np.minimum.at(docs, every, np.concatenate([a[2] for a in asked]))
+        m[every] = np.concatenate([a[4] for a in asked])
         listed = list(number)
         # a content that is alone under its minimizer has no string in common with another
         _, back, counts = np.unique(m, return_inverse=True, return_counts=True)
@@ -333,15 +325,14 @@ def _answer(length: int):
             for k, s, content in zip(several.tolist(), starts.tolist(), some, strict=True):
                 runs[k] = (s, s + len(content) - length + 1)
         rows = []
-        for source, places, high, marked in asked:
+        for source, places, _, high, marked in asked:
             # a string of a smaller document matters only to a text of a larger one
             tell = np.flatnonzero(lowest[places] < high)
             if len(tell):
                 own = places[tell].tolist()
-                digests = [xxhash.xxh3_128_digest(listed[k]) for k in own]
                 least = [_runs(at[slice(*runs[k])]) if k in runs else _one_run(len(listed[k]) - length + 1, int(docs[k])) for k in own]
-                rows.append((source, ANSWERS, 0, pack(content=digests, least=least, m=marked[tell])))
-        return _rows(rows)
+                rows.append((source, pack([xxhash.xxh3_128_digest(listed[k]) + v for k, v in zip(own, least, strict=True)], marked[tell])))
+        return _table(rows, TEXTS)
 
     return run
 
@@ -371,59 +362,74 @@ def merge(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def _finish(length: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        texts = _texts_of(group)
+    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         known: dict[bytes, list[list[int]]] = {}
-        wanted = []
-        for blob in group["blob"][group["kind"] == ANSWERS]:
-            own = unpack(blob)
-            wanted.append(own["m"])
-            known.update((c, np.frombuffer(x, "<i8").reshape(-1, 2).tolist()) for c, x in zip(own["content"], own["least"], strict=True))
-        every = list(texts)
+        cold = [np.zeros(0, np.int64)]
+        for blob in answers["blob"].drop_null().to_pylist():
+            items, arrays = unpack(blob)
+            cold.append(arrays(0))
+            known.update((item[:16], np.frombuffer(item, "<i8", offset=16).reshape(-1, 2).tolist()) for item in items)
+        strings = answers.filter(answers["d"].is_valid())
+        least_of = dict(zip(strings["d"].to_pylist(), strings["least"].to_pylist(), strict=True))
+        hot = np.unique(strings["m"].to_numpy().astype(np.int64))
+        found = _texts_of(texts)
+        every = list(found)
         edges: dict[int, list[tuple[int, int]]] = {}
-        if known:
+        if known or least_of:
             owner, first, n, m = stretches(every, length)
-            use = np.flatnonzero(np.isin(m, np.unique(np.concatenate(wanted))))
+            is_hot = np.isin(m, hot)
+            use = np.flatnonzero(is_hot | np.isin(m, np.unique(np.concatenate(cold))))
             digest = xxhash.xxh3_128_digest
-            for o, a, size in zip(owner[use].tolist(), first[use].tolist(), n[use].tolist(), strict=True):
+            for o, a, size, single in zip(owner[use].tolist(), first[use].tolist(), n[use].tolist(), is_hot[use].tolist(), strict=True):
                 text = every[o]
-                runs = known.get(digest(text[a : a + size + length - 1]))
-                if runs is None:
-                    continue
-                doc, begin = texts[text], 0
-                for end, least in runs:
-                    if least < doc:
-                        edges.setdefault(o, []).append((a + begin, a + end + length - 1))
-                    begin = end
+                doc = found[text]
+                if single:
+                    spans = [(k, k + length) for k in range(a, a + size) if least_of.get(digest(text[k : k + length]), LAST) < doc]
+                else:
+                    begin, spans = 0, []
+                    for end, least in known.get(digest(text[a : a + size + length - 1]), ()):
+                        if least < doc:
+                            spans.append((a + begin, a + end + length - 1))
+                        begin = end
+                if spans:
+                    edges.setdefault(o, []).extend(spans)
         out = []
         for o, spans in edges.items():
             text = every[o]
             merged = merge(spans)
             bounds = [0, *[x for span in merged for x in span], len(text)]
             kept = b"".join([text[a:z] for a, z in zip(bounds[::2], bounds[1::2], strict=True)])
-            key = key_of(text)
-            out.append((key - (1 << 64) if key >> 63 else key, len(text), len(text) - len(kept), len(merged), sha256(kept).hexdigest()))
-        return pd.DataFrame(out, columns=["k", "n", "n_removed", "n_spans", "kept_sha256"])
+            k = key_of(text)
+            out.append((k - (1 << 64) if k >> 63 else k, len(text), len(text) - len(kept), len(merged), sha256(kept).hexdigest()))
+        return _table(out, DONE)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
-    value = F.coalesce(F.col(text), F.lit(""))
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} is no column of whole numbers")
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), value.alias("text"))
     small_batches(docs)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(FEWEST_BUCKETS, -(-total // BUCKET_BYTES))
-
-    sent = _batches(rows, lambda texts: minimizer_rows(texts, length, buckets), length)
-    shared = sent.groupBy("bucket").applyInPandas(_shared, ROW)
-    texts = _batches(rows, lambda found: text_rows(found, buckets), length)
-    contents = texts.unionByName(shared).groupBy("bucket").applyInPandas(_cut_out(length, buckets), ROW)
-    answers = contents.groupBy("bucket").applyInPandas(_answer(length), ROW)
-    done = texts.unionByName(answers).groupBy("bucket").applyInPandas(
-        _finish(length), "k long, n int, n_removed long, n_spans long, kept_sha256 string"
-    )
+    buckets = min(1 << HOME_BITS, max(FEWEST_BUCKETS, -(-total // BUCKET_BYTES)))
+
+    sent = _batches(rows, lambda texts: pa.table({"x": minimizer_rows(texts, length, buckets)}), "x long", length)
+    m = F.shiftrightunsigned("x", HOME_BITS)
+    by_minimizer = Window.partitionBy("m")
+    dealt = sent.repartition(m).select("x", m.alias("m"))
+    dealt = dealt.withColumns({"low": F.min("x").over(by_minimizer), "high": F.max("x").over(by_minimizer), "many": F.count("*").over(by_minimizer)})
+    home = F.col("x").bitwiseAND(F.lit((1 << HOME_BITS) - 1)).cast("int")
+    shared = dealt.where("low <> high").select(home.alias("bucket"), "m", (F.col("many") > HOT).alias("hot")).groupBy("bucket")
+
+    texts = _batches(rows, lambda found: _table(text_rows(found, buckets), TEXTS), _ddl(TEXTS), length).groupBy("bucket")
+    contents = texts.cogroup(shared).applyInArrow(_cut_out(length, buckets), _ddl(CONTENTS))
+    answers = contents.groupBy("bucket").applyInArrow(_answer(length), _ddl(TEXTS))
+    strings = texts.cogroup(shared).applyInArrow(_hot_strings(length), _ddl(STRINGS))
+    told = strings.join(strings.groupBy("d").agg(F.min("low").alias("least")), "d").where("least < high").select("bucket", "d", "least", "m")
+    done = texts.cogroup(answers.unionByName(told, allowMissingColumns=True).groupBy("bucket")).applyInArrow(_finish(length), _ddl(DONE))
 
     narrow = rows.select("doc_id", "doc", F.xxhash64("text").alias("k"), F.octet_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     least = narrow.where(F.col("n") >= length).groupBy("k", "n").agg(F.min("doc").alias("least"))

@@ -2,7 +2,8 @@
 
 Only suffixes smaller than their successors are sorted directly; all others follow from scans over
 the buckets of first bytes: a suffix that is larger than its successor stands in its own bucket in
-the order in which the successors are met. Order is by the first `DEPTH` bytes at least.
+the order in which the successors are met. Order is by the first `depth` bytes at least. Common
+prefixes of neighbours are computed up to a limit.
 """
 
 from __future__ import annotations
@@ -35,20 +36,20 @@ def smaller_than_successor(data: np.ndarray) -> np.ndarray:
     return step[decided] > 0
 
 
-def direct_sort(places: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """`places` in the order of their next `DEPTH` bytes; only ties are looked at further."""
+def direct_sort(places: np.ndarray, words: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """`places` in the order of their next `depth` bytes at least; only ties are looked at further."""
     order = places[np.argsort(words[places], kind="stable")]
     key = words[order]
     tied = np.concatenate(([False], key[1:] == key[:-1]))
     group = np.cumsum(~tied)
-    for depth in range(8, DEPTH, 8):
+    for at_byte in range(8, depth, 8):
         open_ = tied.copy()
         open_[:-1] |= tied[1:]
         at = np.flatnonzero(open_)
         if not len(at):
             break
         own = order[at]
-        value = words[np.minimum(own + depth, len(words) - 1)]
+        value = words[np.minimum(own + at_byte, len(words) - 1)]
         sub = np.lexsort((value, group[at]))
         order[at] = own[sub]
         value = value[sub]
@@ -63,8 +64,8 @@ def direct_sort(places: np.ndarray, words: np.ndarray) -> np.ndarray:
     return order
 
 
-def suffix_array(data: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
-    """Places of all suffixes of `data` (uint8, padded at its end), sorted to `DEPTH` bytes at least."""
+def suffix_array(data: np.ndarray, words: np.ndarray | None = None, depth: int = DEPTH) -> np.ndarray:
+    """Places of all suffixes of `data` (uint8, padded at its end), sorted to `depth` bytes at least."""
     n = len(data)
     words = words_at(data) if words is None else words
     small = smaller_than_successor(data)
@@ -72,7 +73,7 @@ def suffix_array(data: np.ndarray, words: np.ndarray | None = None) -> np.ndarra
     begins = np.concatenate(([0], np.cumsum(counts)[:-1]))
     ends = begins + counts
     table = np.full(n, -1, np.int64)
-    direct = direct_sort(np.flatnonzero(small), words)
+    direct = direct_sort(np.flatnonzero(small), words, depth)
     firsts = data[direct]
     # the directly sorted ones fill the ends of their buckets
     per = np.bincount(firsts, minlength=256)
@@ -104,9 +105,18 @@ def suffix_array(data: np.ndarray, words: np.ndarray | None = None) -> np.ndarra
     return table
 
 
-def same_prefix(words: np.ndarray, left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
-    """Whether the suffixes at `left` and `right` have a common prefix of `length` (8 or more) bytes."""
-    same = np.ones(len(left), bool)
-    for depth in [*range(0, length - 7, 8), length - 8]:
-        same &= words[left + depth] == words[right + depth]
-    return same
+def common_prefixes(words: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
+    """Common prefix, in bytes and up to about `limit`, of each suffix in `order` and the next one."""
+    left, right = order[:-1], order[1:]
+    found = np.zeros(len(left), np.int64)
+    open_ = np.arange(len(left))
+    for at_byte in range(0, limit, 8):
+        last = len(words) - 1
+        differ = words[np.minimum(left[open_] + at_byte, last)] ^ words[np.minimum(right[open_] + at_byte, last)]
+        # leading bytes that agree: 8 where nothing differs
+        agree = (differ == 0).astype(np.int64)
+        for k in range(1, 8):
+            agree += differ < np.uint64(1 << 8 * k)
+        found[open_] += agree
+        open_ = open_[agree == 8]
+    return found

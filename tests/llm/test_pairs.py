@@ -116,6 +116,20 @@ def test_suffix_arrays():
         assert keys == sorted(keys)
 
 
+def test_common_prefixes():
+    rng = random.Random(8)
+    for _ in range(40):
+        text = bytes(rng.choices(rng.choice([b"a", b"ab", b"abcd"]), k=rng.choice([2, 60, 700])))
+        data = np.frombuffer(text + b"\xff" + bytes(80), np.uint8)
+        words, order = suffixes.words_at(data), suffixes.suffix_array(data)
+        got = suffixes.common_prefixes(words, order, 56).tolist()
+        raw = data.tobytes()
+        for a, b, n in zip(order[:-1].tolist(), order[1:].tolist(), got, strict=True):
+            x, y = raw[a : a + 56], raw[b : b + 56]
+            true = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), 56)
+            assert n == true or (n >= true and min(len(x), len(y)) < 56)
+
+
 def plain_repeats(rows, length=50):
     first = {}
     for doc, text in rows:
@@ -159,6 +173,35 @@ def test_repeats_of_hard_texts(docs, seed):
     assert found == plain_repeats([(i, t.encode()) for i, t in rows])
 
 
+@pytest.mark.parametrize("hot", [0, 1, 3])
+def test_repeats_of_hot_passages(docs, monkeypatch, hot):
+    """Common passages in different surroundings, by the way of hot minimizers."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(hot)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [letters(n) for n in (50, 51, 90, 400)]
+    rows = [(rng.randint(0, 60), letters(rng.randint(0, 80)) + rng.choice(passages) + letters(rng.randint(0, 80))) for _ in range(80)]
+    found = sorted(tuple(r) for r in repeats.remove_repeats(docs(*rows, partitions=7)).collect())
+    assert found == plain_repeats([(i, t.encode()) for i, t in rows])
+
+
+def test_rows_of_the_first_stage_do_not_grow_with_buckets():
+    rng = random.Random(4)
+    texts = {"".join(rng.choices("abcdefghijklmnop ", k=2000)).encode(): k for k in range(300)}
+    sizes = [len(repeats.minimizer_rows(texts, 50, buckets)) for buckets in (256, 5_000, 500_000)]
+    assert max(sizes) - min(sizes) < 0.01 * max(sizes)
+    # what homes get of texts is packed text by text at worst
+    raw = sum(map(len, texts))
+    assert all(sum(len(b) for _, b in repeats.text_rows(texts, buckets)) < 1.1 * raw for buckets in (256, 5_000, 500_000))
+
+
+def test_repeats_of_other_columns_and_ids(docs):
+    rows = docs((1, "y" * 60), (2, "y" * 60)).withColumns({c: F.lit("x") for c in ("doc", "k", "n", "least", "bucket", "blob", "whole")})
+    assert sorted((r["doc_id"], r["n_removed"]) for r in repeats.remove_repeats(rows).collect()) == [(1, 0), (2, 60)]
+    with pytest.raises(TypeError):
+        repeats.remove_repeats(rows.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_repeats_table_cases(docs):
     text = "y" * 60
     found = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(docs((None, text), (3, text), (3, text), (4, None), (5, ""))).collect())
