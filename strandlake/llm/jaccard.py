@@ -6,12 +6,12 @@ order; of two sets with similarity p or more, the first n - ceil(p n) + 1 shingl
 Only these prefixes are dealt out by shingle. Shingles that a sample of the texts has often come last,
 so that prefixes hold few common ones; the rest are ordered by hash. Any order gives the same pairs.
 
-A shingle whose texts are all in one component already needs no look. Else every text meets a few
-leaders of each of its shingles first, and after that only texts that are still outside of the
-shingle's largest component meet the others. The closure is that of all pairs.
+Every text meets a few leaders of each of its shingles first, and after that only texts that are still
+outside of the shingle's largest component meet the others. The closure is that of all pairs.
 
-Candidates are filtered by the Manhattan distance of the sets' counts over `BINS` bins of hashes, a
-lower bound of their difference, before whole sets are fetched and compared.
+Candidates are filtered by the Manhattan distance of the sets' counts over bins of hashes (a bin for
+about `PER_BIN` shingles), a lower bound of their difference, before whole sets are fetched and
+compared. So sets are fetched twice, and of texts that are likely to be similar only.
 
 Defined results: words are lower-cased and split at ASCII spaces; a text of no more words than a
 shingle is one shingle; all wordless and null texts are alike.
@@ -32,8 +32,10 @@ from .batches import CHUNK_BYTES, chunks, small_batches
 from .components import components
 
 SEED = 42
-LEADERS = 3
-BINS = 128
+LEADERS = 2
+PER_BIN, FEWEST_BINS, MOST_BINS = 4, 32, 1 << 14
+#: Keys of wanted texts up to which they are broadcast, so that texts are not shuffled to be chosen.
+BROADCAST = 1 << 19
 #: Texts of one in so many are sampled; so many of them make a shingle common; so many are known at most.
 SAMPLED, OFTEN, MOST_COMMON = 16, 8, 200_000
 #: Words of at most so many bytes, and so many of them, whose hashes a worker remembers.
@@ -109,7 +111,8 @@ def profiles(texts: DataFrame, size: int, percent: int, fingerprint: Callable[[n
         if len(last.value):
             place = np.minimum(np.searchsorted(last.value, signed), len(last.value) - 1)
             signed = signed[np.argsort(last.value[place] == signed, kind="stable")]
-        bins = np.minimum(np.bincount((own >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS), 32767)
+        size_of = min(MOST_BINS, max(FEWEST_BINS, 1 << (len(own) // PER_BIN).bit_length()))
+        bins = np.minimum(np.bincount((own >> np.uint64(32)).astype(np.int64) & (size_of - 1), minlength=size_of), 32767)
         return len(own), signed[: prefix_length(len(own), percent)], bins.astype(np.int16), fingerprint(every)
 
     fields = [pa.field("n", pa.int32()), pa.field("prefix", pa.list_(pa.int64())), pa.field("bins", pa.list_(pa.int16())), pa.field("fp", pa.int64())]
@@ -121,8 +124,15 @@ def plausible(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, whose sizes and counts by bin allow the similarity."""
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     a, b = (made.select(F.col("t").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(f"bins_{k}")) for k in "ab")
-    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, d: acc + d)
     both = ordered.join(a, "a").join(b, "b").where(_sized(F.col("n_a"), F.col("n_b"), percent))
+
+    def folded(own: str, other: str) -> Column:
+        """Counts over half as many bins where the other set has fewer; sizes that fit differ by one doubling at most."""
+        half = F.floor(F.size(own) / 2).cast("int")
+        return F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda x, y: (x + y).cast("short"))).otherwise(F.col(own))
+
+    bins = F.zip_with(folded("bins_a", "bins_b"), folded("bins_b", "bins_a"), lambda x, y: F.abs(x.cast("int") - y.cast("int")))
+    apart = F.aggregate(bins, F.lit(0), lambda acc, d: acc + d)
     return both.where(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
 
 
@@ -131,10 +141,10 @@ def _sized(n: Column, m: Column, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets really have the similarity."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    once = texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.min("text").alias("text"))
+    """The pairs (a, b), already cut, whose sets really have the similarity."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct())
+    few = wanted.count() <= BROADCAST
+    once = texts.join(F.broadcast(wanted) if few else wanted, "t", "left_semi").groupBy("t").agg(F.min("text").alias("text"))
     sets = cut(_sets(once, size))
     left, right = (sets.select(F.col("t").alias(k), F.col("s").alias(f"s_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("s_a", "s_b"))
@@ -153,22 +163,21 @@ def complete(texts: DataFrame, made: DataFrame, first: DataFrame, size: int = 5,
 
     made: their profiles. first: pairs that may be links, as many as another method found.
     """
-    known = verified(plausible(first, made, percent), texts, size, percent)
-    dealt = _rooted(made.select("t", "n", "prefix"), known).select("t", "n", "root", F.explode("prefix").alias("g"))
-    by_shingle = Window.partitionBy("g")
-    open_ = dealt.withColumns({"low": F.min("root").over(by_shingle), "high": F.max("root").over(by_shingle)}).where("low <> high")
-    members = cut(open_.select("g", "t", "n", "root"))
-
-    heads = members.groupBy("g").agg(*[F.min_by(F.struct("t", "n", "root"), F.xxhash64("t", F.lit(k))).alias(f"h{k}") for k in range(LEADERS)])
-    led = members.join(heads, "g").select("t", "n", "root", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(LEADERS)]))).alias("h"))
-    met = led.where((F.col("root") != F.col("h.root")) & _sized(F.col("n"), F.col("h.n"), percent)).select(F.col("t").alias("a"), F.col("h.t").alias("b"))
-    known = known.union(verified(plausible(met, made, percent), texts, size, percent))
-
-    rooted = cut(_rooted(members.select("g", "t", "n"), known).select("g", "t", "n", "root"))
+    dealt = made.select("t", "n", F.explode("prefix").alias("g"))
+    members = cut(dealt.withColumn("many", F.count("*").over(Window.partitionBy("g"))).where("many > 1").select("g", "t", "n"))
+
+    heads = members.groupBy("g").agg(*[F.min_by(F.struct("t", "n"), F.xxhash64("t", F.lit(k))).alias(f"h{k}") for k in range(LEADERS)])
+    led = members.join(heads, "g").select("t", "n", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(LEADERS)]))).alias("h"))
+    met = led.where(_sized(F.col("n"), F.col("h.n"), percent)).select(F.col("t").alias("a"), F.col("h.t").alias("b"))
+    tested = cut(plausible(first.union(met), made, percent))
+    known = verified(tested, texts, size, percent)
+
+    rooted = cut(_rooted(members, known).select("g", "t", "n", "root"))
     sizes = rooted.groupBy("g", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("g").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     marked = rooted.join(main.select("g", F.col("top.root").alias("top")), "g")
     outside = marked.where("root <> top").select("g", F.col("t").alias("a"), F.col("n").alias("k"), F.col("root").alias("own"))
     inside = marked.select("g", F.col("t").alias("b"), "n", "root", (F.col("root") == F.col("top")).alias("in_top"))
     late = outside.join(inside, "g").where((F.col("own") != F.col("root")) & (F.col("in_top") | (F.col("a") < F.col("b"))) & _sized(F.col("k"), F.col("n"), percent))
-    return known.union(verified(plausible(late.select("a", "b"), made, percent), texts, size, percent))
+    fresh = cut(plausible(late.select("a", "b"), made, percent).join(tested, ["a", "b"], "left_anti"))
+    return known.union(verified(fresh, texts, size, percent))
