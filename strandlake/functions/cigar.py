@@ -11,7 +11,7 @@ BLOCK = "struct<ref:int,read:int,len:int,op:string>"
 def elements(cigar: Column) -> Column:
     """array<struct<len, op>> of a CIGAR string."""
     parts = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"\d+", 0).cast("int").alias("len"), F.substring(p, -1, 1).alias("op")))
+    return F.transform(parts, lambda p: F.struct(F.substr(p, F.lit(1), F.length(p) - 1).cast("int").alias("len"), F.substring(p, -1, 1).alias("op")))
 
 
 def _advance(op: Column, kinds: tuple[str, ...], length: Column) -> Column:

@@ -155,6 +155,12 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def read_key(name: Column, first: Column, negative: Column, start: Column, supplementary: Column) -> Column:
+    """Key of a read: name, number in the pair, strand and start, with a suffix for supplementary ones."""
+    suffix = F.when(supplementary, "--suppl").otherwise("")
+    return F.concat(name, F.lit("--"), F.when(first, "1").otherwise("2"), F.lit("--"), F.when(negative, "-").otherwise("+"), start.cast("string"), suffix)
+
+
 def adapter_start(seq: Column, adapter: str, most: int = 3, least_overlap: int = 5) -> Column:
     """Place (from 1) where the adapter's beginning fits best, within `most` edits of a whole adapter.
 

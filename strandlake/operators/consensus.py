@@ -84,7 +84,8 @@ def assays(params: Params) -> dict[str, Column]:
     """Quality assays of a molecule, in the order in which they are taken."""
     n = lambda p: F.coalesce(F.col(f"{p}_n_strand"), F.lit(0))
     both = F.col("top_allele").isNotNull() & F.col("bottom_allele").isNotNull()
-    worst = F.greatest(F.coalesce("top_max_lig", F.lit(-1000)), F.coalesce("bottom_max_lig", F.lit(-1000)))
+    # lig_dist is the distance of a base from the nearer ligation site; the farthest base of either strand counts
+    farthest = F.greatest(F.coalesce("top_max_lig", F.lit(-1000)), F.coalesce("bottom_max_lig", F.lit(-1000)))
     return {
         "N_READS_PER_STRAND": lattice.graded(
             (n("top") >= params.minReadsPerStrandQ2) & (n("bottom") >= params.minReadsPerStrandQ2),
@@ -92,16 +93,16 @@ def assays(params: Params) -> dict[str, Column]:
         ),
         "TOTAL_N_READS_Q2": lattice.graded(n("top") + n("bottom") >= params.minReadsPerDuplexQ2, F.lit(True)),
         "N_STRAND_READS_ABOVE_Q2_PHRED": lattice.graded(F.coalesce("top_n_q2", F.lit(0)) + F.coalesce("bottom_n_q2", F.lit(0)) > 0, F.lit(True)),
-        "CLOSE_TO_LIG": lattice.graded(worst < params.ignoreFirstNBasesQ2, F.lit(True)),
+        "CLOSE_TO_LIG": lattice.graded(farthest > params.ignoreFirstNBasesQ2, farthest > params.ignoreFirstNBasesQ1),
         "MISSING_STRAND": lattice.graded(both, F.lit(True)),
         "CONSENSUS": lattice.graded(passes(params.minConsensusThresholdQ2), passes(params.minConsensusThresholdQ1)),
         "DISAGREEMENT": F.when(both & (F.col("top_allele") != F.col("bottom_allele")), lattice.ATROCIOUS),
     }
 
 
-def graded_molecules(bases: DataFrame, params: Params = Params()) -> DataFrame:
-    """Molecules with a column for each assay and their quality."""
-    own = assays(params)
+def graded_molecules(bases: DataFrame, params: Params = Params(), more: dict[str, Column] | None = None) -> DataFrame:
+    """Molecules with a column for each assay and their quality; `more` holds further assays by name."""
+    own = assays(params) | (more or {})
     made = molecules(strand_consensus(allele_counts(bases))).withColumns(own)
     return made.withColumn("quality", lattice.combine([F.col(name) for name in own]))
 

@@ -210,26 +210,38 @@ def threshold_runs(values: DataFrame, threshold: float, value: str = "value") ->
 def moving_average(values: DataFrame, alpha: float, bin_size: int, threshold: float | None = None, value: str = "value") -> DataFrame:
     """Exponential moving average along each contig, given out every bin_size + 1 positions.
 
-    Values below `threshold` leave the average as it is. The recursion runs in order within a contig,
-    whose length bounds the group.
+    Values below `threshold` leave the average as it is. The recursion is linear, so a part of a contig
+    gives a factor and an average of its own; parts are short enough for the factors to stay in range.
+    Only the parts' pairs, one for many positions, are gone through in order along a contig.
     """
-    import numpy as np
+    import math
+
     import pandas as pd
 
-    def along(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        v = group["value"].to_numpy(float)
-        use = np.ones(len(v), bool) if threshold is None else v >= threshold
-        average, out = 0.0, np.empty(len(v))
-        for k, (x, on) in enumerate(zip(v, use, strict=True)):
-            if on:
-                average = alpha * x + (1 - alpha) * average
-            out[k] = average
-        step = np.arange(len(v)) % (bin_size + 1) == bin_size
-        return pd.DataFrame({"contig": group["contig"][step], "pos": group["pos"][step], "ema": out[step]})
-
-    rows = values.select("contig", F.col("pos").cast("long").alias("pos"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("contig").applyInPandas(along, "contig string, pos long, ema double")
+    keep = 1.0 - alpha
+    most = max(1, int(200 / -math.log(keep)))
+    on = F.lit(1) if threshold is None else F.when(F.col(value) >= threshold, 1).otherwise(0)
+    rows = values.select("contig", F.col("pos").cast("long").alias("pos"), F.col(value).cast("double").alias("value"), on.alias("on"), F.lit(1).alias("one"))
+    counted = running(rows, "pos", ["one", "on"])
+    counted = counted.withColumns({"p": F.floor((F.col("run_one") - 1) / STRETCH), "q": F.floor(F.col("run_on") / most)})
+    part = Window.partitionBy("contig", "p", "q")
+    steps = F.col("run_on") - F.min(F.col("run_on") - F.col("on")).over(part)
+    local = counted.withColumn("e", steps)
+    weight = F.when(F.col("on") == 1, alpha * F.col("value") * F.pow(F.lit(keep), -F.col("e"))).otherwise(0.0)
+    local = local.withColumn("own", F.pow(F.lit(keep), F.col("e")) * F.sum(weight).over(part.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy("contig", "p", "q").agg(F.max("e").alias("e"), F.max_by("own", "pos").alias("own"))
+
+    def carried(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["p", "q"])
+        before, found = 0.0, []
+        for e, own in zip(group["e"], group["own"], strict=True):
+            found.append(before)
+            before = keep**e * before + own
+        return pd.DataFrame({"contig": group["contig"], "p": group["p"], "q": group["q"], "before": found})
+
+    carry = ends.groupBy("contig").applyInPandas(carried, "contig string, p long, q long, before double")
+    made = local.where(F.col("run_one") % (bin_size + 1) == 0).join(carry, ["contig", "p", "q"])
+    return made.select("contig", "pos", (F.col("own") + F.pow(F.lit(keep), F.col("e")) * F.col("before")).alias("ema"))
 
 
 def dense_histogram(values: DataFrame, top: int, value: str = "value") -> DataFrame:

@@ -157,14 +157,14 @@ def start_islands(molecules: DataFrame, gap: int) -> DataFrame:
     return molecules.withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def neighbours(molecules: DataFrame, distance: int = 5) -> DataFrame:
-    """Pairs of molecules within `distance` at both ends that differ at both, by bins of starts."""
+def neighbours(molecules: DataFrame, distance: int = 5, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
+    """Pairs of molecules of equal keys within `distance` at both ends that differ at both, by bins of starts."""
     width = distance + 1
-    left = molecules.select("contig", F.col("molecule").alias("a"), F.col("left_start").alias("a_start"), F.col("right_end").alias("a_end"), F.explode(F.array(*[F.floor(F.col("left_start") / width) + k for k in (-1, 0, 1)])).alias("bin"))
-    right = molecules.select("contig", F.col("molecule").alias("b"), F.col("left_start").alias("b_start"), F.col("right_end").alias("b_end"), F.floor(F.col("left_start") / width).alias("bin"))
+    left = molecules.select(*keys, F.col("molecule").alias("a"), F.col("left_start").alias("a_start"), F.col("right_end").alias("a_end"), F.explode(F.array(*[F.floor(F.col("left_start") / width) + k for k in (-1, 0, 1)])).alias("bin"))
+    right = molecules.select(*keys, F.col("molecule").alias("b"), F.col("left_start").alias("b_start"), F.col("right_end").alias("b_end"), F.floor(F.col("left_start") / width).alias("bin"))
     near = (F.abs(F.col("a_start") - F.col("b_start")) <= distance) & (F.abs(F.col("a_end") - F.col("b_end")) <= distance)
     both = (F.col("a_start") != F.col("b_start")) & (F.col("a_end") != F.col("b_end"))
-    return left.join(right, ["contig", "bin"]).where((F.col("a") < F.col("b")) & near & both).select("a", "b")
+    return left.join(right, [*keys, "bin"]).where((F.col("a") < F.col("b")) & near & both).select("a", "b")
 
 
 def optical_duplicates(reads: DataFrame, distance: int, key: list[str]) -> DataFrame:

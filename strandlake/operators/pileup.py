@@ -5,7 +5,7 @@ Positions are 0-based. A gap after a base is its `half` place; insertions stand
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
@@ -34,64 +34,74 @@ def with_reference(bases: DataFrame, chunks: DataFrame, size: int = CHUNK) -> Da
     return keyed.join(own, ["contig", "chunk"], "left").withColumn("wt", letter).drop("chunk", "__reference")
 
 
-def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_last: int = 0, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_last: int = 0, size: int = CHUNK, overlap: int = OVERLAP, halves: bool = True) -> DataFrame:
     """A row for each base, gap, insertion and deletion that reads show.
 
     kind: WILDTYPE, SUBSTITUTION, INSERTION, DELETION or INTRON. Every base of a block but the last
-    adds a wildtype row for the gap after it. A deletion has one reportable row, for its first place,
-    and hidden ones for the rest. `seq` is the read's base, the inserted or the deleted letters.
-    Bases beyond the end of a contig are left out.
+    adds a wildtype row for the gap after it, if `halves`. A deletion has one reportable row, for its
+    first place, and hidden ones for the rest. `seq` is the read's base, the inserted or the deleted
+    letters. Bases beyond the end of a contig are left out.
 
-    reference: chunks with `overlap`. Reference letters are joined to blocks (in pieces of at most
-    `overlap` letters), not to bases, so what is shuffled grows with reads, and reads are scanned once.
+    reference: chunks with `overlap`. Blocks are cut into pieces of at most `overlap` letters, each with
+    its own part of the read; reference letters are joined to pieces, not to bases, so what is shuffled
+    grows with reads, and reads are scanned once. Pieces become rows inside one stage.
     """
-    rows = reads.select(*keep, "contig", F.col("seq").alias("read_seq"), "qual", F.explode(C.blocks(F.col("cigar"), F.col("start"))).alias("b")).where("b.op NOT IN ('S', 'H', 'P')")
-    whole = F.col("b.op") == "I"
-    pieces = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.floor((F.col("b.len") - 1) / overlap).cast("int")))
-    rows = rows.withColumn("piece", F.explode(F.transform(pieces, lambda p: p * overlap))).withColumn("at", F.col("b.ref") + F.col("piece"))
-    rows = rows.withColumn("chunk", F.floor(F.col("at") / size).cast("int"))
-    letters = F.substr("__reference", F.col("at") % size + 1, F.least(F.col("b.len") - F.col("piece"), F.lit(overlap)).cast("int"))
-    own = reference.select("contig", "chunk", F.col("seq").alias("__reference"))
-    rows = rows.join(own, ["contig", "chunk"], "left").withColumn("letters", letters).drop("__reference", "chunk")
-
-    matched, deleted = F.col("b.op").isin("M", "=", "X"), F.col("b.op").isin("D", "N")
-    steps = F.when(whole, F.lit(1)).otherwise(F.least(F.col("b.len") - F.col("piece"), F.lit(overlap)).cast("int"))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), steps - 1)))
-    inner = matched & (F.col("piece") + F.col("k") < F.col("b.len") - 1)
-    halves = F.when(inner, F.array(F.lit(False), F.lit(True))).otherwise(F.array(whole))
-    rows = rows.withColumn("half", F.explode(halves))
-
+    length = F.length("seq")
+
+    def pieces(b: Column) -> Column:
+        """Pieces of a block; an insertion is one."""
+        ends = F.when(b["op"] == "I", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.floor((b["len"] - 1) / overlap).cast("int")))
+        return F.transform(
+            ends,
+            lambda p: F.struct(
+                b["op"].alias("op"),
+                (b["ref"] + p * overlap).alias("at"),
+                (b["read"] + p * overlap).alias("read"),
+                F.when(b["op"] == "I", b["len"]).otherwise(F.least(b["len"] - p * overlap, F.lit(overlap))).alias("n"),
+                ((p + 1) * overlap >= b["len"]).alias("last"),
+                (p == 0).alias("first"),
+                F.when(b["op"].isin("D", "N"), F.concat(b["ref"].cast("string"), F.lit("+"), b["len"].cast("string"))).alias("gone"),
+            ),
+        )
+
+    kept = F.filter(C.blocks(F.col("cigar"), F.col("start")), lambda b: ~b["op"].isin("S", "H", "P"))
+    rows = reads.select(*keep, "contig", "seq", "qual", length.alias("__size"), F.explode(F.flatten(F.transform(kept, pieces))).alias("b"))
+    own = lambda c: F.when(F.col("b.op").isin("M", "=", "X", "I"), F.substr(c, F.col("b.read") + 1, F.col("b.n")))
+    rows = rows.select(*keep, "contig", "b", "__size", own("seq").alias("__seq"), own("qual").alias("__qual"), F.floor(F.col("b.at") / size).cast("int").alias("chunk"))
+    chunks = reference.select("contig", "chunk", F.col("seq").alias("__reference"))
+    letters = F.substr("__reference", F.col("b.at") % size + 1, F.col("b.n"))
+    rows = rows.join(chunks, ["contig", "chunk"], "left").select(*keep, "contig", "b", "__size", "__seq", "__qual", letters.alias("__letters"))
+
+    inserted, matched = F.col("b.op") == "I", F.col("b.op").isin("M", "=", "X")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(inserted, F.lit(0)).otherwise(F.col("b.n") - 1))))
+    if halves:
+        inner = matched & ~(F.col("b.last") & (F.col("k") == F.col("b.n") - 1))
+        rows = rows.withColumn("half", F.explode(F.when(inner, F.array(F.lit(False), F.lit(True))).otherwise(F.array(inserted))))
+    else:
+        rows = rows.withColumn("half", inserted)
     base = matched & ~F.col("half")
-    place = F.col("b.read") + F.col("piece") + F.col("k")
-    deletion = F.concat(F.col("b.ref").cast("string"), F.lit("+"), F.col("b.len").cast("string"))
-    seq = (
-        F.when(whole, F.substr("read_seq", F.col("b.read") + 1, F.col("b.len")))
-        .when(base, F.substr("read_seq", place + 1, F.lit(1)))
-        .when(deleted, deletion)
-        .otherwise("")
+    letter = lambda c: F.substr(c, F.col("k") + 1, F.lit(1))
+    wt = F.when(base, letter("__letters")).otherwise("")
+    late = base & (F.col("b.read") + F.col("k") >= F.col("__size") - ignore_last)
+    rows = rows.where(~late & (~base | (F.coalesce(letter("__letters"), F.lit("")) != "")))
+    kind = (
+        F.when(inserted, "INSERTION")
+        .when(F.col("b.op") == "D", "DELETION")
+        .when(F.col("b.op") == "N", "INTRON")
+        .when(base & ~matches_reference(letter("__seq"), letter("__letters")), "SUBSTITUTION")
+        .otherwise("WILDTYPE")
     )
-    rows = rows.select(
+    return rows.select(
         *keep,
         "contig",
-        F.when(whole, F.col("b.ref") - 1).otherwise(F.col("at") + F.col("k")).alias("pos"),
+        F.when(inserted, F.col("b.at") - 1).otherwise(F.col("b.at") + F.col("k")).alias("pos"),
         "half",
-        seq.alias("seq"),
-        F.when(base, F.substr("letters", F.col("k") + 1, F.lit(1))).otherwise("").alias("wt"),
-        F.when(base, F.ascii(F.substr("qual", place + 1, F.lit(1))) - 33).alias("phred"),
-        (deleted & (F.col("piece") + F.col("k") > 0)).alias("hidden"),
-        F.col("b.op").alias("__op"),
-        (base & (place >= F.length("read_seq") - ignore_last)).alias("__late"),
-        base.alias("__base"),
-    )
-    kind = (
-        F.when(F.col("__op") == "I", "INSERTION")
-        .when(F.col("__op") == "D", "DELETION")
-        .when(F.col("__op") == "N", "INTRON")
-        .when(F.col("__base") & ~matches_reference(F.col("seq"), F.col("wt")), "SUBSTITUTION")
-        .otherwise("WILDTYPE")
+        kind.alias("kind"),
+        F.when(inserted, F.col("__seq")).when(base, letter("__seq")).otherwise(F.coalesce("b.gone", F.lit(""))).alias("seq"),
+        wt.alias("wt"),
+        F.when(base, F.ascii(letter("__qual")) - 33).alias("phred"),
+        (F.col("b.op").isin("D", "N") & ~(F.col("b.first") & (F.col("k") == 0))).alias("hidden"),
     )
-    kept = rows.where("NOT __late AND (NOT __base OR wt <> '')")
-    return kept.select(*keep, "contig", "pos", "half", kind.alias("kind"), "seq", "wt", "phred", "hidden")
 
 
 def pileup(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,6 +112,6 @@ def pileup(rows: DataFrame, keys: list[str]) -> DataFrame:
 def depth(reads: DataFrame, cap: int) -> DataFrame:
     """Coverage of each position, up to `cap`, and what lies above it."""
     places = C.aligned_blocks(F.col("cigar"), F.col("start"))
-    each = reads.select("contig", F.explode(F.flatten(F.transform(places, lambda b: F.sequence(b["ref"], b["ref"] + b["len"] - 1)))).alias("pos"))
+    each = reads.select("contig", F.explode(places).alias("b")).select("contig", F.explode(F.sequence(F.col("b.ref"), F.col("b.ref") + F.col("b.len") - 1)).alias("pos"))
     counts = each.groupBy("contig", "pos").agg(F.count("*").alias("n"))
     return counts.select("contig", "pos", F.least("n", F.lit(cap)).alias("depth"), F.greatest(F.col("n") - cap, F.lit(0)).alias("excluded"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
 from .reads import FIRST, SECONDARY, SUPPLEMENTARY, flagged
 
 
@@ -121,6 +122,36 @@ def gc_windows(starts: DataFrame, chunks: DataFrame, window: int = 100) -> DataF
     return windows.join(hits, ["contig", "w"], "left").groupBy("gc").agg(F.count("*").alias("windows"), F.coalesce(F.sum("starts"), F.lit(0)).alias("starts"))
 
 
+def tolerant_groups(counts: DataFrame, length: int) -> DataFrame:
+    """(leader, n) of counted strings (prefix, n): each goes to the smallest one within a mismatch of it.
+
+    Strings within a mismatch share a key in which one letter is left open, so they meet by equality.
+    """
+    keys = F.array(*[F.concat(F.substring("prefix", 1, k - 1), F.lit("_"), F.substr("prefix", F.lit(k + 1))) for k in range(1, length + 1)])
+    each = counts.select("prefix", "n", F.explode(keys).alias("key"))
+    low = each.groupBy("key").agg(F.min("prefix").alias("low"))
+    led = each.join(low, "key").groupBy("prefix").agg(F.first("n").alias("n"), F.min("low").alias("leader"))
+    return led.groupBy("leader").agg(F.sum("n").alias("n"))
+
+
+def edit_distance(shown: DataFrame, key: list[str]) -> DataFrame:
+    """Mismatches of each read, and with inserted and deleted letters its distance from the reference."""
+    mismatches = F.count_if(F.col("kind") == "SUBSTITUTION")
+    inserted = F.coalesce(F.sum(F.when(F.col("kind") == "INSERTION", F.length("seq"))), F.lit(0))
+    return shown.groupBy(*key).agg(mismatches.alias("mismatches"), (mismatches + inserted + F.count_if(F.col("kind") == "DELETION")).alias("nm"))
+
+
+def target_metrics(coverage: DataFrame, targets: DataFrame) -> DataFrame:
+    """Coverage on and off target, its share on target, and targets without any."""
+    hits = intervals.inside(coverage.select("contig", "pos"), targets).withColumn("hit", F.lit(True))
+    marked = coverage.join(hits, ["contig", "pos"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    on, off = F.sum(F.when(F.col("hit"), F.col("value"))), F.sum(F.when(~F.col("hit"), F.col("value")))
+    totals = marked.agg(on.alias("on_target"), off.alias("off_target"), F.round(on / F.sum("value"), 9).alias("selected"))
+    names = targets.select("name").distinct().agg(F.count("*").alias("targets"))
+    reached = intervals.touched(targets, coverage.select("contig", "pos")).agg(F.count("*").alias("reached"))
+    return totals.join(F.broadcast(names)).join(F.broadcast(reached)).withColumn("untouched", F.col("targets") - F.col("reached")).drop("reached")
+
+
 def multi_level(reads: DataFrame, levels: list[list[str]], keys: list[str]) -> DataFrame:
     """One metric at several levels of accumulation at once."""
     return reads.groupingSets([[*level] for level in levels], *keys).agg(F.count("*").alias("n"), F.sum("mapq").alias("mapq_sum"), F.grouping_id().alias("level"))

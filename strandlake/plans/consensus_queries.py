@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lattice
 from ..operators import calls as K
 from ..operators import consensus as C
 from ..operators import statistics
@@ -50,7 +51,7 @@ GRADED = MOLECULES + f""", graded AS (
       CASE WHEN coalesce(top_n_strand, 0) >= 2 AND coalesce(bottom_n_strand, 0) >= 2 THEN 2 WHEN coalesce(top_n_strand, 0) >= 1 AND coalesce(bottom_n_strand, 0) >= 1 THEN 1 ELSE 0 END,
       CASE WHEN coalesce(top_n_strand, 0) + coalesce(bottom_n_strand, 0) >= 3 THEN 2 ELSE 1 END,
       CASE WHEN coalesce(top_n_q2, 0) + coalesce(bottom_n_q2, 0) > 0 THEN 2 ELSE 1 END,
-      CASE WHEN greatest(coalesce(top_max_lig, -1000), coalesce(bottom_max_lig, -1000)) < 35 THEN 2 ELSE 1 END,
+      CASE WHEN greatest(coalesce(top_max_lig, -1000), coalesce(bottom_max_lig, -1000)) > 35 THEN 2 WHEN greatest(coalesce(top_max_lig, -1000), coalesce(bottom_max_lig, -1000)) > 4 THEN 1 ELSE 0 END,
       CASE WHEN top_allele IS NOT NULL AND bottom_allele IS NOT NULL THEN 2 ELSE 1 END,
       CASE WHEN {_passes(0.95)} THEN 2 WHEN {_passes(0.51)} THEN 1 ELSE 0 END,
       CASE WHEN top_allele <> bottom_allele THEN -1 END) AS quality
@@ -90,6 +91,14 @@ def a12(spark, sf):
     return C.graded_molecules(_bases(spark, sf), PARAMS).select("sample", "contig", "pos", "half", "dup", "quality")
 
 
+@query("P04_extra_assay", f"WITH {GRADED} SELECT sample, contig, pos, half, dup, least(quality, CASE WHEN coalesce(top_n_q2, 0) >= 1 AND coalesce(bottom_n_q2, 0) >= 1 THEN 2 ELSE 1 END) AS quality FROM graded")
+def p04(spark, sf):
+    """A further assay beside the standard ones: each strand needs a read of good quality."""
+    both = (F.coalesce("top_n_q2", F.lit(0)) >= 1) & (F.coalesce("bottom_n_q2", F.lit(0)) >= 1)
+    made = C.graded_molecules(_bases(spark, sf), PARAMS, {"GOOD_READ_ON_EACH_STRAND": F.when(both, lattice.GOOD).otherwise(lattice.DUBIOUS)})
+    return made.select(*C.MOLECULE, "quality")
+
+
 @query("A13_molecule_mapping_quality", "SELECT sample, contig, pos, half, dup, max(least(mapq, coalesce(mate_mapq, mapq))) AS mapping_quality FROM bases_v GROUP BY ALL")
 def a13(spark, sf):
     return C.molecule_mapping_quality(_bases(spark, sf))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import intervals, reads, stats
+from ..operators.calls import element
+from ..operators.order import numbered
 from ..session import table
 from ..sources import readers, sinks
 from ..standins import view
@@ -133,12 +135,12 @@ def x34(spark, sf):
     return view(spark, sf, "reads_v").groupBy("qname").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("J14_compatible_molecules", """WITH m AS (SELECT DISTINCT left_start, right_end, left_bc, right_bc FROM molecules_v WHERE left_start < 60)
-SELECT a.left_start AS a_start, a.right_end AS a_end, a.left_bc AS a_left, a.right_bc AS a_right, count(*) AS n FROM m a JOIN m b ON abs(a.left_start - b.left_start) <= 2 AND abs(a.right_end - b.right_end) <= 2 AND """
+@query("J14_compatible_molecules", """WITH m AS (SELECT DISTINCT left_start, right_end, left_bc, right_bc FROM molecules_v), d AS (SELECT unnest(range(-2, 3)) AS d)
+SELECT a.left_start AS a_start, a.right_end AS a_end, a.left_bc AS a_left, a.right_bc AS a_right, count(*) AS n FROM m a, d JOIN m b ON b.left_start = a.left_start + d WHERE abs(a.right_end - b.right_end) <= 2 AND """
     + " + ".join(f"CASE WHEN substring(a.{c}, {k}, 1) <> substring(b.{c}, {k}, 1) AND substring(a.{c}, {k}, 1) <> 'N' AND substring(b.{c}, {k}, 1) <> 'N' THEN 1 ELSE 0 END" for c in ("left_bc",) for k in (1, 2, 3))
     + " <= 1 GROUP BY ALL")
 def j14(spark, sf):
-    rows = view(spark, sf, "molecules_v").where("left_start < 60").select("left_start", "right_end", "left_bc", "right_bc").distinct()
+    rows = view(spark, sf, "molecules_v").select("left_start", "right_end", "left_bc", "right_bc").distinct()
     left = rows.select(F.col("left_start").alias("a_start"), F.col("right_end").alias("a_end"), F.col("left_bc").alias("a_left"), F.col("right_bc").alias("a_right"))
     left = left.withColumn("bin", F.explode(F.array(*[F.floor(F.col("a_start") / 3) + k for k in (-1, 0, 1)])))
     right = rows.withColumn("bin", F.floor(F.col("left_start") / 3))
@@ -146,27 +148,25 @@ def j14(spark, sf):
     return left.join(right, "bin").where(near).groupBy("a_start", "a_end", "a_left", "a_right").agg(F.count("*").alias("n"))
 
 
-@query("J19_zipped_records", "SELECT order_id, line, start, mate_start FROM reads_v WHERE line = 1 AND order_id % 4 = 0 AND order_id IN (SELECT order_id FROM reads_v WHERE line = 1 GROUP BY 1 HAVING count(*) = 1)")
+@query("J19_zipped_records", "SELECT order_id, line, min(start) AS start, min(mate_start) AS mate_start FROM reads_v GROUP BY ALL")
 def j19(spark, sf):
-    rows = view(spark, sf, "reads_v").where("line = 1 AND order_id % 4 = 0")
-    single = rows.groupBy("order_id").agg(F.count("*").alias("n")).where("n = 1").select("order_id")
-    kept = rows.join(single, "order_id", "left_semi")
-    record = lambda c: kept.select(F.col("order_id").alias("record"), F.concat(F.col("order_id").cast("string"), F.lit(" "), F.col(c).cast("string")).alias("name"), F.col(c).cast("string").alias("seq"), "qual")
-    both = readers.zipped_fastq(record("start"), record("mate_start"))
-    return both.select(F.col("record").alias("order_id"), F.lit(1).alias("line"), F.col("seq_1").cast("int").alias("start"), F.col("seq_2").cast("int").alias("mate_start"))
+    """Two files of records, one for each order and line, with the start of the read in one and of its mate in the other."""
+    rows = view(spark, sf, "reads_v").groupBy("order_id", "line").agg(F.min("start").alias("start"), F.min("mate_start").alias("mate_start"), F.min("qual").alias("qual"))
+    record = F.col("order_id") * 10 + F.col("line")
+    file = lambda c: rows.select(record.alias("record"), F.concat(record.cast("string"), F.lit(" "), F.col(c).cast("string")).alias("name"), F.col(c).cast("string").alias("seq"), "qual")
+    both = readers.zipped_fastq(file("start"), file("mate_start"))
+    return both.select(F.floor(F.col("record") / 10).alias("order_id"), (F.col("record") % 10).cast("int").alias("line"), F.col("seq_1").cast("int").alias("start"), F.col("seq_2").cast("int").alias("mate_start"))
 
 
-@query("O02_molecule_sort", "SELECT molecule, n_top, n_bottom, left_start, row_number() OVER (ORDER BY n_top + n_bottom DESC, least(n_top, n_bottom) DESC, left_start, right_end, left_bc, right_bc, molecule, insert_size) AS place FROM molecules_v QUALIFY place <= 200")
+@query("O02_molecule_sort", "SELECT molecule, n_top, n_bottom, left_start, row_number() OVER (ORDER BY n_top + n_bottom DESC, least(n_top, n_bottom) DESC, left_start, right_end, left_bc, right_bc, molecule, insert_size, n_top) AS place FROM molecules_v")
 def o02(spark, sf):
-    order = [F.desc(F.col("n_top") + F.col("n_bottom")), F.desc(F.least("n_top", "n_bottom")), "left_start", "right_end", "left_bc", "right_bc", "molecule", "insert_size"]
-    first = view(spark, sf, "molecules_v").orderBy(*order).limit(200)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select("molecule", "n_top", "n_bottom", "left_start", "place")
+    order = [F.desc(F.col("n_top") + F.col("n_bottom")), F.desc(F.least("n_top", "n_bottom")), "left_start", "right_end", "left_bc", "right_bc", "molecule", "insert_size", "n_top"]
+    return numbered(view(spark, sf, "molecules_v"), order).select("molecule", "n_top", "n_bottom", "left_start", "place")
 
 
 @query("O03_sorted_percentiles", "SELECT contig, list_sort(list(value))[floor(count(*) * 0.25)::INT + 1] AS p25, list_sort(list(value))[floor(count(*) * 0.5)::INT + 1] AS p50 FROM coverage_v GROUP BY contig")
 def o03(spark, sf):
-    values = F.collect_list("value")
-    return view(spark, sf, "coverage_v").groupBy("contig").agg(S.sorted_element(values, 0.25).alias("p25"), S.upper_median(values).alias("p50"))
+    return view(spark, sf, "coverage_v").groupBy("contig").agg(element("value", 0.25).cast("long").alias("p25"), element("value", 0.5).cast("long").alias("p50"))
 
 
 @query("O04_value_sort", "SELECT contig, pos, value FROM coverage_v ORDER BY value DESC, contig, pos LIMIT 50")

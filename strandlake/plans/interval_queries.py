@@ -60,9 +60,15 @@ def j07(spark, sf):
     return I.gene_strand(_coverage(spark, sf), _features(spark, sf))
 
 
-@query("J08_single_feature", f"""SELECT c.contig, c.pos, any_value(f.name) AS name FROM coverage_v c JOIN (SELECT * FROM features_v WHERE start % 51 = 0) f ON {ON} GROUP BY ALL""")
+#: All features, made one within each 51 places, so that none overlap.
+APART = """SELECT contig, min(name) AS name, min(start) AS start, least(max("end"), floor(start / 51) * 51 + 50) AS "end" FROM features_v GROUP BY contig, floor(start / 51)"""
+
+
+@query("J08_single_feature", f"""SELECT c.contig, c.pos, any_value(f.name) AS name FROM coverage_v c JOIN ({APART}) f ON {ON} GROUP BY ALL""")
 def j08(spark, sf):
-    return I.single_feature(_coverage(spark, sf), _features(spark, sf).where("start % 51 = 0"))
+    k = F.floor(F.col("start") / 51)
+    apart = _features(spark, sf).groupBy("contig", k.alias("k")).agg(F.min("name").alias("name"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return I.single_feature(_coverage(spark, sf), apart.withColumn("end", F.least("end", F.col("k") * 51 + 50)))
 
 
 @query("J16_feature_names", "SELECT f.name, p.p_name AS gene FROM features_v f LEFT JOIN (SELECT * FROM part WHERE p_size > 25) p ON f.name = 'f' || p.p_partkey")
@@ -124,12 +130,12 @@ def a42(spark, sf):
     return I.threshold_runs(_coverage(spark, sf), 10)
 
 
-@query("A43_moving_average", """WITH RECURSIVE o AS (SELECT contig, pos, value, row_number() OVER (PARTITION BY contig ORDER BY pos) AS k FROM (SELECT * FROM coverage_v) WHERE pos < 600),
+@query("A43_moving_average", """WITH RECURSIVE o AS (SELECT contig, pos, value, row_number() OVER (PARTITION BY contig ORDER BY pos) AS k FROM coverage_v),
 e AS (SELECT contig, pos, k, CASE WHEN value >= 8 THEN 0.1::DOUBLE * value ELSE 0::DOUBLE END AS ema FROM o WHERE k = 1
   UNION ALL SELECT o.contig, o.pos, o.k, CASE WHEN value >= 8 THEN 0.1::DOUBLE * value + 0.9::DOUBLE * ema ELSE ema END FROM e JOIN o ON o.contig = e.contig AND o.k = e.k + 1)
 SELECT contig, pos, round(ema, 6) AS ema FROM e WHERE k % 11 = 0""")
 def a43(spark, sf):
-    rows = I.moving_average(_coverage(spark, sf).where("pos < 600"), 0.1, 10, threshold=8)
+    rows = I.moving_average(_coverage(spark, sf), 0.1, 10, threshold=8)
     return rows.withColumn("ema", F.round("ema", 6))
 
 
@@ -176,16 +182,17 @@ def v11(spark, sf):
     return I.overlapping(starts, rows.select(F.col("name").alias("b"), "contig", "start", "end")).where("a <> b").select("a", "b")
 
 
-@query("V14_lift_over", """WITH ch AS (SELECT p_partkey % 4 AS chain, substring('ANR', (p_partkey % 3)::INT + 1, 1) AS contig, p_partkey AS start, p_partkey + 30 AS "end", 'to' || (p_partkey % 2) AS to_contig, p_partkey * 2 AS to_start FROM part WHERE p_partkey % 40 = 0),
+@query("V14_lift_over", """WITH ks AS (SELECT DISTINCT p_partkey // 40 AS k FROM part),
+ch AS (SELECT k % 4 AS chain, substring('ANR', (k % 3)::INT + 1, 1) AS contig, k * 40 AS start, k * 40 + 39 AS "end", 'to' || (k % 2) AS to_contig, k * 80 AS to_start FROM ks),
 m AS (SELECT f.name, chain, to_contig, sum(least(f."end", ch."end") - greatest(f.start, ch.start) + 1) AS covered, min(to_start + greatest(f.start, ch.start) - ch.start) AS new_start,
   max(to_start + least(f."end", ch."end") - ch.start) AS new_end, any_value(f."end" - f.start + 1) AS len FROM features_v f JOIN ch ON f.contig = ch.contig AND f.start <= ch."end" AND ch.start <= f."end" GROUP BY f.name, chain, to_contig HAVING covered >= 0.95 * len),
 o AS (SELECT name, any_value(to_contig) AS to_contig, any_value(new_start) AS new_start, any_value(new_end) AS new_end FROM m GROUP BY name HAVING count(*) = 1)
 SELECT f.name, to_contig, new_start, new_end FROM features_v f LEFT JOIN o USING (name)""")
 def v14(spark, sf):
-    part = table(spark, sf, "part").where("p_partkey % 40 = 0")
-    chains = part.select(
-        (F.col("p_partkey") % 4).alias("chain"), F.expr("substring('ANR', CAST(p_partkey % 3 AS INT) + 1, 1)").alias("contig"), F.col("p_partkey").alias("start"),
-        (F.col("p_partkey") + 30).alias("end"), F.concat(F.lit("to"), (F.col("p_partkey") % 2).cast("string")).alias("to_contig"), (F.col("p_partkey") * 2).alias("to_start"),
+    k = F.col("k")
+    chains = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 40).alias("k")).distinct().select(
+        (k % 4).alias("chain"), F.expr("substring('ANR', CAST(k % 3 AS INT) + 1, 1)").alias("contig"), (k * 40).alias("start"),
+        (k * 40 + 39).alias("end"), F.concat(F.lit("to"), (k % 2).cast("string")).alias("to_contig"), (k * 80).alias("to_start"),
     )
     return I.lift_over(_features(spark, sf), chains)
 

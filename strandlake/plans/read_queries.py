@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
@@ -9,6 +12,7 @@ from ..functions import sequence as S
 from ..operators import molecules as M
 from ..operators import reads as R
 from ..operators import toolkit as T
+from ..operators.order import numbered
 from ..params import Params
 from ..session import table
 from ..sources import sinks
@@ -101,9 +105,8 @@ def f18(spark, sf):
 @query("F19_one_per_key", "SELECT order_id, line, max(mapq) AS mapq, count(*) OVER () AS n_kept FROM reads_v GROUP BY order_id, line")
 def f19(spark, sf):
     rows = R.one_per_key(_reads(spark, sf), ["order_id", "line"])
-    from pyspark.sql import Window
-
-    return rows.select("order_id", "line", "mapq").withColumn("n_kept", F.count("*").over(Window.partitionBy()))
+    kept = rows.select("order_id", "line", "mapq")
+    return kept.join(F.broadcast(kept.agg(F.count("*").alias("n_kept"))))
 
 
 @query("F20_seen_often", """WITH f AS (SELECT order_id, start FROM reads_v WHERE mapq >= 10 UNION ALL SELECT order_id, start FROM reads_v WHERE mapq >= 30 AND line < 4),
@@ -171,7 +174,7 @@ FUNCTIONS = {
     "X03_effective_length": (lambda r: {"v": S.effective_length(r.seq, F.col("negative"))}, {"v": f"({EFFECTIVE})::INT"}),
     "X04_read_phreds": (lambda r: {"median": S.upper_median(S.phreds(r.qual)), "mean": S.integer_mean(S.phreds(r.qual)), "first_half": S.integer_mean(F.slice(S.phreds(r.qual), 1, 16))}, {"median": f"list_sort({PHREDS})[17]", "mean": f"floor(list_sum({PHREDS}) / 32)::INT", "first_half": f"floor(list_sum({PHREDS}[1:16]) / 16)::INT"}),
     "X05_clipped_bases": (lambda r: {"v": C.clipped_bases(r.cigar, r.start, F.col("negative"), F.lit(None).cast("int"))}, {"v": f"{LEAD} + {TRAIL}"}),
-    "X06_aligned_blocks": (lambda r: {"n": F.size(C.aligned_blocks(r.cigar, r.start)), "last_ref": F.element_at(C.aligned_blocks(r.cigar, r.start), -1)["ref"]}, {"n": "len(regexp_extract_all(cigar, '\\d+M'))::INT", "last_ref": f"({END} - regexp_extract(cigar, '(\\d+)M[^M]*$', 1)::INT + 1)::INT"}),
+    "X06_aligned_blocks": (lambda r: {"*": F.element_at(F.transform(F.array(C.aligned_blocks(r.cigar, r.start)), lambda b: F.struct(F.size(b).alias("n"), F.element_at(b, -1)["ref"].alias("last_ref"))), 1)}, {"n": "len(regexp_extract_all(cigar, '\\d+M'))::INT", "last_ref": f"({END} - regexp_extract(cigar, '(\\d+)M[^M]*$', 1)::INT + 1)::INT"}),
     "X07_read_position": (lambda r: {"inside": C.read_position(r.cigar, r.start, r.start), "before": C.read_position(r.cigar, r.start, r.start - 3)}, {"inside": LEAD, "before": f"{LEAD} - 3"}),
     "X08_ligation_distance": (lambda r: {"v": C.ligation_distance(F.col("n_clipped"), F.col("median_phred"), 35)}, {"v": "greatest(35 - n_clipped, 35 - median_phred)"}),
     "X09_orientation": (lambda r: {"v": C.pair_orientation(F.col("negative"), F.col("line") > 3, r.start, F.col("mate_start"))}, {"v": "CASE WHEN negative = (line > 3) THEN 'TANDEM' WHEN CASE WHEN negative THEN mate_start ELSE start END <= CASE WHEN negative THEN start ELSE mate_start END THEN 'FR' ELSE 'RF' END"}),
@@ -193,6 +196,23 @@ FUNCTIONS = {
     "X26_index_score": (lambda r: {"v": S.index_score(r.seq, F.col("const_bc"), 3)}, {"v": f"({SCORE})::INT"}),
     "X27_header_indexes": (lambda r: {"i7": r.i7, "i5": r.i5}, {"i7": "substring(seq, 1, 4)", "i5": "substring(seq, 5, 4)"}),
     "X28_adapter": (lambda r: {"v": S.mask_from(r.seq, F.when(F.instr(r.seq, "GGC") > 0, F.instr(r.seq, "GGC"))), "bc": F.substring(r.seq, 1, 6)}, {"v": "CASE WHEN instr(seq, 'GGC') > 0 THEN substring(seq, 1, instr(seq, 'GGC') - 1) || repeat('N', 32 - instr(seq, 'GGC') + 1) ELSE seq END", "bc": "substring(seq, 1, 6)"}),
+    "X01_mate_key": (
+        lambda r: {
+            "own": S.read_key(F.col("qname"), F.col("is_first"), F.col("negative"), r.start, F.col("flag").bitwiseAND(F.lit(2048)) != 0),
+            "mate": S.read_key(F.col("qname"), ~F.col("is_first"), F.col("line") % 2 == 0, F.col("mate_start"), F.lit(False)),
+        },
+        {
+            "own": "qname || '--' || CASE WHEN is_first THEN 1 ELSE 2 END || '--' || CASE WHEN negative THEN '-' ELSE '+' END || start || CASE WHEN flag & 2048 <> 0 THEN '--suppl' ELSE '' END",
+            "mate": "qname || '--' || CASE WHEN is_first THEN 2 ELSE 1 END || '--' || CASE WHEN line % 2 = 0 THEN '-' ELSE '+' END || mate_start",
+        },
+    ),
+    "X28_adapter_search": (
+        lambda r: {"at": S.adapter_start(r.seq, "GATCGGAA")},
+        {
+            "at": "list_sort(list_filter(list_transform(range(1, 29), lambda k: {'share': levenshtein(substring(seq, k::INT, least(33 - k, 8)::INT), substring('GATCGGAA', 1, least(33 - k, 8)::INT))::DOUBLE / least(33 - k, 8), 'at': k::INT, "
+            "'fits': levenshtein(substring(seq, k::INT, least(33 - k, 8)::INT), substring('GATCGGAA', 1, least(33 - k, 8)::INT)) * 8 <= 3 * least(33 - k, 8)}), lambda f: f.fits))[1].at"
+        },
+    ),
     "X29_change_text": (lambda r: {"v": S.change_text(r.kind, F.coalesce(r.wildtype, F.lit("")), r.sequence), "kind": r.kind}, {"v": "CASE WHEN line = 1 THEN '-' || substring(seq, 1, 3) || '-' WHEN line = 2 THEN '^' || substring(seq, 1, 2) || '^' ELSE substring(seq, 1, 1) || '->' || substring(seq, 2, 1) END", "kind": "CASE WHEN line = 1 THEN 'DELETION' WHEN line = 2 THEN 'INSERTION' ELSE 'SUBSTITUTION' END"}),
     "X30_trimmed": (lambda r: {"cigar": C.trim_soft_clips(r.cigar, r.seq)["cigar"], "seq": C.trim_soft_clips(r.cigar, r.seq)["seq"], "clip": C.overlap_clip(C.reference_end(r.cigar, r.start), F.col("mate_start"))}, {"cigar": "regexp_replace(regexp_replace(cigar, '^\\d+S', ''), '\\d+S$', '')", "seq": f"substring(seq, {LEAD} + 1, 32 - {LEAD} - {TRAIL})", "clip": f"greatest(0, {END} - mate_start + 1)::INT"}),
     "X31_formatted": (lambda r: {"v": F.format_number(r.start * 1000, 0)}, {"v": "format('{:,}', start * 1000)"}),
@@ -208,6 +228,9 @@ def _register_functions() -> None:
         def run(spark, sf, name=name):
             reads = _reads(spark, sf)
             made = FUNCTIONS[name][0](_Row())
+            if "*" in made:
+                # a struct that is made once, and its fields
+                return reads.select("order_id", "line", made["*"].alias("made")).select("order_id", "line", "made.*")
             return reads.select("order_id", "line", *[c.alias(n) for n, c in made.items()])
 
         query(name, "SELECT order_id, line, " + ", ".join(f"{s} AS {n}" for n, s in sql.items()) + " FROM reads_v")(run)
@@ -247,26 +270,22 @@ def j03(spark, sf):
     return pileup.with_reference(rows, chunks, 1000).groupBy("contig", "pos", "wt").agg(F.count("*").alias("n"))
 
 
-@query("J13_neighbours", """WITH m AS (SELECT contig, molecule, left_start, right_end FROM molecules_v WHERE sample = 'A' AND strand = 'F' AND left_start % 4 = 0)
-SELECT a.molecule AS a, b.molecule AS b FROM m a JOIN m b ON a.molecule < b.molecule AND abs(a.left_start - b.left_start) <= 5 AND abs(a.right_end - b.right_end) <= 5 AND a.left_start <> b.left_start AND a.right_end <> b.right_end""")
+@query("J13_neighbours", """WITH m AS (SELECT sample, strand, contig, molecule, left_start, right_end FROM molecules_v), d AS (SELECT unnest(range(-5, 6)) AS d)
+SELECT a.molecule AS a, b.molecule AS b FROM m a, d JOIN m b ON a.sample = b.sample AND a.strand = b.strand AND a.contig = b.contig AND b.left_start = a.left_start + d
+WHERE d <> 0 AND a.molecule < b.molecule AND abs(a.right_end - b.right_end) <= 5 AND a.right_end <> b.right_end""")
 def j13(spark, sf):
-    return M.neighbours(_molecules(spark, sf).where("sample = 'A' AND strand = 'F' AND left_start % 4 = 0"))
+    return M.neighbours(_molecules(spark, sf), keys=("sample", "strand", "contig"))
 
 
 def _optical(spark, sf):
-    rows = _reads(spark, sf).select(
-        F.row_number().over(_order()).cast("long").alias("read_id"), "order_id", S.run_tile(F.col("qname")).alias("run_tile"),
+    ordered = numbered(_reads(spark, sf), ["order_id", "line", "start", "seq", "qual", "cigar"], "read_id")
+    rows = ordered.select(
+        "read_id", "order_id", S.run_tile(F.col("qname")).alias("run_tile"),
         S.tile_coordinate(F.col("qname"), 6).alias("x"), S.tile_coordinate(F.col("qname"), 7).alias("y"), F.col("median_phred").alias("avg_phred"), F.floor(F.col("start") / 8).alias("molecule"),
     )
     return M.optical_duplicates(rows, 6, ["molecule"])
 
 
-def _order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("order_id", "line", "start", "seq", "qual", "cigar")
-
-
 @query("J15_optical_duplicates")
 def j15(spark, sf):
     return _optical(spark, sf).select("read_id", "order_id", "optical_duplicate")
@@ -280,13 +299,13 @@ def j18(spark, sf):
 
 
 @query("J20_best_sample", """WITH s AS (SELECT n_nationkey AS position, n_name AS sample, substring(translate(md5(n_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 8) AS i7, substring(translate(md5(n_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 9, 8) AS i5 FROM nation),
-r AS (SELECT DISTINCT order_id % 500 AS id FROM reads_v), q AS (SELECT id, substring(translate(md5(id::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGN'), 1, 8) AS i7, substring(translate(md5(id::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGN'), 9, 8) AS i5 FROM r),
+r AS (SELECT DISTINCT order_id AS id FROM reads_v), q AS (SELECT id, substring(translate(md5(id::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGN'), 1, 8) AS i7, substring(translate(md5(id::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGN'), 9, 8) AS i5 FROM r),
 p AS (SELECT id, sample, position, """ + " + ".join(f"CASE WHEN substring(q.{c}, {k}, 1) = 'N' THEN 0 WHEN substring(q.{c}, {k}, 1) = substring(s.{c}, {k}, 1) THEN 1 ELSE -1 END" for c in ("i7", "i5") for k in range(1, 9)) + """ AS score FROM q, s),
 b AS (SELECT id, arg_max(sample, score * 1000 - position) AS sample, max(score) AS score FROM p GROUP BY id) SELECT id, CASE WHEN score >= 2 THEN sample ELSE 'LOUSY' END AS sample, score FROM b""")
 def j20(spark, sf):
     code = lambda c: F.translate(F.md5(c.cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
     sheet = table(spark, sf, "nation").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("sample"), F.substring(code(F.col("n_name")), 1, 8).alias("i7"), F.substring(code(F.col("n_name")), 9, 8).alias("i5"))
-    ids = _reads(spark, sf).select((F.col("order_id") % 500).alias("id")).distinct()
+    ids = _reads(spark, sf).select(F.col("order_id").alias("id")).distinct()
     letters = F.translate(F.md5(F.col("id").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGN")
     reads = ids.select("id", F.substring(letters, 1, 8).alias("i7"), F.substring(letters, 9, 8).alias("i5"))
     return R.best_sample(reads, sheet, 8, least=2).select("id", "sample", "score")
@@ -318,25 +337,25 @@ def _single(spark, sf):
     return rows.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
 
-@query("A03_barcode_consensus", """WITH c AS (SELECT sample, left_start, left_bc FROM molecules_v),
-l AS (SELECT sample, left_start, k, substring(left_bc, k, 1) AS c FROM c, (SELECT unnest([1, 2, 3]) AS k)), n AS (SELECT sample, left_start, k, c, count(*) AS n FROM l WHERE c <> 'N' GROUP BY ALL),
-r AS (SELECT sample, left_start, k, c, n, count(*) OVER (PARTITION BY sample, left_start, k, n) AS same, max(n) OVER (PARTITION BY sample, left_start, k) AS top FROM n),
-p AS (SELECT sample, left_start, k, max(CASE WHEN n = top AND same = 1 THEN c END) AS c FROM r GROUP BY ALL),
-g AS (SELECT sample, left_start, count(*) AS n_reads FROM molecules_v GROUP BY ALL)
-SELECT g.sample, g.left_start, string_agg(coalesce(p.c, 'N'), '' ORDER BY ks.k) AS consensus, any_value(n_reads) AS n_reads FROM g CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) ks LEFT JOIN p ON p.sample = g.sample AND p.left_start = g.left_start AND p.k = ks.k GROUP BY g.sample, g.left_start""")
+@query("A03_barcode_consensus", """WITH c AS (SELECT sample, contig, left_start, left_bc FROM molecules_v),
+l AS (SELECT sample, contig, left_start, k, substring(left_bc, k, 1) AS c FROM c, (SELECT unnest([1, 2, 3]) AS k)), n AS (SELECT sample, contig, left_start, k, c, count(*) AS n FROM l WHERE c <> 'N' GROUP BY ALL),
+r AS (SELECT sample, contig, left_start, k, c, n, count(*) OVER (PARTITION BY sample, contig, left_start, k, n) AS same, max(n) OVER (PARTITION BY sample, contig, left_start, k) AS top FROM n),
+p AS (SELECT sample, contig, left_start, k, max(CASE WHEN n = top AND same = 1 THEN c END) AS c FROM r GROUP BY ALL),
+g AS (SELECT sample, contig, left_start, count(*) AS n_reads FROM molecules_v GROUP BY ALL)
+SELECT g.sample, g.contig, g.left_start, string_agg(coalesce(p.c, 'N'), '' ORDER BY ks.k) AS consensus, any_value(n_reads) AS n_reads FROM g CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) ks LEFT JOIN p ON p.sample = g.sample AND p.contig = g.contig AND p.left_start = g.left_start AND p.k = ks.k GROUP BY g.sample, g.contig, g.left_start""")
 def a03(spark, sf):
-    return M.barcode_consensus(_molecules(spark, sf), ["sample", "left_start"], "left_bc", 3)
+    return M.barcode_consensus(_molecules(spark, sf), ["sample", "contig", "left_start"], "left_bc", 3)
 
 
-@query("A04_molecule_summary", """SELECT sample, left_start, right_end, count(*) AS n_reads, count(*) FILTER (strand = 'F') AS n_top, count(*) FILTER (strand <> 'F') AS n_bottom, min(abs(insert_size)) AS min_insert, max(abs(insert_size)) AS max_insert,
+@query("A04_molecule_summary", """SELECT sample, contig, left_start, right_end, count(*) AS n_reads, count(*) FILTER (strand = 'F') AS n_top, count(*) FILTER (strand <> 'F') AS n_bottom, min(abs(insert_size)) AS min_insert, max(abs(insert_size)) AS max_insert,
   sum(n_clipped)::BIGINT // count(*) AS avg_clipped, sum(CASE WHEN negative THEN 1 ELSE -1 END) > 0 AS top_is_negative, bool_or(wrong_pair) AS has_wrong_pair FROM molecules_v GROUP BY ALL""")
 def a04(spark, sf):
-    return M.molecule_summary(_molecules(spark, sf), ["sample", "left_start", "right_end"])
+    return M.molecule_summary(_molecules(spark, sf), ["sample", "contig", "left_start", "right_end"])
 
 
-@query("A06_molecule_statistics", "SELECT sample, left_start, count(*) AS n_reads, sum(n_clipped)::BIGINT // count(*) AS avg_clipped, bool_or(wrong_pair) AS has_wrong_pair FROM molecules_v GROUP BY ALL")
+@query("A06_molecule_statistics", "SELECT sample, contig, left_start, count(*) AS n_reads, sum(n_clipped)::BIGINT // count(*) AS avg_clipped, bool_or(wrong_pair) AS has_wrong_pair FROM molecules_v GROUP BY ALL")
 def a06(spark, sf):
-    return M.molecule_summary(_molecules(spark, sf), ["sample", "left_start"]).select("sample", "left_start", "n_reads", "avg_clipped", "has_wrong_pair")
+    return M.molecule_summary(_molecules(spark, sf), ["sample", "contig", "left_start"]).select("sample", "contig", "left_start", "n_reads", "avg_clipped", "has_wrong_pair")
 
 
 @query("A05_insert_probability")
@@ -344,38 +363,60 @@ def a05(spark, sf):
     return M.insert_probability(_molecules(spark, sf)).withColumn("p", F.round("p", 12))
 
 
-@query("A07_covering_clipping", """WITH m AS (SELECT contig, left_start AS s, left_start + 20 AS e, n_clipped AS c FROM molecules_v WHERE sample = 'R'),
+@query("A07_covering_clipping", """WITH m AS (SELECT contig, left_start AS s, left_start + 20 AS e, n_clipped AS c FROM molecules_v),
 d AS (SELECT contig, loc, sum(d)::BIGINT AS d, sum(c)::BIGINT AS c FROM (SELECT contig, s AS loc, 1 AS d, c FROM m UNION ALL SELECT contig, e + 1, -1, -c FROM m) GROUP BY ALL),
 r AS (SELECT contig, loc AS start, lead(loc) OVER w - 1 AS "end", (sum(d) OVER w)::BIGINT AS n, sum(c) OVER w AS total FROM d WINDOW w AS (PARTITION BY contig ORDER BY loc))
 SELECT contig, start, "end", n, round(total / n, 6) AS mean_clipping FROM r WHERE n > 0 AND "end" IS NOT NULL""")
 def a07(spark, sf):
-    rows = _molecules(spark, sf).where("sample = 'R'")
+    rows = _molecules(spark, sf)
     return M.covering_clipping(rows.select("contig", F.col("left_start").alias("start"), (F.col("left_start") + 20).alias("end"), "n_clipped"))
 
 
-@query("A08_pileup", """WITH r AS (SELECT * FROM reads_v WHERE cigar IN ('32M', '5S27M')),
-b AS (SELECT contig, start + k AS pos, substring(seq, CASE WHEN cigar = '32M' THEN 0 ELSE 5 END + k + 1, 1) AS seq FROM r, range(0, 32) t(k) WHERE k < CASE WHEN cigar = '32M' THEN 32 ELSE 27 END)
-SELECT contig, pos::INT AS pos, seq, count(*) AS n_reads FROM b GROUP BY ALL""")
+#: Blocks of the stand-in's alignments, by hand.
+BLOCKS = """blk(cigar, op, ref, read, len) AS (VALUES ('32M', 'M', 0, 0, 32), ('5S27M', 'M', 0, 5, 27), ('12M3D20M', 'M', 0, 0, 12), ('12M3D20M', 'D', 12, 12, 3), ('12M3D20M', 'M', 15, 12, 20),
+  ('10M2I16M4S', 'M', 0, 0, 10), ('10M2I16M4S', 'I', 10, 10, 2), ('10M2I16M4S', 'M', 10, 12, 16), ('8M100N20M4S', 'M', 0, 0, 8), ('8M100N20M4S', 'N', 8, 8, 100), ('8M100N20M4S', 'M', 108, 8, 20))"""
+SHOWN = BLOCKS + """, e AS (SELECT order_id, line, contig, start, seq, qual, op, ref, read, len, unnest(range(0, CASE WHEN op = 'I' THEN 1 ELSE len END)) AS k FROM reads_v JOIN blk USING (cigar)),
+shown AS (SELECT order_id, line, contig, start + ref + k AS pos, false AS half, substring(seq, (read + k + 1)::INT, 1) AS seq, op, ascii(substring(qual, (read + k + 1)::INT, 1)) - 33 AS phred, false AS hidden FROM e WHERE op = 'M'
+  UNION ALL SELECT order_id, line, contig, start + ref + k, true, '', 'H', NULL, false FROM e WHERE op = 'M' AND k < len - 1
+  UNION ALL SELECT order_id, line, contig, start + ref - 1, true, substring(seq, read + 1, len), 'I', NULL, false FROM e WHERE op = 'I'
+  UNION ALL SELECT order_id, line, contig, start + ref + k, false, (start + ref) || '+' || len, op, NULL, k > 0 FROM e WHERE op IN ('D', 'N'))"""
+
+
+@query("A08_pileup", f"""WITH {SHOWN} SELECT contig, pos::INT AS pos, half, CASE op WHEN 'I' THEN 'INSERTION' WHEN 'D' THEN 'DELETION' WHEN 'N' THEN 'INTRON' WHEN 'M' THEN CASE WHEN seq = 'A' THEN 'WILDTYPE' ELSE 'SUBSTITUTION' END ELSE 'WILDTYPE' END AS kind,
+  seq, count(*) AS n_reads, sum(phred)::BIGINT AS phred_sum, bool_and(hidden) AS hidden FROM shown GROUP BY ALL""")
 def a08(spark, sf):
     from ..operators import pileup
 
-    chunks = spark.createDataFrame([(c, k) for c in ("chrA", "chrN", "chrR", "chrUn_7") for k in range(30)], "contig string, chunk int").withColumn("seq", F.repeat(F.lit("A"), F.lit(11_000)))
-    rows = _reads(spark, sf).where("cigar IN ('32M', '5S27M')")
-    seen = pileup.observed(rows, [], chunks).where("NOT half")
-    return pileup.pileup(seen, []).groupBy("contig", "pos", "seq").agg(F.sum("n_reads").alias("n_reads"))
+    return pileup.pileup(pileup.observed(_reads(spark, sf), [], _letters_a(_reads(spark, sf))), [])
 
 
-@query("W06_molecules_per_start", "SELECT DISTINCT contig, left_start, count(*) OVER (PARTITION BY contig, left_start) AS n FROM molecules_v")
-def w06(spark, sf):
-    from pyspark.sql import Window
+def _letters_a(reads):
+    """Reference chunks of nothing but A, as long as the reads need."""
+    last = reads.agg(F.coalesce(F.max("start"), F.lit(0)).alias("last")).first()["last"] + 200
+    chunks = reads.sparkSession.range(last // 10_000 + 1).select(F.col("id").cast("int").alias("chunk"), F.repeat(F.lit("A"), F.lit(11_000)).alias("seq"))
+    return chunks.withColumn("contig", F.explode(F.array(*[F.lit(c) for c in ("chrA", "chrN", "chrR", "chrUn_7")])))
+
+
+@query("V22_edit_distance", f"""WITH {SHOWN}, r AS (SELECT order_id, line, contig, pos, half, op, seq, hidden FROM shown)
+SELECT order_id, line, count(*) FILTER (op = 'M' AND seq <> 'A') AS mismatches,
+  (count(*) FILTER (op = 'M' AND seq <> 'A') + coalesce(sum(length(seq)) FILTER (op = 'I'), 0) + count(*) FILTER (op = 'D'))::BIGINT AS nm FROM r GROUP BY ALL""")
+def v22_edits(spark, sf):
+    from ..operators import pileup
+
+    rows = _reads(spark, sf)
+    return T.edit_distance(pileup.observed(rows, ["order_id", "line"], _letters_a(rows), halves=False), ["order_id", "line"])
+
 
-    return _molecules(spark, sf).select("contig", "left_start", F.count("*").over(Window.partitionBy("contig", "left_start")).alias("n")).distinct()
+@query("W06_molecules_per_start", "SELECT sample, contig, left_start, count(*) AS n FROM molecules_v GROUP BY ALL")
+def w06(spark, sf):
+    return _molecules(spark, sf).groupBy("sample", "contig", "left_start").agg(F.count("*").alias("n"))
 
 
-@query("W09_start_islands", """WITH d AS (SELECT DISTINCT sample, contig, left_start FROM molecules_v WHERE left_start % 5 < 2), n AS (SELECT *, CASE WHEN left_start - lag(left_start) OVER w <= 2 THEN 0 ELSE 1 END AS f FROM d WINDOW w AS (PARTITION BY sample, contig ORDER BY left_start))
+@query("W09_start_islands", """WITH d AS (SELECT DISTINCT sample, contig || left_bc || right_bc AS contig, left_start FROM molecules_v), n AS (SELECT *, CASE WHEN left_start - lag(left_start) OVER w <= 2 THEN 0 ELSE 1 END AS f FROM d WINDOW w AS (PARTITION BY sample, contig ORDER BY left_start))
 SELECT sample, contig, left_start, sum(f) OVER (PARTITION BY sample, contig ORDER BY left_start)::BIGINT AS island FROM n""")
 def w09(spark, sf):
-    rows = _molecules(spark, sf).where("left_start % 5 < 2").select("sample", "contig", "left_start").distinct()
+    # barcodes as part of the contig, so that starts leave gaps
+    rows = _molecules(spark, sf).select("sample", F.concat("contig", "left_bc", "right_bc").alias("contig"), "left_start").distinct()
     return M.start_islands(rows, 2)
 
 
@@ -399,10 +440,7 @@ def l03(spark, sf):
 
 @query("O01_coordinate_sort", "SELECT contig, start, count(*) AS n, row_number() OVER (ORDER BY contig, start) AS place FROM reads_v GROUP BY contig, start")
 def o01(spark, sf):
-    from pyspark.sql import Window
-
-    rows = _reads(spark, sf).groupBy("contig", "start").agg(F.count("*").alias("n"))
-    return rows.repartitionByRange("contig", "start").sortWithinPartitions("contig", "start").withColumn("place", F.row_number().over(Window.orderBy("contig", "start")).cast("long"))
+    return numbered(_reads(spark, sf).groupBy("contig", "start").agg(F.count("*").alias("n")), ["contig", "start"])
 
 
 @query("K09_sam_lines", "SELECT qname || chr(9) || flag || chr(9) || contig || chr(9) || (start + 1) || chr(9) || mapq || chr(9) || cigar || chr(9) || mate_contig || chr(9) || (mate_start + 1) || chr(9) || insert_size || chr(9) || seq || chr(9) || qual || chr(9) || 'DQ:Z:' || line AS value FROM reads_v")
@@ -439,6 +477,33 @@ def v03(spark, sf):
     return groups.groupBy("group_size").agg(F.count("*").alias("n_groups"))
 
 
+@query("V03_tolerant_complexity", """WITH p AS (SELECT substring(seq, 1, 8) AS prefix, count(*) AS n FROM reads_v GROUP BY ALL), w AS (SELECT prefix, n, k, substring(prefix, 1, k::INT - 1) || '_' || substring(prefix, k::INT + 1) AS key FROM p, range(1, 9) t(k)),
+low AS (SELECT key, min(prefix) AS low FROM w GROUP BY key), r AS (SELECT prefix, any_value(n) AS n, min(low) AS leader FROM w JOIN low USING (key) GROUP BY prefix), g AS (SELECT leader, sum(n)::BIGINT AS n FROM r GROUP BY leader)
+SELECT n AS group_size, count(*) AS n_groups FROM g GROUP BY ALL""")
+def v03_tolerant(spark, sf):
+    counts = _reads(spark, sf).groupBy(F.substring("seq", 1, 8).alias("prefix")).agg(F.count("*").alias("n"))
+    return T.tolerant_groups(counts, 8).groupBy(F.col("n").alias("group_size")).agg(F.count("*").alias("n_groups"))
+
+
+@query("V07_gc_bias", """WITH s AS (SELECT 'chr' || c AS contig, string_agg(translate(md5(c || k::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGN'), '' ORDER BY k) AS seq FROM (VALUES ('A'), ('N'), ('R')) v(c), range(0, 625) t(k) GROUP BY c),
+w AS (SELECT contig, k AS w, substring(seq, (k * 100)::INT + 1, 100) AS part FROM s, range(0, 200) t(k)), g AS (SELECT contig, w, floor(length(regexp_replace(part, '[^GC]', '', 'g')) / length(regexp_replace(part, '[^ACGT]', '', 'g')) * 100)::BIGINT AS gc FROM w),
+h AS (SELECT contig, start // 100 AS w, count(*) AS starts FROM reads_v GROUP BY ALL) SELECT gc, count(*) AS windows, coalesce(sum(starts), 0)::BIGINT AS starts FROM g LEFT JOIN h USING (contig, w) GROUP BY gc""")
+def v07_gc(spark, sf):
+    from ..operators import pileup
+
+    letters = F.translate(F.md5(F.concat("c", F.col("k").cast("string")).cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGN")
+    each = spark.createDataFrame([("A",), ("N",), ("R",)], "c string").select("c", F.explode(F.sequence(F.lit(0), F.lit(624))).alias("k")).withColumn("s", letters)
+    contigs = each.groupBy(F.concat(F.lit("chr"), "c").alias("contig")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda p: p["s"]), "").alias("seq"))
+    return T.gc_windows(_reads(spark, sf).select("contig", F.col("start").alias("pos")), pileup.reference_chunks(contigs))
+
+
+@query("V08_target_metrics", """WITH t AS (SELECT c.contig, c.pos, c.value, EXISTS (SELECT 1 FROM features_v f WHERE f.contig = c.contig AND c.pos BETWEEN f.start AND f."end") AS inside FROM coverage_v c),
+h AS (SELECT f.name, count(c.pos) AS n FROM features_v f LEFT JOIN coverage_v c ON f.contig = c.contig AND c.pos BETWEEN f.start AND f."end" GROUP BY f.name)
+SELECT sum(value) FILTER (inside)::BIGINT AS on_target, sum(value) FILTER (NOT inside)::BIGINT AS off_target, round(sum(value) FILTER (inside) / sum(value), 9) AS selected, (SELECT count(*) FROM h) AS targets, (SELECT count(*) FROM h WHERE n = 0) AS untouched FROM t""")
+def v08_targets(spark, sf):
+    return T.target_metrics(view(spark, sf, "coverage_v"), view(spark, sf, "features_v"))
+
+
 @query("V04_insert_metrics", """WITH r AS (SELECT orientation, abs(insert_size) AS s FROM reads_v WHERE insert_size <> 0), m AS (SELECT orientation, median(s) AS median FROM r GROUP BY ALL),
 d AS (SELECT orientation, median(abs(s - median)) AS mad FROM r JOIN m USING (orientation) GROUP BY ALL)
 SELECT orientation, any_value(median) AS median, any_value(mad) AS mad, count(*) AS n, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS sd FROM r JOIN m USING (orientation) JOIN d USING (orientation) WHERE s <= median + 2 * mad GROUP BY ALL""")
@@ -491,12 +556,11 @@ def v12(spark, sf):
     return _reads(spark, sf).where(keep).select("order_id", "line")
 
 
-@query("V13_depth", """WITH r AS (SELECT contig, start + CASE WHEN k < 12 THEN k ELSE k + 3 END AS pos FROM reads_v, range(0, 32) t(k) WHERE cigar = '12M3D20M')
-SELECT contig, pos::INT AS pos, least(count(*), 20) AS depth, greatest(count(*) - 20, 0) AS excluded FROM r GROUP BY contig, pos""")
+@query("V13_depth", f"""WITH {SHOWN} SELECT contig, pos::INT AS pos, least(count(*), 20) AS depth, greatest(count(*) - 20, 0) AS excluded FROM shown WHERE op = 'M' GROUP BY contig, pos""")
 def v13(spark, sf):
     from ..operators import pileup
 
-    return pileup.depth(_reads(spark, sf).where("cigar = '12M3D20M'"), 20)
+    return pileup.depth(_reads(spark, sf), 20)
 
 
 @query("V15_merged_sorted", "SELECT contig, start, line FROM reads_v WHERE line IN (1, 2)")
@@ -505,11 +569,12 @@ def v15(spark, sf):
     return rows.where("line = 1").unionByName(rows.where("line = 2")).repartitionByRange("contig", "start").sortWithinPartitions("contig", "start")
 
 
-@query("O05_merged", "SELECT line, count(*) AS n FROM reads_v WHERE line IN (1, 2, 3) GROUP BY ALL")
+@query("O05_merged", "SELECT contig, start, line, row_number() OVER (ORDER BY contig, start, line) AS place FROM (SELECT DISTINCT contig, start, line FROM reads_v)")
 def o05(spark, sf):
-    rows = _reads(spark, sf).select("contig", "start", "line")
-    merged = rows.where("line = 1").unionByName(rows.where("line = 2")).unionByName(rows.where("line = 3"))
-    return merged.groupBy("line").agg(F.count("*").alias("n"))
+    """Seven sorted files merged into one order."""
+    rows = _reads(spark, sf).select("contig", "start", "line").distinct()
+    merged = reduce(DataFrame.unionByName, [rows.where(F.col("line") == k) for k in range(1, 8)])
+    return numbered(merged, ["contig", "start", "line"])
 
 
 @query("V16_downsampled")

@@ -60,7 +60,7 @@ COVERAGE = "SELECT l_returnflag AS contig, l_partkey AS pos, count(*) AS value F
 
 #: Molecules with both ends and two barcodes.
 MOLECULES = """
-SELECT l_returnflag AS sample, 'c1' AS contig, l_orderkey * 10 + l_linenumber AS molecule, l_partkey AS left_start, l_partkey + 100 + l_suppkey % 40 AS right_end,
+SELECT l_returnflag AS sample, concat('c', CAST(l_suppkey % 2 + 1 AS STRING)) AS contig, l_orderkey * 10 + l_linenumber AS molecule, l_partkey AS left_start, l_partkey + 100 + l_suppkey % 40 AS right_end,
   substring(translate(md5(CAST(l_suppkey % 9 AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACGN'), 1, 3) AS left_bc,
   substring(translate(md5(CAST(l_partkey % 7 AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACGN'), 1, 3) AS right_bc,
   concat('q', CAST(l_orderkey % 5000 AS STRING)) AS qname, CAST(l_orderkey % 900 - 100 AS INT) AS insert_size, CAST(l_suppkey % 30 AS INT) AS n_clipped,
