@@ -27,9 +27,9 @@ from .batches import with_columns
 #: Longest piece, in bytes, that is not folded, and the width of a fold.
 LONGEST_ROW, FOLD = 2048, 512
 #: Cells of a matrix.
-CELLS = 1 << 20
-#: Bytes of pieces and ids that a worker remembers before it starts anew.
-REMEMBERED = 64 << 20
+CELLS = 1 << 18
+#: Bytes of pieces and ids that a worker remembers before it starts anew; what each piece and id takes besides.
+REMEMBERED, PIECE_BYTES, ID_BYTES = 96 << 20, 200, 40
 _NONE = np.int64(1 << 40)
 
 
@@ -181,7 +181,7 @@ class Codec:
                 raw = [p.encode() for p in own[first : first + step]]
                 made = self._rows(raw) if width else [self._folded(b) for b in raw]
                 self.known.update(zip(own[first : first + step], made, strict=True))
-                self.held += sum(map(len, raw)) + 8 * sum(map(len, made))
+                self.held += PIECE_BYTES * len(raw) + sum(map(len, raw)) + ID_BYTES * sum(map(len, made))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.pattern.findall(t) if t else [] for t in texts]
