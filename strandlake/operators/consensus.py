@@ -34,7 +34,7 @@ def allele_counts(bases: DataFrame, min_phred: int = 0) -> DataFrame:
     passing = F.col("phred").isNull() | (F.col("phred") >= min_phred)
     return bases.where(passing).groupBy(*MOLECULE, "strand", "allele").agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("phred") >= 30).alias("n_q2"),
+        F.count_if(F.col("phred").isNull() | (F.col("phred") >= 30)).alias("n_q2"),
         F.sum("phred").alias("phred_sum"),
         F.max("lig_dist").alias("max_lig"),
     )
@@ -102,9 +102,21 @@ def assays(params: Params) -> dict[str, Column]:
 
 def graded_molecules(bases: DataFrame, params: Params = Params(), more: dict[str, Column] | None = None) -> DataFrame:
     """Molecules with a column for each assay and their quality; `more` holds further assays by name."""
+    return grade(molecules(strand_consensus(allele_counts(bases))), params, more)
+
+
+def grade(made: DataFrame, params: Params = Params(), more: dict[str, Column] | None = None) -> DataFrame:
+    """`molecules` with a column for each assay and their quality."""
     own = assays(params) | (more or {})
-    made = molecules(strand_consensus(allele_counts(bases))).withColumns(own)
-    return made.withColumn("quality", lattice.combine([F.col(name) for name in own]))
+    return made.withColumns(own).withColumn("quality", lattice.combine([F.col(name) for name in own]))
+
+
+def graded_support(graded: DataFrame) -> DataFrame:
+    """Molecules that support each allele of each place, by their quality; atrocious ones support none."""
+    kept = graded.where(F.col("quality") > lattice.ATROCIOUS)
+    return kept.groupBy(*LOCATION, F.coalesce("top_allele", "bottom_allele").alias("allele")).agg(
+        F.count("*").alias("n_all"), F.count_if(F.col("quality") >= lattice.GOOD).alias("n_good"), F.count_if(F.col("quality") >= lattice.DUBIOUS).alias("n_good_dubious")
+    )
 
 
 def molecule_mapping_quality(bases: DataFrame) -> DataFrame:
@@ -113,11 +125,15 @@ def molecule_mapping_quality(bases: DataFrame) -> DataFrame:
 
 
 def disagreements(bases: DataFrame, wildtype: str, params: Params = Params()) -> DataFrame:
+    """As `disagreeing`, from bases."""
+    return disagreeing(molecules(strand_consensus(allele_counts(bases))), wildtype, params)
+
+
+def disagreeing(made: DataFrame, wildtype: Column | str, params: Params = Params()) -> DataFrame:
     """Molecules whose strands agree with themselves but not with each other.
 
     fst is the wildtype side if there is one, snd the mutant; has_wt tells the two files apart.
     """
-    made = molecules(strand_consensus(allele_counts(bases)))
     enough = (F.col("top_n_strand") >= params.minReadsPerStrandForDisagreement) & (F.col("bottom_n_strand") >= params.minReadsPerStrandForDisagreement)
     found = made.where((F.col("top_allele") != F.col("bottom_allele")) & enough & passes(params.minConsensusThresholdQ1))
     top_wild, bottom_wild = F.col("top_allele") == wildtype, F.col("bottom_allele") == wildtype
