@@ -195,5 +195,31 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN words_hit USING (k) LEFT JOIN items_hit USING (k)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op9_quality_rules": OP9_SQL, "op10_url_filter": OP10_SQL}
+OP8_SQL = """
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, encode(coalesce(text, '')) AS b FROM documents
+), strings AS (
+  SELECT r, doc, k, array_slice(b, k, k + 49) AS part FROM (SELECT r, doc, b, unnest(range(1, octet_length(b) - 48)) AS k FROM rows WHERE octet_length(b) >= 50)
+), least_doc AS (
+  SELECT part, min(doc) AS low FROM strings GROUP BY part
+), hits AS (
+  SELECT r, k FROM strings JOIN least_doc USING (part) WHERE low < doc
+), marked AS (
+  SELECT r, k, CASE WHEN k - lag(k) OVER (PARTITION BY r ORDER BY k) <= 50 THEN 0 ELSE 1 END AS f FROM hits
+), spans AS (
+  SELECT r, min(k) AS a, max(k) + 50 AS z FROM (SELECT r, k, sum(f) OVER (PARTITION BY r ORDER BY k) AS i FROM marked) GROUP BY r, i
+), pieces AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS p, a AS q FROM spans UNION ALL SELECT r, max(z), NULL FROM spans GROUP BY r
+), kept AS (
+  SELECT r, string_agg(CASE WHEN coalesce(q, octet_length(b) + 1) > p THEN hex(array_slice(b, p, coalesce(q, octet_length(b) + 1) - 1)) ELSE '' END, '' ORDER BY p) AS h
+  FROM pieces JOIN rows USING (r) GROUP BY r
+), removed AS (
+  SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  CASE WHEN h IS NULL THEN sha256(b) ELSE sha256(unhex(h)) END AS kept_sha256
+FROM rows LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_repeats": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_url_filter": OP10_SQL}
 REPORT_SQL: dict[str, str] = {"quality_ablations": ABLATIONS_SQL}
