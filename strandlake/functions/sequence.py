@@ -155,6 +155,12 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def drawn(seed: int, *parts: Column) -> Column:
+    """A number from 0 to 999,999 that texts and a seed give; any engine with MD5 gives the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % 1_000_000
+
+
 def read_key(name: Column, first: Column, negative: Column, start: Column, supplementary: Column) -> Column:
     """Key of a read: name, number in the pair, strand and start, with a suffix for supplementary ones."""
     suffix = F.when(supplementary, "--suppl").otherwise("")

@@ -63,12 +63,12 @@ def filter_ledger(reads: DataFrame, named: dict[str, Column]) -> DataFrame:
 
 def drop_pairs(reads: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """Drops a share of pairs; mates share a name, hence the decision."""
-    return reads.where(F.pmod(F.xxhash64("qname", F.lit(seed)), F.lit(1_000_000)) >= int(share * 1_000_000))
+    return reads.where(S.drawn(seed, F.col("qname")) >= int(share * 1_000_000))
 
 
 def random_mate_order(reads: DataFrame, seed: int = 0) -> DataFrame:
     """First and second of a pair exchanged for half of the names."""
-    swap = F.pmod(F.xxhash64("qname", F.lit(seed)), F.lit(2)) == 1
+    swap = S.drawn(seed, F.col("qname")) % 2 == 1
     return reads.withColumn("flag", F.when(swap & flagged(PAIRED), F.col("flag").bitwiseXOR(F.lit(192))).otherwise(F.col("flag")))
 
 
@@ -146,4 +146,4 @@ def identical_barcodes(a: DataFrame, b: DataFrame, prefix: int) -> DataFrame:
 def random_positions(contigs: DataFrame, rate: float, seed: int = 0) -> DataFrame:
     """About `rate` of all positions of contigs (contig, length), the same ones for a seed."""
     each = contigs.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("pos"))
-    return each.where(F.pmod(F.xxhash64("contig", "pos", F.lit(seed)), F.lit(1_000_000)) < int(rate * 1_000_000))
+    return each.where(S.drawn(seed, F.col("contig"), F.col("pos")) < int(rate * 1_000_000))

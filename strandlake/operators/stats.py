@@ -81,6 +81,12 @@ def spectrum(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def printed(counts: DataFrame, printers: dict[str, Column]) -> DataFrame:
+    """Counts with keys replaced by their printed form; keys that print alike are added up."""
+    rows = counts.withColumns({k: p.cast("string") for k, p in printers.items()})
+    return rows.groupBy(*[c for c in counts.columns if c != "n"]).agg(F.sum("n").alias("n"))
+
+
 def substitution_spectrum(changes: DataFrame) -> DataFrame:
     """Counts of (fst, snd) with zero for those of the twelve substitutions that are missing."""
     letters = [(a, b) for a in "ACGT" for b in "ACGT" if a != b]

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import drawn
 from . import intervals
 from .reads import FIRST, SECONDARY, SUPPLEMENTARY, flagged
 
@@ -46,6 +47,18 @@ def library_size(pairs: int, unique: int) -> int | None:
     return int(unique * (low + high) / 2)
 
 
+def library_sizes(counts: DataFrame) -> DataFrame:
+    """(library, pairs, unique, library_size) of (library, pairs, unique), a row a library."""
+    import pandas as pd
+
+    def sized(batches):
+        for rows in batches:
+            found = [library_size(int(p), int(u)) for p, u in zip(rows["pairs"], rows["unique"], strict=True)]
+            yield rows.assign(library_size=pd.array(found, "Int64"))
+
+    return counts.mapInPandas(sized, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in counts.schema)}, library_size long")
+
+
 def return_on_investment(size: int, pairs: int, unique: int, times: int = 100) -> list[tuple[int, float]]:
     """(x, unique molecules at x times the sequencing over those now)."""
     return [(x, size * (1 - math.exp(-x * pairs / size)) / unique) for x in range(1, times + 1)]
@@ -160,7 +173,7 @@ def multi_level(reads: DataFrame, levels: list[list[str]], keys: list[str]) -> D
 def downsample(reads: DataFrame, share: float, seed: int = 1) -> DataFrame:
     """A share of names; mates share the decision; secondary and supplementary records are dropped first."""
     kept = reads.where(~flagged(SECONDARY) & ~flagged(SUPPLEMENTARY))
-    return kept.where(F.pmod(F.xxhash64("qname", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return kept.where(drawn(seed, F.col("qname")) < int(share * 1_000_000))
 
 
 def compare(a: DataFrame, b: DataFrame, key: list[str], values: list[str]) -> DataFrame:

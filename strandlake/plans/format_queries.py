@@ -179,11 +179,6 @@ def l01(spark, sf):
     return view(spark, sf, "reads_v").groupBy("contig", "start").agg(F.slice(F.array_sort(F.collect_set("qname")), 1, 20).alias("names"))
 
 
-@query("T06_samples_together", "SELECT pos // 160 AS chunk, count(DISTINCT sample) AS samples, count(*) AS n FROM bases_v GROUP BY ALL")
-def t06(spark, sf):
-    return view(spark, sf, "bases_v").groupBy(F.floor(F.col("pos") / 160).alias("chunk")).agg(F.countDistinct("sample").alias("samples"), F.count("*").alias("n"))
-
-
 @query("V20_index_statistics", "SELECT contig, count(*) FILTER (flag & 4 = 0) AS aligned, count(*) FILTER (flag & 4 <> 0) AS unaligned FROM reads_v GROUP BY contig")
 def v20(spark, sf):
     return view(spark, sf, "reads_v").groupBy("contig").agg(F.count_if(~reads.flagged(4)).alias("aligned"), F.count_if(reads.flagged(4)).alias("unaligned"))

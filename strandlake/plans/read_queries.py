@@ -92,12 +92,12 @@ def f16(spark, sf):
     return _reads(spark, sf).select("order_id", "line", "start", "cigar", "seq", "qual").orderBy("order_id", "line", "start", "cigar", "seq", "qual").limit(100)
 
 
-@query("F17_drop_pairs")
+@query("F17_drop_pairs", "SELECT qname, line FROM reads_v WHERE ('0x' || substring(md5('4:' || qname), 1, 8))::BIGINT % 1000000 >= 300000")
 def f17(spark, sf):
     return R.drop_pairs(_reads(spark, sf), 0.3, seed=4).select("qname", "line")
 
 
-@query("F18_random_mate_order")
+@query("F18_random_mate_order", "SELECT qname, line, CASE WHEN ('0x' || substring(md5('4:' || qname), 1, 8))::BIGINT % 1000000 % 2 = 1 AND flag & 1 <> 0 THEN xor(flag, 192) ELSE flag END AS flag FROM reads_v")
 def f18(spark, sf):
     return R.random_mate_order(_reads(spark, sf), seed=4).select("qname", "line", "flag")
 
@@ -467,8 +467,7 @@ def _pairs(spark, sf):
 @query("V02_duplication_metrics")
 def v02(spark, sf):
     marked = T.mark_duplicates(_pairs(spark, sf)).groupBy("library").agg(F.count("*").alias("pairs"), F.count_if(~F.col("duplicate")).alias("unique"))
-    sized = [(r["library"], r["pairs"], r["unique"], T.library_size(r["pairs"], r["unique"])) for r in marked.collect()]
-    return spark.createDataFrame(sized, "library int, pairs long, unique long, library_size long")
+    return T.library_sizes(marked)
 
 
 @query("V03_library_complexity", """WITH g AS (SELECT substring(seq, 1, 8) AS prefix, count(*) AS n FROM reads_v GROUP BY ALL) SELECT n AS group_size, count(*) AS n_groups FROM g GROUP BY ALL""")
@@ -577,7 +576,7 @@ def o05(spark, sf):
     return numbered(merged, ["contig", "start", "line"])
 
 
-@query("V16_downsampled")
+@query("V16_downsampled", "SELECT qname, line FROM reads_v WHERE flag & 256 = 0 AND flag & 2048 = 0 AND ('0x' || substring(md5('1:' || qname), 1, 8))::BIGINT % 1000000 < 400000")
 def v16(spark, sf):
     return T.downsample(_reads(spark, sf), 0.4).select("qname", "line")
 
@@ -622,7 +621,7 @@ def v19(spark, sf):
     return T.extract_sequences(view(spark, sf, "features_v"), pileup.reference_chunks(contigs, 1000), 1000)
 
 
-@query("S13_random_positions")
+@query("S13_random_positions", "WITH l AS (SELECT contig, max(pos) AS last FROM coverage_v GROUP BY contig), p AS (SELECT contig, unnest(range(0, last + 1)) AS pos FROM l) SELECT contig, pos FROM p WHERE ('0x' || substring(md5('3:' || contig || ':' || pos), 1, 8))::BIGINT % 1000000 < 50000")
 def s13(spark, sf):
     lengths = view(spark, sf, "coverage_v").groupBy("contig").agg((F.max("pos") + 1).alias("length"))
     return R.random_positions(lengths, 0.05, seed=3)

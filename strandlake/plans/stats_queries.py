@@ -70,3 +70,11 @@ def v09(spark, sf):
 @query("P01_named_predicates", "SELECT 'covered' AS predicate, count(*) AS total FROM coverage_v WHERE value > 5 UNION ALL SELECT 'first contig', count(*) FROM coverage_v WHERE contig = 'A'")
 def p01(spark, sf):
     return S.by_predicate(view(spark, sf, "coverage_v"), {"covered": F.col("value") > 5, "first contig": F.col("contig") == "A"}, F.lit(1))
+
+
+@query("P05_printed_keys", "SELECT contig, 'bin ' || (pos // 250) || CASE WHEN value > 9 THEN '+' ELSE '' END AS bin, count(*) AS n FROM coverage_v GROUP BY ALL")
+def p05(spark, sf):
+    """Counter keys in a form of one's own, with a mark beside the bin."""
+    rows = view(spark, sf, "coverage_v").select("contig", F.struct(F.floor(F.col("pos") / 250).alias("bin"), (F.col("value") > 9).alias("deep")).alias("bin"))
+    text = F.concat(F.lit("bin "), F.col("bin.bin").cast("string"), F.when(F.col("bin.deep"), "+").otherwise(""))
+    return S.printed(S.spectrum(rows, ["contig", "bin"]), {"bin": text})

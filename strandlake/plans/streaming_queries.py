@@ -43,26 +43,40 @@ def t04(spark, sf):
 s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT min(ts) AS window_start, max(ts) + INTERVAL '12 hours' AS window_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def t03(spark, sf):
-    made = W.sessions(table(spark, sf, "events"), "ts", "12 hours", "1 day", ["user_id"], {"n": F.count("*")})
-    return made
+    made = W.sessions(_events(spark, sf), "ts", "12 hours", "1 day", ["user_id"], {"n": F.count("*")})
+    return _plain(W.drained(made, "complete", lambda: _folder(spark))).withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
-@query("T01_positions_as_time", "SELECT make_timestamp((pos // 160 * 160 * 1000000)::BIGINT) AS window_start, sum(value)::BIGINT AS total FROM coverage_v GROUP BY ALL")
+@query("T01_positions_as_time", "SELECT make_timestamp((l_partkey // 160 * 160 * 1000000)::BIGINT) AS window_start, count(*) AS total FROM lineitem GROUP BY ALL")
 def t01(spark, sf):
-    from ..standins import view
-
-    rows = W.position_time(view(spark, sf, "coverage_v"), "pos")
-    return _plain(W.tumbling(rows, "at", "160 seconds", "1000 seconds", [], {"total": F.sum("value")}))
+    schema = table(spark, sf, "lineitem").schema
+    rows = W.position_time(W.stream(spark, f"{sf}/lineitem.parquet", schema), "l_partkey")
+    return _plain(W.drained(W.tumbling(rows, "at", "160 seconds", "100000 seconds", [], {"total": F.count("*")}), "complete", lambda: _folder(spark)))
 
 
 @query("T05_ordered_events", "SELECT event_id, ts FROM events")
 def t05(spark, sf):
-    """Rows in time order for each user: numbered here by time, so no error can be raised."""
-    from pyspark.sql import Window
+    """Events in the order of their ids, which must be that of their times for each user; else it is an error."""
+    rows = table(spark, sf, "events").select("event_id", "user_id", "ts").withColumn("sequence", F.col("event_id"))
+    return W.ordered_or_error(rows, ["user_id"], "ts").select("event_id", "ts")
+
+
+@query("T06_samples_together", """WITH m AS (SELECT min(p) AS barrier FROM (SELECT max(pos) AS p FROM bases_v GROUP BY sample))
+SELECT pos // 40 AS chunk, count(DISTINCT sample) AS samples, count(*) AS n FROM bases_v, m WHERE (pos // 40 + 1) * 40 <= barrier GROUP BY ALL""")
+def t06(spark, sf):
+    from ..standins import view
+
+    ready = W.ready_chunks(view(spark, sf, "bases_v"), "pos", 40)
+    return ready.groupBy("chunk").agg(F.countDistinct("sample").alias("samples"), F.count("*").alias("n"))
+
+
+@query("T07_overlapping_chunks", """WITH c AS (SELECT start, unnest(range(start // 160, (start + 250) // 160 + 1)) AS chunk FROM reads_v)
+SELECT chunk, count(*) FILTER (chunk = start // 160) AS own, count(*) FILTER (chunk <> start // 160) AS early FROM c GROUP BY chunk""")
+def t07(spark, sf):
+    from ..standins import view
 
-    rows = table(spark, sf, "events").select("event_id", "user_id", "ts")
-    numbered = rows.withColumn("sequence", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return W.ordered_or_error(numbered, ["user_id"], "ts").select("event_id", "ts")
+    rows = W.overlapping_chunks(view(spark, sf, "reads_v").select("start"), "start", 160, 250)
+    return rows.groupBy("chunk").agg(F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("early"))
 
 
 @query("T08_drained_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY ALL")

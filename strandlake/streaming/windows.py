@@ -34,6 +34,23 @@ def distinct_within(rows: DataFrame, time: str, lateness: str, keys: list[str])
     return rows.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
 
 
+def ready_chunks(rows: DataFrame, pos: str, width: int) -> DataFrame:
+    """Rows with `chunk`, of chunks that every sample has passed: the barrier before a chunk is processed."""
+    reached = rows.groupBy("sample").agg(F.max(pos).alias("reached")).agg(F.min("reached").alias("barrier"))
+    chunked = rows.withColumn("chunk", F.floor(F.col(pos) / width)).join(F.broadcast(reached))
+    return chunked.where((F.col("chunk") + 1) * width <= F.col("barrier")).drop("barrier")
+
+
+def overlapping_chunks(rows: DataFrame, pos: str, width: int, early: int) -> DataFrame:
+    """Rows with each `chunk` that needs them: their own, and later ones that start within `early` places.
+
+    `own` tells the first kind; a chunk reads the others early, to know what reaches into it.
+    """
+    last = F.floor((F.col(pos) + early) / width)
+    chunks = F.sequence(F.floor(F.col(pos) / width), last)
+    return rows.withColumn("chunk", F.explode(chunks)).withColumn("own", F.col("chunk") == F.floor(F.col(pos) / width))
+
+
 def position_time(rows: DataFrame, pos: str) -> DataFrame:
     """Positions as event time, a second each, so that windows of positions are windows of time."""
     return rows.withColumn("at", F.timestamp_seconds(F.col(pos)))
