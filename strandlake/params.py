@@ -90,6 +90,10 @@ class Params:
                 given[name] = value.lower() == "true" if kinds[name] is bool else kinds[name](value)
         return replace(cls(), **given).validated()
 
+    def changed(self) -> list[tuple[str, str]]:
+        """(name, value) of what differs from the defaults, in order of names."""
+        return sorted((f.name, str(getattr(self, f.name))) for f in fields(self) if getattr(self, f.name) != f.default)
+
     def sweep(self, name: str, low: float, high: float, steps: int = 10) -> list[Params]:
         """Copies with `name` at evenly spaced values, both ends included."""
         kind = type(getattr(self, name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions import sequence as S
 from ..operators import intervals, reads, stats
 from ..operators.calls import element
 from ..operators.order import numbered
-from ..session import table
+from ..params import Params
+from ..session import shared_folder, table
 from ..sources import readers, sinks
 from ..standins import view
 from .registry import query
@@ -206,3 +209,19 @@ def s04(spark, sf):
 def p06(spark, sf):
     rows = view(spark, sf, "coverage_v").groupBy("contig")
     return rows.agg(F.array_sort(F.collect_set("value")).alias("seen"), F.slice(F.array_sort(F.collect_list("value")), 1, 5).alias("lowest"))
+
+
+@query("S12_parameters", "SELECT * FROM (VALUES ('alignmentPositionMismatchAllowed', '5'), ('ignoreTandemRFPairs', 'True'), ('maxInsertSize', '2000'), ('minConsensusThresholdQ2', '0.9'), ('minMappingQualityQ1', '30')) v(name, value)")
+def s12(spark, sf):
+    """Parameters of a command line that differ from their defaults."""
+    words = "-minMappingQualityQ1 30 -ignoreTandemRFPairs -maxInsertSize 2000 -minConsensusThresholdQ2 0.9 -alignmentPositionMismatchAllowed 5 -minReadsPerStrandQ2 3"
+    return spark.createDataFrame(Params.parse(words.split()).changed(), "name string, value string")
+
+
+@query("S10_fastq", "SELECT qname || ' ' || line AS name, seq, qual FROM reads_v")
+def s10(spark, sf):
+    """Reads written as FASTQ text to the shared folder, and read again from there."""
+    folder = f"{shared_folder(spark).rstrip('/')}/fastq-{uuid.uuid4().hex}"
+    record = F.concat(F.lit("@"), "qname", F.lit(" "), F.col("line").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
+    view(spark, sf, "reads_v").select(record.alias("value")).write.text(folder)
+    return readers.fastq(spark, folder).select("name", "seq", "qual")

@@ -13,7 +13,7 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     found = __spark_entry__.entry(spark)
-    assert found.count() > 0 and found.columns == ["sample", "pos", "allele", "n_all", "n_good", "n_good_dubious"]
+    assert found.count() > 0 and found.columns == ["sample", "contig", "pos", "half", "allele", "n_all", "n_good", "n_good_dubious"]
 
 
 def test_every_sql_has_its_query():
