@@ -246,6 +246,13 @@ def test_contamination_against_loops(spark, docs, monkeypatch, block):
     assert sorted(r["doc_id"] for r in got) == sorted(k for k, _ in texts)
 
 
+def test_contamination_of_clashing_columns(spark, docs):
+    names = ("h", "w", "at", "token", "items", "size", "window", "n_words", "start", "length", "copies")
+    bench = spark.createDataFrame([(1, "a b c"), (None, "c d")], "item_id long, text string").withColumns({c: F.lit("x") for c in names})
+    rows = decontaminate.contamination(docs("x a b c", None, "c d").withColumns({c: F.lit(1) for c in names}), bench).collect()
+    assert sorted((r["doc_id"], r["n_hit"], r["items"]) for r in rows) == [(0, 3, ["1"]), (1, 0, []), (2, 2, [])]
+
+
 def test_contamination_of_empty_tables(spark, docs):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontaminate.contamination(docs("x").limit(0), bench).collect() == []

@@ -94,3 +94,14 @@ def test_odd_documents_pass(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         rows = stage(spark, rows, FOLDER)
     assert rows.collect() == []
+
+
+def test_extra_columns_do_not_matter(spark, docs):
+    """Every stage takes tables with further columns of names that it uses itself."""
+    texts = ["ein kurzer Text mit token=abcdef und mehr", None, "noch ein anderer Text ohne etwas"]
+    names = ("spans", "root", "t", "__t", "__key", "r", "h", "w", "ids", "n_tokens", "decoded", "lang_pred", "score", "rejected", "items", "value", "label")
+    for _, stage in corpus_pipeline.STAGES:
+        plain = stage(spark, docs(*texts), FOLDER)
+        more = stage(spark, docs(*texts).withColumns({n: F.lit("x") for n in names}), FOLDER)
+        assert more.columns == plain.columns
+        assert sorted(map(str, more.collect())) == sorted(map(str, plain.collect()))
