@@ -6,8 +6,12 @@ order; of two sets with similarity p or more, the first n - ceil(p n) + 1 shingl
 Only these prefixes are dealt out by shingle. Shingles that a sample of the texts has often come last,
 so that prefixes hold few common ones; the rest are ordered by hash. Any order gives the same pairs.
 
-Every text meets a few leaders of each of its shingles first, and after that only texts that are still
-outside of the shingle's largest component meet the others. The closure is that of all pairs.
+Every text meets a few leaders of each of its shingles first. After that, texts of a shingle that are in
+different components meet each other if the shingle has `DENSE` texts at most. Those of a denser one (a
+large group of near copies, most pairs of which may be too far apart) are known by what tells them from
+one leader: two texts are as far apart as these differences are, so only texts that differ from the
+leader in one and the same rare shingle need to meet, and texts so near the leader that they need not
+share any are linked to the nearest of them. The closure is that of all pairs.
 
 Candidates are filtered by the Manhattan distance of the sets' counts over bins of hashes (a bin for
 about `PER_BIN` shingles), a lower bound of their difference, before whole sets are fetched and
@@ -32,7 +36,7 @@ from .batches import CHUNK_BYTES, chunks, small_batches
 from .components import components
 
 SEED = 42
-LEADERS = 2
+LEADERS, DENSE = 2, 32
 PER_BIN, FEWEST_BINS, MOST_BINS = 4, 32, 1 << 14
 #: Keys of wanted texts up to which they are broadcast, so that texts are not shuffled to be chosen.
 BROADCAST = 1 << 19
@@ -140,18 +144,53 @@ def _sized(n: Column, m: Column, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b), already cut, whose sets really have the similarity."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct())
+def fetched(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(t, s): the sets of wanted texts (t)."""
+    wanted = cut(wanted.distinct())
     few = wanted.count() <= BROADCAST
     once = texts.join(F.broadcast(wanted) if few else wanted, "t", "left_semi").groupBy("t").agg(F.min("text").alias("text"))
-    sets = cut(_sets(once, size))
+    return cut(_sets(once, size))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b), already cut, whose sets really have the similarity."""
+    sets = fetched(pairs.select(F.explode(F.array("a", "b")).alias("t")), texts, size)
     left, right = (sets.select(F.col("t").alias(k), F.col("s").alias(f"s_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("s_a", "s_b"))
     enough = shared * (100 + percent) >= percent * (F.size("s_a") + F.size("s_b"))
     return cut(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"))
 
 
+def near_one_leader(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) that may be links, of texts (t, n, root, leader) of one leader; the closure needs no others.
+
+    Let D be the difference of a text's set from the leader's, and E = |D| (100 + p) - n (100 - p). Two
+    texts are similar if twice what their differences share, times 100 + p, is E + E' or more. If the sum
+    is not positive they are, and so is either one with the text of the least E. Else they share so much
+    that prefixes of their differences meet, which hold the rarest shingles.
+    """
+    members = cut(members.distinct())
+    sets = fetched(members.select(F.explode(F.array("t", "leader")).alias("t")), texts, size)
+    own, head = sets.select("t", F.col("s").alias("own")), sets.select(F.col("t").alias("leader"), F.col("s").alias("head"))
+    apart = F.concat(F.array_except("own", "head"), F.array_except("head", "own"))
+    excess = F.size("d").cast("long") * (100 + percent) - F.col("n") * (100 - percent)
+    rows = cut(members.join(own, "t").join(head, "leader").select("leader", "t", "n", "root", apart.alias("d")).withColumn("e", excess))
+    nearest = rows.groupBy("leader").agg(F.min_by(F.struct("t", "root", "e"), F.struct("e", "t")).alias("m"))
+    placed = cut(rows.join(nearest, "leader").withColumn("sum", F.col("e") + F.col("m.e")).select("leader", "t", "n", "root", "d", "sum", "m"))
+    star = placed.where((F.col("sum") <= 0) & (F.col("root") != F.col("m.root"))).select(F.col("t").alias("a"), F.col("m.t").alias("b"))
+
+    needed = F.greatest(F.ceil(F.col("sum") / (2 * (100 + percent))), F.lit(1))
+    each = placed.select("leader", "t", "n", "root", needed.cast("int").alias("needed"), F.explode("d").alias("x"))
+    counted = each.withColumn("often", F.count("*").over(Window.partitionBy("leader", "x")))
+    ordered = counted.groupBy("leader", "t", "n", "root", "needed").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("xs"))
+    prefix = F.slice("xs", F.lit(1), F.greatest(F.size("xs") - F.col("needed") + 1, F.lit(0)))
+    shown = ordered.select("leader", "t", "n", "root", F.explode(prefix).alias("p")).where("p.often > 1").select("leader", "t", "n", "root", F.col("p.x").alias("x"))
+    left = shown.select("leader", "x", F.col("t").alias("a"), F.col("n").alias("k"), F.col("root").alias("own"))
+    right = shown.select("leader", "x", F.col("t").alias("b"), "n", "root")
+    met = left.join(right, ["leader", "x"]).where((F.col("a") < F.col("b")) & (F.col("own") != F.col("root")) & _sized(F.col("k"), F.col("n"), percent))
+    return star.union(met.select("a", "b"))
+
+
 def _rooted(rows: DataFrame, known: DataFrame) -> DataFrame:
     """`rows` (t, ...) with the component of each text."""
     roots = components(known).select(F.col("node").alias("t"), "root")
@@ -167,17 +206,18 @@ def complete(texts: DataFrame, made: DataFrame, first: DataFrame, size: int = 5,
     members = cut(dealt.withColumn("many", F.count("*").over(Window.partitionBy("g"))).where("many > 1").select("g", "t", "n"))
 
     heads = members.groupBy("g").agg(*[F.min_by(F.struct("t", "n"), F.xxhash64("t", F.lit(k))).alias(f"h{k}") for k in range(LEADERS)])
+    heads = cut(heads)
     led = members.join(heads, "g").select("t", "n", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(LEADERS)]))).alias("h"))
     met = led.where(_sized(F.col("n"), F.col("h.n"), percent)).select(F.col("t").alias("a"), F.col("h.t").alias("b"))
     tested = cut(plausible(first.union(met), made, percent))
     known = verified(tested, texts, size, percent)
 
-    rooted = cut(_rooted(members, known).select("g", "t", "n", "root"))
-    sizes = rooted.groupBy("g", "root").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("g").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    marked = rooted.join(main.select("g", F.col("top.root").alias("top")), "g")
-    outside = marked.where("root <> top").select("g", F.col("t").alias("a"), F.col("n").alias("k"), F.col("root").alias("own"))
-    inside = marked.select("g", F.col("t").alias("b"), "n", "root", (F.col("root") == F.col("top")).alias("in_top"))
-    late = outside.join(inside, "g").where((F.col("own") != F.col("root")) & (F.col("in_top") | (F.col("a") < F.col("b"))) & _sized(F.col("k"), F.col("n"), percent))
-    fresh = cut(plausible(late.select("a", "b"), made, percent).join(tested, ["a", "b"], "left_anti"))
-    return known.union(verified(fresh, texts, size, percent))
+    by_shingle = Window.partitionBy("g")
+    rooted = _rooted(members, known).withColumns({"low": F.min("root").over(by_shingle), "high": F.max("root").over(by_shingle), "many": F.count("*").over(by_shingle)})
+    rooted = cut(rooted.where("low <> high").select("g", "t", "n", "root", "many"))
+    small = rooted.where(F.col("many") <= DENSE)
+    left, right = small.select("g", F.col("t").alias("a"), F.col("n").alias("k"), F.col("root").alias("own")), small.select("g", F.col("t").alias("b"), "n", "root")
+    late = left.join(right, "g").where((F.col("a") < F.col("b")) & (F.col("own") != F.col("root")) & _sized(F.col("k"), F.col("n"), percent)).select("a", "b")
+    led = rooted.where(F.col("many") > DENSE).join(heads.select("g", F.col("h0.t").alias("leader")), "g").select("t", "n", "root", "leader")
+    fresh = plausible(late.union(near_one_leader(led, texts, size, percent)), made, percent).join(tested, ["a", "b"], "left_anti")
+    return known.union(verified(cut(fresh), texts, size, percent))

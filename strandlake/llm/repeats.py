@@ -13,9 +13,9 @@ equal strings always meet. Texts are dealt to homes by a hash of the text. Stage
 4. homes mark what is covered, and hash what is left.
 
 A minimizer with over `HOT` rows of the first stage (a very common passage) has no bucket: its strings
-are rows of their own, reduced to their smallest document by an aggregation that combines before its
-shuffle, and joined back. So no group holds what a common passage, or the edges of its copies, have in
-all homes. Equal texts are one text with its smallest document, in every stage. Texts travel
+are rows of their own, one for each home, with the smallest document of the home; each gets the smallest
+one of all homes from a window over equal strings. So no group holds the edges of a common passage's
+copies, and of one string there is a row for each home (some 6 MB of text) at most. Equal texts are one text with its smallest document, in every stage. Texts travel
 compressed, once. Nothing is sampled or capped.
 
 Defined results: a null text is empty; a text shorter than `length` keeps all; of equal texts all
@@ -51,7 +51,7 @@ LAST = (1 << 63) - 1
 #: Bits of a home in a row of the first stage; the rest are the minimizer's.
 HOME_BITS = 24
 #: Rows of the first stage (one for each batch and home) beyond which a minimizer is hot.
-HOT = 512
+HOT = 4096
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _PACK = zstandard.ZstdCompressor(level=1, write_checksum=False)
 _UNPACK = zstandard.ZstdDecompressor()
@@ -428,7 +428,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     contents = texts.cogroup(shared).applyInArrow(_cut_out(length, buckets), _ddl(CONTENTS))
     answers = contents.groupBy("bucket").applyInArrow(_answer(length), _ddl(TEXTS))
     strings = texts.cogroup(shared).applyInArrow(_hot_strings(length), _ddl(STRINGS))
-    told = strings.join(strings.groupBy("d").agg(F.min("low").alias("least")), "d").where("least < high").select("bucket", "d", "least", "m")
+    told = strings.withColumn("least", F.min("low").over(Window.partitionBy("d"))).where("least < high").select("bucket", "d", "least", "m")
     done = texts.cogroup(answers.unionByName(told, allowMissingColumns=True).groupBy("bucket")).applyInArrow(_finish(length), _ddl(DONE))
 
     narrow = rows.select("doc_id", "doc", F.xxhash64("text").alias("k"), F.octet_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
