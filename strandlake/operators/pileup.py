@@ -73,39 +73,46 @@ def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_las
     rows = rows.join(chunks, ["contig", "chunk"], "left").select(*keep, "contig", "b", "__size", "__seq", "__qual", letters.alias("__letters"))
 
     inserted, matched = F.col("b.op") == "I", F.col("b.op").isin("M", "=", "X")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(inserted, F.lit(0)).otherwise(F.col("b.n") - 1))))
-    if halves:
-        inner = matched & ~(F.col("b.last") & (F.col("k") == F.col("b.n") - 1))
-        rows = rows.withColumn("half", F.explode(F.when(inner, F.array(F.lit(False), F.lit(True))).otherwise(F.array(inserted))))
-    else:
-        rows = rows.withColumn("half", inserted)
-    base = matched & ~F.col("half")
-    letter = lambda c: F.substr(c, F.col("k") + 1, F.lit(1))
-    wt = F.when(base, letter("__letters")).otherwise("")
-    late = base & (F.col("b.read") + F.col("k") >= F.col("__size") - ignore_last)
-    rows = rows.where(~late & (~base | (F.coalesce(letter("__letters"), F.lit("")) != "")))
+    none = F.lit(None).cast("string")
+    blank = lambda s: F.struct(s.alias("s"), none.alias("w"), none.alias("q"))
+    letter = lambda c: F.split(F.coalesce(c, F.lit("")), "")
+    shown = F.when(matched, F.arrays_zip(letter(F.col("__seq")).alias("s"), letter(F.col("__letters")).alias("w"), letter(F.col("__qual")).alias("q")))
+    shown = shown.when(inserted, F.array(blank(F.col("__seq")))).otherwise(F.array_repeat(blank(F.coalesce("b.gone", F.lit(""))), F.col("b.n")))
+    place = F.when(inserted, F.col("b.at") - 1).otherwise(F.col("b.at"))
+    rows = rows.select(
+        *keep, "contig", place.alias("__at"), F.col("b.op").alias("__op"), F.col("b.first").alias("__first"),
+        F.when(F.col("b.last"), F.col("b.n") - 1).otherwise(-1).alias("__end"),
+        (F.col("__size") - ignore_last - F.col("b.read")).alias("__stop"),
+        F.posexplode(shown).alias("__k", "__it"),
+    )
+    matched, inserted = F.col("__op").isin("M", "=", "X"), F.col("__op") == "I"
+    rows = rows.where(~matched | ((F.col("__k") < F.col("__stop")) & (F.coalesce("__it.w", F.lit("")) != "")))
     kind = (
         F.when(inserted, "INSERTION")
-        .when(F.col("b.op") == "D", "DELETION")
-        .when(F.col("b.op") == "N", "INTRON")
-        .when(base & ~matches_reference(letter("__seq"), letter("__letters")), "SUBSTITUTION")
+        .when(F.col("__op") == "D", "DELETION")
+        .when(F.col("__op") == "N", "INTRON")
+        .when(~matches_reference(F.col("__it.s"), F.col("__it.w")), "SUBSTITUTION")
         .otherwise("WILDTYPE")
     )
-    return rows.select(
-        *keep,
-        "contig",
-        F.when(inserted, F.col("b.at") - 1).otherwise(F.col("b.at") + F.col("k")).alias("pos"),
-        "half",
-        kind.alias("kind"),
-        F.when(inserted, F.col("__seq")).when(base, letter("__seq")).otherwise(F.coalesce("b.gone", F.lit(""))).alias("seq"),
-        wt.alias("wt"),
-        F.when(base, F.ascii(letter("__qual")) - 33).alias("phred"),
-        (F.col("b.op").isin("D", "N") & ~(F.col("b.first") & (F.col("k") == 0))).alias("hidden"),
-    )
+    hidden = F.col("__op").isin("D", "N") & ~(F.col("__first") & (F.col("__k") == 0))
+    made = rows.select(
+        *keep, "contig", (F.col("__at") + F.col("__k")).alias("pos"), inserted.alias("half"), kind.alias("kind"), F.col("__it.s").alias("seq"), F.coalesce("__it.w", F.lit("")).alias("wt"),
+        (F.ascii("__it.q") - 33).alias("phred"), hidden.alias("hidden"), (matched & (F.col("__k") != F.col("__end"))).alias("__inner"),
+    )
+    if not halves:
+        return made.drop("__inner")
+    # a base that is not its block's last stands for the gap after it too
+    both = made.withColumn("__gap", F.explode(F.when(F.col("__inner"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    gap = F.col("__gap")
+    return both.select(
+        *keep, "contig", "pos", (F.col("half") | gap).alias("half"), F.when(gap, "WILDTYPE").otherwise(F.col("kind")).alias("kind"), F.when(gap, "").otherwise(F.col("seq")).alias("seq"),
+        F.when(gap, "").otherwise(F.col("wt")).alias("wt"), F.when(~gap, F.col("phred")).alias("phred"), "hidden",
+    )
 
 
 def pileup(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Reads for each allele at each place."""
+    """Reads for each allele at each place; hidden places of deletions are counted by kind, without their letters."""
+    rows = rows.withColumn("seq", F.when(F.col("hidden"), "").otherwise(F.col("seq")))
     return rows.groupBy(*keys, "contig", "pos", "half", "kind", "seq").agg(F.count("*").alias("n_reads"), F.sum("phred").alias("phred_sum"), F.min("hidden").alias("hidden"))
 
 

@@ -382,8 +382,8 @@ shown AS (SELECT order_id, line, contig, start + ref + k AS pos, false AS half,
   UNION ALL SELECT order_id, line, contig, start + ref + k, false, (start + ref) || '+' || len, op, NULL, k > 0 FROM e WHERE op IN ('D', 'N'))"""
 
 
-@query("A08_pileup", f"""WITH {SHOWN} SELECT contig, pos::INT AS pos, half, CASE op WHEN 'I' THEN 'INSERTION' WHEN 'D' THEN 'DELETION' WHEN 'N' THEN 'INTRON' WHEN 'M' THEN CASE WHEN seq = 'A' THEN 'WILDTYPE' ELSE 'SUBSTITUTION' END ELSE 'WILDTYPE' END AS kind,
-  seq, count(*) AS n_reads, sum(phred)::BIGINT AS phred_sum, bool_and(hidden) AS hidden FROM shown GROUP BY ALL""")
+@query("A08_pileup", f"""WITH {SHOWN} SELECT contig, pos::INT AS pos, half, CASE op WHEN 'I' THEN 'INSERTION' WHEN 'D' THEN 'DELETION' WHEN 'N' THEN 'INTRON' WHEN 'M' THEN CASE WHEN shown.seq = 'A' THEN 'WILDTYPE' ELSE 'SUBSTITUTION' END ELSE 'WILDTYPE' END AS kind,
+  CASE WHEN hidden THEN '' ELSE seq END AS seq, count(*) AS n_reads, sum(phred)::BIGINT AS phred_sum, bool_and(hidden) AS hidden FROM shown GROUP BY ALL""")
 def a08(spark, sf):
     from ..operators import pileup
 
