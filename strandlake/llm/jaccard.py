@@ -36,7 +36,7 @@ from .batches import CHUNK_BYTES, chunks, small_batches
 from .components import components
 
 SEED = 42
-LEADERS, DENSE = 2, 32
+LEADERS, DENSE = 2, 16
 PER_BIN, FEWEST_BINS, MOST_BINS = 4, 32, 1 << 14
 #: Keys of wanted texts up to which they are broadcast, so that texts are not shuffled to be chosen.
 BROADCAST = 1 << 19
@@ -166,8 +166,9 @@ def near_one_leader(members: DataFrame, texts: DataFrame, size: int, percent: in
 
     Let D be the difference of a text's set from the leader's, and E = |D| (100 + p) - n (100 - p). Two
     texts are similar if twice what their differences share, times 100 + p, is E + E' or more. If the sum
-    is not positive they are, and so is either one with the text of the least E. Else they share so much
-    that prefixes of their differences meet, which hold the rarest shingles.
+    is not positive they are, and so is either one with the text of the least E. Else their differences
+    share so much that prefixes with the rarest shingles meet. The text of the larger E looks with a
+    prefix that any partner allows for, the other one is found by a prefix that only larger ones need.
     """
     members = cut(members.distinct())
     sets = fetched(members.select(F.explode(F.array("t", "leader")).alias("t")), texts, size)
@@ -176,18 +177,21 @@ def near_one_leader(members: DataFrame, texts: DataFrame, size: int, percent: in
     excess = F.size("d").cast("long") * (100 + percent) - F.col("n") * (100 - percent)
     rows = cut(members.join(own, "t").join(head, "leader").select("leader", "t", "n", "root", apart.alias("d")).withColumn("e", excess))
     nearest = rows.groupBy("leader").agg(F.min_by(F.struct("t", "root", "e"), F.struct("e", "t")).alias("m"))
-    placed = cut(rows.join(nearest, "leader").withColumn("sum", F.col("e") + F.col("m.e")).select("leader", "t", "n", "root", "d", "sum", "m"))
+    placed = cut(rows.join(nearest, "leader").withColumn("sum", F.col("e") + F.col("m.e")).select("leader", "t", "n", "root", "e", "d", "sum", "m"))
     star = placed.where((F.col("sum") <= 0) & (F.col("root") != F.col("m.root"))).select(F.col("t").alias("a"), F.col("m.t").alias("b"))
 
-    needed = F.greatest(F.ceil(F.col("sum") / (2 * (100 + percent))), F.lit(1))
-    each = placed.select("leader", "t", "n", "root", needed.cast("int").alias("needed"), F.explode("d").alias("x"))
+    shared = lambda total: F.greatest(F.ceil(total / (2 * (100 + percent))), F.lit(1)).cast("int")
+    each = placed.select("leader", "t", "n", "root", "e", shared(F.col("sum")).alias("any"), shared(2 * F.col("e")).alias("larger"), F.explode("d").alias("x"))
     counted = each.withColumn("often", F.count("*").over(Window.partitionBy("leader", "x")))
-    ordered = counted.groupBy("leader", "t", "n", "root", "needed").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("xs"))
-    prefix = F.slice("xs", F.lit(1), F.greatest(F.size("xs") - F.col("needed") + 1, F.lit(0)))
-    shown = ordered.select("leader", "t", "n", "root", F.explode(prefix).alias("p")).where("p.often > 1").select("leader", "t", "n", "root", F.col("p.x").alias("x"))
-    left = shown.select("leader", "x", F.col("t").alias("a"), F.col("n").alias("k"), F.col("root").alias("own"))
-    right = shown.select("leader", "x", F.col("t").alias("b"), "n", "root")
-    met = left.join(right, ["leader", "x"]).where((F.col("a") < F.col("b")) & (F.col("own") != F.col("root")) & _sized(F.col("k"), F.col("n"), percent))
+    ordered = cut(counted.groupBy("leader", "t", "n", "root", "e", "any", "larger").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("xs")))
+
+    def prefixes(needed: str) -> DataFrame:
+        prefix = F.slice("xs", F.lit(1), F.greatest(F.size("xs") - F.col(needed) + 1, F.lit(0)))
+        return ordered.select("leader", "t", "n", "root", "e", F.explode(prefix).alias("p")).where("p.often > 1").withColumn("x", F.col("p.x"))
+
+    looks = prefixes("any").select("leader", "x", F.col("t").alias("a"), F.col("n").alias("k"), F.col("root").alias("own"), F.struct("e", "t").alias("rank"))
+    found = prefixes("larger").select("leader", "x", F.col("t").alias("b"), "n", "root", F.struct("e", "t").alias("low"))
+    met = looks.join(found, ["leader", "x"]).where((F.col("rank") > F.col("low")) & (F.col("own") != F.col("root")) & _sized(F.col("k"), F.col("n"), percent))
     return star.union(met.select("a", "b"))
 
 
