@@ -86,7 +86,7 @@ def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_las
         F.posexplode(shown).alias("__k", "__it"),
     )
     matched, inserted = F.col("__op").isin("M", "=", "X"), F.col("__op") == "I"
-    rows = rows.where(~matched | ((F.col("__k") < F.col("__stop")) & (F.coalesce("__it.w", F.lit("")) != "")))
+    seen = ~matched | ((F.col("__k") < F.col("__stop")) & (F.coalesce("__it.w", F.lit("")) != ""))
     kind = (
         F.when(inserted, "INSERTION")
         .when(F.col("__op") == "D", "DELETION")
@@ -97,14 +97,14 @@ def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_las
     hidden = F.col("__op").isin("D", "N") & ~(F.col("__first") & (F.col("__k") == 0))
     made = rows.select(
         *keep, "contig", (F.col("__at") + F.col("__k")).alias("pos"), inserted.alias("half"), kind.alias("kind"), F.col("__it.s").alias("seq"), F.coalesce("__it.w", F.lit("")).alias("wt"),
-        (F.ascii("__it.q") - 33).alias("phred"), hidden.alias("hidden"), (matched & (F.col("__k") != F.col("__end"))).alias("__inner"),
+        (F.ascii("__it.q") - 33).alias("phred"), hidden.alias("hidden"), (matched & (F.col("__k") != F.col("__end"))).alias("__inner"), seen.alias("__seen"),
     )
     if not halves:
-        return made.drop("__inner")
+        return made.where("__seen").drop("__inner", "__seen")
     # a base that is not its block's last stands for the gap after it too
     both = made.withColumn("__gap", F.explode(F.when(F.col("__inner"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     gap = F.col("__gap")
-    return both.select(
+    return both.where(gap | F.col("__seen")).select(
         *keep, "contig", "pos", (F.col("half") | gap).alias("half"), F.when(gap, "WILDTYPE").otherwise(F.col("kind")).alias("kind"), F.when(gap, "").otherwise(F.col("seq")).alias("seq"),
         F.when(gap, "").otherwise(F.col("wt")).alias("wt"), F.when(~gap, F.col("phred")).alias("phred"), "hidden",
     )
