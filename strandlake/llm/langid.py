@@ -34,6 +34,8 @@ PER_LANGUAGE, MOST_TEXTS, MOST_LANGUAGES = 400, 4000, 500
 #: Share of held-back texts, rightly named, that the threshold may reject; a language that is likelier than all
 #: else together is never rejected.
 REJECTED_SHARE, SURE = 0.001, 0.5
+#: Steps of descent that training takes at least.
+LEAST_STEPS = 1500
 #: Weight of all classes alike in the labels of calibration, against overconfidence.
 SMOOTHING = 0.02
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
@@ -183,6 +185,8 @@ def train(x: np.ndarray, nonsense: np.ndarray, labels: list[str], width: int = 1
     embed = rng.normal(0, 0.1, (BUCKETS, width)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (width, classes)).astype(np.float32), np.zeros(classes, np.float32)
     one = np.eye(classes, dtype=np.float32)
+    # small samples are gone through more often, so that there are enough steps
+    epochs = max(epochs, -(-LEAST_STEPS * 32 // max(len(used), 1)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         rng.shuffle(used)
