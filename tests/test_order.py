@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from strandlake.operators.order import numbered
+from strandlake.operators.order import numbered, numbered_within, ranged, stretches, summed_before
 from strandlake.streaming import windows
 
 
@@ -31,3 +31,23 @@ def test_rows_out_of_order_are_an_error(spark):
     rows = spark.createDataFrame([(1, 1, 5), (1, 2, 4)], "user int, sequence int, ts int")
     with pytest.raises(PySparkException):
         windows.ordered_or_error(rows, ["user"], "ts").collect()
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_places_within_groups_and_sums_before(spark, partitions):
+    """A hot group, equal rows and groups of one row."""
+    rng = random.Random(partitions)
+    values = [("hot" if k % 3 else f"g{rng.randint(0, 9)}", rng.randint(0, 30), rng.randint(0, 5)) for k in range(900)]
+    rows = spark.createDataFrame(values, "g string, a int, v int").repartition(partitions)
+    by_group = {}
+    for g, a, v in sorted(values, key=lambda r: (r[1], r[2])):
+        by_group.setdefault(g, []).append((a, v))
+    found = numbered_within(rows, "g", ["a", "v"]).collect()
+    assert sorted((r["g"], r["place"], r["a"], r["v"]) for r in found) == sorted((g, k, a, v) for g, own in by_group.items() for k, (a, v) in enumerate(own))
+    assert {(r["g"], r["size"]) for r in found} == {(g, len(own)) for g, own in by_group.items()}
+    held = ranged(rows, "g", ["a", "v"])
+    parts = stretches(held, "g", F.col("v"))
+    sums = held.withColumn("own", summed_before(held, "g", ["a", "v"], F.col("v"))).join(parts, ["__part", "g"]).selectExpr("g", "a", "v", "own + __before AS before", "__all")
+    expected = [(g, a, v, sum(x[1] for x in own[:k]), sum(x[1] for x in own)) for g, own in by_group.items() for k, (a, v) in enumerate(own)]
+    assert sorted(map(tuple, sums.collect())) == sorted(expected)
+    assert numbered_within(rows.limit(0), "g", ["a"]).count() == 0
