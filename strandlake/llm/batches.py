@@ -61,7 +61,7 @@ def with_columns(
     narrow = df.select(*own) if kept else df.select(*own, (value.cast("binary") if as_bytes else value).alias("__text"))
     place = keep.index(text) if kept else len(keep)
     small_batches(df)
-    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     out = pa.schema([pa.field(n, types[t]) for n, t in wanted])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
