@@ -13,7 +13,7 @@ from ..operators.calls import element
 from ..operators.order import numbered
 from ..params import Params
 from ..session import shared_folder, table
-from ..sources import readers, sinks
+from ..sources import bam, readers, sinks
 from ..standins import view
 from .registry import query
 
@@ -25,15 +25,68 @@ def s03(spark, sf):
     return made.select(*readers.SAM_FIELDS, F.col("tags")["DQ"].alias("dq"))
 
 
-@query("S01_range_scan", """SELECT order_id, line FROM reads_v WHERE contig = 'chrN' AND start <= 90
-  AND start + coalesce(list_sum(list_transform(regexp_extract_all(cigar, '\\d+[MDN]'), lambda e: regexp_extract(e, '\\d+')::INT)), 0) - 1 >= 50 - 20 + 1""")
+CONTIGS = ("chrA", "chrM", "chrN", "chrR", "chrUn_7")
+
+
+def new_folder(spark, name):
+    """A folder that all executors share, for files that a query writes and reads again."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def bam_files(spark, sf, indexed=True):
+    """The stand-in reads as sorted binary files with their indexes; order and line are tags."""
+    rows = view(spark, sf, "reads_v")
+    tags = F.create_map(F.lit("OI"), F.col("order_id").cast("string"), F.lit("LN"), F.col("line").cast("string"), F.lit("DQ"), F.col("line").cast("string"))
+    longest = rows.agg(F.max(F.greatest("start", "mate_start"))).first()[0] or 0
+    folder = new_folder(spark, "bam")
+    bam.write_sorted(rows.withColumns({"tlen": F.col("insert_size"), "tags": tags}), folder, [(c, longest + 1000) for c in CONTIGS], {"OI": "i", "LN": "i"})
+    if indexed:
+        bam.write_indexes(spark, folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+ORDER_AND_LINE = ["CAST(tags.OI AS BIGINT) AS order_id", "CAST(tags.LN AS INT) AS line"]
+_REF_END_SQL = "start + greatest(1, coalesce(list_sum(list_transform(regexp_extract_all(cigar, '\\d+[MDN]'), lambda e: regexp_extract(e, '\\d+')::INT)), 0))::INT - 1"
+
+
+@query("K09_bam_round_trip", "SELECT qname, flag, contig, start, mapq, cigar, mate_contig, mate_start, insert_size AS tlen, seq, qual, line::VARCHAR AS dq FROM reads_v")
+def k09_bam(spark, sf):
+    """Reads written as binary files by the sink, and read again from there."""
+    return bam.read(spark, bam_files(spark, sf, indexed=False)).select(*readers.SAM_FIELDS, F.col("tags")["DQ"].alias("dq"))
+
+
+@query("S01_range_scan", f"SELECT order_id, line FROM reads_v WHERE contig = 'chrN' AND start <= 90 AND {_REF_END_SQL} >= 50 - 20 + 1")
 def s01(spark, sf):
-    return readers.overlapping_range(view(spark, sf, "reads_v"), "chrN", 50, 90, 20).select("order_id", "line")
+    return bam.over_range(spark, bam_files(spark, sf), "chrN", 50 - 20 + 1, 90).selectExpr(*ORDER_AND_LINE)
 
 
 @query("S02_full_scan", "SELECT contig, count(*) AS n, max(start)::INT AS last FROM reads_v GROUP BY ALL")
 def s02(spark, sf):
-    return view(spark, sf, "reads_v").groupBy("contig").agg(F.count("*").alias("n"), F.max("start").alias("last"))
+    return bam.read(spark, bam_files(spark, sf, indexed=False)).groupBy("contig").agg(F.count("*").alias("n"), F.max("start").alias("last"))
+
+
+_AT_PLACE = "contig = 'chrN' AND start = (SELECT min(start) FROM reads_v WHERE contig = 'chrN') AND flag & 64 = 64"
+
+
+@query("S04_point_lookup", f"SELECT order_id, line, start FROM reads_v WHERE {_AT_PLACE} AND qname = (SELECT max(qname) FROM reads_v WHERE {_AT_PLACE})")
+def s04(spark, sf):
+    """One read by name, end and place, from the index; its name is the last one at the contig's first place."""
+    folder = bam_files(spark, sf)
+    start = view(spark, sf, "reads_v").where("contig = 'chrN'").agg(F.min("start")).first()[0] or 0
+    here = bam.at_place(spark, folder, "chrN", start).where(reads.flagged(64))
+    name = here.agg(F.max("qname")).first()[0]
+    return here.where(F.col("qname") == name).selectExpr(*ORDER_AND_LINE, "start")
+
+
+@query("V20_index_bins", """WITH r AS (SELECT contig, start AS a, """ + _REF_END_SQL + """ AS z FROM reads_v),
+b AS (SELECT contig, CASE WHEN a >> 14 = z >> 14 THEN 4681 + (a >> 14) WHEN a >> 17 = z >> 17 THEN 585 + (a >> 17) WHEN a >> 20 = z >> 20 THEN 73 + (a >> 20) WHEN a >> 23 = z >> 23 THEN 9 + (a >> 23) WHEN a >> 26 = z >> 26 THEN 1 + (a >> 26) ELSE 0 END AS bin FROM r)
+SELECT DISTINCT contig, 'bin' AS kind, bin::INT AS number FROM b UNION ALL
+SELECT DISTINCT contig, 'window', w::INT FROM (SELECT contig, unnest(range(0, max(z >> 14) + 1)) AS w FROM r GROUP BY contig)""")
+def v20_bins(spark, sf):
+    """Bins and windows of the indexes beside the files, over all files of a contig."""
+    bam.register(spark)
+    rows = spark.read.format("bai").load(bam_files(spark, sf)).where("kind IN ('chunk', 'window')")
+    return rows.select("contig", F.when(F.col("kind") == "chunk", "bin").otherwise("window").alias("kind"), F.col("bin").alias("number")).distinct()
 
 
 @query("S06_bed", "SELECT name, contig, start, \"end\", score::DOUBLE AS score, negative FROM features_v")
@@ -184,7 +237,8 @@ def l01(spark, sf):
 
 @query("V20_index_statistics", "SELECT contig, count(*) FILTER (flag & 4 = 0) AS aligned, count(*) FILTER (flag & 4 <> 0) AS unaligned FROM reads_v GROUP BY contig")
 def v20(spark, sf):
-    return view(spark, sf, "reads_v").groupBy("contig").agg(F.count_if(~reads.flagged(4)).alias("aligned"), F.count_if(reads.flagged(4)).alias("unaligned"))
+    """From the indexes alone, without reading a record."""
+    return bam.index_statistics(spark, bam_files(spark, sf))
 
 
 @query("V21_quality_range", "SELECT line, min(ascii(q)) AS lowest, max(ascii(q)) AS highest FROM (SELECT line, unnest(string_split(qual, '')) AS q FROM reads_v) GROUP BY line")
@@ -200,11 +254,6 @@ def s05(spark, sf):
     return readers.fasta_rows(f.select(F.concat("name", F.lit(" text\n"), body, F.lit("\n")).alias("value")))
 
 
-@query("S04_point_lookup", "SELECT order_id, line, start FROM reads_v WHERE order_id = 7 AND line > 1")
-def s04(spark, sf):
-    return view(spark, sf, "reads_v").where("order_id = 7 AND line > 1").select("order_id", "line", "start")
-
-
 @query("P06_collectors", "SELECT contig, list_sort(list(DISTINCT value)) AS seen, list_sort(list(value))[1:5] AS lowest FROM coverage_v GROUP BY contig")
 def p06(spark, sf):
     rows = view(spark, sf, "coverage_v").groupBy("contig")
@@ -221,7 +270,7 @@ def s12(spark, sf):
 @query("S10_fastq", "SELECT qname || ' ' || line AS name, seq, qual FROM reads_v")
 def s10(spark, sf):
     """Reads written as FASTQ text to the shared folder, and read again from there."""
-    folder = f"{shared_folder(spark).rstrip('/')}/fastq-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "fastq")
     record = F.concat(F.lit("@"), "qname", F.lit(" "), F.col("line").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
     view(spark, sf, "reads_v").select(record.alias("value")).write.text(folder)
     return readers.fastq(spark, folder).select("name", "seq", "qual")

@@ -1,22 +1,48 @@
-"""Binary alignments as a Spark data source: `spark.read.format("bam").load(path)`.
+"""Binary alignments as a Spark data source: `spark.read.format("bam")` and `reads.write.format("bam")`.
 
-A file with an index beside it (path + ".bai") is read in parallel: the index names places where
-records begin, and a partition goes from one of them to another, about `splitBytes` apart. A file
-without an index is one partition. Files must be at a path that executors can open.
+Reading: a path is a file or a folder of `.bam` files. A file with an index beside it (path + ".bai")
+is read in parallel: the index names places where records begin, and a partition goes from one of
+them to another, about `splitBytes` apart. Filters on contig, start and ref_end are pushed into the
+scan: only the blocks that the index names for that range are read; rows are still tested by Spark.
+A file without an index is one partition. Option `places` adds the columns of `PLACES`.
+
+Writing: every task writes a file of its own below a temporary folder of the job; the commit moves
+them to the target, and an abort removes them. `write_sorted` deals records by range, so that every
+file holds one stretch in coordinate order; `alignment_index` then makes the files' indexes.
+
+Paths are opened through Arrow's file systems, so that they may lie in any store these know.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import json
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 from .readers import READS
 
@@ -25,6 +51,27 @@ LETTERS, OPERATORS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 SUMMARY_BIN = 37450
 SPLIT_BYTES = 64 << 20
+#: Numbers of the operators that cover the reference: M, D, N, = and X.
+COVERING = {0, 2, 3, 7, 8}
+
+
+#: Uncompressed bytes of a block, and the block that ends every file.
+BLOCK_BYTES = 65280
+END_OF_FILE = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+#: Positions of a window of the linear index and of the smallest bins, in bits; the first bin of each level, smallest bins first.
+WINDOW_BITS = 14
+FIRST_BINS = [(14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)]
+BATCH = 2048
+
+#: Further columns of the reader: the last position covered, and where the record begins and the next one does.
+PLACES = T.StructType([T.StructField("ref_end", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("place", T.LongType()), T.StructField("next_place", T.LongType())])
+
+
+def storage(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; a path without a scheme is local."""
+    if re.match(r"file:/(?!/)", path):
+        path = f"file://{path[5:]}"
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 @dataclass
@@ -96,26 +143,69 @@ def header(blocks: Blocks) -> list[tuple[str, int]]:
     return contigs
 
 
-def index_places(path: str) -> list[int]:
-    """Virtual places of records that an index names, in order."""
-    with open(path, "rb") as file:
-        data = file.read()
+@dataclass
+class ContigIndex:
+    """Chunks (begin, end) of virtual places by bin, least places by window, and counts, of one contig."""
+
+    bins: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    windows: list[int] = field(default_factory=list)
+    #: (begin, end, mapped, unmapped), where the file has them.
+    summary: tuple[int, int, int, int] | None = None
+
+    def chunks(self, first: int, last: int) -> list[tuple[int, int]]:
+        """Chunks that may hold records over [first, last], merged where they touch or share a block."""
+        window = first >> WINDOW_BITS
+        if window >= len(self.windows):
+            return []
+        low = next((p for p in reversed(self.windows[: window + 1]) if p), 0)
+        found = sorted((max(b, low), e) for k in bins_over(first, last) for b, e in self.bins.get(k, ()) if e > low)
+        merged: list[tuple[int, int]] = []
+        for b, e in found:
+            if merged and b >> 16 <= merged[-1][1] >> 16:
+                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+            else:
+                merged.append((b, e))
+        return merged
+
+
+def bins_over(first: int, last: int) -> list[int]:
+    """Bins that may hold records over [first, last]."""
+    return [0] + [start + k for bits, start in FIRST_BINS for k in range(first >> bits, (last >> bits) + 1)]
+
+
+def read_index(data: bytes, name: str = "") -> tuple[list[ContigIndex], int]:
+    """The contigs' indexes, and the number of records without a place."""
     if data[:4] != b"BAI\1":
-        raise ValueError(f"{path} is not an index")
-    at, found = 8, set()
+        raise ValueError(f"{name} is not an index")
+    at, contigs = 8, []
     for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        bins = struct.unpack_from("<i", data, at)[0]
+        own, bins = ContigIndex(), struct.unpack_from("<i", data, at)[0]
         at += 4
         for _ in range(bins):
             number, chunks = struct.unpack_from("<Ii", data, at)
-            at += 8
-            if number != SUMMARY_BIN:
-                found.update(struct.unpack_from(f"<{2 * chunks}Q", data, at)[::2])
-            at += 16 * chunks
+            values = struct.unpack_from(f"<{2 * chunks}Q", data, at + 8)
+            at += 8 + 16 * chunks
+            if number == SUMMARY_BIN:
+                own.summary = values
+            else:
+                own.bins[number] = list(zip(values[::2], values[1::2], strict=True))
         windows = struct.unpack_from("<i", data, at)[0]
-        found.update(struct.unpack_from(f"<{windows}Q", data, at + 4))
+        own.windows = list(struct.unpack_from(f"<{windows}Q", data, at + 4))
         at += 4 + 8 * windows
-    return sorted(found - {0})
+        contigs.append(own)
+    return contigs, struct.unpack_from("<Q", data, at)[0] if at + 8 <= len(data) else 0
+
+
+def index_bytes(contigs: list[ContigIndex], without_place: int) -> bytes:
+    parts = [b"BAI\1", struct.pack("<i", len(contigs))]
+    for own in contigs:
+        parts.append(struct.pack("<i", len(own.bins) + (own.summary is not None)))
+        for number, chunks in sorted(own.bins.items()):
+            parts.append(struct.pack(f"<Ii{2 * len(chunks)}Q", number, len(chunks), *(p for c in chunks for p in c)))
+        if own.summary is not None:
+            parts.append(struct.pack("<Ii4Q", SUMMARY_BIN, 2, *own.summary))
+        parts.append(struct.pack(f"<i{len(own.windows)}Q", len(own.windows), *own.windows))
+    return b"".join([*parts, struct.pack("<Q", without_place)])
 
 
 def tags(data: bytes) -> dict[str, str]:
@@ -140,50 +230,254 @@ def tags(data: bytes) -> dict[str, str]:
     return made
 
 
+_HEX = str.maketrans("0123456789abcdef", LETTERS)
+_SCORES = bytes(min(k + 33, 255) for k in range(256))
+
+
 def record(data: bytes, contigs: list[tuple[str, int]]) -> tuple:
-    """A row of the reads schema; positions are 0-based."""
+    """A row of the reads schema, positions 0-based, and the last position covered."""
     contig, start, name_size, mapq, _, operations, flag, size, mate_contig, mate_start, tlen = struct.unpack_from("<iiBBHHHiiii", data)
     at = 32
     name = data[at : at + name_size - 1].decode()
     at += name_size
-    cigar = "".join(f"{c >> 4}{OPERATORS[c & 15]}" for c in struct.unpack_from(f"<{operations}I", data, at)) or "*"
+    steps = struct.unpack_from(f"<{operations}I", data, at)
+    cigar = "".join(f"{c >> 4}{OPERATORS[c & 15]}" for c in steps) or "*"
+    covered = sum(c >> 4 for c in steps if c & 15 in COVERING)
     at += 4 * operations
-    packed = data[at : at + (size + 1) // 2]
-    seq = "".join(LETTERS[b >> 4] + LETTERS[b & 15] for b in packed)[:size] or "*"
+    seq = data[at : at + (size + 1) // 2].hex().translate(_HEX)[:size] or "*"
     at += (size + 1) // 2
     scores = data[at : at + size]
-    qual = "*" if not scores or scores[0] == 0xFF else "".join(chr(q + 33) for q in scores)
+    qual = "*" if not scores or scores[0] == 0xFF else scores.translate(_SCORES).decode("latin-1")
     of = lambda k: contigs[k][0] if k >= 0 else "*"
-    return name, flag, of(contig), start, mapq, cigar, of(mate_contig), mate_start, tlen, seq, qual, tags(data[at + size :])
+    return name, flag, of(contig), start, mapq, cigar, of(mate_contig), mate_start, tlen, seq, qual, tags(data[at + size :]), start + max(covered, 1) - 1
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.split = split
-        self.files = sorted(glob.glob(os.path.join(path, "*.bam"))) if os.path.isdir(path) else [path]
+    def __init__(self, path: str, split: int, places: bool = False):
+        self.split, self.places = split, places
+        self.contigs: set[str] | None = None
+        self.first, self.last = 0, (1 << 29) - 1
+        self.store, root = storage(path)
+        self.files = sorted(f.path for f in self.store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".bam")) if self.store.get_file_info(root).type == fs.FileType.Directory else [root]
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Narrow the range by filters on contig, start and ref_end; all are given back, since blocks hold other rows too."""
+        for f in filters:
+            name, value = getattr(f, "attribute", ("",))[0], getattr(f, "value", None)
+            if name == "contig" and isinstance(f, (EqualTo, In)):
+                own = {value} if isinstance(f, EqualTo) else set(f.value)
+                self.contigs = own if self.contigs is None else self.contigs & own
+            elif name in ("start", "ref_end") and value is not None:
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.first = max(self.first, value)
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    # a record that ends by then begins by then
+                    self.last = min(self.last, value)
+            yield f
+
+    def _indexed(self, path: str) -> tuple[list[ContigIndex], int] | None:
+        if self.store.get_file_info(path + ".bai").type != fs.FileType.File:
+            return None
+        with self.store.open_input_file(path + ".bai") as file:
+            return read_index(file.read(), path)
 
     def partitions(self) -> list[Piece]:
         pieces = []
+        narrowed = self.contigs is not None or self.first > 0 or self.last < (1 << 29) - 1
         for path in self.files:
-            with open(path, "rb") as file:
+            with self.store.open_input_file(path) as file:
                 blocks = Blocks(file, 0)
-                header(blocks)
+                names = [name for name, _ in header(blocks)]
                 begin = blocks.place()
             if begin is None:
                 continue
-            begins = [begin]
-            for place in index_places(path + ".bai") if os.path.exists(path + ".bai") else []:
-                if (place >> 16) - (begins[-1] >> 16) >= self.split:
-                    begins.append(place)
-            pieces += [Piece(path, a, z) for a, z in zip(begins, [*begins[1:], None], strict=True)]
+            found = self._indexed(path)
+            if found is None:
+                pieces.append(Piece(path, begin, None))
+                continue
+            known = sorted({p for c in found[0] for chunks in c.bins.values() for b, _ in chunks for p in (b,)} | {w for c in found[0] for w in c.windows if w})
+            stretches: list[tuple[int, int | None]] = [(begin, None)]
+            if narrowed:
+                chosen = [c for name, c in zip(names, found[0], strict=False) if self.contigs is None or name in self.contigs]
+                stretches = [s for c in chosen for s in c.chunks(max(self.first, 0), self.last)] if self.last >= 0 else []
+                if self.contigs is None or "*" in self.contigs:  # records without a contig are behind all others
+                    stretches.append((max([begin, *(e for c in found[0] for chunks in c.bins.values() for _, e in chunks)]), None))
+            for low, high in stretches:
+                begins = [low]
+                for place in known:
+                    if low < place and (high is None or place < high) and (place >> 16) - (begins[-1] >> 16) >= self.split:
+                        begins.append(place)
+                pieces += [Piece(path, a, z) for a, z in zip(begins, [*begins[1:], high], strict=True)]
         return pieces
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
-        with open(partition.path, "rb") as file:
+    def read(self, partition: Piece | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's call where there are no partitions
+            return
+        schema = arrow_schema(self.places)
+        with self.store.open_input_file(partition.path) as file:
             contigs = header(Blocks(file, 0))
-            blocks = Blocks(file, partition.begin)
+            blocks, rows = Blocks(file, partition.begin), []
             while (place := blocks.place()) is not None and (partition.end is None or place < partition.end):
-                yield record(blocks.read(struct.unpack("<i", blocks.read(4))[0]), contigs)
+                row = record(blocks.read(struct.unpack("<i", blocks.read(4))[0]), contigs)
+                rows.append((*row, partition.path, place, blocks.place() or blocks.block << 16) if self.places else row[:-1])
+                if len(rows) == BATCH:
+                    yield batch(rows, schema)
+                    rows = []
+            if rows:
+                yield batch(rows, schema)
+
+
+def arrow_schema(places: bool) -> pa.Schema:
+    kinds = {"int": pa.int32(), "string": pa.string(), "bigint": pa.int64(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in READS.fields + (PLACES.fields if places else [])])
+
+
+def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    at = schema.get_field_index("tags")
+    columns[at] = [list(t.items()) for t in columns[at]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+# ---- writing
+
+_CODES = str.maketrans({c: "0123456789abcdef"[LETTERS.index(c)] if c in LETTERS else "f" for c in map(chr, range(256))})
+_PHREDS = bytes(max(k - 33, 0) for k in range(256))
+_STEP = re.compile(r"(\d+)([MIDNSHP=X])")
+
+
+def block(data: bytes, level: int = 6) -> bytes:
+    """One block of a blocked gzip file."""
+    squeeze = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = squeeze.compress(data) + squeeze.flush()
+    head = struct.pack("<BBBBIBBHBBHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def bin_of(start: int, last: int) -> int:
+    for bits, first in FIRST_BINS:
+        if start >> bits == last >> bits:
+            return first + (start >> bits)
+    return 0
+
+
+def tag_bytes(name: str, value: str, kind: str) -> bytes:
+    head = name.encode() + kind.encode()
+    if kind in "ZH":
+        return head + value.encode() + b"\0"
+    if kind == "A":
+        return head + value.encode()[:1]
+    if kind == "B":
+        code, *numbers = value.split(",")
+        return head + code.encode() + struct.pack(f"<i{len(numbers)}{NUMBERS[code]}", len(numbers), *(float(n) if code == "f" else int(n) for n in numbers))
+    return head + struct.pack("<" + NUMBERS[kind], float(value) if kind == "f" else int(value))
+
+
+def encoded(row: dict, contigs: dict[str, int], kinds: dict[str, str]) -> bytes:
+    """A record, with its size in front; a contig that the header lacks is an error."""
+    steps = [(int(n), OPERATORS.index(o)) for n, o in _STEP.findall(row["cigar"])] if row["cigar"] not in (None, "*") else []
+    seq = "" if row["seq"] in (None, "*") else row["seq"]
+    name = (row["qname"] or "*").encode()
+    if len(name) > 254 or any(c not in contigs for c in (row["contig"], row["mate_contig"])):
+        raise ValueError(f"read {row['qname']} has a name of over 254 bytes, or a contig that the header lacks")
+    start = -1 if row["start"] is None else row["start"]
+    covered = sum(n for n, o in steps if o in COVERING)
+    bin_ = bin_of(max(start, 0), max(start, 0) + max(covered, 1) - 1) if start >= 0 else 4680
+    qual = row["qual"]
+    scores = b"\xff" * len(seq) if qual in (None, "*") or len(qual) != len(seq) else qual.encode("latin-1").translate(_PHREDS)
+    parts = [
+        struct.pack("<iiBBHHHiiii", contigs[row["contig"]], start, len(name) + 1, row["mapq"] or 0, bin_, len(steps), row["flag"] or 0, len(seq), contigs[row["mate_contig"]], -1 if row["mate_start"] is None else row["mate_start"], row["tlen"] or 0),
+        name + b"\0",
+        struct.pack(f"<{len(steps)}I", *(n << 4 | o for n, o in steps)),
+        bytes.fromhex(seq.translate(_CODES) + "0" * (len(seq) & 1)),
+        scores,
+        *(tag_bytes(k, v, kinds.get(k, "Z")) for k, v in sorted(row["tags"] or []) if v is not None),
+    ]
+    body = b"".join(parts)
+    return struct.pack("<i", len(body)) + body
+
+
+def header_bytes(contigs: list[tuple[str, int]], order: str, lines: str = "") -> bytes:
+    text = f"@HD\tVN:1.6\tSO:{order}\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in contigs) + lines
+    names = b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
+    return b"BAM\1" + struct.pack("<i", len(text.encode())) + text.encode() + struct.pack("<i", len(contigs)) + names
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """A finished file of one task, and the name that the commit gives it."""
+
+    path: str
+    name: str
+    records: int
+
+
+class BamWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        self.contigs = [(n, int(size)) for n, size in json.loads(options["contigs"])]
+        self.kinds = json.loads(options.get("tagTypes", "{}"))
+        self.order, self.level = options.get("sortOrder", "unsorted"), int(options.get("level", 6))
+        self.lines = options.get("headerLines", "")
+
+    def _places(self) -> tuple[fs.FileSystem, str, str]:
+        store, root = storage(self.path)
+        return store, root, f"{root.rstrip('/')}/_temporary-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, _, folder = self._places()
+        task = TaskContext.get()
+        part, attempt = (task.partitionId(), task.taskAttemptId()) if task else (0, 0)
+        store.create_dir(folder, recursive=True)
+        path, records = f"{folder}/{part:05d}-{attempt}", 0
+        numbers = {name: k for k, (name, _) in enumerate(self.contigs)} | {"*": -1, None: -1}
+        with store.open_output_stream(path) as file:
+            pending = bytearray()
+
+            def put(data: bytes) -> None:
+                # a record goes to a block of its own rather than cross a block's end, unless it is longer than one
+                if len(pending) + len(data) > BLOCK_BYTES:
+                    flush()
+                pending.extend(data)
+                while len(pending) > BLOCK_BYTES:
+                    file.write(block(bytes(pending[:BLOCK_BYTES]), self.level))
+                    del pending[:BLOCK_BYTES]
+
+            def flush() -> None:
+                if pending:
+                    file.write(block(bytes(pending), self.level))
+                    pending.clear()
+
+            put(header_bytes(self.contigs, self.order, self.lines))
+            flush()
+            for rows in iterator:
+                for row in rows.to_pylist():
+                    put(encoded(row, numbers, self.kinds))
+                    records += 1
+            flush()
+            file.write(END_OF_FILE)
+        return Written(path, f"part-{part:05d}-{self.job}.bam", records)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, root, folder = self._places()
+        store.create_dir(root, recursive=True)
+        if self.overwrite:
+            for f in store.get_file_info(fs.FileSelector(root)):
+                if f.type == fs.FileType.File and f.path.endswith((".bam", ".bai")):
+                    store.delete_file(f.path)
+        for m in filter(None, messages):
+            if m.records or len(messages) == 1:  # a task without records leaves no file, unless it is the only one
+                store.move(m.path, f"{root.rstrip('/')}/{m.name}")
+        self._clear(store, folder)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        store, _, folder = self._places()
+        self._clear(store, folder)
+
+    @staticmethod
+    def _clear(store: fs.FileSystem, folder: str) -> None:
+        if store.get_file_info(folder).type == fs.FileType.Directory:
+            store.delete_dir(folder)
 
 
 class BamSource(DataSource):
@@ -191,12 +485,176 @@ class BamSource(DataSource):
     def name(cls) -> str:
         return "bam"
 
-    def schema(self) -> StructType:
-        return READS
+    def _places(self) -> bool:
+        return self.options.get("places", "false").lower() == "true"
+
+    def schema(self) -> T.StructType:
+        return T.StructType(READS.fields + (PLACES.fields if self._places() else []))
+
+    def reader(self, schema: T.StructType) -> BamReader:
+        return BamReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)), self._places())
 
-    def reader(self, schema: StructType) -> BamReader:
-        return BamReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)))
+    def writer(self, schema: T.StructType, overwrite: bool) -> BamWriter:
+        missing = {f.name for f in READS.fields} - set(schema.fieldNames())
+        if missing:
+            raise ValueError(f"reads lack the columns {sorted(missing)}")
+        return BamWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known, and let filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
+    spark.dataSource.register(BaiSource)
+
+
+def read(spark: SparkSession, path: str, places: bool = False, split: int = SPLIT_BYTES) -> DataFrame:
+    register(spark)
+    return spark.read.format("bam").option("places", str(places).lower()).option("splitBytes", split).load(path)
+
+
+def write_sorted(reads: DataFrame, path: str, contigs: list[tuple[str, int]], tag_types: dict[str, str] | None = None, mode: str = "overwrite") -> None:
+    """Write reads in coordinate order, a range of it to each file; reads without a contig come last."""
+    register(reads.sparkSession)
+    number = F.coalesce(F.array_position(F.array(*[F.lit(n) for n, _ in contigs]), F.col("contig")), F.lit(0))
+    keyed = reads.select(*[f.name for f in READS.fields], F.when(number == 0, F.lit(len(contigs) + 1)).otherwise(number).alias("__number"))
+    ranged = keyed.repartitionByRange("__number", "start", "qname", "flag").sortWithinPartitions("__number", "start", "qname", "flag").drop("__number")
+    options = {"contigs": json.dumps(contigs), "sortOrder": "coordinate", "tagTypes": json.dumps(tag_types or {})}
+    ranged.write.format("bam").mode(mode).options(**options).save(path)
+
+
+# ---- indexes as rows
+
+INDEX = "file string, contig string, kind string, bin int, begin long, end long"
+
+
+def record_bin(first: Column, last: Column) -> Column:
+    """The smallest bin that holds positions first to last."""
+    found = F.lit(0)
+    for bits, start in reversed(FIRST_BINS):
+        found = F.when(F.shiftright(first, bits) == F.shiftright(last, bits), F.shiftright(first, bits) + start).otherwise(found)
+    return found.cast("int")
+
+
+def alignment_index(records: DataFrame) -> DataFrame:
+    """The index of files as rows of `INDEX`, from their records with places.
+
+    kind `chunk`: a bin and the places from `begin` to `end` that hold its records; chunks of one
+    compressed block, or of blocks that follow each other, are one. `window`: number of a window and
+    the least place of a record over it. `span`: least and last place of a contig; `count`: its
+    mapped and unmapped records; records without a contig have a `count` of their own (begin 0).
+    """
+    placed = records.where("contig <> '*' AND start >= 0")
+    key = ["file", "contig"]
+    own = placed.withColumn("bin", record_bin(F.col("start"), F.col("ref_end"))).groupBy(*key, "bin", F.shiftright("place", 16).alias("block"))
+    pieces = own.agg(F.min("place").alias("begin"), F.max("next_place").alias("end"))
+    order = Window.partitionBy(*key, "bin").orderBy("begin")
+    new = F.coalesce(F.shiftright("begin", 16) > F.shiftright(F.lag("end").over(order), 16), F.lit(True)).cast("int")
+    runs = pieces.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chunks = runs.groupBy(*key, "bin", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).select(*key, F.lit("chunk").alias("kind"), "bin", "begin", "end")
+    windows = placed.select(*key, "place", F.explode(F.sequence(F.shiftright("start", WINDOW_BITS), F.shiftright("ref_end", WINDOW_BITS))).alias("bin"))
+    least = windows.groupBy(*key, "bin").agg(F.min("place").alias("begin")).select(*key, F.lit("window").alias("kind"), "bin", "begin", F.lit(None).cast("long").alias("end"))
+    unmapped = F.col("flag").bitwiseAND(F.lit(4)) != 0
+    totals = placed.groupBy(*key).agg(F.min("place").alias("a"), F.max("next_place").alias("z"), F.count_if(~unmapped).alias("m"), F.count_if(unmapped).alias("u"))
+    spans = totals.select(*key, F.lit("span").alias("kind"), F.lit(None).cast("int").alias("bin"), F.col("a").alias("begin"), F.col("z").alias("end"))
+    counts = totals.select(*key, F.lit("count").alias("kind"), F.lit(None).cast("int").alias("bin"), F.col("m").alias("begin"), F.col("u").alias("end"))
+    others = records.where("contig = '*' OR start < 0").groupBy("file").agg(F.count("*").alias("end")).select("file", F.lit("*").alias("contig"), F.lit("count").alias("kind"), F.lit(None).cast("int").alias("bin"), F.lit(0).cast("long").alias("begin"), "end")
+    return chunks.unionByName(least).unionByName(spans).unionByName(counts).unionByName(others)
+
+
+def contigs_from(rows: list[dict], names: list[str]) -> tuple[list[ContigIndex], int]:
+    """Contigs' indexes of one file's rows of `INDEX`; windows without records have the place of the one before."""
+    made, without = {n: ContigIndex() for n in names}, 0
+    spans: dict[str, tuple] = {}
+    for r in sorted(rows, key=lambda r: (r["kind"], r["bin"] or 0, r["begin"] or 0)):
+        if r["contig"] == "*":
+            without = r["end"]
+        elif r["kind"] == "chunk":
+            made[r["contig"]].bins.setdefault(r["bin"], []).append((r["begin"], r["end"]))
+        elif r["kind"] == "window":
+            windows = made[r["contig"]].windows
+            windows.extend([windows[-1] if windows else 0] * (r["bin"] - len(windows)) + [r["begin"]])
+        else:
+            spans[r["contig"]] = (*spans.get(r["contig"], ()), r["begin"], r["end"])  # count, then span
+    for n, (mapped, unmapped, begin, end) in spans.items():
+        made[n].summary = (begin, end, mapped, unmapped)
+    return [made[n] for n in names], without
+
+
+def write_indexes(spark: SparkSession, path: str) -> DataFrame:
+    """Make the index of every file of `path` beside it; (file, bytes) of those written."""
+    rows = alignment_index(read(spark, path, places=True))
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        name = key[0].as_py()
+        store, _ = storage(path)
+        with store.open_input_file(name) as file:
+            names = [n for n, _ in header(Blocks(file, 0))]
+        data = index_bytes(*contigs_from(table.to_pylist(), names))
+        partial = f"{name}.bai-{uuid.uuid4().hex}"
+        with store.open_output_stream(partial) as out:
+            out.write(data)
+        store.move(partial, f"{name}.bai")
+        return pa.table({"file": [name], "bytes": pa.array([len(data)], pa.int64())})
+
+    return rows.groupBy("file").applyInArrow(write, "file string, bytes long")
+
+
+@dataclass
+class IndexFile(InputPartition):
+    path: str
+
+
+class BaiReader(DataSourceReader):
+    """Rows of `INDEX` of the indexes beside a path's files."""
+
+    def __init__(self, path: str):
+        self.files = BamReader(path, SPLIT_BYTES)
+
+    def partitions(self) -> list[IndexFile]:
+        return [IndexFile(f) for f in self.files.files]
+
+    def read(self, partition: IndexFile | None) -> Iterator[tuple]:
+        found = partition and self.files._indexed(partition.path)
+        if not found:
+            return
+        with self.files.store.open_input_file(partition.path) as file:
+            names = [n for n, _ in header(Blocks(file, 0))]
+        for name, own in zip(names, found[0], strict=True):
+            for number, chunks in own.bins.items():
+                yield from ((partition.path, name, "chunk", number, b, e) for b, e in chunks)
+            yield from ((partition.path, name, "window", k, p, None) for k, p in enumerate(own.windows))
+            if own.summary is not None:
+                yield partition.path, name, "span", None, own.summary[0], own.summary[1]
+                yield partition.path, name, "count", None, own.summary[2], own.summary[3]
+        if found[1]:
+            yield partition.path, "*", "count", None, 0, found[1]
+
+
+class BaiSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "bai"
+
+    def schema(self) -> str:
+        return INDEX
+
+    def reader(self, schema: T.StructType) -> BaiReader:
+        return BaiReader(self.options["path"])
+
+
+def index_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, aligned, unaligned) from the indexes alone."""
+    register(spark)
+    counts = spark.read.format("bai").load(path).where("kind = 'count'")
+    return counts.groupBy("contig").agg(F.sum("begin").alias("aligned"), F.sum("end").alias("unaligned"))
+
+
+def at_place(spark: SparkSession, path: str, contig: str, start: int, window: int = 0) -> DataFrame:
+    """Reads that begin within `window` of a place; the index leads to their blocks."""
+    return read(spark, path, places=True).where((F.col("contig") == contig) & F.col("start").between(start - window, start + window))
+
+
+def over_range(spark: SparkSession, path: str, contig: str, first: int, last: int) -> DataFrame:
+    """Reads of one contig over [first, last]; the index leads to their blocks."""
+    return read(spark, path, places=True).where((F.col("contig") == contig) & (F.col("start") <= last) & (F.col("ref_end") >= first))

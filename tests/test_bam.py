@@ -75,3 +75,111 @@ def test_other_files_fail(spark, lines):
     bam.register(spark)
     with pytest.raises(Exception, match="gzip|BAM|PYTHON_DATA_SOURCE"):
         spark.read.format("bam").load(lines("x.bam", "text")).collect()
+
+
+CONTIGS = [("c1", 1 << 20), ("c2", 1 << 28), ("c3", 100)]
+READ = "qname string, flag int, contig string, start int, mapq int, cigar string, mate_contig string, mate_start int, tlen int, seq string, qual string, tags map<string,string>"
+
+
+def made(n=3000, seed=4):
+    """Reads over two contigs and without one, some long; odd lengths, absent letters and typed tags."""
+    rng = random.Random(seed)
+    reads = []
+    for k in range(n):
+        contig = rng.choice(["c1", "c2", "c2", "*"]) if k % 7 else "c2"
+        start = -1 if contig == "*" else rng.randrange(900_000) if contig == "c1" else rng.randrange(200_000_000)
+        size = rng.randint(1, 60)
+        cigar = "*" if contig == "*" else rng.choice([f"{size}M", f"{size}M50000N0M" if size > 3 else f"{size}M", f"{size}S"])
+        seq = "*" if k % 50 == 0 else "".join(rng.choices("ACGTN", k=size))
+        qual = "*" if seq == "*" or k % 31 == 0 else "".join(rng.choices("#5I!~", k=size))
+        tags = {"XI": str(rng.randint(-9, 9)), "XF": "0.5", "XZ": f"ä{k}", "XB": "s,-1,5"} if k % 3 else {}
+        reads.append((f"r{k}", 4 if contig == "*" or k % 11 == 0 else 99, contig, start, 60, cigar, "c3", 5, -150, seq, qual, tags))
+    return reads
+
+
+def plain(frame):
+    return sorted((*(r[c] for c in frame.columns if c != "tags"), sorted((r["tags"] or {}).items())) for r in frame.select(READ_NAMES).collect())
+
+
+READ_NAMES = [part.split()[0] for part in READ.split(", ")]
+
+
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("bam"))
+    frame = spark.createDataFrame(made(), READ).repartition(5)
+    bam.write_sorted(frame, path, CONTIGS, {"XI": "i", "XF": "f", "XB": "B"})
+    sizes = {r["file"]: r["bytes"] for r in bam.write_indexes(spark, path).collect()}
+    return path, sizes
+
+
+def test_sink_round_trip(spark, written):
+    path, sizes = written
+    import os
+
+    files = [f for f in os.listdir(path) if f.endswith(".bam")]
+    assert files and len(sizes) == len(files) and not any("temporary" in f for f in os.listdir(path))
+    assert plain(bam.read(spark, path)) == sorted((*r[:-1], sorted(r[-1].items())) for r in made())
+    with open(os.path.join(path, files[0]), "rb") as f:
+        assert f.read().endswith(bam.END_OF_FILE)
+
+
+def end_of(read):
+    return read[3] + max(1, sum(int(n) for n, o in bam._STEP.findall(read[5]) if o in "MDN=X")) - 1
+
+
+@pytest.mark.parametrize(("contig", "first", "last"), [("c1", 0, 50), ("c1", 400_000, 410_000), ("c2", 150_000_000, 150_100_000), ("c2", 268_000_000, 268_400_000), ("c3", 0, 99), ("nowhere", 1, 2)])
+def test_range_reads_only_its_blocks(spark, written, contig, first, last):
+    path, _ = written
+    found = sorted(r["qname"] for r in bam.over_range(spark, path, contig, first, last).collect())
+    assert found == sorted(r[0] for r in made() if r[2] == contig and r[3] <= last and end_of(r) >= first)
+    reader = bam.BamReader(path, 1 << 30)
+    everything = sum_of_blocks(reader.partitions())
+    list(reader.pushFilters([bam.EqualTo(("contig",), contig), bam.LessThanOrEqual(("start",), last), bam.GreaterThanOrEqual(("ref_end",), first)]))
+    assert sum_of_blocks(reader.partitions()) <= max(0.5 * everything, 0)
+
+
+def sum_of_blocks(pieces):
+    import os
+
+    return sum((os.path.getsize(p.path) if p.end is None else (p.end >> 16) + 1) - (p.begin >> 16) for p in pieces)
+
+
+def test_every_place_is_in_its_index(spark, written):
+    """All records of small ranges, by the index against a full scan; the index round-trips through its bytes and rows."""
+    path, _ = written
+    rng = random.Random(2)
+    reads = made()
+    for _ in range(6):
+        at = rng.randrange(200_000_000)
+        frame = bam.read(spark, path).where((bam.F.col("contig") == "c2") & (bam.F.col("start") >= at) & (bam.F.col("start") < at + 3_000_000))
+        assert sorted(r["qname"] for r in frame.collect()) == sorted(r[0] for r in reads if r[2] == "c2" and at <= r[3] < at + 3_000_000)
+    one = bam.BamReader(path, 1).files[0]
+    data = open(one + ".bai", "rb").read()
+    assert bam.index_bytes(*bam.read_index(data)) == data
+    stats = {r["contig"]: (r["aligned"], r["unaligned"]) for r in bam.index_statistics(spark, path).collect()}
+    count = lambda c, flag: sum(1 for r in reads if r[2] == c and (r[1] & 4 != 0) == flag)
+    assert stats == {"c1": (count("c1", False), count("c1", True)), "c2": (count("c2", False), count("c2", True)), "*": (0, count("*", True))}
+    unplaced = bam.read(spark, path).where("contig = '*'")
+    assert unplaced.count() == count("*", True)
+
+
+def test_failed_task_leaves_nothing(spark, tmp_path):
+    """One read has a contig that the header lacks; an earlier result stays as it was."""
+    good = made(40)
+    path = str(tmp_path / "out")
+    bam.write_sorted(spark.createDataFrame(good, READ), path, CONTIGS)
+    before = sorted(p.name for p in (tmp_path / "out").iterdir())
+    bad = [*good, ("x", 99, "c9", 5, 60, "1M", "c1", 1, 0, "A", "I", {})]
+    with pytest.raises(Exception, match="c9|lacks|WRITE|PYTHON"):
+        bam.write_sorted(spark.createDataFrame(bad, READ).repartition(4), path, CONTIGS)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == before
+    assert bam.read(spark, path).count() == 40
+    bam.write_sorted(spark.createDataFrame(good[:3], READ), path, CONTIGS, mode="append")
+    assert bam.read(spark, path).count() == 43
+
+
+def test_no_reads(spark, tmp_path):
+    bam.write_sorted(spark.createDataFrame([], READ), str(tmp_path / "none"), CONTIGS)
+    assert bam.read(spark, str(tmp_path / "none")).count() == 0
+    assert bam.index_statistics(spark, str(tmp_path / "none")).count() == 0
