@@ -13,7 +13,7 @@ from ..operators.calls import element
 from ..operators.order import numbered
 from ..params import Params
 from ..session import shared_folder, table
-from ..sources import bam, readers, sinks
+from ..sources import arrays, bam, readers, sinks
 from ..standins import view
 from .registry import query
 
@@ -120,17 +120,34 @@ def s09(spark, sf):
     return readers.position_rows(f.select(F.concat_ws("  ", span, point).alias("value")))
 
 
+_DENSE_SQL = "m AS (SELECT contig, max(pos) AS last FROM coverage_v GROUP BY contig), p AS (SELECT contig, unnest(range(0, last + 1)) AS pos FROM m), d AS (SELECT p.contig, p.pos, coalesce(value, 0)::BIGINT AS value FROM p LEFT JOIN coverage_v c ON p.contig = c.contig AND p.pos = c.pos)"
+
+
+def position_files(spark, sf):
+    """The stand-in coverage as files of packed numbers."""
+    folder = new_folder(spark, "numbers")
+    arrays.write(arrays.packed(view(spark, sf, "coverage_v")), folder, sample="s")
+    return arrays.read(spark, folder)
+
+
 @query("S11_position_arrays", "SELECT contig, count(*) AS n, sum(value)::BIGINT AS total FROM coverage_v GROUP BY ALL")
 def s11(spark, sf):
-    return view(spark, sf, "coverage_v").groupBy("contig").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    """From packed files: places with a value, and the sum over all."""
+    return position_files(spark, sf).where("value <> 0").groupBy("contig").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("S11_position_values", f"WITH {_DENSE_SQL} SELECT 's' AS sample, * FROM d")
+def s11_values(spark, sf):
+    """Every position of every contig, from packed files."""
+    return position_files(spark, sf)
 
 
-@query("K05_coverage_arrays", "WITH m AS (SELECT contig, max(pos) AS last FROM coverage_v GROUP BY contig), p AS (SELECT contig, unnest(range(0, last + 1)) AS pos FROM m) SELECT p.contig, list(coalesce(value, 0) ORDER BY p.pos) AS \"values\" FROM p LEFT JOIN coverage_v c ON p.contig = c.contig AND p.pos = c.pos GROUP BY p.contig")
+@query("K05_coverage_arrays", f"""WITH {_DENSE_SQL}
+SELECT contig, pos // 65536 AS chunk, count(*) AS size, sha256(string_agg(CASE WHEN value < 128 THEN printf('%02X', value) WHEN value < 16384 THEN printf('%02X%02X', value & 127 | 128, value >> 7) ELSE printf('%02X%02X%02X', value & 127 | 128, (value >> 7) & 127 | 128, value >> 14) END, '' ORDER BY pos)) AS packed_sha256
+FROM d GROUP BY contig, chunk""")
 def k05(spark, sf):
-    rows = view(spark, sf, "coverage_v")
-    places = rows.groupBy("contig").agg(F.max("pos").alias("last")).select("contig", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("pos"))
-    dense = places.join(rows, ["contig", "pos"], "left").fillna(0, ["value"])
-    return dense.groupBy("contig").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("values"))
+    """Packed chunks, with the digest of their bytes in hexadecimal."""
+    return arrays.packed(view(spark, sf, "coverage_v")).select("contig", "chunk", "size", F.sha2(F.hex("numbers"), 256).alias("packed_sha256"))
 
 
 @query("K10_annotated_list", "WITH l AS (SELECT p_partkey * 2 AS pos, p_brand AS note FROM part) SELECT l.pos, note, CASE WHEN c.pos IS NULL THEN 'NOT FOUND' ELSE 'FOUND' END AS outcome FROM l LEFT JOIN (SELECT DISTINCT pos FROM coverage_v WHERE value > 8) c ON l.pos = c.pos")
