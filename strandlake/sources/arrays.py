@@ -135,7 +135,9 @@ class Segments(InputPartition):
     contig: str
     first: int
     parts: list[tuple[int, int]]
+    #: Positions of each segment, and whether the contig's last one, which may be shorter, is among these.
     segment: int | None
+    last: bool
 
 
 class Cursor:
@@ -208,7 +210,7 @@ class NumbersReader(DataSourceReader):
                 for k, part in enumerate(parts):
                     own.append(part)
                     if k + 1 == len(parts) or self.segment and sum(n for _, n in own) >= self.split:
-                        pieces.append(Segments(path, sample, contig, first, own, self.segment if k + 1 < len(parts) else None))
+                        pieces.append(Segments(path, sample, contig, first, own, self.segment, k + 1 == len(parts)))
                         own, first = [], (k + 1) * (self.segment or 0)
         return pieces
 
@@ -218,7 +220,7 @@ class NumbersReader(DataSourceReader):
         schema = pa.schema([("sample", pa.string()), ("contig", pa.string()), ("pos", pa.int64()), ("value", pa.int64())])
         first = partition.first
         with self.store.open_input_file(partition.path) as file:
-            for offset, size in partition.parts:
+            for k, (offset, size) in enumerate(partition.parts, 1):
                 file.seek(offset)
                 rest, begin = b"", first
                 for at in range(0, size, STEP):
@@ -226,7 +228,8 @@ class NumbersReader(DataSourceReader):
                     if len(values):
                         yield positions(schema, [partition.sample, partition.contig], first, values)
                     first += len(values)
-                if rest or partition.segment and first - begin != partition.segment:
+                whole = partition.segment and not (partition.last and k == len(partition.parts))
+                if rest or whole and first - begin != partition.segment:
                     raise ValueError(f"a segment of {partition.contig} is broken, or not of {partition.segment} numbers")
 
 
