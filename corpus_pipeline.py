@@ -20,7 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the rest is rejected.
 
     The model learns from labelled documents of this stage's own input. A missing lang is filled
-    with the prediction.
+    with the prediction. Null and empty texts, and those without a letter, have no language and go;
+    rows without an id or with a repeated one are judged by their own text; repeated rows stay
+    repeated; an empty table, or one without labelled documents, gives no rows.
     """
     rows = langid.identify(docs, langid.fit(docs), keep=COLUMNS)
     return rows.where("NOT rejected").select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
@@ -34,27 +36,40 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows of their own; of repeated rows one stays.
     """
     row = [F.col("doc_id"), jaccard.text_key(F.col("text"))]
-    keyed = docs.select("doc_id", row[1].alias("__t"), "text")
+    second = F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", row[1].alias("__t"), "text", second.alias("__u"))
     roots = simhash.similar_texts(keyed.select(F.col("__t").alias("t"), "text"))
-    rooted = keyed.select("doc_id", "__t").join(roots, F.col("__t") == roots["t"], "left").select("doc_id", "__t", F.coalesce("root", "__t").alias("root"))
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__t").alias("t"))).alias("r"))
+    # texts that share a key by chance: all but one of them are groups of their own, by a second hash
+    first_of = keyed.groupBy(F.col("__t").alias("t")).agg(F.min("__u").alias("first")).join(roots, "t", "left")
+    chance = F.when(F.col("__u") == F.col("first"), F.lit(0).cast("long")).otherwise(F.col("__u"))
+    rooted = keyed.select("doc_id", "__t", "__u").join(first_of, F.col("__t") == first_of["t"]).select("doc_id", "__t", "__u", F.coalesce("root", "__t").alias("root"), chance.alias("chance"))
+    least = rooted.groupBy("root", "chance").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__t").alias("t"), F.col("__u").alias("u"))).alias("r"))
     # null has a key of its own, and one key serves the join and the grouping: texts move once
-    key = lambda doc_id, t: F.concat_ws(" ", t.cast("string"), doc_id.cast("string")).alias("__key")
-    chosen = least.select(key(F.col("r.doc_id"), F.col("r.t")))
-    kept = docs.select(key(*row), *COLUMNS).join(chosen, "__key", "left_semi")
+    key = lambda doc_id, t, u: F.concat_ws(" ", t.cast("string"), u.cast("string"), doc_id.cast("string")).alias("__key")
+    chosen = least.select(key(F.col("r.doc_id"), F.col("r.t"), F.col("r.u")))
+    kept = docs.select(key(*row, second), *COLUMNS).join(chosen, "__key", "left_semi")
     first = kept.groupBy("__key").agg(F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("r"))
     return first.select(*[F.col(f"r.{c}").alias(c) for c in COLUMNS])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark.
+
+    A row goes by its own text: others of the same doc_id, or without one, stay. Null and empty texts
+    hold no passage and stay; repeated rows stay repeated or go together; an empty table gives no rows.
+    """
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaks = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*COLUMNS)
+    leaks = found.where("contaminated").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash")).distinct()
+    own = decontaminate.text_hash(F.col("text")) == F.col("__hash")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__doc_id"]) & own, "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark and n_chars brought up to date."""
+    """All documents, with every secret replaced by a mark and n_chars brought up to date.
+
+    Null and empty texts, repeated rows, ids and missing ids stay as they are; an empty table gives
+    no rows.
+    """
     found = secrets.scan(docs, secrets.train(docs), keep=COLUMNS)
     text = secrets.redact(F.col("text"), F.col("spans"))
     n_chars = F.when(F.size("spans") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
@@ -62,7 +77,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document; those that don't decode to the text would be an error."""
+    """Token ids of every document; those that don't decode to the text would be an error.
+
+    A null text has no tokens, as an empty one; repeated rows stay repeated, with or without an id;
+    an empty table gives no rows.
+    """
     made = bpe.encode(docs, *tokenizer(), keep=["doc_id", "text", "lang", "source"])
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
     checked = F.when(whole, F.col("ids")).otherwise(F.raise_error(F.lit("decoded ids differ from the text")).cast("binary"))
