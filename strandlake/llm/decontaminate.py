@@ -42,6 +42,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(fold(text), F.lit("")), BETWEEN_WORDS), "")
 
 
+def text_hash(text: Column) -> Column:
+    """Two independent 64-bit hashes; null counts as the empty text."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"))
+
+
 def windows(items: DataFrame, width: int, shingle: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct windows (window, length, size, items) with the items that have them; size: words of a token."""
     rows = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).where("size(w) > 0")
@@ -140,8 +146,11 @@ def covered(spans: Column) -> Column:
 def contamination(
     docs: DataFrame, items: DataFrame, width: int = 10, shingle: int = 5, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated) for every row of `docs`."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), words(F.col(text)).alias("w"))
+    """(doc_id, n_words, n_hit, n_items, items, contaminated, text_hash) for every row of `docs`.
+
+    The text's hash tells rows apart that share an id, or have none.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("h"), words(F.col(text)).alias("w"))
     found = cut(prefixes(windows(items, width, shingle), rows))
     held = F.octet_length(F.array_join("window", " ")) + 24 * F.size("items") + 8 * F.col("length")
     blocks = blocks_of(found, "window", held) or [(shingle, found)]
@@ -155,7 +164,7 @@ def contamination(
         F.collect_set(F.when(is_hit, F.struct("start", "length"))).alias("spans"),
         F.collect_set(F.when(is_hit, F.col("items"))).alias("sets"),
     )
-    each = grouped.select("doc_id", "n_words", "spans", "sets", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    each = grouped.select("doc_id", "h", "n_words", "spans", "sets", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     ids = F.array_sort(F.array_distinct(F.flatten("sets")))
-    made = each.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered(F.col("spans")).alias("n_hit"), ids.alias("items"))
-    return made.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    made = each.select("doc_id", "h", F.col("n_words").cast("long").alias("n_words"), covered(F.col("spans")).alias("n_hit"), ids.alias("items"))
+    return made.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), F.col("h").alias("text_hash"))

@@ -13,8 +13,9 @@ threshold that a sibling of the path needs to be part of the article too.
 Marks only weigh in: inside an enclosing `article` or `main` a sibling needs no density (but must not
 be mostly links), outside of one it needs the largest density on the path. Elements that hold no
 article text by the HTML standard (scripts, menus, footers, forms, ...) take no part, nor do elements
-whose class, id or role is wholly made of words for adverts, notices, comments and the like, unless
-the page has no other text.
+whose class, id or role is wholly made of words for adverts, notices, comments and the like; a page
+that has nothing else has no main text. Of two articles side by side, outside of a common one, the
+denser is the content, and the other one needs the largest density on the path.
 
 Defined results: a null or empty page, and one without text, gives the empty text; unclosed and
 truncated markup is closed at the end; an attribute whose quote is never closed ends at the next `>`;
@@ -177,12 +178,12 @@ def parse(html: str) -> Node:
     return root
 
 
-def live(root: Node, use_marks: bool) -> list[Node]:
+def live(root: Node) -> list[Node]:
     """Nodes that take part, in page order. A header does so only inside an article or main element."""
     found, stack = [], [(root, False)]
     while stack:
         node, inside = stack.pop()
-        if node.drop or (use_marks and node.marked) or (node.tag == "header" and not inside):
+        if node.drop or node.marked or (node.tag == "header" and not inside):
             continue
         found.append(node)
         inside |= node.article
@@ -296,14 +297,12 @@ def blocks(top: Node, taken: set[int], out: set[int]) -> list[str]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    root = parse(html)
-    for use_marks in (True, False):
-        nodes = live(root, use_marks)
-        body = measure(nodes)
-        if body.chars:
-            path, out = choose(body)
-            return "\n\n".join(blocks(path[-1], {id(n) for n in nodes}, out))
-    return ""
+    nodes = live(parse(html))
+    body = measure(nodes)
+    if not body.chars:
+        return ""
+    path, out = choose(body)
+    return "\n\n".join(blocks(path[-1], {id(n) for n in nodes}, out))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

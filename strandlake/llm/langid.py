@@ -9,7 +9,7 @@ if its best language has a score below the threshold: texts that look like nonse
 languages at once.
 
 Sample bound: about `PER_LANGUAGE` distinct texts a language and `MOST_TEXTS` in all, whole texts,
-chosen by a hash of the text, for the `MOST_LANGUAGES` languages with most rows. Executors turn them
+chosen by a hash of the text, of every language that has any. Executors turn them
 into counts of at most BUCKETS buckets, so what the driver holds doesn't depend on how long they are.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and is rejected;
@@ -30,7 +30,7 @@ from .batches import with_columns
 BUCKETS = 1 << 13
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
-PER_LANGUAGE, MOST_TEXTS, MOST_LANGUAGES = 400, 4000, 500
+PER_LANGUAGE, MOST_TEXTS = 400, 4000
 #: Share of held-back texts, rightly named, that the threshold may reject; a language that is likelier than all
 #: else together is never rejected.
 REJECTED_SHARE, SURE = 0.001, 0.5
@@ -223,14 +223,14 @@ def train(x: np.ndarray, nonsense: np.ndarray, labels: list[str], width: int = 1
 
 def sample(rows: DataFrame, per_language: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Bucket shares, those of the texts backwards, and languages of a bounded number of whole texts."""
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in most.collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return np.zeros((0, BUCKETS), np.float32), np.zeros((0, BUCKETS), np.float32), []
-    each = min(per_language, max(1, MOST_TEXTS // len(counts)))
-    share = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(min(1.0, each / n)))])
+    each = min(per_language, max(1, MOST_TEXTS // languages))
     draw = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(draw < share[F.col("lang")]).select("lang", "text").distinct()
+    # a row a language: the model has a class for each of them anyway
+    drawn = rows.join(F.broadcast(counts), "lang").where(draw * F.col("n") < each).select("lang", "text").distinct()
 
     def packed(texts: list[bytes | None]) -> dict[str, list]:
         return {"bag": [bag(t) for t in texts], "odd": [bag(backwards(t)) for t in texts], "letters": [has_letter(t) for t in texts]}

@@ -50,14 +50,16 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = secrets.listing(F.filter("spans", lambda s: s["kind"] != "markov"))
     return found.select(
         "doc_id",
-        *[of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex", "markov")],
+        *[of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
         F.sha2(base, 256).alias("base_sha256"),
         secrets.listing(F.col("spans")).alias("spans"),
+        of("markov").alias("n_markov"),
     )
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.deal(table(spark, sf_dir, "documents")).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    dealt = sharding.deal(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +84,9 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     rows = quality.apply_policy(quality.apply_policy(rows, "base", "base_kept"), "v1", "kept")
-    return rows.withColumns({"base_failed": ~F.col("base_kept"), "policy": F.lit("v1")}).drop("base_kept")
+    measured = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    more = [c for c in rows.columns if c not in ("doc_id", *measured, "base_kept", "kept")]
+    return rows.select("doc_id", *measured, (~F.col("base_kept")).alias("base_failed"), "kept", *more, F.lit("v1").alias("policy"))
 
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def test_hundred_thousand_nested_elements():
 
 def plain_sums(root):
     """Weighed density sums of all standing nodes below the body, from counts made anew for each node."""
-    nodes = X.live(root, True)
+    nodes = X.live(root)
     standing = [n for n in nodes if n.stands]
     body = next((n for n in standing if n.tag == "body"), root)
 
@@ -151,7 +151,7 @@ def random_page(rng):
 @pytest.mark.parametrize("seed", range(25))
 def test_the_densest_subtree_is_chosen(seed):
     root = X.parse(random_page(random.Random(seed)))
-    body = X.measure(X.live(root, True))
+    body = X.measure(X.live(root))
     path, _ = X.choose(body)
     same, sums = plain_sums(root)
     assert body is same
@@ -164,7 +164,7 @@ def test_density_decides_every_page(spark):
     decided = same = 0
     for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         root = X.parse(row["html"])
-        body = X.measure(X.live(root, True))
+        body = X.measure(X.live(root))
         path, _ = X.choose(body)
         _, sums = plain_sums(root)
         decided += next(s for n, s in sums if n is path[0]) == pytest.approx(max(s for _, s in sums))
@@ -173,3 +173,8 @@ def test_density_decides_every_page(spark):
         same += X.main_text(plain) == X.main_text(row["html"])
     n = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert decided == n and same >= 0.95 * n
+
+
+@pytest.mark.parametrize("page", ['<div class="comments"><p>great</p></div>', '<div id="cookie-notice">We use cookies.</div>', "<nav><a href=a>Home</a></nav><footer>Contact</footer>"])
+def test_pages_without_an_article_are_empty(page):
+    assert X.main_text(f"<html><body>{page}</body></html>") == ""

@@ -105,3 +105,58 @@ def test_extra_columns_do_not_matter(spark, docs):
         more = stage(spark, docs(*texts).withColumns({n: F.lit("x") for n in names}), FOLDER)
         assert more.columns == plain.columns
         assert sorted(map(str, more.collect())) == sorted(map(str, plain.collect()))
+
+
+LEAK = " ".join(f"leak{k}" for k in range(12))
+
+
+@pytest.fixture
+def bench_folder(spark, tmp_path):
+    spark.createDataFrame([("i1", LEAK)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_decontamination_takes_only_rows_that_hold_a_passage(spark, docs, bench_folder):
+    """Ids that are missing or shared with a contaminated row don't take clean rows away."""
+    rows = [(None, f"first {LEAK}"), (None, "a clean text"), (5, f"second {LEAK} end"), (5, "another clean text"), (6, "the last one"), (6, "the last one"), (7, None), (None, ""), (8, LEAK + " and so on" * 100_000)]
+    kept = corpus_pipeline.decontamination(spark, docs(*rows), bench_folder).collect()
+    expected = [(i, t) for i, t in rows if LEAK not in (t or "")]
+    assert sorted(map(str, [(r["doc_id"], r["text"]) for r in kept])) == sorted(map(str, expected))
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark, docs):
+    """Missing and shared ids, repeated rows, null and empty texts, a very long text."""
+    one = " ".join(f"w{k}" for k in range(200))
+    near = one + " more"
+    other = " ".join(f"x{k}" for k in range(50))
+    long = " ".join(f"y{k}" for k in range(150_000))
+    rows = [(None, one), (4, near), (3, other), (3, one + " end"), (None, other + " tail end here of it all and many many more other words than before"), (9, None), (8, ""), (2, long), (1, long + " z"), (2, long)]
+    kept = corpus_pipeline.near_duplicates(spark, docs(*rows), FOLDER).collect()
+    assert sorted(str((r["doc_id"], (r["text"] or "")[-20:])) for r in kept) == sorted(
+        str((i, (t or "")[-20:])) for i, t in [(3, one + " end"), (3, other), (None, other + " tail end here of it all and many many more other words than before"), (8, ""), (1, long + " z")]
+    )
+
+
+def test_keys_that_meet_by_chance_lose_no_text(spark, docs, monkeypatch):
+    """All texts share a key; each is still there."""
+    monkeypatch.setattr(corpus_pipeline.jaccard, "text_key", lambda text: F.lit(1).cast("long"))
+    rows = [(k, f"text number {k} " + " ".join(f"u{k}v{j}" for j in range(20))) for k in range(6)]
+    kept = corpus_pipeline.near_duplicates(spark, docs(*rows), FOLDER)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(6))
+
+
+def test_last_stages_keep_odd_rows(spark, docs):
+    rows = [(None, "a text with token=abcdefgh in it"), (1, None), (1, ""), (2, "same"), (2, "same"), (3, "long words " * 100_000)]
+    scanned = corpus_pipeline.secret_scan(spark, docs(*rows), FOLDER)
+    assert sorted(str(r["doc_id"]) for r in scanned.collect()) == sorted(str(i) for i, _ in rows)
+    coded = corpus_pipeline.tokens(spark, scanned, FOLDER).collect()
+    assert sorted(str(r["doc_id"]) for r in coded) == sorted(str(i) for i, _ in rows)
+    assert sum(r["n_tokens"] == 0 for r in coded) == 2
+
+
+def test_language_stage_of_odd_rows(spark, documents):
+    more = [(None, documents.first()["text"], "xx", "s", 1), (7, None, "xx", "s", 1), (7, "", None, "s", 0), (7, "123 456", None, "s", 0)]
+    kept = corpus_pipeline.language(spark, documents.union(spark.createDataFrame(more, documents.schema)), FOLDER)
+    assert kept.count() >= 0.99 * documents.count()
+    assert kept.where("text IS NULL OR text = '' OR text = '123 456'").count() == 0
+    assert corpus_pipeline.language(spark, documents.limit(0), FOLDER).count() == 0

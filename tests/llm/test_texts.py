@@ -435,3 +435,16 @@ def test_counts_of_kinds(spark):
     for r in rows:
         kinds = Counter(s.split(":")[0] for s in r["spans"].split(",") if s)
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"])
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than any bound, most of one text; each is a class."""
+    rows = [(k, f"palabra{k % 26} texto {'abcdefghij'[k % 10] * 5} und mehr", f"l{k % 700}") for k in range(1400)]
+    shares, odd, languages = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 400)
+    assert len(set(languages)) == 700 and len(shares) == len(odd) == len(languages)
+
+
+def test_columns_stand_in_the_stated_order(spark):
+    assert queries.op3_secrets(spark, FOLDER).columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert queries.op4_sharding(spark, FOLDER).columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert queries.op9_quality_rules(spark, FOLDER).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
