@@ -14,7 +14,7 @@ Marks only weigh in: inside an enclosing `article` or `main` a sibling needs no
 be mostly links), outside of one it needs the largest density on the path. Elements that hold no
 article text by the HTML standard (scripts, menus, footers, forms, ...) take no part, nor do elements
 whose class, id or role is wholly made of words for adverts, notices, comments and the like; a page
-that has nothing else has no main text. Of two articles side by side, outside of a common one, the
+that has nothing else has no main text, but for boxes of a generic name (widgets, dialogs). Of two articles side by side, outside of a common one, the
 denser is the content, and the other one needs the largest density on the path.
 
 Defined results: a null or empty page, and one without text, gives the empty text; unclosed and
@@ -71,6 +71,8 @@ BOILERPLATE = frozenset(
     "modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus "
     "discussion replies responses related recommended share sharing social pagination widget widgets search complementary contentinfo dialog".split()
 )
+#: Those among them that name a kind of box only: what is in one may be the page's article, where there is no other text.
+GENERIC = frozenset("widget widgets popup modal dialog related recommended promo search complementary contentinfo".split())
 #: Words that may stand beside them in a name.
 BESIDE = frozenset("article post page site blog entry user reader list section box block area wrap wrapper container slot unit thread bar left right top bottom inner outer main links form".split())
 
@@ -91,26 +93,29 @@ class Node:
         self.holder = parent if parent is None or parent.stands else parent.holder
         self.parts: list[Node] = []
         self.drop = tag in EXCLUDED
-        self.marked = False
+        #: 1 for a box of a generic name, 2 for what is named as no part of an article
+        self.marked = 0
         self.article = tag in ("article", "main")
         self.chars = self.own = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_boilerplate(tag: str, name: str) -> bool:
-    """Whether a class, id or role is wholly made of words for boilerplate and what stands beside them."""
+def boilerplate_grade(tag: str, name: str) -> int:
+    """Over 0 if a class, id or role is wholly made of words for boilerplate and what stands beside them; 1 if these are generic."""
     parts = {p for p in _NAME_PARTS.split(_CAMEL.sub(" ", name).lower()) if p}
-    return tag not in ("html", "body", "main") and bool(parts & BOILERPLATE) and parts <= BOILERPLATE | BESIDE
+    if tag in ("html", "body", "main") or not parts & BOILERPLATE or not parts <= BOILERPLATE | BESIDE:
+        return 0
+    return 2 if parts & (BOILERPLATE - GENERIC) else 1
 
 
 def _weigh(node: Node, name: str, value: str) -> None:
     name, low = name.lower(), value.lower()
     if name in ("class", "id", "role"):
-        node.marked |= any(is_boilerplate(node.tag, v) for v in value.split())
+        node.marked = max(node.marked, *(boilerplate_grade(node.tag, v) for v in value.split()), 0)
         node.article |= name == "role" and low in ("main", "article")
     elif name == "itemprop":
         node.article |= low == "articlebody"
-        node.marked |= low == "comment"
+        node.marked = max(node.marked, 2 * (low == "comment"))
     elif name == "hidden" or (name == "style" and _HIDDEN.search(low)) or (name == "aria-hidden" and low == "true"):
         node.drop = True
 
@@ -178,12 +183,12 @@ def parse(html: str) -> Node:
     return root
 
 
-def live(root: Node) -> list[Node]:
-    """Nodes that take part, in page order. A header does so only inside an article or main element."""
+def live(root: Node, boxes: bool = False) -> list[Node]:
+    """Nodes that take part, in page order, with `boxes` those of a generic name too. A header does so only inside an article or main element."""
     found, stack = [], [(root, False)]
     while stack:
         node, inside = stack.pop()
-        if node.drop or node.marked or (node.tag == "header" and not inside):
+        if node.drop or node.marked > boxes or (node.tag == "header" and not inside):
             continue
         found.append(node)
         inside |= node.article
@@ -297,12 +302,14 @@ def blocks(top: Node, taken: set[int], out: set[int]) -> list[str]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    nodes = live(parse(html))
-    body = measure(nodes)
-    if not body.chars:
-        return ""
-    path, out = choose(body)
-    return "\n\n".join(blocks(path[-1], {id(n) for n in nodes}, out))
+    root = parse(html)
+    for boxes in (False, True):
+        nodes = live(root, boxes)
+        body = measure(nodes)
+        if body.chars:
+            path, out = choose(body)
+            return "\n\n".join(blocks(path[-1], {id(n) for n in nodes}, out))
+    return ""
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
