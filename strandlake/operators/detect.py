@@ -75,10 +75,7 @@ def in_molecules(paired: DataFrame, params: Params = Params()) -> DataFrame:
     # reads of one name share a molecule whatever their own ends
     first = made.groupBy("molecule").agg(F.min_by(F.struct(*[c for c in made.columns if c != "molecule"]), F.struct(-F.col("n_top") - F.col("n_bottom"), *molecules.KEY)).alias("m"))
     made = first.select("molecule", "m.*")
-    chunk = ["sample", "contig", "left_start"]
-    if params.alignmentPositionMismatchAllowed:
-        made, chunk = molecules.start_islands(made, params.alignmentPositionMismatchAllowed), ["sample", "contig", "island"]
-    merged = molecules.fuzzy_merge(made, params.alignmentPositionMismatchAllowed, params.nVariableBarcodeMismatchesAllowed, chunk)
+    merged = molecules.fuzzy_merge(made, params.alignmentPositionMismatchAllowed, params.nVariableBarcodeMismatchesAllowed, ["sample", "contig"])
     return keyed.join(merged.select(F.col("molecule").alias("molecule_key"), F.col("merged_into").alias("dup")), "molecule_key")
 
 

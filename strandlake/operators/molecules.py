@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import NO_MATE
-from .intervals import running
+from ..session import cut
+from .intervals import STRETCH, running
 
 KEY = ["sample", "contig", "left_start", "right_end", "left_bc", "right_bc"]
 
 
 def exact_groups(reads: DataFrame, forced_by_name: bool = True) -> DataFrame:
-    """Reads with molecule_key: the hash of their coordinates and barcodes.
+    """Reads with molecule_key: a 128-bit hash of their coordinates and barcodes.
 
     Reads of one name go to one molecule, that of the smallest key among them.
     """
-    own = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit(str(NO_MATE))) for c in KEY])
+    own = F.md5(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(str(NO_MATE))) for c in KEY]))
     rows = reads.withColumn("molecule_key", own)
     if not forced_by_name:
         return rows
@@ -94,67 +97,115 @@ def merged_barcode_mismatches(molecules: DataFrame, merged: DataFrame, length: i
     return letters.where("fst <> snd").groupBy("place", "fst", "snd").agg(F.count("*").alias("n"))
 
 
-def _differs(a: str, b: str) -> int:
-    return sum(x != y and x != "N" and y != "N" for x, y in zip(a, b, strict=False))
-
-
-def _merge_group(rows: list[tuple], tolerance: int, barcode_mismatches: int) -> list[tuple[int, int]]:
-    """(molecule, merged_into) of (molecule, left_start, right_end, left_bc, right_bc, n_top, n_bottom) rows."""
-    if len(rows) == 1:
-        return [(rows[0][0], rows[0][0])]
-    ordered = sorted(rows, key=lambda r: (-(r[5] + r[6]), -min(r[5], r[6]), *r[1:5], r[0]))
-    kept: list[tuple] = []
-    out = []
-    for r in ordered:
-        for k in kept:
-            near = abs(k[1] - r[1]) <= tolerance and abs(k[2] - r[2]) <= tolerance
-            if near and _differs(k[3], r[3]) <= barcode_mismatches and _differs(k[4], r[4]) <= barcode_mismatches:
-                out.append((r[0], k[0]))
-                break
-        else:
-            kept.append(r)
-            out.append((r[0], r[0]))
-    return out
-
-
-def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, chunk: list[str]) -> DataFrame:
-    """Molecules with merged_into, merging greedily into the first compatible one.
-
-    Order: most reads, then larger minimum over strands, positions and barcodes. Two molecules are
-    compatible if both ends lie within `tolerance` and both barcodes differ in `barcode_mismatches`
-    letters at most, N fitting anything. Molecules of one chunk only are merged: the start itself
-    where `tolerance` is 0, islands of close starts otherwise. Chunks are sorted within partitions
-    and taken one after another, so that small ones cost no call each.
+ORDER = ["left_start", "right_end", "left_bc", "right_bc"]
+
+
+def _differ(a: Column, b: Column, length: int) -> Column:
+    """Letters that differ between two barcodes, up to the end of the shorter one; N fits anything."""
+    total = F.lit(0)
+    for k in range(1, length + 1):
+        x, y = F.substring(a, k, 1), F.substring(b, k, 1)
+        total = total + F.when((x != y) & ~x.isin("N", "") & ~y.isin("N", ""), 1).otherwise(0)
+    return total
+
+
+def compatible_molecules(rows: DataFrame, tolerance: int, barcode_mismatches: int, keys: list[str], name: str = "molecule") -> DataFrame:
+    """(a, b), each pair once: rows of equal `keys` with both ends within `tolerance` and both barcodes within `barcode_mismatches` letters.
+
+    Ends meet by bins of `tolerance` + 1 places. Barcodes of the common length and without N are also dealt
+    out by bands: with m letters allowed in each, one of 2 m + 1 bands of both together is equal, and a pair is
+    given where its first such band is. Others, few, meet all molecules at their place.
+    """
+    left, right = (c or 0 for c in rows.agg(F.max(F.length("left_bc")), F.max(F.length("right_bc"))).first())
+    bands = 2 * barcode_mismatches + 1
+    banded = bands <= left + right
+    both = F.concat("left_bc", "right_bc")
+    edges = [round((left + right) * k / bands) for k in range(bands + 1)]
+    cuts = [F.substring(both, a + 1, z - a) for a, z in zip(edges, edges[1:], strict=False)] if banded else []
+    width = tolerance + 1
+    fields = [F.col(name).alias("id"), *ORDER]
+    held = rows.select(*keys, *fields, (F.lit(not banded) | F.contains(both, F.lit("N")) | (F.length("left_bc") != left) | (F.length("right_bc") != right)).alias("loose"), F.array(*cuts).cast("array<string>").alias("cuts"))
+    bins = [F.expr(f"CAST(floor({c} / {width}) AS BIGINT)") for c in ORDER[:2]]
+    shifts = range(-1, 2) if tolerance else range(1)
+    near_bins = F.array(*[F.struct((bins[0] + i).alias("i"), (bins[1] + j).alias("j")) for i in shifts for j in shifts])
+    probe = lambda frame: frame.select("*", F.explode(near_bins).alias("bin")).select("*", "bin.i", "bin.j").drop("bin")
+    build = lambda frame: frame.select("*", bins[0].alias("i"), bins[1].alias("j"))
+    other = [F.col(c).alias(f"__{c}") for c in ("id", *ORDER, "loose", "cuts")]
+    close = (F.abs(F.col("left_start") - F.col("__left_start")) <= tolerance) & (F.abs(F.col("right_end") - F.col("__right_end")) <= tolerance)
+    similar = (_differ(F.col("left_bc"), F.col("__left_bc"), left) <= barcode_mismatches) & (_differ(F.col("right_bc"), F.col("__right_bc"), right) <= barcode_mismatches)
+    pair = [F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")]
+    place = [*keys, "i", "j"]
+    own = probe(held.where("loose")).join(build(held).select(*place, *other), place).where((~F.col("__loose") | (F.col("id") < F.col("__id"))) & (F.col("id") != F.col("__id")))
+    found = own.where(close & similar).select(*pair)
+    if banded:
+        strict = held.where("NOT loose").select("*", F.posexplode("cuts").alias("band", "text"))
+        met = probe(strict).join(build(strict).select(*place, "band", "text", *other), [*place, "band", "text"])
+        first = F.array_position(F.zip_with("cuts", "__cuts", lambda x, y: x == y), True) == F.col("band") + 1
+        found = found.union(met.where((F.col("id") < F.col("__id")) & first & close & similar).select(*pair))
+    return found
+
+
+def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, chunk: list[str], max_rounds: int = 10_000) -> DataFrame:
+    """Molecules with merged_into: each in turn goes to the first one before it that stays and is compatible, or stays itself.
+
+    Order: most reads, then larger minimum over strands, positions, barcodes and the molecule's name. Two
+    molecules are compatible if they have equal `chunk` columns, both ends lie within `tolerance` and both
+    barcodes differ in `barcode_mismatches` letters at most, N fitting anything.
+
+    Done in rounds over the links of compatible molecules: one that has a link to an earlier molecule that
+    stays is merged, one whose earlier links are all merged stays, others wait. The result is that of going
+    through all molecules in turn; no island of linked molecules is held by one task. Rounds are as many as
+    the longest chain of decisions that wait for each other, and each is checkpointed.
+    """
+    ends = [(-(F.col("n_top") + F.col("n_bottom"))).alias("reads"), (-F.least("n_top", "n_bottom")).alias("least"), *ORDER, "molecule"]
+    ranked = cut(molecules.select("molecule", F.struct(*ends).alias("rank"), *chunk, *ORDER))
+    links = compatible_molecules(ranked, tolerance, barcode_mismatches, chunk)
+    rank = lambda k: ranked.select(F.col("molecule").alias(k), F.col("rank").alias(f"rank_{k}"))
+    first = F.col("rank_a") < F.col("rank_b")
+    later = links.join(rank("a"), "a").join(rank("b"), "b").select(
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.least("rank_a", "rank_b").alias("rank")
+    )
+    later = cut(later)
+    # semi and anti joins only: what Spark guesses of their sizes doesn't multiply from round to round
+    waiting = later.select("v", "u")
+    stays = cut(later.select(F.col("u").alias("node")).distinct().join(waiting.select(F.col("v").alias("node")), "node", "left_anti"))
+    staying = [stays]
+    for _ in range(max_rounds):
+        as_u = lambda nodes: nodes.select(F.col("node").alias("u"))
+        merged = cut(waiting.join(as_u(stays), "u", "left_semi").select(F.col("v").alias("node")).distinct())
+        held = waiting.join(merged.select(F.col("node").alias("v")), "v", "left_anti")
+        rest = cut(held.join(as_u(merged), "u", "left_anti"))
+        # all that they waited for was merged
+        stays = cut(held.select(F.col("v").alias("node")).distinct().join(rest.select(F.col("v").alias("node")), "node", "left_anti"))
+        waiting = rest
+        staying.append(stays)
+        if not waiting.limit(1).count():
+            break
+    else:
+        raise RuntimeError("merging did not settle")
+    kept = reduce(DataFrame.union, staying)
+    targets = later.join(kept, later["u"] == kept["node"]).groupBy(F.col("v").alias("molecule")).agg(F.min_by("u", "rank").alias("merged_into"))
+    return molecules.join(targets, "molecule", "left").withColumn("merged_into", F.coalesce("merged_into", "molecule"))
+
+
+def start_islands(molecules: DataFrame, gap: int, stretch: int = STRETCH) -> DataFrame:
+    """Molecules with `island` (from 1 in each sample and contig): runs of starts that follow each other within `gap`.
+
+    Starts are counted within stretches of places; what lies before comes from the stretches' own ends and
+    counts, so that no task holds a contig.
     """
-    fields = ["molecule", "left_start", "right_end", "left_bc", "right_bc", "n_top", "n_bottom"]
-    keys = [F.col(c).alias(f"__k{k}") for k, c in enumerate(chunk)]
-    names = [f"__k{k}" for k in range(len(chunk))]
-
-    def run(batches):
-        key, held = None, []
-        for batch in batches:
-            done: list[tuple[int, int]] = []
-            for row in batch.itertuples(index=False, name=None):
-                own = row[: len(names)]
-                if own != key and held:
-                    done += _merge_group(held, tolerance, barcode_mismatches)
-                    held = []
-                key = own
-                held.append(row[len(names) :])
-            yield pd.DataFrame(done, columns=["molecule", "merged_into"], dtype="int64")
-        if held:
-            yield pd.DataFrame(_merge_group(held, tolerance, barcode_mismatches), columns=["molecule", "merged_into"], dtype="int64")
-
-    rows = molecules.select(*keys, *fields).repartition(*names).sortWithinPartitions(*names)
-    merged = rows.mapInPandas(run, "molecule long, merged_into long")
-    return molecules.join(merged, "molecule")
-
-
-def start_islands(molecules: DataFrame, gap: int) -> DataFrame:
-    """Molecules with `island`: runs of starts that follow each other within `gap`."""
-    order = Window.partitionBy("sample", "contig").orderBy("left_start")
-    new = F.when(F.col("left_start") - F.lag("left_start").over(order) <= gap, 0).otherwise(1)
-    return molecules.withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    where = ["sample", "contig"]
+    starts = molecules.select(*where, "left_start").distinct().withColumn("__part", F.floor(F.col("left_start") / stretch))
+    own = Window.partitionBy(*where, "__part").orderBy("left_start")
+    far = F.coalesce((F.col("left_start") - F.lag("left_start").over(own) > gap).cast("long"), F.lit(0).cast("long"))
+    local = starts.withColumn("__new", far).withColumn("__own", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = local.groupBy(*where, "__part").agg(F.min("left_start").alias("__least"), F.max("left_start").alias("__most"), F.sum("__new").alias("__inner"))
+    along = Window.partitionBy(*where).orderBy("__part")
+    begins = F.coalesce((F.col("__least") - F.lag("__most").over(along) > gap).cast("long"), F.lit(1).cast("long"))
+    before = F.coalesce(F.sum(F.col("__inner")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = parts.withColumn("__begins", begins).withColumn("__before", before + F.sum("__begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = local.join(parts.select(*where, "__part", "__before"), [*where, "__part"]).select(*where, "left_start", (F.col("__before") + F.col("__own")).alias("island"))
+    return molecules.join(numbered, [*where, "left_start"])
 
 
 def neighbours(molecules: DataFrame, distance: int = 5, keys: tuple[str, ...] = ("contig",)) -> DataFrame:

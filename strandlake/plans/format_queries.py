@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import intervals, reads, stats
+from ..operators import intervals, molecules, reads, stats
 from ..operators.calls import element
 from ..operators.order import numbered
 from ..params import Params
@@ -208,17 +208,20 @@ def x34(spark, sf):
     return view(spark, sf, "reads_v").groupBy("qname").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("J14_compatible_molecules", """WITH m AS (SELECT DISTINCT left_start, right_end, left_bc, right_bc FROM molecules_v), d AS (SELECT unnest(range(-2, 3)) AS d)
-SELECT a.left_start AS a_start, a.right_end AS a_end, a.left_bc AS a_left, a.right_bc AS a_right, count(*) AS n FROM m a, d JOIN m b ON b.left_start = a.left_start + d WHERE abs(a.right_end - b.right_end) <= 2 AND """
-    + " + ".join(f"CASE WHEN substring(a.{c}, {k}, 1) <> substring(b.{c}, {k}, 1) AND substring(a.{c}, {k}, 1) <> 'N' AND substring(b.{c}, {k}, 1) <> 'N' THEN 1 ELSE 0 END" for c in ("left_bc",) for k in (1, 2, 3))
-    + " <= 1 GROUP BY ALL")
+def _letters_differ(column):
+    return " + ".join(f"CASE WHEN a.{column}[{k}] <> b.{column}[{k}] AND a.{column}[{k}] <> 'N' AND b.{column}[{k}] <> 'N' THEN 1 ELSE 0 END" for k in (1, 2, 3))
+
+
+@query("J14_compatible_molecules", f"""WITH m AS (SELECT DISTINCT sample, contig, left_start, right_end, left_bc, right_bc FROM molecules_v), d AS (SELECT unnest(range(-2, 3)) AS d)
+SELECT a.sample, a.contig, a.left_start, a.right_end, a.left_bc, a.right_bc, count(*) AS n FROM m a, d JOIN m b ON a.sample = b.sample AND a.contig = b.contig AND b.left_start = a.left_start + d
+WHERE abs(a.right_end - b.right_end) <= 2 AND {_letters_differ("left_bc")} <= 1 AND {_letters_differ("right_bc")} <= 1 GROUP BY ALL""")
 def j14(spark, sf):
-    rows = view(spark, sf, "molecules_v").select("left_start", "right_end", "left_bc", "right_bc").distinct()
-    left = rows.select(F.col("left_start").alias("a_start"), F.col("right_end").alias("a_end"), F.col("left_bc").alias("a_left"), F.col("right_bc").alias("a_right"))
-    left = left.withColumn("bin", F.explode(F.array(*[F.floor(F.col("a_start") / 3) + k for k in (-1, 0, 1)])))
-    right = rows.withColumn("bin", F.floor(F.col("left_start") / 3))
-    near = (S.chebyshev(F.col("a_start"), F.col("a_end"), F.col("left_start"), F.col("right_end")) <= 2) & (S.mismatches(F.col("a_left"), F.col("left_bc"), 3) <= 1)
-    return left.join(right, "bin").where(near).groupBy("a_start", "a_end", "a_left", "a_right").agg(F.count("*").alias("n"))
+    """How many molecules each one is compatible with, itself included, by both ends and both barcodes."""
+    fields = ["sample", "contig", "left_start", "right_end", "left_bc", "right_bc"]
+    rows = view(spark, sf, "molecules_v").select(*fields).distinct().withColumn("molecule", F.concat_ws("/", *fields))
+    pairs = molecules.compatible_molecules(rows, 2, 1, ["sample", "contig"])
+    counts = pairs.select(F.explode(F.array("a", "b")).alias("molecule")).groupBy("molecule").agg(F.count("*").alias("others"))
+    return rows.join(counts, "molecule", "left").select(*fields, (F.coalesce("others", F.lit(0)) + 1).alias("n"))
 
 
 @query("J19_zipped_records", "SELECT order_id, line, min(start) AS start, min(mate_start) AS mate_start FROM reads_v GROUP BY ALL")

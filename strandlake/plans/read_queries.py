@@ -323,9 +323,25 @@ def a01_forced(spark, sf):
     return rows.groupBy("sample", "qname").agg(F.countDistinct("molecule_key").cast("int").alias("n_molecules"))
 
 
-@query("A02_fuzzy_merge")
+def _codes_differ(a, b):
+    """SQL: letters that differ between two three-letter codes, N fitting anything."""
+    return " + ".join(f"(CASE WHEN {a}[{k}] <> {b}[{k}] AND {a}[{k}] <> 'N' AND {b}[{k}] <> 'N' THEN 1 ELSE 0 END)" for k in (1, 2, 3))
+
+
+def _fits(k, x):
+    return f"({_codes_differ(f'{k}.left_bc', f'{x}.left_bc')}) <= 1 AND ({_codes_differ(f'{k}.right_bc', f'{x}.right_bc')}) <= 1"
+
+
+#: Molecules of one place in their order, and those that stay: each that no earlier one that stays fits.
+MERGED = f"""one AS (SELECT * FROM molecules_v QUALIFY row_number() OVER (PARTITION BY molecule ORDER BY left_start, left_start + 100, left_bc, right_bc, n_top, n_bottom) = 1),
+g AS (SELECT sample, contig, left_start, list(struct_pack(molecule := molecule, left_bc := left_bc, right_bc := right_bc) ORDER BY n_top + n_bottom DESC, least(n_top, n_bottom) DESC, left_bc, right_bc, molecule) AS o FROM one GROUP BY ALL),
+h AS (SELECT o, list_reduce(list_transform(o, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda k: {_fits("k", "y[1]")})) > 0 THEN acc ELSE acc || y END) AS stay FROM g),
+merged AS (SELECT x.molecule AS molecule, x.left_bc AS left_bc, list_filter(stay, lambda k: {_fits("k", "x")})[1] AS t FROM (SELECT stay, unnest(o) AS x FROM h))"""
+
+
+@query("A02_fuzzy_merge", f"WITH {MERGED} SELECT molecule, t.molecule AS merged_into FROM merged")
 def a02(spark, sf):
-    return M.fuzzy_merge(_single(spark, sf), 0, 1, ["sample", "contig", "left_start"]).select("molecule", "merged_into")
+    return M.fuzzy_merge(_single(spark, sf), 0, 1, ["sample", "contig"]).select("molecule", "merged_into")
 
 
 def _single(spark, sf):
@@ -627,10 +643,11 @@ def s13(spark, sf):
     return R.random_positions(lengths, 0.05, seed=3)
 
 
-@query("A46_barcode_mismatches")
+@query("A46_barcode_mismatches", f"""WITH {MERGED}, l AS (SELECT k AS place, t.left_bc[k] AS fst, left_bc[k] AS snd FROM merged, (SELECT unnest([1, 2, 3]) AS k) WHERE t.molecule <> molecule)
+SELECT place::INT AS place, fst, snd, count(*) AS n FROM l WHERE fst <> snd GROUP BY ALL""")
 def a46(spark, sf):
     rows = _single(spark, sf)
-    return M.merged_barcode_mismatches(rows, M.fuzzy_merge(rows, 0, 1, ["sample", "contig", "left_start"]), 3)
+    return M.merged_barcode_mismatches(rows, M.fuzzy_merge(rows, 0, 1, ["sample", "contig"]), 3)
 
 
 @query("A49_records", "SELECT contig, count(*) AS n_records, sum(length(seq))::BIGINT AS n_bases FROM reads_v GROUP BY contig")

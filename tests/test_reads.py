@@ -206,3 +206,49 @@ def test_parameters():
     with pytest.raises(ValueError):
         Params(minInsertSize=5, maxInsertSize=1).validated()
     assert [p.minMappingQualityQ2 for p in Params().sweep("minMappingQualityQ2", 0, 60, 3)] == [0, 30, 60]
+
+
+def greedy(rows, tolerance, most):
+    """Each row in turn, into the first earlier one that stays and is compatible."""
+    order = sorted(rows, key=lambda r: (-(r[5] + r[6]), -min(r[5], r[6]), r[1], r[2], r[3], r[4], r[0]))
+    kept, made = [], {}
+    for r in order:
+        into = next((k for k in kept if k[7] == r[7] and max(abs(k[1] - r[1]), abs(k[2] - r[2])) <= tolerance and differs(k[3], r[3]) <= most and differs(k[4], r[4]) <= most), None)
+        if into is None:
+            kept.append(r)
+        made[r[0]] = (into or r)[0]
+    return made
+
+
+MERGE = "molecule long, left_start int, right_end int, left_bc string, right_bc string, n_top long, n_bottom long, chunk int"
+
+
+@pytest.mark.parametrize(("tolerance", "most", "letters", "size"), [(0, 0, "ACGT", 3), (0, 1, "ACGTN", 3), (2, 1, "AC", 4), (3, 2, "ACGN", 6), (1, 1, "A", 0), (5, 3, "ACGT", 2)])
+def test_rounds_of_merging_equal_one_pass(spark, tolerance, most, letters, size):
+    rng = random.Random(tolerance * 10 + most)
+    rows = [(k, rng.randint(-9, 12), 100 + rng.randint(0, 9), "".join(rng.choices(letters, k=size)), "".join(rng.choices(letters, k=size)), rng.randint(0, 3), rng.randint(0, 3), rng.randint(0, 1)) for k in range(160)]
+    got = molecules.fuzzy_merge(spark.createDataFrame(rows, MERGE).repartition(5), tolerance, most, ["chunk"])
+    assert {r["molecule"]: r["merged_into"] for r in got.collect()} == greedy(rows, tolerance, most)
+
+
+def test_a_long_chain_of_merging(spark):
+    """Every molecule is compatible with its neighbours only and waits for the one before it."""
+    rows = [(k, k, 100 + k, "AAA", "AAA", 100 - k, 0, 0) for k in range(24)]
+    got = molecules.fuzzy_merge(spark.createDataFrame(rows, MERGE), 1, 0, ["chunk"])
+    assert {r["molecule"]: r["merged_into"] for r in got.collect()} == greedy(rows, 1, 0)
+    none = molecules.fuzzy_merge(spark.createDataFrame([], MERGE), 1, 1, ["chunk"])
+    assert none.count() == 0 and "merged_into" in none.columns
+
+
+@pytest.mark.parametrize("stretch", [4, 1 << 16])
+def test_islands_of_starts(spark, stretch):
+    rng = random.Random(3)
+    rows = [(rng.choice("AB"), rng.choice(["c1", "c2"]), rng.randint(-40, 90), k) for k in range(70)]
+    expected, count = {}, {}
+    for s, c, at in sorted({r[:3] for r in rows}):
+        last = max((x for (s2, c2, x) in expected if (s2, c2) == (s, c)), default=None)
+        count[s, c] = count.get((s, c), 0) + (last is None or at - last > 3)
+        expected[s, c, at] = count[s, c]
+    found = molecules.start_islands(spark.createDataFrame(rows, "sample string, contig string, left_start int, k int"), 3, stretch)
+    assert {(r["sample"], r["contig"], r["left_start"]): r["island"] for r in found.collect()} == expected
+    assert found.count() == 70
