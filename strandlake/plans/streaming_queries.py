@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, table
+from ..streaming import held
 from ..streaming import windows as W
 from .registry import query
 
@@ -32,13 +33,34 @@ def t02(spark, sf):
     return _plain(W.drained(made, "complete", lambda: _folder(spark)))
 
 
-@query("T04_evicted_windows")
+@query("T04_evicted_windows", """SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events
+GROUP BY 1, 2 HAVING window_start + INTERVAL '6 hours' <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL '1 hour'""")
 def t04(spark, sf):
     """Windows that the watermark has closed; the last ones stay open until later rows come."""
     made = W.tumbling(_events(spark, sf), "ts", "6 hours", "1 hour", ["event_type"], {"n": F.count("*")})
     return _plain(W.drained(made, "append", lambda: _folder(spark)))
 
 
+@query("T04_held_rows", """WITH e AS (SELECT user_id AS key, event_id AS id, ts AS time, value FROM events)
+SELECT a.key, a.id, a.time, count(b.id) AS n_followers, round(coalesce(sum(b.value), 0), 4) AS amount FROM e a LEFT JOIN e b ON a.key = b.key AND b.time > a.time AND b.time <= a.time + INTERVAL '6 hours'
+WHERE a.time + INTERVAL '6 hours' <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL '1 hour' GROUP BY a.key, a.id, a.time""")
+def t04_held(spark, sf):
+    """Events with their followers of six hours, each held in state until no more of them can come."""
+    made = held.held(_events(spark, sf), "user_id", "event_id", "ts", "value", 6 * 3_600_000_000, "1 hour")
+    rows = W.drained(made, "append", lambda: _folder(spark))
+    return rows.withColumns({"time": F.col("time").cast("timestamp_ntz"), "amount": F.round("amount", 4)})
+
+
+@query("T06_streams_together", """WITH b AS (SELECT min(last) AS passed FROM (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '1 hour' AS last FROM events GROUP BY event_type))
+SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n, round(max(value), 4) AS most FROM events, b GROUP BY 1 HAVING window_start + INTERVAL '6 hours' <= any_value(passed)""")
+def t06_streams(spark, sf):
+    """A stream for each kind of event; windows come when all of them have passed."""
+    kinds = [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").limit(100).collect()]
+    streams = [_events(spark, sf).where(F.col("event_type") == k) for k in kinds]
+    made = held.together(streams, "ts", "6 hours", "1 hour", {"n": F.count("*"), "most": F.round(F.max("value"), 4)})
+    return _plain(W.drained(made, "append", lambda: _folder(spark)))
+
+
 @query("T03_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '12 hours' THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT min(ts) AS window_start, max(ts) + INTERVAL '12 hours' AS window_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
