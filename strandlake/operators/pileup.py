@@ -5,11 +5,16 @@ Positions are 0-based. A gap after a base is its `half` place; insertions stand
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions.sequence import matches_reference
+from .intervals import running
 
 CHUNK = 10_000
 #: Letters of the next chunk that a chunk holds too, and the longest piece of a block.
@@ -34,17 +39,10 @@ def with_reference(bases: DataFrame, chunks: DataFrame, size: int = CHUNK) -> Da
     return keyed.join(own, ["contig", "chunk"], "left").withColumn("wt", letter).drop("chunk", "__reference")
 
 
-def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_last: int = 0, size: int = CHUNK, overlap: int = OVERLAP, halves: bool = True) -> DataFrame:
-    """A row for each base, gap, insertion and deletion that reads show.
-
-    kind: WILDTYPE, SUBSTITUTION, INSERTION, DELETION or INTRON. Every base of a block but the last
-    adds a wildtype row for the gap after it, if `halves`. A deletion has one reportable row, for its
-    first place, and hidden ones for the rest. `seq` is the read's base, the inserted or the deleted
-    letters. Bases beyond the end of a contig are left out.
+def _pieces(reads: DataFrame, keep: list[str], reference: DataFrame, size: int, overlap: int) -> DataFrame:
+    """A row for each piece of a read's blocks: `b`, the read's letters and scores in it, and the reference's.
 
-    reference: chunks with `overlap`. Blocks are cut into pieces of at most `overlap` letters, each with
-    its own part of the read; reference letters are joined to pieces, not to bases, so what is shuffled
-    grows with reads, and reads are scanned once. Pieces become rows inside one stage.
+    Chunks are bytes, so that a piece's letters are cut out without counting letters from the chunk's begin.
     """
     length = F.length("seq")
 
@@ -68,10 +66,24 @@ def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_las
     rows = reads.select(*keep, "contig", "seq", "qual", length.alias("__size"), F.explode(F.flatten(F.transform(kept, pieces))).alias("b"))
     own = lambda c: F.when(F.col("b.op").isin("M", "=", "X", "I"), F.substr(c, F.col("b.read") + 1, F.col("b.n")))
     rows = rows.select(*keep, "contig", "b", "__size", own("seq").alias("__seq"), own("qual").alias("__qual"), F.floor(F.col("b.at") / size).cast("int").alias("chunk"))
-    chunks = reference.select("contig", "chunk", F.col("seq").alias("__reference"))
-    letters = F.substr("__reference", F.col("b.at") % size + 1, F.col("b.n"))
-    rows = rows.join(chunks, ["contig", "chunk"], "left").select(*keep, "contig", "b", "__size", "__seq", "__qual", letters.alias("__letters"))
+    chunks = reference.select("contig", "chunk", F.col("seq").cast("binary").alias("__reference"))
+    letters = F.substr("__reference", F.col("b.at") % size + 1, F.col("b.n")).cast("string")
+    return rows.join(chunks, ["contig", "chunk"], "left").select(*keep, "contig", "b", "__size", "__seq", "__qual", letters.alias("__letters"))
+
+
+def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_last: int = 0, size: int = CHUNK, overlap: int = OVERLAP, halves: bool = True) -> DataFrame:
+    """A row for each base, gap, insertion and deletion that reads show.
 
+    kind: WILDTYPE, SUBSTITUTION, INSERTION, DELETION or INTRON. Every base of a block but the last
+    adds a wildtype row for the gap after it, if `halves`. A deletion has one reportable row, for its
+    first place, and hidden ones for the rest. `seq` is the read's base, the inserted or the deleted
+    letters. Bases beyond the end of a contig are left out.
+
+    reference: chunks with `overlap`. Blocks are cut into pieces of at most `overlap` letters, each with
+    its own part of the read; reference letters are joined to pieces, not to bases, so what is shuffled
+    grows with reads, and reads are scanned once. Pieces become rows inside one stage.
+    """
+    rows = _pieces(reads, keep, reference, size, overlap)
     inserted, matched = F.col("b.op") == "I", F.col("b.op").isin("M", "=", "X")
     none = F.lit(None).cast("string")
     blank = lambda s: F.struct(s.alias("s"), none.alias("w"), none.alias("q"))
@@ -97,7 +109,7 @@ def observed(reads: DataFrame, keep: list[str], reference: DataFrame, ignore_las
     hidden = F.col("__op").isin("D", "N") & ~(F.col("__first") & (F.col("__k") == 0))
     made = rows.select(
         *keep, "contig", (F.col("__at") + F.col("__k")).alias("pos"), inserted.alias("half"), kind.alias("kind"), F.col("__it.s").alias("seq"), F.coalesce("__it.w", F.lit("")).alias("wt"),
-        (F.ascii("__it.q") - 33).alias("phred"), hidden.alias("hidden"), (matched & (F.col("__k") != F.col("__end"))).alias("__inner"), seen.alias("__seen"),
+        F.when(F.col("__it.q") != "", F.ascii("__it.q") - 33).alias("phred"), hidden.alias("hidden"), (matched & (F.col("__k") != F.col("__end"))).alias("__inner"), seen.alias("__seen"),
     )
     if not halves:
         return made.where("__seen").drop("__inner", "__seen")
@@ -116,9 +128,122 @@ def pileup(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "contig", "pos", "half", "kind", "seq").agg(F.count("*").alias("n_reads"), F.sum("phred").alias("phred_sum"), F.min("hidden").alias("hidden"))
 
 
+#: Bases that a task counts together before it passes their sums on.
+COUNTED = 4_000_000
+_FITS = np.zeros((256, 256), bool)
+for _w in range(256):
+    _FITS[[ord(c) for c in {"Y": "CTY", "R": "AGR", "W": "ATW"}.get(chr(_w), chr(_w))], _w] = True
+
+
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a column, and where each value begins and how long it is."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)), offsets[:-1], np.diff(offsets)
+
+
+def _base_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of bases (contig, pos, kind, letter) of pieces, for every few million bases."""
+    contigs: dict[str, int] = {}
+    keys: list[np.ndarray] = []
+    scores: list[np.ndarray] = []
+
+    def summed() -> pa.RecordBatch:
+        names = pa.array(list(contigs) or [""], pa.string())
+        key, score = np.concatenate(keys), np.concatenate(scores)
+        order = np.argsort(key, kind="stable")
+        key, score = key[order], score[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        known = np.add.reduceat(score >= 0, first) if len(first) else first
+        total = np.add.reduceat(np.maximum(score, 0), first) if len(first) else first
+        n = np.diff(np.concatenate((first, [len(key)])))
+        key = key[first]
+        letters = pa.array([chr(c) for c in range(256)], pa.string())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.DictionaryArray.from_arrays(pa.array((key >> 41).astype(np.int32)), names).cast(pa.string()),
+                pa.array((key >> 9 & 0xFFFFFFFF).astype(np.int32)),
+                pa.array((key & 1).astype(bool)),
+                pa.DictionaryArray.from_arrays(pa.array((key >> 1 & 255).astype(np.int32)), letters).cast(pa.string()),
+                pa.array(n.astype(np.int64)),
+                pa.array(total.astype(np.int64), mask=known == 0),
+            ],
+            names=["contig", "pos", "substituted", "seq", "n", "phred"],
+        )
+
+    held = 0
+    for batch in batches:
+        code = np.array([contigs.setdefault(c, len(contigs)) for c in batch.column("contig").to_pylist()], np.int64)
+        at, stop = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "stop"))
+        data, begin, n = _ragged(batch.column("seq"))
+        row = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+        def beside(name: str, none: int, batch=batch, row=row, k=k) -> np.ndarray:
+            other, start, size = _ragged(batch.column(name))
+            return np.where(k < size[row], other[np.minimum(start[row] + k, len(other) - 1)].astype(np.int64), none)
+
+        seq, ref, qual = data[begin[row] + k].astype(np.int64), beside("letters", 0), beside("qual", -1)
+        seen = (k < stop[row]) & (ref != 0)
+        key = (code[row] << 41) | ((at[row] + k) << 9) | (seq << 1) | ~_FITS[seq, ref]
+        keys.append(key[seen])
+        scores.append(np.where(qual < 0, -1, np.maximum(qual - 33, 0))[seen])
+        held += len(keys[-1])
+        if held >= COUNTED:
+            yield summed()
+            keys, scores, held = [], [], 0
+    if keys:
+        yield summed()
+
+
+def _spread(steps: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Rows (contig, pos, name, n) of the sums of (contig, at, +n or -n by name) steps, for every place where they are not 0."""
+    each = steps.groupBy("contig", "at").agg(*[F.sum(c).alias(c) for c in kinds])
+    runs = running(each, "at", list(kinds)).where("next_at IS NOT NULL")
+    some = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"run_{c}").alias("n")) for c, name in kinds.items()])
+    kept = runs.select("contig", "at", "next_at", F.explode(F.filter(some, lambda k: k["n"] > 0)).alias("k"))
+    return kept.select("contig", F.explode(F.sequence(F.col("at").cast("int"), (F.col("next_at") - 1).cast("int"))).alias("pos"), "k.name", "k.n")
+
+
+def counted(reads: DataFrame, reference: DataFrame, ignore_last: int = 0, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """What `pileup(observed(reads, [], reference), [])` gives, without a row for each base of each read.
+
+    Bases are summed over many reads of a task in numpy before they are shuffled. Gaps after bases,
+    deleted places and introns are spans: a step up where one begins and down where it ends, summed
+    along the contig in stretches; they become rows once, at the end. Insertions and first places of deletions are
+    rows of their own.
+    """
+    rows = _pieces(reads, [], reference, size, overlap)
+    matched = F.col("b.op").isin("M", "=", "X")
+    pieces = rows.where(matched).select("contig", F.col("b.at").alias("at"), (F.col("__size") - ignore_last - F.col("b.read")).alias("stop"), F.col("__seq").cast("binary").alias("seq"), F.coalesce("__letters", F.lit("")).cast("binary").alias("letters"), F.coalesce("__qual", F.lit("")).cast("binary").alias("qual"))
+    sums = pieces.mapInArrow(_base_counts, "contig string, pos int, substituted boolean, seq string, n long, phred long")
+    bases = sums.groupBy("contig", "pos", "substituted", "seq").agg(F.sum("n").alias("n_reads"), F.sum("phred").alias("phred_sum"))
+    shape = lambda frame, half, kind, seq, n, phred, hidden: frame.select("contig", "pos", F.lit(half).alias("half"), kind.alias("kind"), seq.alias("seq"), n.alias("n_reads"), phred.alias("phred_sum"), F.lit(hidden).alias("hidden"))
+    none = F.lit(None).cast("long")
+    found = shape(bases, False, F.when(F.col("substituted"), "SUBSTITUTION").otherwise("WILDTYPE"), F.col("seq"), F.col("n_reads"), F.col("phred_sum"), False)
+
+    blocks = reads.select("contig", "seq", F.explode(F.filter(C.blocks(F.col("cigar"), F.col("start")), lambda b: b["op"].isin("M", "=", "X", "D", "N", "I"))).alias("b"))
+    single = blocks.where(F.col("b.op").isin("D", "N", "I")).select("contig", F.when(F.col("b.op") == "I", F.col("b.ref") - 1).otherwise(F.col("b.ref")).alias("pos"), F.col("b.op").alias("op"), F.when(F.col("b.op") == "I", F.substr("seq", F.col("b.read") + 1, F.col("b.len"))).otherwise(F.concat(F.col("b.ref").cast("string"), F.lit("+"), F.col("b.len").cast("string"))).alias("seq"))
+    single = single.groupBy("contig", "pos", "op", "seq").agg(F.count("*").alias("n"))
+    kind = F.when(F.col("op") == "I", "INSERTION").when(F.col("op") == "D", "DELETION").otherwise("INTRON")
+    inserted = F.col("op") == "I"
+    found = found.unionByName(shape(single.where(inserted), True, kind, F.col("seq"), F.col("n"), none, False)).unionByName(shape(single.where(~inserted), False, kind, F.col("seq"), F.col("n"), none, False))
+
+    spans = blocks.where("b.op <> 'I'").select(
+        "contig", F.when(F.col("b.op").isin("D", "N"), F.col("b.ref") + 1).otherwise(F.col("b.ref")).alias("low"), (F.col("b.ref") + F.col("b.len") - F.when(F.col("b.op").isin("D", "N"), 0).otherwise(1)).alias("high"), F.col("b.op").alias("op")
+    ).where("low < high")
+    step = lambda at, n: F.struct(F.col(at).alias("at"), *[F.when(own, n).otherwise(0).alias(c) for c, own in (("gap", ~F.col("op").isin("D", "N")), ("gone", F.col("op") == "D"), ("over", F.col("op") == "N"))])
+    steps = spans.select("contig", F.explode(F.array(step("low", 1), step("high", -1))).alias("s")).select("contig", "s.*")
+    places = _spread(steps, {"gap": "WILDTYPE", "gone": "DELETION", "over": "INTRON"})
+    gaps, hidden = places.where("name = 'WILDTYPE'"), places.where("name <> 'WILDTYPE'")
+    found = found.unionByName(shape(gaps, True, F.col("name"), F.lit(""), F.col("n"), none, False))
+    return found.unionByName(shape(hidden, False, F.col("name"), F.lit(""), F.col("n"), none, True))
+
+
 def depth(reads: DataFrame, cap: int) -> DataFrame:
-    """Coverage of each position, up to `cap`, and what lies above it."""
-    places = C.aligned_blocks(F.col("cigar"), F.col("start"))
-    each = reads.select("contig", F.explode(places).alias("b")).select("contig", F.explode(F.sequence(F.col("b.ref"), F.col("b.ref") + F.col("b.len") - 1)).alias("pos"))
-    counts = each.groupBy("contig", "pos").agg(F.count("*").alias("n"))
+    """Coverage of each position, up to `cap`, and what lies above it; blocks are steps up and down, summed along contigs."""
+    blocks = reads.select("contig", F.explode(C.aligned_blocks(F.col("cigar"), F.col("start"))).alias("b"))
+    step = lambda at, n: F.struct(at.alias("at"), F.lit(n).alias("depth"))
+    steps = blocks.select("contig", F.explode(F.array(step(F.col("b.ref"), 1), step(F.col("b.ref") + F.col("b.len"), -1))).alias("s")).select("contig", "s.*")
+    counts = _spread(steps, {"depth": ""})
     return counts.select("contig", "pos", F.least("n", F.lit(cap)).alias("depth"), F.greatest(F.col("n") - cap, F.lit(0)).alias("excluded"))

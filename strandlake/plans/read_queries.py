@@ -403,7 +403,7 @@ shown AS (SELECT order_id, line, contig, start + ref + k AS pos, false AS half,
 def a08(spark, sf):
     from ..operators import pileup
 
-    return pileup.pileup(pileup.observed(_reads(spark, sf), [], _letters_a(_reads(spark, sf))), [])
+    return pileup.counted(_reads(spark, sf), _letters_a(_reads(spark, sf)))
 
 
 def _letters_a(reads):
