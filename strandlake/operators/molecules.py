@@ -145,6 +145,32 @@ def compatible_molecules(rows: DataFrame, tolerance: int, barcode_mismatches: in
     return found
 
 
+def leaders(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(node) of those that stay, of cut links (v, u) from each node to the earlier ones that it may join.
+
+    In turn, a node joins an earlier one that stays, or stays itself. Rounds decide all nodes whose
+    earlier ones are decided: as many as the longest chain of decisions that wait for each other.
+    """
+    # semi and anti joins only: what Spark guesses of their sizes doesn't multiply from round to round
+    waiting = links.select("v", "u")
+    stays = cut(links.select(F.col("u").alias("node")).distinct().join(waiting.select(F.col("v").alias("node")), "node", "left_anti"))
+    staying = [stays]
+    for _ in range(max_rounds):
+        as_u = lambda nodes: nodes.select(F.col("node").alias("u"))
+        merged = cut(waiting.join(as_u(stays), "u", "left_semi").select(F.col("v").alias("node")).distinct())
+        held = waiting.join(merged.select(F.col("node").alias("v")), "v", "left_anti")
+        rest = cut(held.join(as_u(merged), "u", "left_anti"))
+        # all that they waited for was merged
+        stays = cut(held.select(F.col("v").alias("node")).distinct().join(rest.select(F.col("v").alias("node")), "node", "left_anti"))
+        waiting = rest
+        staying.append(stays)
+        if not waiting.limit(1).count():
+            break
+    else:
+        raise RuntimeError("merging did not settle")
+    return reduce(DataFrame.union, staying)
+
+
 def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, chunk: list[str], max_rounds: int = 10_000) -> DataFrame:
     """Molecules with merged_into: each in turn goes to the first one before it that stays and is compatible, or stays itself.
 
@@ -166,24 +192,7 @@ def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, c
         F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.least("rank_a", "rank_b").alias("rank")
     )
     later = cut(later)
-    # semi and anti joins only: what Spark guesses of their sizes doesn't multiply from round to round
-    waiting = later.select("v", "u")
-    stays = cut(later.select(F.col("u").alias("node")).distinct().join(waiting.select(F.col("v").alias("node")), "node", "left_anti"))
-    staying = [stays]
-    for _ in range(max_rounds):
-        as_u = lambda nodes: nodes.select(F.col("node").alias("u"))
-        merged = cut(waiting.join(as_u(stays), "u", "left_semi").select(F.col("v").alias("node")).distinct())
-        held = waiting.join(merged.select(F.col("node").alias("v")), "v", "left_anti")
-        rest = cut(held.join(as_u(merged), "u", "left_anti"))
-        # all that they waited for was merged
-        stays = cut(held.select(F.col("v").alias("node")).distinct().join(rest.select(F.col("v").alias("node")), "node", "left_anti"))
-        waiting = rest
-        staying.append(stays)
-        if not waiting.limit(1).count():
-            break
-    else:
-        raise RuntimeError("merging did not settle")
-    kept = reduce(DataFrame.union, staying)
+    kept = leaders(later, max_rounds)
     targets = later.join(kept, later["u"] == kept["node"]).groupBy(F.col("v").alias("molecule")).agg(F.min_by("u", "rank").alias("merged_into"))
     return molecules.join(targets, "molecule", "left").withColumn("merged_into", F.coalesce("merged_into", "molecule"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import drawn
-from . import intervals
+from ..session import cut
+from . import intervals, molecules, transcripts
 from .reads import FIRST, SECONDARY, SUPPLEMENTARY, flagged
 
 
@@ -147,9 +148,20 @@ def tolerant_groups(counts: DataFrame, length: int) -> DataFrame:
     return led.groupBy("leader").agg(F.sum("n").alias("n"))
 
 
-def edit_distance(shown: DataFrame, key: list[str]) -> DataFrame:
-    """Mismatches of each read, and with inserted and deleted letters its distance from the reference."""
-    mismatches = F.count_if(F.col("kind") == "SUBSTITUTION")
+def bisulfite_converted(seq: Column, wt: Column, negative: Column) -> Column:
+    """Whether a base may be the reference's after bisulfite: T for C on the forward strand, A for G on the other."""
+    return F.when(negative, (wt == "G") & (seq == "A")).otherwise((wt == "C") & (seq == "T"))
+
+
+def edit_distance(shown: DataFrame, key: list[str], negative: str | None = None) -> DataFrame:
+    """Mismatches of each read, and with inserted and deleted letters its distance from the reference.
+
+    With `negative`, a column that tells the strand, reads are bisulfite treated: conversions are no mismatches.
+    """
+    differs = F.col("kind") == "SUBSTITUTION"
+    if negative is not None:
+        differs = differs & ~bisulfite_converted(F.col("seq"), F.col("wt"), F.col(negative))
+    mismatches = F.count_if(differs)
     inserted = F.coalesce(F.sum(F.when(F.col("kind") == "INSERTION", F.length("seq"))), F.lit(0))
     return shown.groupBy(*key).agg(mismatches.alias("mismatches"), (mismatches + inserted + F.count_if(F.col("kind") == "DELETION")).alias("nm"))
 
@@ -165,6 +177,108 @@ def target_metrics(coverage: DataFrame, targets: DataFrame) -> DataFrame:
     return totals.join(F.broadcast(names)).join(F.broadcast(reached)).withColumn("untouched", F.col("targets") - F.col("reached")).drop("reached")
 
 
+def capture_bases(coverage: DataFrame, baits: DataFrame, near: int = 250) -> DataFrame:
+    """(kind, bases): covered bases ON a bait, NEAR one (within `near` places), and OFF all baits."""
+    kinds = baits.select("contig", "start", "end", F.lit("ON").alias("kind")).union(baits.select("contig", F.col("start") - near, F.col("end") + near, F.lit("NEAR")))
+    return transcripts.swept(coverage, kinds, ("ON", "NEAR", "OFF"))
+
+
+def target_coverage(coverage: DataFrame, targets: DataFrame) -> DataFrame:
+    """(name, contig, start, end, length, total, mean) of each target, without any coverage too."""
+    keys = targets.select("name", "contig", "start", "end")
+    sums = intervals.overlapping(coverage, keys).groupBy("name").agg(F.sum("value").alias("total"))
+    length = F.col("end") - F.col("start") + 1
+    return keys.join(sums, "name", "left").select(*keys.columns, length.alias("length"), F.coalesce("total", F.lit(0)).alias("total"), F.round(F.coalesce("total", F.lit(0)) / length, 6).alias("mean"))
+
+
+def evenness(coverage: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row (bases, mean, p20, fold_80): how much more sequencing would bring 80 % of target bases to the mean.
+
+    Places of targets are counted by depth, those without coverage as 0; the 20th percentile comes from the counts.
+    """
+    keys = targets.select("name", "contig", "start", "end")
+    sizes = keys.agg(F.sum(F.col("end") - F.col("start") + 1).alias("bases"))
+    counts = intervals.overlapping(coverage, keys).groupBy("value").agg(F.count("*").alias("n"))
+    seen = counts.agg(F.sum("n").alias("covered"), F.sum(F.col("n") * F.col("value")).alias("total"))
+    bases, covered, total = (sizes.first()[0] or 0, *(v or 0 for v in seen.first()))
+    rank = bases // 5  # place of the percentile among all places, from 0
+    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)  # one row for each depth
+    below = counts.withColumn("upto", F.sum("n").over(upto) + (bases - covered)).where(F.col("upto") > rank).agg(F.min("value").alias("v"))
+    p20 = F.when(F.lit(rank < bases - covered), F.lit(0).cast("long")).otherwise(F.col("v"))
+    mean = total / bases if bases else None
+    return below.select(F.lit(bases).cast("long").alias("bases"), F.round(F.lit(mean).cast("double"), 6).alias("mean"), p20.alias("p20"), F.round(F.try_divide(F.lit(mean).cast("double"), p20), 6).alias("fold_80"))
+
+
+def gc_dropout(targets: DataFrame) -> DataFrame:
+    """One row (at_dropout, gc_dropout) of targets (gc in percent, length, total): shares of bases that coverage falls short of.
+
+    By percent of G and C: what a class has of all bases, less what it has of all coverage, where that is
+    positive; summed up to 50 % and above.
+    """
+    classes = targets.where("gc IS NOT NULL").groupBy("gc").agg(F.sum("length").alias("length"), F.sum("total").alias("total"))
+    sums = classes.agg(F.sum("length").alias("all_length"), F.sum("total").alias("all_total"))
+    short = F.greatest(F.col("length") / F.col("all_length") - F.coalesce(F.try_divide(F.col("total"), F.col("all_total")), F.lit(0.0)), F.lit(0.0)) * 100
+    rows = classes.join(F.broadcast(sums)).select("gc", short.alias("short"))
+    part = lambda own: F.round(F.coalesce(F.sum(F.when(own, F.col("short"))), F.lit(0.0)), 6)
+    return rows.agg(part(F.col("gc") <= 50).alias("at_dropout"), part(F.col("gc") > 50).alias("gc_dropout"))
+
+
+def banded_pairs(rows: DataFrame, text: str, length: int, mismatches: int, keys: list[str], name: str = "id") -> DataFrame:
+    """(a, b), each pair of equal `keys` once, whose texts of `length` letters differ in `mismatches` of them at most.
+
+    Of mismatches + 1 bands of the texts one is equal; a pair is given where its first equal band is.
+    """
+    bands = mismatches + 1
+    edges = [round(length * k / bands) for k in range(bands + 1)]
+    cuts = F.array(*[F.substring(text, a + 1, z - a) for a, z in zip(edges, edges[1:], strict=False)])
+    held = rows.select(*keys, F.col(name).alias("id"), F.col(text).alias("t"), cuts.alias("cuts")).select("*", F.posexplode("cuts").alias("band", "part"))
+    other = held.select(*keys, "band", "part", F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("cuts").alias("__cuts"))
+    met = held.join(other, [*keys, "band", "part"]).where(F.col("id") < F.col("__id"))
+    first = F.array_position(F.zip_with("cuts", "__cuts", lambda x, y: x == y), True) == F.col("band") + 1
+    apart = F.aggregate(F.zip_with(F.split("t", ""), F.split("__t", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda acc, d: acc + d)
+    return met.where(first & (apart <= mismatches)).select(F.col("id").alias("a"), F.col("__id").alias("b"))
+
+
+def pair_complexity(pairs: DataFrame, length: int, identical: int = 5, rate: float = 0.03) -> DataFrame:
+    """(leader, n): read pairs (first, second) as groups of copies, by both ends' first `length` letters.
+
+    Pairs may be copies if the first `identical` letters of both ends agree, and all letters of both together
+    but a share of `rate`. In the order of their counts, then letters, each joins the first earlier one that it may be a copy of
+    and that is no copy itself, or leads a group. Equal pairs are counted before they meet others.
+    """
+    cut_ = lambda c: F.substring(c, 1, length)
+    counts = pairs.where((F.length("first") >= length) & (F.length("second") >= length)).groupBy(F.concat(cut_("first"), cut_("second")).alias("id")).agg(F.count("*").alias("n"))
+    counts = cut(counts.withColumn("start", F.concat(F.substring("id", 1, identical), F.substring("id", length + 1, identical))))
+    links = banded_pairs(counts, "id", 2 * length, int(2 * length * rate), ["start"])
+    order = lambda k: counts.select(F.col("id").alias(k), F.struct((-F.col("n")).alias("n"), "id").alias(f"rank_{k}"))
+    both = links.join(order("a"), "a").join(order("b"), "b")
+    first = F.col("rank_a") < F.col("rank_b")
+    later = cut(both.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.least("rank_a", "rank_b").alias("rank")))
+    kept = molecules.leaders(later)
+    joined = later.join(kept, later["u"] == kept["node"], "left_semi").groupBy(F.col("v").alias("id")).agg(F.min_by("u", "rank").alias("leader"))
+    return counts.join(joined, "id", "left").groupBy(F.coalesce("leader", "id").alias("leader")).agg(F.sum("n").alias("n"))
+
+
+def assigned_barcodes(reads: DataFrame, sheet: DataFrame, length: int, mismatches: int = 1, margin: int = 1, no_calls: int = 2) -> DataFrame:
+    """Reads (code) with `sample` of the sheet (sample, code): the one that fits best, null unless it fits clearly.
+
+    A sample fits with at most `mismatches` letters that differ, N being no call and no mismatch; a read with
+    more than `no_calls` of them has none. The next best one must have `margin` more mismatches. Distinct codes meet the sheet
+    by bands: of all samples that matter, one of the bands has neither a mismatch nor an N.
+    """
+    bands = mismatches + margin - 1 + no_calls + 1
+    edges = [round(length * k / bands) for k in range(bands + 1)]
+    cuts = lambda c: F.array(*[F.struct(F.lit(k).alias("band"), F.substring(c, a + 1, z - a).alias("part")) for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False))])
+    codes = reads.select("code").distinct().where(F.length(F.regexp_replace("code", "[^N]", "")) <= no_calls)
+    left = codes.select("code", F.explode(cuts("code")).alias("x")).select("code", "x.*")
+    right = sheet.select("sample", F.col("code").alias("own"), F.explode(cuts("code")).alias("x")).select("sample", "own", "x.*")
+    met = left.join(right, ["band", "part"]).select("code", "sample", "own").distinct()
+    apart = F.aggregate(F.zip_with(F.split("code", ""), F.split("own", ""), lambda x, y: ((x != y) & (x != "N")).cast("int")), F.lit(0), lambda acc, d: acc + d)
+    ranked = met.select("code", F.struct(apart.alias("apart"), "sample").alias("fit")).groupBy("code").agg(F.min("fit").alias("best"), F.array_sort(F.collect_list(F.col("fit.apart"))).alias("all"))
+    clear = (F.col("best.apart") <= mismatches) & (F.coalesce(F.get("all", F.lit(1)), F.lit(length + margin)) - F.col("best.apart") >= margin)
+    return reads.join(ranked.where(clear).select("code", F.col("best.sample").alias("sample"), F.col("best.apart").alias("mismatches")), "code", "left")
+
+
 def multi_level(reads: DataFrame, levels: list[list[str]], keys: list[str]) -> DataFrame:
     """One metric at several levels of accumulation at once."""
     return reads.groupingSets([[*level] for level in levels], *keys).agg(F.count("*").alias("n"), F.sum("mapq").alias("mapq_sum"), F.grouping_id().alias("level"))

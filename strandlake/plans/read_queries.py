@@ -12,10 +12,11 @@ from ..functions import sequence as S
 from ..operators import molecules as M
 from ..operators import reads as R
 from ..operators import toolkit as T
+from ..operators import transcripts
 from ..operators.order import numbered
 from ..params import Params
 from ..session import table
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..standins import view
 from .registry import query
 
@@ -565,6 +566,116 @@ def v08(spark, sf):
     return joined.groupBy(locus.alias("locus")).agg(F.count("*").alias("n"))
 
 
+#: Transcripts made of the features: two exons with an intron between them, and a coding stretch.
+MODELS = """models AS (SELECT name, contig, start, start + size - 1 AS last, coalesce(negative, false) AS negative, start + 2 AS coding_start, start + size - 2 AS coding_end,
+  [start, start + 2 * (size // 3)] AS s, [start + size // 3 + 1, start + size] AS e FROM (SELECT *, "end" - start + 10 AS size FROM features_v)),
+exon AS (SELECT name, contig, negative, coding_start, coding_end, k, s[k] AS a, e[k] - 1 AS z, CASE k WHEN 1 THEN 0 ELSE e[1] - s[1] END AS before, e[1] - s[1] + e[2] - s[2] AS length FROM models, (SELECT unnest([1, 2]) AS k))"""
+
+
+def gene_models(spark, sf):
+    """The features as lines of a gene table, and read from there."""
+    f = view(spark, sf, "features_v").withColumn("size", F.col("end") - F.col("start") + 10)
+    third = F.expr("size div 3")
+    text = lambda c: c.cast("string")
+    start, last = F.col("start"), F.col("start") + F.col("size")
+    exon_starts = F.concat(text(start), F.lit(","), text(start + 2 * third), F.lit(","))
+    exon_ends = F.concat(text(start + third + 1), F.lit(","), text(last), F.lit(","))
+    strand = F.when(F.coalesce("negative", F.lit(False)), "-").otherwise("+")
+    return readers.gene_annotation_rows(f.select(F.concat_ws("\t", F.concat(F.lit("g"), "name"), "name", "contig", strand, text(start), text(last), text(start + 2), text(last - 2), F.lit("2"), exon_starts, exon_ends).alias("value")))
+
+
+@query("V21_gene_annotations", f"""WITH {MODELS} SELECT name, 'g' || name AS gene, contig, start, last AS "end", negative, coding_start, coding_end, s AS exon_starts, e AS exon_ends FROM models""")
+def v21_genes(spark, sf):
+    return gene_models(spark, sf)
+
+
+@query("V08_locus_bases", f"""WITH {MODELS}, hit AS (SELECT c.contig, c.pos, any_value(c.value) AS value, max(CASE WHEN x.a IS NULL THEN NULL WHEN c.pos >= x.coding_start AND c.pos < x.coding_end THEN 3 ELSE 2 END) AS k, count(m.name) AS genes
+  FROM coverage_v c LEFT JOIN models m ON m.contig = c.contig AND c.pos BETWEEN m.start AND m.last LEFT JOIN exon x ON x.name = m.name AND c.pos BETWEEN x.a AND x.z GROUP BY c.contig, c.pos)
+SELECT CASE WHEN k = 3 THEN 'CODING' WHEN k = 2 THEN 'UTR' WHEN genes > 0 THEN 'INTRONIC' ELSE 'INTERGENIC' END AS kind, sum(value)::BIGINT AS bases FROM hit GROUP BY 1""")
+def v08_locus_bases(spark, sf):
+    return transcripts.locus_bases(view(spark, sf, "coverage_v"), gene_models(spark, sf))
+
+
+@query("V08_end_bias", f"""WITH {MODELS}, p AS (SELECT name, length, CASE WHEN negative THEN length - 1 - (before + c.pos - a) ELSE before + c.pos - a END AS place, sum(value) AS v FROM coverage_v c JOIN exon x ON x.contig = c.contig AND c.pos BETWEEN x.a AND x.z GROUP BY ALL),
+t AS (SELECT name, length, sum(v) AS total, sum(v * v) AS squares, sum(CASE WHEN place < least(5, length) THEN v ELSE 0 END) AS f, sum(CASE WHEN place >= length - least(5, length) THEN v ELSE 0 END) AS l FROM p GROUP BY ALL)
+SELECT name, length, round(total / length, 6) AS mean, round(sqrt((length * squares - total * total)::DOUBLE) / total, 6) AS cv, round((f * length) / (least(5, length) * total), 6) AS five_prime, round((l * length) / (least(5, length) * total), 6) AS three_prime FROM t WHERE total > 0""")
+def v08_end_bias(spark, sf):
+    return transcripts.end_bias(view(spark, sf, "coverage_v"), gene_models(spark, sf), 5)
+
+
+@query("V08_capture_bases", """SELECT CASE WHEN EXISTS (SELECT 1 FROM features_v f WHERE f.contig = c.contig AND f.score > 40 AND c.pos BETWEEN f.start AND f."end") THEN 'ON' WHEN EXISTS (SELECT 1 FROM features_v f WHERE f.contig = c.contig AND f.score > 40 AND c.pos BETWEEN f.start - 5 AND f."end" + 5) THEN 'NEAR' ELSE 'OFF' END AS kind, sum(value)::BIGINT AS bases FROM coverage_v c GROUP BY 1""")
+def v08_capture(spark, sf):
+    return T.capture_bases(view(spark, sf, "coverage_v"), view(spark, sf, "features_v").where("score > 40"), 5)
+
+
+_TARGETS = """t AS (SELECT f.name, f.contig, f.start, f."end", f."end" - f.start + 1 AS length, coalesce(sum(c.value), 0)::BIGINT AS total FROM features_v f LEFT JOIN coverage_v c ON c.contig = f.contig AND c.pos BETWEEN f.start AND f."end" GROUP BY ALL)"""
+
+
+@query("V08_target_coverage", f"WITH {_TARGETS} SELECT *, round(total / length, 6) AS mean FROM t")
+def v08_target_coverage(spark, sf):
+    return T.target_coverage(view(spark, sf, "coverage_v"), view(spark, sf, "features_v"))
+
+
+@query("V08_evenness", """WITH p AS (SELECT contig, unnest(range(start, "end" + 1)) AS pos FROM features_v), d AS (SELECT coalesce(value, 0)::BIGINT AS v FROM p LEFT JOIN coverage_v USING (contig, pos)),
+q AS (SELECT list_sort(list(v))[1 + count(*) // 5] AS p20, count(*) AS bases, avg(v) AS mean FROM d) SELECT bases, round(mean, 6) AS mean, p20, CASE WHEN p20 > 0 THEN round(mean / p20, 6) END AS fold_80 FROM q""")
+def v08_evenness(spark, sf):
+    return T.evenness(view(spark, sf, "coverage_v"), view(spark, sf, "features_v"))
+
+
+@query("V08_gc_dropout", f"""WITH {_TARGETS}, g AS (SELECT (length * 7 + start) % 101 AS gc, sum(length) AS length, sum(total) AS total FROM t GROUP BY 1), s AS (SELECT gc, greatest(length / sum(length) OVER () - total / sum(total) OVER (), 0) * 100 AS short FROM g)
+SELECT round(coalesce(sum(short) FILTER (gc <= 50), 0), 6) AS at_dropout, round(coalesce(sum(short) FILTER (gc > 50), 0), 6) AS gc_dropout FROM s""")
+def v08_gc_dropout(spark, sf):
+    rows = T.target_coverage(view(spark, sf, "coverage_v"), view(spark, sf, "features_v"))
+    return T.gc_dropout(rows.withColumn("gc", (F.col("length") * 7 + F.col("start")) % 101))
+
+
+def _two_ends(spark, sf):
+    """First and second ends of six letters over two, so that copies and near copies come up."""
+    letters = lambda c: F.substring(F.translate(F.md5(F.concat(F.lit("e"), (c % 3000).cast("string")).cast("binary")), "0123456789abcdef", "ACACACACACACACAC"), 1, 6)
+    return _reads(spark, sf).select(letters(F.col("start")).alias("first"), letters(F.col("mate_start")).alias("second"))
+
+
+_END_SQL = "substring(translate(md5('e' || ({} % 3000)), '0123456789abcdef', 'ACACACACACACACAC'), 1, 6)"
+
+
+@query("V03_pair_complexity", f"""WITH c AS (SELECT {_END_SQL.format("start")} || {_END_SQL.format("mate_start")} AS id, count(*) AS n FROM reads_v GROUP BY 1),
+g AS (SELECT id[1:2] || id[7:8] AS k, list(id ORDER BY n DESC, id) AS ids FROM c GROUP BY 1), h AS (SELECT ids, list_reduce(list_transform(ids, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda k: hamming(k, y[1]) <= 1)) > 0 THEN acc ELSE acc || y END) AS stay FROM g),
+m AS (SELECT id, list_filter(stay, lambda k: hamming(k, id) <= 1)[1] AS leader FROM (SELECT stay, unnest(ids) AS id FROM h))
+SELECT leader, sum(n)::BIGINT AS n FROM m JOIN c USING (id) GROUP BY leader""")
+def v03_pairs(spark, sf):
+    return T.pair_complexity(_two_ends(spark, sf), 6, identical=2, rate=0.1)
+
+
+_CODE = "substring(translate(md5(n_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 16)"
+
+
+@query("V18_assigned_barcodes", f"""WITH s AS (SELECT n_name AS sample, {_CODE} AS code FROM nation), r AS (SELECT order_id, line, (order_id % 25)::INT AS k, (order_id % 15 + 1)::INT AS p, line % 4 AS m FROM reads_v),
+q AS (SELECT order_id, line, CASE m WHEN 0 THEN code WHEN 1 THEN code[1:p - 1] || 'N' || code[p + 1:] WHEN 2 THEN code[1:p - 1] || 'A' || code[p + 1:] ELSE code[1:p - 1] || 'GT' || code[p + 2:] END AS code FROM r JOIN (SELECT n_nationkey AS k, {_CODE} AS code FROM nation) USING (k)),
+f AS (SELECT q.code, s.sample, """ + " + ".join(f"(CASE WHEN q.code[{k}] <> s.code[{k}] AND q.code[{k}] <> 'N' THEN 1 ELSE 0 END)" for k in range(1, 17)) + """ AS d FROM (SELECT DISTINCT code FROM q) q, s),
+b AS (SELECT code, arg_min(sample, (d, sample)) AS sample, min(d) AS d, list_sort(list(d))[2] AS second FROM f GROUP BY code)
+SELECT order_id, line, q.code, CASE WHEN d <= 1 AND second - d >= 1 THEN sample END AS sample, CASE WHEN d <= 1 AND second - d >= 1 THEN d::INT END AS mismatches FROM q JOIN b USING (code)""")
+def v18_assigned(spark, sf):
+    """Whole codes of sixteen letters, some with a letter unknown or wrong, against the sheet."""
+    own = F.substring(F.translate(F.md5(F.col("n_name").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 16)
+    sheet = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("sample"), own.alias("code"))
+    rows = _reads(spark, sf).select("order_id", "line", (F.col("order_id") % 25).alias("k"), (F.col("order_id") % 15 + 1).cast("int").alias("p"), (F.col("line") % 4).alias("m")).join(F.broadcast(sheet.drop("sample")), "k")
+    put = lambda letters: F.concat(F.substr("code", F.lit(1), F.col("p") - 1), F.lit(letters), F.substr("code", F.col("p") + len(letters), F.lit(16)))
+    code = F.when(F.col("m") == 0, F.col("code")).when(F.col("m") == 1, put("N")).when(F.col("m") == 2, put("A")).otherwise(put("GT"))
+    return T.assigned_barcodes(rows.select("order_id", "line", code.alias("code")), sheet.select("sample", "code"), 16)
+
+
+@query("V22_bisulfite_distance", f"""WITH {SHOWN}, r AS (SELECT *, CASE WHEN pos % 2 = 0 THEN 'C' ELSE 'G' END AS wt, order_id % 2 = 1 AS negative FROM shown),
+m AS (SELECT *, op = 'M' AND seq <> wt AND NOT (CASE WHEN negative THEN wt = 'G' AND seq = 'A' ELSE wt = 'C' AND seq = 'T' END) AS bad FROM r)
+SELECT order_id, line, count(*) FILTER (bad) AS mismatches, (count(*) FILTER (bad) + coalesce(sum(length(seq)) FILTER (op = 'I'), 0) + count(*) FILTER (op = 'D'))::BIGINT AS nm FROM m GROUP BY ALL""")
+def v22_bisulfite(spark, sf):
+    from ..operators import pileup
+
+    rows = _reads(spark, sf)
+    chunks = _letters_a(rows).withColumn("seq", F.repeat(F.lit("CG"), F.lit(5_500)))
+    shown = pileup.observed(rows, ["order_id", "line"], chunks, halves=False).withColumn("negative", F.col("order_id") % 2 == 1)
+    return T.edit_distance(shown, ["order_id", "line"], "negative")
+
+
 @query("V12_record_filters", r"SELECT order_id, line FROM reads_v WHERE flag & 4 = 0 AND flag & 256 = 0 AND flag & 2048 = 0 AND NOT regexp_matches(cigar, '^\d+S$')")
 def v12(spark, sf):
     keep = ~R.flagged(R.UNMAPPED) & ~R.flagged(R.SECONDARY) & ~R.flagged(R.SUPPLEMENTARY) & ~F.col("cigar").rlike(r"^\d+S$")

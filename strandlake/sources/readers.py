@@ -195,12 +195,20 @@ def zipped_fastq(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def gene_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(name, gene, contig, start, end, negative, exon_starts, exon_ends) of a refFlat table."""
+    """Transcripts of a refFlat table; see `gene_annotation_rows`."""
+    return gene_annotation_rows(spark.read.text(path))
+
+
+def gene_annotation_rows(text: DataFrame) -> DataFrame:
+    """(name, gene, contig, start, end, negative, coding_start, coding_end, exon_starts, exon_ends) of refFlat lines (value).
+
+    Places are 0-based; `end` is the last one, coding and exon ends are the first place behind.
+    """
     parts = F.split("value", "\t")
     numbers = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.cast("long"))
-    return spark.read.text(path).select(
+    return text.select(
         F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(0)).alias("gene"), F.get(parts, F.lit(2)).alias("contig"), F.get(parts, F.lit(4)).cast("long").alias("start"), (F.get(parts, F.lit(5)).cast("long") - 1).alias("end"),
-        (F.get(parts, F.lit(3)) == "-").alias("negative"), numbers(F.get(parts, F.lit(9))).alias("exon_starts"), numbers(F.get(parts, F.lit(10))).alias("exon_ends"),
+        (F.get(parts, F.lit(3)) == "-").alias("negative"), F.get(parts, F.lit(6)).cast("long").alias("coding_start"), F.get(parts, F.lit(7)).cast("long").alias("coding_end"), numbers(F.get(parts, F.lit(9))).alias("exon_starts"), numbers(F.get(parts, F.lit(10))).alias("exon_ends"),
     )
 
 
