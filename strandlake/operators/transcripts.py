@@ -95,10 +95,10 @@ def end_bias(coverage: DataFrame, transcripts: DataFrame, end: int = 100, least_
         F.sum(F.when(F.col("place") >= F.col("length") - reach, F.col("value")).otherwise(0)).alias("last"),
     )
     mean = F.col("total") / F.col("length")
-    # over whole numbers up to one root and one division
+    # over whole numbers up to one root and one division, so that nothing needs rounding
     spread = F.sqrt((F.col("length") * F.col("squares") - F.col("total") * F.col("total")).cast("double"))
-    of = lambda c: F.round((F.col(c) * F.col("length")) / (F.least(F.lit(end), F.col("length")) * F.col("total")), 6)
-    return sums.where("total > 0").select("name", "length", F.round(mean, 6).alias("mean"), F.round(spread / F.col("total"), 6).alias("cv"), of("first").alias("five_prime"), of("last").alias("three_prime"))
+    of = lambda c: (F.col(c) * F.col("length")) / (F.least(F.lit(end), F.col("length")) * F.col("total"))
+    return sums.where("total > 0").select("name", "length", mean.alias("mean"), (spread / F.col("total")).alias("cv"), of("first").alias("five_prime"), of("last").alias("three_prime"))
 
 
 def bias_summary(biases: DataFrame, most: int = 1000) -> DataFrame:

@@ -598,7 +598,7 @@ def v08_locus_bases(spark, sf):
 
 @query("V08_end_bias", f"""WITH {MODELS}, p AS (SELECT name, length, CASE WHEN negative THEN length - 1 - (before + c.pos - a) ELSE before + c.pos - a END AS place, sum(value) AS v FROM coverage_v c JOIN exon x ON x.contig = c.contig AND c.pos BETWEEN x.a AND x.z GROUP BY ALL),
 t AS (SELECT name, length, sum(v) AS total, sum(v * v) AS squares, sum(CASE WHEN place < least(5, length) THEN v ELSE 0 END) AS f, sum(CASE WHEN place >= length - least(5, length) THEN v ELSE 0 END) AS l FROM p GROUP BY ALL)
-SELECT name, length, round(total / length, 6) AS mean, round(sqrt((length * squares - total * total)::DOUBLE) / total, 6) AS cv, round((f * length) / (least(5, length) * total), 6) AS five_prime, round((l * length) / (least(5, length) * total), 6) AS three_prime FROM t WHERE total > 0""")
+SELECT name, length, total::BIGINT / length AS mean, sqrt((length * squares - total * total)::DOUBLE) / total::BIGINT AS cv, (f * length)::BIGINT / (least(5, length) * total)::BIGINT AS five_prime, (l * length)::BIGINT / (least(5, length) * total)::BIGINT AS three_prime FROM t WHERE total > 0""")
 def v08_end_bias(spark, sf):
     return transcripts.end_bias(view(spark, sf, "coverage_v"), gene_models(spark, sf), 5)
 
