@@ -29,12 +29,12 @@ def letters_of(allele: Column) -> Column:
     return F.regexp_replace(allele, r"[\^-]", "")
 
 
-def allele_counts(bases: DataFrame, min_phred: int = 0) -> DataFrame:
-    """Reads for each allele of each strand of each molecule; bases without phred always count."""
+def allele_counts(bases: DataFrame, min_phred: int = 0, q2_phred: int = 30) -> DataFrame:
+    """Reads for each allele of each strand of each molecule, and those of `q2_phred` or more; bases without phred always count."""
     passing = F.col("phred").isNull() | (F.col("phred") >= min_phred)
     return bases.where(passing).groupBy(*MOLECULE, "strand", "allele").agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("phred").isNull() | (F.col("phred") >= 30)).alias("n_q2"),
+        F.count_if(F.col("phred").isNull() | (F.col("phred") >= q2_phred)).alias("n_q2"),
         F.sum("phred").alias("phred_sum"),
         F.max("lig_dist").alias("max_lig"),
     )

@@ -192,6 +192,8 @@ def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, c
         F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.least("rank_a", "rank_b").alias("rank")
     )
     later = cut(later)
+    if not later.limit(1).count():
+        return molecules.withColumn("merged_into", F.col("molecule"))
     kept = leaders(later, max_rounds)
     targets = later.join(kept, later["u"] == kept["node"]).groupBy(F.col("v").alias("molecule")).agg(F.min_by("u", "rank").alias("merged_into"))
     return molecules.join(targets, "molecule", "left").withColumn("merged_into", F.coalesce("merged_into", "molecule"))

@@ -171,3 +171,110 @@ def test_reads_of_a_split_alignment(run, spark):
     assert found.molecules.count() > 0
     far = [line.replace("chr1", "chr2", 1) if k == 0 else line for k, line in enumerate(lines[:2])]
     assert run({"A": far}).molecules.count() == 0
+
+
+def level(found, pos=140):
+    """Quality of sample A's molecule at a place."""
+    return found.molecules.where(f"sample = 'A' AND pos = {pos} AND NOT half").first()["quality"]
+
+
+CHANGED = ("SUB", 140)
+
+
+def with_quality(lines, letter):
+    """All base scores of SAM lines replaced."""
+    return ["\t".join([*f[:10], letter * len(f[10]), *f[11:]]) for f in (line.split("\t") for line in lines)]
+
+
+@pytest.mark.parametrize(
+    ("params", "letter", "quality"),
+    [({}, "I", 2), ({}, ":", 1), ({"minBasePhredScoreQ2": 20}, ":", 2), ({"minBasePhredScoreQ2": 41}, "I", 1), ({"minMedianPhredScoreAtPosition": 40}, "I", 2),
+     ({"minMedianPhredScoreAtPosition": 41}, "I", 1), ({"minCandidateMedianPhredScore": 41}, "I", 1), ({"minCandidateMedianPhredScore": 40}, "I", 2), ({"minMappingQualityQ2": 61}, "I", 1), ({"maxInsertSize": 200}, "I", 1), ({"minInsertSize": 202}, "I", 1)],
+)
+def test_qualities_of_bases_places_and_molecules(run, params, letter, quality):
+    found = run({"A": with_quality(reads_of("chr1", 100, 300, 3, 3, CHANGED), letter), "B": sister()}, Params(minNumberDuplexesSisterSamples=1, **params))
+    assert level(found) == quality
+    assert (unique(found) != []) == (quality == 2)
+
+
+@pytest.mark.parametrize(("params", "quality"), [({}, 2), ({"maxAverageBasesClipped": 9}, 1), ({"maxAverageBasesClipped": 10}, 2), ({"maxAverageClippingOfAllCoveringDuplexes": 9}, 1), ({"maxAverageClippingOfAllCoveringDuplexes": 10}, 2)])
+def test_clipping(run, params, quality):
+    """Ten clipped bases at the inner end of every read."""
+    lines = []
+    for line in reads_of("chr1", 100, 300, 3, 3, CHANGED):
+        f = line.split("\t")
+        left = not int(f[1]) & 16
+        f[5] = "60M10S" if left else "10S60M"
+        f[3] = str(int(f[3]) + (0 if left else 10))
+        lines.append("\t".join(f))
+    assert level(run({"A": lines, "B": sister()}, Params(minNumberDuplexesSisterSamples=1, **params))) == quality
+
+
+def tandem(n_top=3):
+    """Pairs whose reads lie on one strand."""
+    lines = []
+    for line in reads_of("chr1", 100, 300, n_top, 0, name="t", codes=("GTG", "CAC")):
+        f = line.split("\t")
+        lines.append("\t".join([f[0], str(int(f[1]) & ~48), *f[2:]]))
+    return lines
+
+
+def test_wrong_pairs(run):
+    lines = reads_of("chr1", 100, 300, 3, 3, CHANGED)
+    one = run({"A": lines + tandem(), "B": sister()})
+    wrong = one.molecules.where("sample = 'A' AND pos = 150 AND NOT half").select("has_wrong_pair", "quality").collect()
+    assert sorted(map(tuple, wrong)) == [(False, 2), (True, 1)]
+    assert run({"A": lines + tandem(), "B": sister()}, Params(minNumberDuplexesSisterSamples=1, ignoreTandemRFPairs=True)).molecules.where("has_wrong_pair").count() == 0
+    doubted = run({"A": lines + tandem(), "B": sister()}, Params(minNumberDuplexesSisterSamples=1, maxFractionWrongPairsAtPosition=0.2))
+    assert doubted.molecules.where("sample = 'A' AND pos = 150 AND NOT half AND quality = 2").count() == 0
+
+
+def test_constant_barcodes(run):
+    lines = [line.replace("CCCTCT", "CCCTCA") for line in reads_of("chr1", 100, 300, 3, 3, CHANGED)]
+    strict = lambda n: Params(minNumberDuplexesSisterSamples=1, nConstantBarcodeMismatchesAllowed=n)
+    assert run({"A": lines, "B": sister()}, strict(1)).molecules.where("sample = 'A'").count() > 0
+    assert run({"A": lines, "B": sister()}, strict(0)).molecules.where("sample = 'A'").count() == 0
+
+
+def test_records_taken(run):
+    lines = reads_of("chr1", 100, 300, 3, 3, CHANGED)
+    assert run({"A": lines}, Params(nRecordsToProcess=0)).molecules.count() == 0
+    assert run({"A": lines}, Params(dropReadProbability=1.0)).molecules.count() == 0
+    zero = ["\t".join([*line.split("\t")[:8], "0", *line.split("\t")[9:]]) for line in lines]
+    assert run({"A": zero}).molecules.count() > 0
+    assert run({"A": zero}, Params(ignoreZeroInsertSizeReads=True)).molecules.count() == 0
+
+
+def test_frequencies(run):
+    """A change that all molecules of a sample have, against limits of the top allele and of disagreements."""
+    lines = reads_of("chr1", 100, 300, 3, 3, CHANGED)
+    assert unique(run({"A": lines, "B": sister()})) != []
+    assert unique(run({"A": lines, "B": sister()}, Params(minNumberDuplexesSisterSamples=1, maxTopAlleleFreqQ2=0.9))) == []
+    both = lines + reads_of("chr1", 100, 300, 3, 3, CHANGED, codes=("GTG", "CAC"), name="d", top_only=True)
+    quality = lambda found: [r["quality"] for r in found.disagreements.where("pos = 140").collect()]
+    assert quality(run({"A": both, "B": sister()})) == [2]
+    capped = quality(run({"A": both, "B": sister()}, Params(minNumberDuplexesSisterSamples=1, maxMutFreqForDisag=0.4)))
+    assert len(capped) == 1 and capped[0] < 2
+
+
+def test_optical_duplicates_in_a_run(run):
+    """All reads of a strand on one spot: one of them is left."""
+    lines = reads_of("chr1", 100, 300, 3, 3, CHANGED)
+    n = lambda found: found.molecules.where("sample = 'A' AND pos = 140 AND NOT half").first()["top_n_strand"]
+    assert n(run({"A": lines})) == 3
+    assert n(run({"A": lines}, Params(filterOpticalDuplicates=True))) == 1
+    assert n(run({"A": lines}, Params(filterOpticalDuplicates=True, opticalDuplicateDistance=1))) == 3
+
+
+def test_illegal_input_and_parameters(run):
+    lines = reads_of("chr1", 100, 300, 1, 0)
+    with pytest.raises(Exception, match="more than two reads"):
+        run({"A": lines + lines}).molecules.collect()
+    with pytest.raises(ValueError, match="requireMatchInAlignmentEnd"):
+        run({"A": lines}, Params(requireMatchInAlignmentEnd=True))
+
+
+def test_calls_by_stretches(run):
+    found = run({"A": reads_of("chr1", 100, 300, 3, 3, CHANGED), "B": sister()}, Params(minNumberDuplexesSisterSamples=1, contigStatsBinLength=150))
+    rows = {(r["sample"], r["bin"]): r["n_calls"] for r in found.by_bin().collect()}
+    assert rows[("A", 0)] == 1 and sum(rows.values()) == 1 and ("A", 1) in rows
