@@ -102,3 +102,12 @@ def frequency_pairs(tops: DataFrame) -> DataFrame:
 
 def top_values(rows: DataFrame, key: str, n: int = 100) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), key).limit(n)
+
+
+def first_values(rows: DataFrame, keys: list[str], value: str, most: int, distinct: bool = False, name: str = "values") -> DataFrame:
+    """The smallest `most` values of each key, in order, as `name`; only that many of a key are ever brought together."""
+    each = rows.select(*keys, F.col(value).alias("__value"))
+    each = each.distinct() if distinct else each
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__value"))
+    kept = each.withColumn("__rank", rank).where(F.col("__rank") <= most)
+    return kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", "__value"))), lambda v: v["__value"]).alias(name))

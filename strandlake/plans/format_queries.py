@@ -252,7 +252,7 @@ def o04(spark, sf):
 
 @query("L01_first_names", "SELECT contig, start, list_sort(list(DISTINCT qname))[1:20] AS names FROM reads_v GROUP BY contig, start")
 def l01(spark, sf):
-    return view(spark, sf, "reads_v").groupBy("contig", "start").agg(F.slice(F.array_sort(F.collect_set("qname")), 1, 20).alias("names"))
+    return stats.first_values(view(spark, sf, "reads_v"), ["contig", "start"], "qname", 20, distinct=True, name="names")
 
 
 @query("V20_index_statistics", "SELECT contig, count(*) FILTER (flag & 4 = 0) AS aligned, count(*) FILTER (flag & 4 <> 0) AS unaligned FROM reads_v GROUP BY contig")
@@ -276,8 +276,9 @@ def s05(spark, sf):
 
 @query("P06_collectors", "SELECT contig, list_sort(list(DISTINCT value)) AS seen, list_sort(list(value))[1:5] AS lowest FROM coverage_v GROUP BY contig")
 def p06(spark, sf):
-    rows = view(spark, sf, "coverage_v").groupBy("contig")
-    return rows.agg(F.array_sort(F.collect_set("value")).alias("seen"), F.slice(F.array_sort(F.collect_list("value")), 1, 5).alias("lowest"))
+    rows = view(spark, sf, "coverage_v")
+    seen = rows.select("contig", "value").distinct().groupBy("contig").agg(F.array_sort(F.collect_list("value")).alias("seen"))
+    return seen.join(stats.first_values(rows, ["contig"], "value", 5, name="lowest"), "contig")
 
 
 @query("S12_parameters", "SELECT * FROM (VALUES ('alignmentPositionMismatchAllowed', '5'), ('ignoreTandemRFPairs', 'True'), ('maxInsertSize', '2000'), ('minConsensusThresholdQ2', '0.9'), ('minMappingQualityQ1', '30')) v(name, value)")
