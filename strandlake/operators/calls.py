@@ -144,7 +144,7 @@ def concurring(molecules: DataFrame, params: Params = Params()) -> DataFrame:
     Also the smallest and largest distance to it: the larger one of the distances between left starts
     and between right ends.
     """
-    best = F.max_by(F.struct("dup", "left_start", "right_end"), F.struct("quality", "n_reads", -F.col("dup"))).over(Window.partitionBy(*LOCATION, "allele"))
+    best = F.min_by(F.struct("dup", "left_start", "right_end"), F.struct(-F.col("quality"), -F.col("n_reads"), "dup")).over(Window.partitionBy(*LOCATION, "allele"))
     good = (F.col("n_reads") >= params.minConcurringDuplexReads) & (F.col("quality") >= lattice.DUBIOUS)
     rows = molecules.withColumn("best", best).withColumn("counts", good | (F.col("dup") == F.col("best.dup")))
     distance = F.greatest(F.abs(F.col("left_start") - F.col("best.left_start")), F.abs(F.col("right_end") - F.col("best.right_end")))
@@ -153,6 +153,22 @@ def concurring(molecules: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
+def detailed(found: DataFrame, bases: DataFrame, graded: DataFrame, params: Params = Params()) -> DataFrame:
+    """Calls with what their reads, molecules and places show: inserts, mapping, phred scores, wrong pairs, concurring molecules.
+
+    graded: molecules at places with alleles and quality. Each part is one aggregate over places and alleles; only calls are joined to them.
+    """
+    n = F.coalesce("top_n_strand", F.lit(0)) + F.coalesce("bottom_n_strand", F.lit(0))
+    made = graded.select(*MOLECULE, F.coalesce("top_allele", "bottom_allele").alias("allele"), "quality", n.alias("n_reads"))
+    places = position_statistics(bases).withColumnRenamed("median_phred", "place_median_phred")
+    own = bases.groupBy(*LOCATION, "allele").agg(element("phred", 0.5).alias("median_phred"), F.count("*").alias("n_reads"))
+    by_allele = [insert_summary(bases), own, concurring(made.join(molecule_ends(bases), MOLECULE), params)]
+    rows = found.join(places, LOCATION, "left")
+    for part in by_allele:
+        rows = rows.join(part, [*LOCATION, "allele"], "left")
+    return rows
+
+
 def molecule_ends(bases: DataFrame) -> DataFrame:
     """Outermost places of each molecule."""
     return bases.groupBy(*MOLECULE).agg(F.min("left_start").alias("left_start"), F.max("right_end").alias("right_end"))

@@ -42,8 +42,13 @@ class Detection:
     disagreements: DataFrame
     calls: DataFrame  #: mutant alleles with the flags that decide about them
 
+    bases: DataFrame  #: alleles that reads show at places
     params: Params = Params()
 
+    def details(self) -> DataFrame:
+        """The table with all measurements and flags of each call."""
+        return sinks.detection_details(calls.detailed(self.calls, self.bases, self.molecules, self.params))
+
     def table(self) -> DataFrame:
         return sinks.detection_rows(self.calls)
 
@@ -224,4 +229,4 @@ def detect(rows: DataFrame, reference: DataFrame, params: Params = Params(), siz
     if params.maxMutFreqForDisag < 1:
         apart = calls.capped_disagreements(apart, calls.totals(support), params)
     found = calls.unique_calls(support, F.col("wt"), apart, params)
-    return Detection(graded, support, apart, found, params)
+    return Detection(graded, support, apart, found, shown, params)

@@ -11,7 +11,7 @@ from ..operators import statistics
 from ..operators import stats as S
 from ..params import Params
 from ..standins import view
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 #: Molecules of the stand-in have about two reads a strand.
 PARAMS = Params(minReadsPerStrandQ2=2, minReadsPerStrandQ1=1, minNumberDuplexesSisterSamples=3)
@@ -345,6 +345,20 @@ def k01(spark, sf):
     return sinks.detection_rows(_calls(spark, sf))
 
 
+@query("K01_detection_details", f"""WITH {CALLS}, inserts AS ({ORACLE_SQL["A17_candidate_inserts"]}), places AS ({ORACLE_SQL["A18_position_statistics"]}), near AS ({ORACLE_SQL["A25_concurring_molecules"]}),
+own AS (SELECT sample, contig, pos, half, allele, list_sort(list(phred))[count(*) // 2 + 1] AS median_phred, count(*) AS n_reads FROM bases_v GROUP BY ALL)
+SELECT CASE WHEN unique_mutation THEN '*' ELSE '' END AS flag, sample || ':' || contig || ':' || (pos + 1) || CASE WHEN half THEN '.5' ELSE '' END AS place, sample, contig, pos + 1 AS position, half, allele, n_good, n_good_dubious, n_all, round(freq, 6) AS freq, sister_coverage,
+  n_reads, own.median_phred, places.median_phred AS place_median_phred, wrong_pairs, min_insert, max_insert, insert_10, insert_90, mean_mapq, n_far_mates, n_concurring, min_distance, max_distance
+FROM called LEFT JOIN inserts USING (sample, contig, pos, half, allele) LEFT JOIN near USING (sample, contig, pos, half, allele) LEFT JOIN own USING (sample, contig, pos, half, allele) LEFT JOIN places USING (sample, contig, pos, half)""")
+def k01_details(spark, sf):
+    """The detection table with the measurements of every call."""
+    from ..sources import sinks
+
+    bases = _bases(spark, sf)
+    rows = K.detailed(_calls(spark, sf), bases, C.graded_molecules(bases, PARAMS), PARAMS)
+    return sinks.detection_rows(rows, sinks.DETAILS[:13])
+
+
 @query("K02_mutation_bed", f"WITH {CALLS} SELECT contig, pos AS start, pos AS \"end\", allele, sample FROM called WHERE unique_mutation")
 def k02(spark, sf):
     from ..sources import sinks

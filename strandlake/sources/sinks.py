@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def detection_rows(calls: DataFrame) -> DataFrame:
-    """One row for each call and sample with 1-based positions, highest frequency before the second."""
+def detection_rows(calls: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """One row for each call and sample with 1-based positions, and columns `more` as they are."""
     return calls.select(
         F.when(F.col("unique_mutation"), "*").otherwise("").alias("flag"),
         F.concat_ws(":", "sample", "contig", F.concat((F.col("pos") + 1).cast("string"), F.when(F.col("half"), ".5").otherwise(""))).alias("place"),
@@ -21,9 +21,22 @@ def detection_rows(calls: DataFrame) -> DataFrame:
         "n_all",
         F.round("freq", 6).alias("freq"),
         "sister_coverage",
+        *(more or []),
     )
 
 
+#: What `detection_details` adds to the table, in order.
+DETAILS = [
+    "n_reads", "median_phred", "place_median_phred", "wrong_pairs", "min_insert", "max_insert", "insert_10", "insert_90", "mean_mapq", "n_far_mates", "n_concurring", "min_distance", "max_distance",
+    "total_n_good", "total_n_good_dubious", "total_n_all", "n_samples_with_allele", "some_without_wildtype", "no_wildtype", "present_in_sister", "several_at_position", "enough_molecules", "sister_covered", "coverage_ok", "has_disagreement",
+]
+
+
+def detection_details(detailed: DataFrame) -> DataFrame:
+    """The detection table with one column more for each measurement and each flag that decides about a call."""
+    return detection_rows(detailed, DETAILS)
+
+
 def mutation_bed(calls: DataFrame) -> DataFrame:
     return calls.where("unique_mutation").select("contig", F.col("pos").alias("start"), F.col("pos").alias("end"), "allele", "sample")
 

@@ -278,3 +278,9 @@ def test_calls_by_stretches(run):
     found = run({"A": reads_of("chr1", 100, 300, 3, 3, CHANGED), "B": sister()}, Params(minNumberDuplexesSisterSamples=1, contigStatsBinLength=150))
     rows = {(r["sample"], r["bin"]): r["n_calls"] for r in found.by_bin().collect()}
     assert rows[("A", 0)] == 1 and sum(rows.values()) == 1 and ("A", 1) in rows
+
+
+def test_details_of_calls(run):
+    found = run({"A": reads_of("chr1", 100, 300, 3, 3, CHANGED), "B": sister()})
+    row = found.details().where("flag = '*'").first()
+    assert (row["n_reads"], row["median_phred"], row["min_insert"], row["n_far_mates"], row["n_concurring"], row["has_disagreement"]) == (6, 40, 201, 0, 1, False)
