@@ -60,6 +60,13 @@ def library_sizes(counts: DataFrame) -> DataFrame:
     return counts.mapInPandas(sized, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in counts.schema)}, library_size long")
 
 
+def return_curve(sizes: DataFrame, times: int = 10) -> DataFrame:
+    """(library, times, share): unique molecules at `times` the sequencing over those now, for libraries of `library_sizes`."""
+    each = sizes.where("library_size IS NOT NULL").select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("times"))
+    share = F.col("library_size") * (1 - F.exp(-F.col("times") * F.col("pairs") / F.col("library_size"))) / F.col("unique")
+    return each.select("library", "times", F.round(share, 6).alias("share"))
+
+
 def return_on_investment(size: int, pairs: int, unique: int, times: int = 100) -> list[tuple[int, float]]:
     """(x, unique molecules at x times the sequencing over those now)."""
     return [(x, size * (1 - math.exp(-x * pairs / size)) / unique) for x in range(1, times + 1)]

@@ -481,12 +481,56 @@ def _pairs(spark, sf):
     ).agg(F.max("mapq").alias("score"))
 
 
-@query("V02_duplication_metrics")
-def v02(spark, sf):
+#: Fragments: reads of the fifth line, at the places of pairs of the same library a step on, or at none.
+_FRAGMENTS = "SELECT order_id AS pair_id, (order_id % 7)::INT AS library, contig, start + order_id % 3 AS five_prime, max(mapq) AS score FROM reads_v WHERE line = 5 GROUP BY ALL"
+
+
+@query("V01_duplicate_fragments", f"""WITH f AS ({_FRAGMENTS}), e AS (SELECT DISTINCT line AS library, contig, start AS five_prime, true AS here FROM reads_v)
+SELECT pair_id, library, contig, five_prime, score, coalesce(here, false) OR row_number() OVER (PARTITION BY library, contig, five_prime ORDER BY score DESC, pair_id) > 1 AS duplicate FROM f LEFT JOIN e USING (library, contig, five_prime)""")
+def v01_fragments(spark, sf):
+    rows = _reads(spark, sf).where("line = 5").groupBy(F.col("order_id").alias("pair_id"), (F.col("order_id") % 7).cast("int").alias("library"), "contig", (F.col("start") + F.col("order_id") % 3).alias("five_prime"))
+    return T.duplicate_fragments(rows.agg(F.max("mapq").alias("score")), _pairs(spark, sf)).select("pair_id", "library", "contig", "five_prime", "score", "duplicate")
+
+
+#: The size of each library, by halving what it lies between.
+_SIZED = """pair AS (SELECT order_id * 10 + line AS pair_id, line AS library, contig, start AS a, start + abs(insert_size) AS b, orientation, max(mapq) AS score FROM reads_v GROUP BY ALL),
+marked AS (SELECT library, row_number() OVER (PARTITION BY library, contig, a, b, orientation ORDER BY score DESC, pair_id) > 1 AS copy FROM pair),
+counted AS (SELECT library, count(*) AS pairs, count(*) FILTER (NOT copy) AS uniq FROM marked GROUP BY library),
+halved AS (SELECT library, pairs, uniq, 1.0::DOUBLE AS low, 100.0::DOUBLE AS high, -1 AS k FROM counted WHERE pairs > uniq
+  UNION ALL SELECT library, pairs, uniq, CASE WHEN k >= 0 AND v > 0 THEN m ELSE low END, CASE WHEN k < 0 AND v > 0 THEN high * 10 WHEN k >= 0 AND v <= 0 THEN m ELSE high END, CASE WHEN k < 0 AND v > 0 THEN k ELSE k + 1 END
+  FROM (SELECT *, uniq / (m * uniq) - 1 + exp(-pairs / (m * uniq)) AS v FROM (SELECT *, CASE WHEN k < 0 THEN high ELSE (low + high) / 2 END AS m FROM halved WHERE k < 40))),
+sized AS (SELECT library, pairs, uniq AS "unique", floor(uniq * (low + high) / 2)::BIGINT AS library_size FROM halved WHERE k = 40 UNION ALL SELECT library, pairs, uniq, NULL FROM counted WHERE pairs <= uniq)"""
+
+
+def _sizes(spark, sf):
     marked = T.mark_duplicates(_pairs(spark, sf)).groupBy("library").agg(F.count("*").alias("pairs"), F.count_if(~F.col("duplicate")).alias("unique"))
     return T.library_sizes(marked)
 
 
+@query("V02_duplication_metrics", f"WITH RECURSIVE {_SIZED} SELECT * FROM sized")
+def v02(spark, sf):
+    return _sizes(spark, sf)
+
+
+@query("V02_return_curve", f"""WITH RECURSIVE {_SIZED} SELECT library, t::INT AS times, round(library_size * (1 - exp(-t * pairs / library_size)) / "unique", 6) AS share FROM sized, range(1, 11) r(t) WHERE library_size IS NOT NULL""")
+def v02_curve(spark, sf):
+    return T.return_curve(_sizes(spark, sf))
+
+
+@query("V15_with_alignment", """WITH u AS (SELECT order_id, line, qname, is_first, seq FROM reads_v WHERE line = 6), a AS (SELECT qname, is_first, max(struct_pack(mapq := mapq, contig := contig, start := start, cigar := cigar)) AS b FROM reads_v WHERE line <> 6 GROUP BY ALL)
+SELECT order_id, line, qname, is_first, seq, b.contig AS contig, b.start AS start, b.mapq AS mapq, b.cigar AS cigar FROM u LEFT JOIN a USING (qname, is_first)""")
+def v15_alignment(spark, sf):
+    """Reads without an alignment of their own, with the best one of their name and end."""
+    rows = _reads(spark, sf)
+    best = rows.where("line <> 6").groupBy("qname", "is_first").agg(F.max(F.struct("mapq", "contig", "start", "cigar")).alias("b")).select("qname", "is_first", "b.*")
+    return T.with_alignment(rows.where("line = 6").select("order_id", "line", "qname", "is_first", "seq", "contig", "start", "mapq", "cigar"), best)
+
+
+@query("V16_clean_records", "SELECT order_id, line, flag, CASE WHEN flag & 4 <> 0 THEN 0 ELSE mapq END AS mapq FROM reads_v")
+def v16_clean(spark, sf):
+    return T.clean(_reads(spark, sf)).select("order_id", "line", "flag", "mapq")
+
+
 @query("V03_library_complexity", """WITH g AS (SELECT substring(seq, 1, 8) AS prefix, count(*) AS n FROM reads_v GROUP BY ALL) SELECT n AS group_size, count(*) AS n_groups FROM g GROUP BY ALL""")
 def v03(spark, sf):
     groups = _reads(spark, sf).groupBy(F.substring("seq", 1, 8).alias("prefix")).agg(F.count("*").alias("group_size"))
