@@ -258,6 +258,20 @@ def j02(spark, sf):
     return R.distant_partner(rows, rows, 150).select("order_id", "line", "start", "partner_start")
 
 
+@query("X23_junctions", """WITH s AS (SELECT qname, is_first, line % 2 = 1 AS right_, contig AS c1, CASE WHEN line % 2 = 1 THEN start + 19 ELSE start END AS p1, mate_contig AS c2, CASE WHEN line % 3 = 1 THEN mate_start + 11 ELSE mate_start END AS p2, line % 3 = 1 AS right2, negative <> (order_id % 5 = 0) AS turned FROM reads_v WHERE flag & 4 = 0 AND flag & 256 = 0),
+o AS (SELECT *, right_ = right2 AS same, CASE WHEN right_ = right2 THEN (c1, p1) <= (c2, p2) ELSE right_ END AS fwd FROM s),
+j AS (SELECT qname, is_first, CASE WHEN fwd THEN c1 ELSE c2 END AS contig, CASE WHEN fwd THEN p1 ELSE p2 END AS place, CASE WHEN fwd THEN c2 ELSE c1 END AS other_contig, CASE WHEN fwd THEN p2 ELSE p1 END AS other_place, turned OR same AS turned FROM o),
+k AS (SELECT DISTINCT qname, is_first, CASE WHEN contig <> other_contig THEN 'INTERCHROMOSOMAL' WHEN turned THEN 'INVERSION' WHEN other_place < place THEN 'TANDEM_REPEAT' ELSE 'DELETION' END AS kind, contig, place, other_contig, other_place FROM j)
+SELECT kind, contig, place::INT AS place, other_contig, other_place::INT AS other_place, count(*) AS n FROM k GROUP BY ALL""")
+def x23_junctions(spark, sf):
+    """Split reads made of the stand-in's, with the other half in a tag; junctions of all kinds with their reads."""
+    from ..operators import rearrangements
+
+    other = F.concat_ws(",", "mate_contig", (F.col("mate_start") + 1).cast("string"), F.when(F.col("order_id") % 5 == 0, "-").otherwise("+"), F.when(F.col("line") % 3 == 1, "12M20S").otherwise("20S12M"), F.lit("60"), F.lit("0;"))
+    rows = _reads(spark, sf).withColumns({"sample": F.lit("s"), "tags": F.create_map(F.lit("SA"), other), "cigar": F.when(F.col("line") % 2 == 1, "20M12S").otherwise("12S20M")})
+    return rearrangements.junctions(rows).groupBy("kind", *rearrangements.SIDES).agg(F.count("*").alias("n"))
+
+
 @query("J03_reference_bases", """WITH r AS (SELECT 'chr' || c AS contig, string_agg(translate(md5(c || k::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGN'), '' ORDER BY k) AS seq FROM (VALUES ('A'), ('N'), ('R')) v(c), range(0, 700) t(k) GROUP BY c)
 SELECT x.contig, x.start AS pos, substring(r.seq, x.start + 1, 1) AS wt, count(*) AS n FROM reads_v x JOIN r ON x.contig = r.contig GROUP BY ALL""")
 def j03(spark, sf):
