@@ -229,33 +229,67 @@ def neighbours(molecules: DataFrame, distance: int = 5, keys: tuple[str, ...] =
     return left.join(right, [*keys, "bin"]).where((F.col("a") < F.col("b")) & near & both).select("a", "b")
 
 
+#: Spots of one bucket of molecules and tiles, about, and pairs of spots that are compared at once.
+SPOTS, PAIRS = 50_000, 2_000_000
+
+
+def _chains(spots: pd.DataFrame, group: list[str], distance: float) -> np.ndarray:
+    """A number for each of the distinct spots `x`, `y`, equal for those of one chain of steps below `distance` in their group.
+
+    All groups at once: spots of one cell, whose diagonal is below `distance`, are one from the start; others
+    are compared with those of the cells around. The least number then sinks along the links.
+    """
+    x, y = spots["x"].to_numpy(float), spots["y"].to_numpy(float)
+    side = distance / np.sqrt(2) * (1 - 1e-9)
+    grid = pd.DataFrame({"g": spots.groupby(group, dropna=False, sort=False).ngroup().to_numpy(), "i": np.floor(x / side).astype(np.int64), "j": np.floor(y / side).astype(np.int64)})
+    cell = grid.groupby(["g", "i", "j"]).ngroup().to_numpy()
+    cells = grid.assign(cell=cell).drop_duplicates("cell")
+    rows, count = np.argsort(cell, kind="stable"), np.bincount(cell)
+    begin = np.cumsum(count) - count
+    met = [cells.assign(i=cells["i"] + di, j=cells["j"] + dj).merge(cells, on=["g", "i", "j"])[["cell_x", "cell_y"]] for di in range(3) for dj in range(-2, 3) if (di, dj) > (0, 0)]
+    ends = pd.concat(met).to_numpy()
+    sizes = count[ends[:, 0]] * count[ends[:, 1]]
+    links = [ends[:0]]
+    for _, at in pd.Series(np.arange(len(ends))).groupby(np.cumsum(sizes) // PAIRS):
+        one, size = ends[at], sizes[at]
+        pair = np.repeat(np.arange(len(one)), size)
+        step = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+        n = count[one[pair, 1]]
+        a, b = rows[begin[one[pair, 0]] + step // n], rows[begin[one[pair, 1]] + step % n]
+        links.append(one[np.unique(pair[np.hypot(x[a] - x[b], y[a] - y[b]) < distance])])
+    a, b = np.concatenate(links).T
+    label = np.arange(len(count))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for k in (a, b):
+            np.minimum.at(new, label[k], low)
+            np.minimum.at(new, k, low)
+        label = new[new]
+    return label[cell]
+
+
 def optical_duplicates(reads: DataFrame, distance: int, key: list[str]) -> DataFrame:
     """Reads with optical_duplicate: all but the best of a chain of close spots on a tile.
 
-    Groups are the reads of one molecule on one tile, a handful; those of a single read never leave
-    the JVM.
+    Of the reads at one spot a window keeps the best, and only spots that share their molecule and tile with
+    others leave the JVM. They do so in buckets of about `SPOTS`, each of many molecules, so that there is no
+    call for each molecule.
     """
-    def mark(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group["x"].to_numpy(float), group["y"].to_numpy(float)
-        parent = np.arange(len(x))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                k = parent[k]
-            return k
-
-        order = np.argsort(x, kind="stable")
-        for i, a in enumerate(order):
-            for b in order[i + 1 :]:
-                if x[b] - x[a] >= distance:
-                    break
-                if np.hypot(x[b] - x[a], y[b] - y[a]) < distance:
-                    parent[root(int(b))] = root(int(a))
-        chain = np.array([root(k) for k in range(len(x))])
-        ranked = group.assign(chain=chain).sort_values(["chain", "avg_phred", "read_id"], ascending=[True, False, True])
-        return pd.DataFrame({"read_id": ranked["read_id"], "optical_duplicate": ranked.duplicated("chain")})
-
-    size = F.count("*").over(Window.partitionBy(*key, "run_tile"))
-    several = reads.select(*key, "run_tile", "read_id", "x", "y", "avg_phred").withColumn("__n", size).where("__n > 1").drop("__n")
-    flags = several.groupBy(*key, "run_tile").applyInPandas(lambda g: mark(g), "read_id long, optical_duplicate boolean")
+    if distance <= 0:
+        return reads.withColumn("optical_duplicate", F.lit(False))
+    where = [*key, "run_tile"]
+    narrow = reads.where("x IS NOT NULL AND y IS NOT NULL").select(*where, "read_id", "x", "y", "avg_phred").repartition(*where)
+    best = F.row_number().over(Window.partitionBy(*where, "x", "y").orderBy(F.desc("avg_phred"), "read_id")) == 1
+    ranked = narrow.withColumn("__best", best).withColumn("__spots", F.count_if("__best").over(Window.partitionBy(*where)))
+    seen = cut(ranked.where("NOT __best OR __spots > 1").select(*where, "read_id", "x", "y", "avg_phred", "__best"))
+    spots = seen.where("__best").drop("__best")
+    bucket = F.pmod(F.xxhash64(*where), F.lit(spots.count() // SPOTS + 1)).alias("__bucket")
+
+    def behind(rows: pd.DataFrame) -> pd.DataFrame:
+        ranked = rows.assign(__chain=_chains(rows, where, distance)).sort_values(["__chain", "avg_phred", "read_id"], ascending=[True, False, True])
+        return ranked.loc[ranked.duplicated("__chain"), ["read_id"]]
+
+    lost = seen.where("NOT __best").select("read_id").union(spots.groupBy(bucket).applyInPandas(lambda g: behind(g), "read_id long"))
+    flags = lost.withColumn("optical_duplicate", F.lit(True))
     return reads.join(flags, "read_id", "left").withColumn("optical_duplicate", F.coalesce("optical_duplicate", F.lit(False)))

@@ -283,3 +283,38 @@ def test_counted_equals_the_rows_of_all_bases(spark):
             at += n if op in "M=XDN" else 0
     assert {(r["contig"], r["pos"]): (r["depth"], r["excluded"]) for r in pileup.depth(frame, 2).collect()} == {k: (min(n, 2), max(n - 2, 0)) for k, n in places.items()}
     assert pileup.counted(frame.limit(0), reference).count() == 0
+
+
+def test_optical_chains_over_cells_and_molecules(spark, monkeypatch):
+    """Random spots in several molecules, shared spots and missing ones, against all pairs; a few spots a bucket."""
+    import random
+
+    monkeypatch.setattr(molecules, "SPOTS", 40)
+    monkeypatch.setattr(molecules, "PAIRS", 50)
+    draw = random.Random(5)
+    rows = [(k, draw.choice("mno"), draw.choice(["t", None]), draw.randrange(90) if k % 19 else None, draw.randrange(90), draw.randrange(9)) for k in range(400)]
+    made = molecules.optical_duplicates(spark.createDataFrame(rows, "read_id long, molecule string, run_tile string, x int, y int, avg_phred int"), 7, ["molecule"])
+    chain = {r[0]: r[0] for r in rows}
+    close = [(a, b) for a in rows for b in rows if a[1:3] == b[1:3] and None not in (a[3], b[3]) and (a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2 < 49]
+    for _ in rows:
+        for a, b in close:
+            chain[a[0]] = chain[b[0]] = min(chain[a[0]], chain[b[0]])
+    best = {}
+    for r in sorted(rows, key=lambda r: (-r[5], r[0])):
+        best.setdefault(chain[r[0]], r[0])
+    assert {r["read_id"]: r["optical_duplicate"] for r in made.collect()} == {r[0]: best[chain[r[0]]] != r[0] for r in rows}
+
+
+def test_optical_calls_do_not_grow_with_molecules(spark, monkeypatch):
+    """Two spots in each of 2,000 molecules, and all of them in one call to Python."""
+    calls = spark.sparkContext.accumulator(0)
+    plain = molecules._chains
+
+    def counted(*given):
+        calls.add(1)
+        return plain(*given)
+
+    monkeypatch.setattr(molecules, "_chains", counted)
+    rows = spark.range(4000).selectExpr("id AS read_id", "id div 2 AS molecule", "'t' AS run_tile", "CAST(id % 2 AS INT) AS x", "0 AS y", "30 AS avg_phred")
+    assert molecules.optical_duplicates(rows, 10, ["molecule"]).where("optical_duplicate").count() == 2000
+    assert calls.value == 1
