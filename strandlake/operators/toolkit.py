@@ -80,9 +80,12 @@ def insert_metrics(reads: DataFrame, deviations: float = 10.0) -> DataFrame:
     spread = counts.join(F.broadcast(medians), "orientation").withColumn("dev", F.abs(F.col("size") - F.col("median")))
     mads = spread.groupBy("orientation").agg(F.expr("percentile(dev, 0.5, n)").alias("mad"))
     inside = spread.join(F.broadcast(mads), "orientation").where(F.col("size") <= F.col("median") + deviations * F.col("mad"))
-    n, s, q = F.sum("n"), F.sum(F.col("size") * F.col("n")), F.sum(F.col("size") * F.col("size") * F.col("n"))
+    n, s, q = F.sum("n"), F.sum(F.col("size") * F.col("n")), F.sum(F.col("size").cast("long") * F.col("size") * F.col("n"))
+    # squares of sums outgrow a long from some ten million reads on
+    whole = lambda c: c.cast("decimal(19,0)")
+    squares = (whole(n) * whole(q) - whole(s) * whole(s)).cast("double") / n
     return inside.groupBy("orientation").agg(
-        F.first("median").alias("median"), F.first("mad").alias("mad"), n.alias("n"), F.round(s / n, 6).alias("mean"), F.round(F.sqrt((q - s * s / n) / F.nullif(n - 1, F.lit(0))), 6).alias("sd")
+        F.first("median").alias("median"), F.first("mad").alias("mad"), n.alias("n"), F.round(s / n, 6).alias("mean"), F.round(F.sqrt(squares / F.nullif(n - 1, F.lit(0))), 6).alias("sd")
     )
 
 

@@ -134,3 +134,9 @@ def test_barcodes_need_a_clear_best(spark):
     for mismatches, margin in ((1, 1), (2, 2), (0, 1)):
         found = toolkit.assigned_barcodes(reads, spark.createDataFrame(sheet, "sample string, code string"), 8, mismatches, margin)
         assert {r["id"]: r["sample"] for r in found.collect()} == {k: plain(c, mismatches, margin) for k, c in enumerate(codes)}
+
+
+def test_insert_metrics_of_sums_whose_squares_outgrow_a_long(spark):
+    rows = spark.range(40).selectExpr("'FR' AS orientation", "CAST(100000000 + id % 2 AS INT) AS insert_size")
+    got = toolkit.insert_metrics(rows).first()
+    assert (got["n"], got["median"], got["mean"], got["sd"]) == (40, 100000000.5, 100000000.5, round((40 * 0.25 / 39) ** 0.5, 6))
