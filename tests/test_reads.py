@@ -318,3 +318,22 @@ def test_optical_calls_do_not_grow_with_molecules(spark, monkeypatch):
     rows = spark.range(4000).selectExpr("id AS read_id", "id div 2 AS molecule", "'t' AS run_tile", "CAST(id % 2 AS INT) AS x", "0 AS y", "30 AS avg_phred")
     assert molecules.optical_duplicates(rows, 10, ["molecule"]).where("optical_duplicate").count() == 2000
     assert calls.value == 1
+
+
+def test_fastq_files_that_are_cut_and_packed(spark, tmp_path):
+    """Several files, each of several partitions, the rests of which share one: records stay whole and in order."""
+    folder, expected = tmp_path / "fastq", []
+    folder.mkdir()
+    for k, size in enumerate((37, 5, 61, 20)):
+        names = [f"f{k}r{i:03d} {'x' * (i % 7)}" for i in range(size)]
+        (folder / f"part-{k}.fastq").write_text("".join(f"@{n}\nACGT{n[:4].upper()}\n+\n{n[:4]}\n" for n in names))
+        expected += [(n, f"ACGT{n[:4].upper()}", n[:4]) for n in names]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        got = readers.fastq(spark, str(folder)).orderBy("record").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [tuple(r)[1:] for r in got] == expected
