@@ -37,14 +37,19 @@ def _binned(intervals: DataFrame) -> DataFrame:
     return rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
 
 
-def _probes(positions: DataFrame, pos: str = "pos") -> DataFrame:
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col(pos) / (BIN * WIDER**k)).alias("bin")) for k in range(LEVELS)])
-    return positions.withColumn("b", F.explode(levels)).withColumns({"level": F.col("b.level"), "bin": F.col("b.bin")}).drop("b")
+def _probes(positions: DataFrame, pos: str, levels: list[int]) -> DataFrame:
+    bins = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col(pos) / (BIN * WIDER**k)).alias("bin")) for k in levels])
+    return positions.withColumn("b", F.explode(bins)).withColumns({"level": F.col("b.level"), "bin": F.col("b.bin")}).drop("b")
 
 
 def overlapping(positions: DataFrame, intervals: DataFrame, pos: str = "pos") -> DataFrame:
-    """Every position with every interval that holds it (contig, start, end and more of the interval)."""
-    joined = _probes(positions, pos).join(_binned(intervals), ["contig", "level", "bin"])
+    """Every position with every interval that holds it (contig, start, end and more of the interval).
+
+    Positions look into the levels that the intervals have. Neither side is broadcast: both have more rows
+    here than Spark guesses from their files.
+    """
+    found = intervals.agg(F.array_sort(F.collect_set(_level(F.col("end") - F.col("start") + 1))).alias("levels")).first()["levels"]
+    joined = _probes(positions, pos, found or [0]).hint("merge").join(_binned(intervals), ["contig", "level", "bin"])
     return joined.where(F.col(pos).between(F.col("start"), F.col("end"))).drop("level", "bin")
 
 

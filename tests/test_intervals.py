@@ -98,3 +98,16 @@ def test_moving_average(spark):
         if k % 5 == 4:
             expected[k] = average
     assert got == pytest.approx(expected)
+
+
+def test_overlaps_broadcast_neither_side_and_look_into_levels_that_exist(spark, capsys):
+    rows = spark.range(500).selectExpr("concat('f', id) AS name", "'c' AS contig", "id AS start", "id + 20 AS end")
+    joined = I.overlapping(rows.selectExpr("contig", "start AS pos"), rows)
+    joined.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Broadcast" not in plan and "NestedLoop" not in plan
+    assert joined.count() == sum(min(k, 20) + 1 for k in range(500))
+    assert I._probes(rows.selectExpr("contig", "start AS pos"), "pos", [0]).count() == 500
+    wide = spark.createDataFrame([("c", 0, 10**6), ("c", 5, 9), ("c", 10**5, 2 * 10**5)], "contig string, start long, end long")
+    assert I.overlapping(rows.selectExpr("contig", "start AS pos"), wide).count() == 505
+    assert I.overlapping(rows.selectExpr("contig", "start AS pos"), wide.where("start < 0")).count() == 0
