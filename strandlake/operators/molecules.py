@@ -97,6 +97,8 @@ def merged_barcode_mismatches(molecules: DataFrame, merged: DataFrame, length: i
     return letters.where("fst <> snd").groupBy("place", "fst", "snd").agg(F.count("*").alias("n"))
 
 
+#: Width of a bin of molecules' ends, in tolerances.
+BINS_WIDE = 6
 ORDER = ["left_start", "right_end", "left_bc", "right_bc"]
 
 
@@ -112,36 +114,39 @@ def _differ(a: Column, b: Column, length: int) -> Column:
 def compatible_molecules(rows: DataFrame, tolerance: int, barcode_mismatches: int, keys: list[str], name: str = "molecule") -> DataFrame:
     """(a, b), each pair once: rows of equal `keys` with both ends within `tolerance` and both barcodes within `barcode_mismatches` letters.
 
-    Ends meet by bins of `tolerance` + 1 places. Barcodes of the common length and without N are also dealt
+    Ends meet by bins a few times as wide as `tolerance`: each row lies in one, and the one that begins first
+    also looks into those that its tolerance reaches. Barcodes of the common length and without N are also dealt
     out by bands: with m letters allowed in each, one of 2 m + 1 bands of both together is equal, and a pair is
     given where its first such band is. Others, few, meet all molecules at their place.
     """
     left, right = (c or 0 for c in rows.agg(F.max(F.length("left_bc")), F.max(F.length("right_bc"))).first())
     bands = 2 * barcode_mismatches + 1
     banded = bands <= left + right
-    both = F.concat("left_bc", "right_bc")
     edges = [round((left + right) * k / bands) for k in range(bands + 1)]
-    cuts = [F.substring(both, a + 1, z - a) for a, z in zip(edges, edges[1:], strict=False)] if banded else []
-    width = tolerance + 1
-    fields = [F.col(name).alias("id"), *ORDER]
-    held = rows.select(*keys, *fields, (F.lit(not banded) | F.contains(both, F.lit("N")) | (F.length("left_bc") != left) | (F.length("right_bc") != right)).alias("loose"), F.array(*cuts).cast("array<string>").alias("cuts"))
-    bins = [F.expr(f"CAST(floor({c} / {width}) AS BIGINT)") for c in ORDER[:2]]
-    shifts = range(-1, 2) if tolerance else range(1)
-    near_bins = F.array(*[F.struct((bins[0] + i).alias("i"), (bins[1] + j).alias("j")) for i in shifts for j in shifts])
-    probe = lambda frame: frame.select("*", F.explode(near_bins).alias("bin")).select("*", "bin.i", "bin.j").drop("bin")
-    build = lambda frame: frame.select("*", bins[0].alias("i"), bins[1].alias("j"))
-    other = [F.col(c).alias(f"__{c}") for c in ("id", *ORDER, "loose", "cuts")]
+    cuts = lambda mark="": [F.substring(F.concat(f"{mark}left_bc", f"{mark}right_bc"), a + 1, z - a) for a, z in zip(edges, edges[1:], strict=False)]
+    held = rows.select(*keys, F.col(name).alias("id"), *ORDER)
+    loose = lambda mark="": F.lit(not banded) | F.contains(F.concat(f"{mark}left_bc", f"{mark}right_bc"), F.lit("N")) | (F.length(f"{mark}left_bc") != left) | (F.length(f"{mark}right_bc") != right)
+    width = BINS_WIDE * tolerance or 1
+    binned = lambda c, by=0: F.floor((F.col(c) + by) / width)
+
+    def probe(frame: DataFrame, back: int) -> DataFrame:
+        found = frame.withColumn("i", F.explode(F.sequence(binned("left_start", -back), binned("left_start", tolerance))))
+        return found.withColumn("j", F.explode(F.sequence(binned("right_end", -tolerance), binned("right_end", tolerance))))
+
+    other = [F.col(c).alias(f"__{c}") for c in ("id", *ORDER)]
+    build = lambda frame, *more: frame.select(*keys, binned("left_start").alias("i"), binned("right_end").alias("j"), *more, *other)
     close = (F.abs(F.col("left_start") - F.col("__left_start")) <= tolerance) & (F.abs(F.col("right_end") - F.col("__right_end")) <= tolerance)
     similar = (_differ(F.col("left_bc"), F.col("__left_bc"), left) <= barcode_mismatches) & (_differ(F.col("right_bc"), F.col("__right_bc"), right) <= barcode_mismatches)
     pair = [F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")]
     place = [*keys, "i", "j"]
-    own = probe(held.where("loose")).join(build(held).select(*place, *other), place).where((~F.col("__loose") | (F.col("id") < F.col("__id"))) & (F.col("id") != F.col("__id")))
+    own = probe(held.where(loose()), tolerance).join(build(held), place).where((~loose("__") | (F.col("id") < F.col("__id"))) & (F.col("id") != F.col("__id")))
     found = own.where(close & similar).select(*pair)
     if banded:
-        strict = held.where("NOT loose").select("*", F.posexplode("cuts").alias("band", "text"))
-        met = probe(strict).join(build(strict).select(*place, "band", "text", *other), [*place, "band", "text"])
-        first = F.array_position(F.zip_with("cuts", "__cuts", lambda x, y: x == y), True) == F.col("band") + 1
-        found = found.union(met.where((F.col("id") < F.col("__id")) & first & close & similar).select(*pair))
+        strict = held.where(~loose()).select("*", F.posexplode(F.array(*cuts())).alias("band", "text"))
+        met = probe(strict, 0).join(build(strict, "band", "text"), [*place, "band", "text"])
+        earlier = (F.col("left_start") < F.col("__left_start")) | ((F.col("left_start") == F.col("__left_start")) & (F.col("id") < F.col("__id")))
+        first = F.array_position(F.array(*[x == y for x, y in zip(cuts(), cuts("__"), strict=True)]), True) == F.col("band") + 1
+        found = found.union(met.where(earlier & close & first & similar).select(*pair))
     return found
 
 

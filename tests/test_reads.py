@@ -337,3 +337,16 @@ def test_fastq_files_that_are_cut_and_packed(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert [tuple(r)[1:] for r in got] == expected
+
+
+def test_compatible_molecules_against_all_pairs_in_few_copies(spark):
+    """Ends around bins' edges, places below zero, barcodes of other lengths and with N; and how many rows a molecule becomes."""
+    draw = random.Random(8)
+    code = lambda: "".join(draw.choice("AC" if draw.random() < 0.97 else "NG") for _ in range(draw.choice([3, 3, 3, 3, 2])))
+    rows = [(f"m{k:03d}", draw.choice("xy"), draw.randrange(-9, 30), draw.randrange(-9, 30), code(), code()) for k in range(400)]
+    frame = spark.createDataFrame(rows, "molecule string, k string, left_start long, right_end long, left_bc string, right_bc string")
+    differ = lambda x, y: sum(a != b and "N" not in (a, b) for a, b in zip(x, y, strict=False))
+    for tolerance, letters in ((0, 1), (2, 1), (3, 0), (2, 4)):
+        got = sorted(map(tuple, molecules.compatible_molecules(frame, tolerance, letters, ["k"]).collect()))
+        near = lambda a, b: a[1] == b[1] and max(abs(a[2] - b[2]), abs(a[3] - b[3])) <= tolerance and max(differ(a[4], b[4]), differ(a[5], b[5])) <= letters  # noqa: B023, E731
+        assert got == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)]
