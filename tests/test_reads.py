@@ -339,8 +339,8 @@ def test_fastq_files_that_are_cut_and_packed(spark, tmp_path):
     assert [tuple(r)[1:] for r in got] == expected
 
 
-def test_compatible_molecules_against_all_pairs_in_few_copies(spark):
-    """Ends around bins' edges, places below zero, barcodes of other lengths and with N; and how many rows a molecule becomes."""
+def test_compatible_molecules_against_all_pairs(spark):
+    """Ends around bins' edges, places below zero, barcodes of other lengths and with N."""
     draw = random.Random(8)
     code = lambda: "".join(draw.choice("AC" if draw.random() < 0.97 else "NG") for _ in range(draw.choice([3, 3, 3, 3, 2])))
     rows = [(f"m{k:03d}", draw.choice("xy"), draw.randrange(-9, 30), draw.randrange(-9, 30), code(), code()) for k in range(400)]
