@@ -82,3 +82,40 @@ def test_texts_without_or_under_one_id_stay(spark, docs):
     rows = docs((None, one), (None, two), (7, two), (7, three), (8, three + " end"), (8, "clean and short"), (None, one))
     kept = corpus_pipeline.near_duplicates(spark, rows, FOLDER).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("None", one), ("7", two), ("7", three), ("8", "clean and short")])
+
+
+def test_near_copies_below_the_bound_make_no_pairs(spark, monkeypatch):
+    """A group whose pairs lie about the bound goes block against block; a join made a row for each of its pairs."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(160):
+        own = list(base)
+        for at in rng.sample(range(100), 2 + k % 3):
+            own[at] = f"c{k}x{at}"
+        rows.append(own)
+    texts = {k: " ".join(w) for k, w in enumerate(rows)}
+    joined, plausible = [], jaccard.plausible
+    monkeypatch.setattr(jaccard, "plausible", lambda pairs, made, percent: joined.append(pairs.count()) or plausible(pairs, made, percent))
+    monkeypatch.setattr(jaccard, "PAIRS", 2048, raising=False)
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 50, raising=False)
+    expected = roots_of(texts)
+    assert len(set(expected.values())) > 1
+    assert found_roots(spark, texts) == expected
+    assert joined[1] <= 20 * len(texts)
+
+
+def test_families_that_cost_more_than_their_shingles_are_split(spark, monkeypatch):
+    """Shingles that share a few texts each: all pairs of the chain would be more than those of its shingles."""
+    rows = [(g, t, 10, t % 2 == 0) for g in range(1000, 1020) for t in range((g - 1000) * 9, (g - 1000) * 9 + 10)]
+    letters = "abcdefghij"
+    texts = {t: " ".join(letters[:9]) + f" {letters[t % 10]}{t // 10}" for t in range(190)}
+    texts_rows = spark.createDataFrame(list(texts.items()), "t long, text string")
+    found = jaccard._family_links(spark.createDataFrame(rows, "g long, t long, n int, out boolean"), texts_rows, 5, 60)
+    pairs = {tuple(sorted((r["a"], r["b"]))) for r in found.collect()}
+    linked = {(a, b) for a, b in pairs if len(grams(texts[a]) & grams(texts[b])) * 100 >= 60 * len(grams(texts[a]) | grams(texts[b]))}
+    assert pairs == linked and pairs
+    members = {}
+    for g, t, *_ in rows:
+        members.setdefault(g, set()).add(t)
+    assert all(any({a, b} <= own for own in members.values()) for a, b in pairs)
