@@ -435,7 +435,7 @@ def v22_edits(spark, sf):
     from ..operators import pileup
 
     rows = _reads(spark, sf)
-    return T.edit_distance(pileup.observed(rows, ["order_id", "line"], _letters_a(rows), halves=False), ["order_id", "line"])
+    return pileup.edit_distance(rows, ["order_id", "line"], _letters_a(rows))
 
 
 @query("W06_molecules_per_start", "SELECT sample, contig, left_start, count(*) AS n FROM molecules_v GROUP BY ALL")
@@ -730,8 +730,7 @@ def v22_bisulfite(spark, sf):
 
     rows = _reads(spark, sf)
     chunks = _letters_a(rows).withColumn("seq", F.repeat(F.lit("CG"), F.lit(5_500)))
-    shown = pileup.observed(rows, ["order_id", "line"], chunks, halves=False).withColumn("negative", F.col("order_id") % 2 == 1)
-    return T.edit_distance(shown, ["order_id", "line"], "negative")
+    return pileup.edit_distance(rows.withColumn("negative", F.col("order_id") % 2 == 1), ["order_id", "line"], chunks, "negative")
 
 
 @query("V12_record_filters", r"SELECT order_id, line FROM reads_v WHERE flag & 4 = 0 AND flag & 256 = 0 AND flag & 2048 = 0 AND NOT regexp_matches(cigar, '^\d+S$')")
