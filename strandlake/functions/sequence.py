@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -172,15 +174,62 @@ def adapter_start(seq: Column, adapter: str, most: int = 3, least_overlap: int =
 
     Best: fewest edits for the letters that overlap, then the first place; null if it fits nowhere.
     """
-    size = len(adapter)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(seq) - least_overlap + 1, F.lit(1)))
 
-    def fit(k: Column) -> Column:
-        rest = F.least(F.length(seq) - k + 1, F.lit(size))
-        edits = F.levenshtein(F.substr(seq, k, rest), F.substr(F.lit(adapter), F.lit(1), rest))
-        return F.struct((edits / rest).alias("share"), k.alias("at"), ((rest >= least_overlap) & (edits * size <= most * rest)).alias("fits"))
+    @F.pandas_udf("int")
+    def place(texts: pd.Series) -> pd.Series:
+        return pd.Series(_adapter_places(texts.tolist(), adapter, most, least_overlap), dtype="Int32")
+
+    return place(seq)
+
+
+#: Places of reads whose adapter edits are counted together.
+ADAPTER_PLACES = 1 << 20
 
-    return F.array_min(F.filter(F.transform(starts, fit), lambda f: f["fits"]))["at"]
+
+def _adapter_places(texts: list[str | None], adapter: str, most: int, least_overlap: int) -> list[int | None]:
+    """`adapter_start` of each text; edits are counted for all places of many texts at once."""
+    found: list[int | None] = []
+    while len(found) < len(texts):
+        part, n = [], 0
+        for text in texts[len(found) :]:
+            part.append(text if isinstance(text, str) else "")
+            n += len(part[-1])
+            if n >= ADAPTER_PLACES:
+                break
+        found += _best_places(part, adapter, most, least_overlap)
+    return found
+
+
+def _best_places(texts: list[str], adapter: str, most: int, least_overlap: int) -> list[int | None]:
+    size = len(adapter)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.maximum(lengths - max(least_overlap, 1) + 1, 0)
+    first = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(texts)), n)
+    k = np.arange(len(row)) - first[row]
+    at, rest = (np.cumsum(lengths) - lengths)[row] + k, np.minimum(lengths[row] - k, size)
+    edits = np.zeros(len(row), np.int32)
+    # distances of beginnings: after letter i, edit[j] is that of i letters and the adapter's first j
+    edit = [np.full(len(row), j, np.int16) for j in range(size + 1)]
+    for i in range(1, size + 1):
+        letter = letters[np.minimum(at + i - 1, max(len(letters) - 1, 0))]
+        before, edit[0] = edit[0], np.full(len(row), i, np.int16)
+        for j in range(1, size + 1):
+            changed = before + (letter != ord(adapter[j - 1]))
+            before = edit[j]
+            edit[j] = np.minimum(np.minimum(changed, before + 1), edit[j - 1] + 1)
+        edits = np.where(rest == i, edit[i], edits)
+    share = np.where(edits.astype(np.int64) * size <= most * rest, edits / np.maximum(rest, 1), np.inf)
+    best: list[int | None] = [None] * len(texts)
+    some = np.flatnonzero(n > 0)
+    if len(some):
+        least = np.minimum.reduceat(share, first[some])
+        hits = np.flatnonzero((share == np.repeat(least, n[some])) & np.isfinite(share))
+        own, where = np.unique(row[hits], return_index=True)
+        for r, p in zip(own.tolist(), k[hits[where]].tolist(), strict=True):
+            best[r] = p + 1
+    return best
 
 
 def mask_from(seq: Column, place: Column) -> Column:

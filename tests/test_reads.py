@@ -350,3 +350,32 @@ def test_compatible_molecules_against_all_pairs(spark):
         got = sorted(map(tuple, molecules.compatible_molecules(frame, tolerance, letters, ["k"]).collect()))
         near = lambda a, b: a[1] == b[1] and max(abs(a[2] - b[2]), abs(a[3] - b[3])) <= tolerance and max(differ(a[4], b[4]), differ(a[5], b[5])) <= letters  # noqa: B023, E731
         assert got == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)]
+
+
+def test_adapter_places_are_those_of_every_start():
+    """Against a plain search of each start; the edits of many texts' places are counted together."""
+    import random
+
+    from strandlake.functions import sequence as S
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i] + [0] * len(b), row
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    def plainly(text, adapter, most, least):
+        fits = []
+        for k in range(1, max(len(text or "") - least + 1, 1) + 1):
+            rest = min(len(text or "") - k + 1, len(adapter))
+            edits = distance((text or "")[k - 1 : k - 1 + rest], adapter[:rest])
+            if rest >= least and edits * len(adapter) <= most * rest:
+                fits.append((edits / rest, k))
+        return min(fits)[1] if fits else None
+
+    rng = random.Random(3)
+    texts = [None, "", "GATC", "GATCG", "ä" * 9 + "GATCGGAA", "GATCGGAA" * 3] + ["".join(rng.choices("ACGTN", k=rng.randrange(40))) for _ in range(400)]
+    for adapter, most, least in (("GATCGGAA", 3, 5), ("GATCGGAAGAGC", 2, 1), ("GA", 1, 2)):
+        assert S._adapter_places(texts, adapter, most, least) == [plainly(t, adapter, most, least) for t in texts]
