@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = "struct<ref:int,read:int,len:int,op:string>"
 
 
+def bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """`function` of a value that is made once for a row, however often the function names it."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
 def elements(cigar: Column) -> Column:
     """array<struct<len, op>> of a CIGAR string."""
     parts = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
@@ -77,18 +84,23 @@ def clipped_bases(cigar: Column, start: Column, negative: Column, mate_unclipped
 def read_position(cigar: Column, start: Column, place: Column) -> Column:
     """Read place (from 0) of a reference place; outside the alignment it is extrapolated.
 
-    Inside a deletion it is the read place where the deletion begins.
+    Inside a deletion it is the read place where the deletion begins. Null without aligned bases.
     """
-    found = blocks(cigar, start)
-    inside = F.filter(found, lambda b: b["op"].isin("M", "=", "X", "D", "N") & (place >= b["ref"]) & (place < b["ref"] + b["len"]))
-    first = F.element_at(aligned_blocks(cigar, start), 1)
-    last = F.element_at(aligned_blocks(cigar, start), -1)
-    hit = F.try_element_at(inside, F.lit(1))
-    return (
-        F.when(hit.isNotNull(), F.when(hit["op"].isin("D", "N"), hit["read"]).otherwise(hit["read"] + place - hit["ref"]))
-        .when(place < first["ref"], first["read"] - (first["ref"] - place))
-        .otherwise(last["read"] + place - last["ref"])
-    )
+
+    def ends(found: Column) -> Column:
+        inside = F.filter(found, lambda b: b["op"].isin("M", "=", "X", "D", "N") & (place >= b["ref"]) & (place < b["ref"] + b["len"]))
+        aligned = F.filter(found, lambda b: b["op"].isin("M", "=", "X"))
+        return bound(aligned, lambda a: F.struct(F.try_element_at(inside, F.lit(1)).alias("hit"), F.try_element_at(a, F.lit(1)).alias("first"), F.try_element_at(a, F.lit(-1)).alias("last")))
+
+    def position(e: Column) -> Column:
+        hit, first, last = e["hit"], e["first"], e["last"]
+        return (
+            F.when(hit.isNotNull(), F.when(hit["op"].isin("D", "N"), hit["read"]).otherwise(hit["read"] + place - hit["ref"]))
+            .when(place < first["ref"], first["read"] - (first["ref"] - place))
+            .otherwise(last["read"] + place - last["ref"])
+        )
+
+    return bound(bound(blocks(cigar, start), ends), position)
 
 
 def ligation_distance(own_end: Column, mate_end: Column, allowed: int) -> Column:
@@ -109,10 +121,10 @@ def wrong_pair(unmapped: Column, mate_unmapped: Column, contig: Column, mate_con
 
 def split_read(cigar: Column, start: Column) -> Column:
     """struct<matched, left_clip, right_clip, left_break, right_break> of a split alignment."""
-    longest = F.array_max(F.transform(aligned_blocks(cigar, start), lambda b: F.struct(b["len"].alias("len"), (-b["ref"]).alias("back"))))
+    matched = F.filter(elements(cigar), lambda e: e["op"].isin("M", "=", "X"))
     left, right = leading_clip(cigar), trailing_clip(cigar)
     return F.struct(
-        longest["len"].alias("matched"),
+        F.array_max(F.transform(matched, lambda e: e["len"])).alias("matched"),
         left.alias("left_clip"),
         right.alias("right_clip"),
         F.when(left >= right, start).otherwise(F.lit(None).cast("int")).alias("left_break"),

@@ -379,3 +379,14 @@ def test_adapter_places_are_those_of_every_start():
     texts = [None, "", "GATC", "GATCG", "ä" * 9 + "GATCGGAA", "GATCGGAA" * 3] + ["".join(rng.choices("ACGTN", k=rng.randrange(40))) for _ in range(400)]
     for adapter, most, least in (("GATCGGAA", 3, 5), ("GATCGGAAGAGC", 2, 1), ("GA", 1, 2)):
         assert S._adapter_places(texts, adapter, most, least) == [plainly(t, adapter, most, least) for t in texts]
+
+
+def test_blocks_are_made_once_for_a_position(spark):
+    """The plan names a CIGAR's elements once a position, and not at all as blocks for a split read's longest match."""
+    rows = spark.createDataFrame([("3S5M2D4M1S", 10), ("4S", 1)], "cigar string, start int")
+    place = rows.select(C.read_position(F.col("cigar"), F.col("start"), F.lit(16)).alias("v"))
+    assert place._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r["v"] for r in place.collect()] == [8, None]
+    split = rows.select(C.split_read(F.col("cigar"), F.col("start"))["matched"].alias("v"))
+    assert "aggregate" not in split._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["v"] for r in split.collect()] == [5, None]
