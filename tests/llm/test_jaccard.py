@@ -119,3 +119,30 @@ def test_families_that_cost_more_than_their_shingles_are_split(spark, monkeypatc
     for g, t, *_ in rows:
         members.setdefault(g, set()).add(t)
     assert all(any({a, b} <= own for own in members.values()) for a, b in pairs)
+
+
+def test_few_texts_of_families_are_fetched_without_shuffling_texts(spark, monkeypatch):
+    """Texts of crowded shingles were chosen by a join that moved all texts; both ways give the same links."""
+    rows = [(1, t, 10, t % 2 == 0) for t in range(12)]
+    texts = spark.createDataFrame([(t, " ".join("abcdefghij"[: 9 + t % 2])) for t in range(40)], "t long, text string")
+    plans, sets, found = [], jaccard._sets, []
+    monkeypatch.setattr(jaccard, "_sets", lambda once, size: plans.append(once._jdf.queryExecution().executedPlan().toString()) or sets(once, size))
+    for most in (jaccard.BROADCAST, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST", most)
+        links = jaccard._family_links(spark.createDataFrame(rows, "g long, t long, n int, out boolean"), texts, 5, 80)
+        found.append({t for pair in links.collect() for t in pair})
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+    assert found == [set(range(12))] * 2
+
+
+def test_pairs_that_share_only_late_shingles_are_not_made(spark, monkeypatch):
+    """Texts of a common passage, and else unlike: from its shingles on, most of them have too little left."""
+    rng = random.Random(3)
+    place = lambda words: int(jaccard.shingle_hashes(" ".join(words).encode(), 5)[0]) / 2**64
+    # about ten of the texts' own 60 shingles come before this one: within the prefix of 13, but over the 6 that may go before
+    passage = next(p for p in ([f"p{k}x{j}" for j in range(5)] for k in range(10_000)) if 0.17 < place(p) < 0.18)
+    texts = {k: " ".join([f"w{rng.randrange(10**6)}" for _ in range(60)] + passage) for k in range(60)}
+    joined, plausible = [], jaccard.plausible
+    monkeypatch.setattr(jaccard, "plausible", lambda pairs, made, percent: joined.append(pairs.distinct().count()) or plausible(pairs, made, percent))
+    assert found_roots(spark, texts) == roots_of(texts)
+    assert joined[1] < 60 * 59 / 8
