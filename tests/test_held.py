@@ -77,3 +77,48 @@ def test_windows_wait_for_the_slowest_stream(spark, folder, tmp_path):
     made = held.together([stream(spark, fast), stream(spark, slow)], "ts", "10 minutes", "1 minute", {"n": F.count("*")})
     rows = windows.drained(made, "append", lambda: str(tmp_path / "out")).collect()
     assert sorted((r["window_start"].minute, r["n"]) for r in rows) == [(0, 4), (10, 4)]
+
+
+class Packs:
+    """A key's list state, and its timers."""
+
+    def __init__(self):
+        self.packs, self.timers, self.moved = [], [], 0
+        self.get, self.exists = lambda: iter(list(self.packs)), lambda: bool(self.packs)
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def appendList(self, made):  # noqa: N802
+        self.packs += made
+        self.moved += len(made)
+
+    def put(self, made):
+        self.packs, self.moved = list(made), self.moved + len(made)
+
+    def clear(self):
+        self.packs = []
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 12
+
+
+def test_state_moves_by_packs_and_nothing_gives_no_frame():
+    """A key's 50 rows of a batch were 50 calls' worth of state, and each key gave an empty frame."""
+    import pandas as pd
+
+    state = Packs()
+    holder = held.Holder("key", 10_000)
+    holder.init(state)
+    batch = pd.DataFrame({"id": range(50), "us": [k * 100 for k in range(50)], "amount": [1.0] * 50})
+    assert list(holder.handleInputRows(("a",), iter([batch]), state)) == []
+    assert state.moved == 1 and state.timers == [10]
+    out = list(holder.handleExpiredTimer(("a",), state, None))
+    # the mark stands at 12 ms: rows up to 2 ms go, and have all later rows for followers
+    assert [(r.id, r.n_followers) for f in out for r in f.itertuples()] == [(k, 49 - k) for k in range(21)]
+    assert state.moved == 2 and state.timers[1:] == [13] and [len(c) for c in state.packs[0]] == [29] * 3
+    state.getCurrentWatermarkInMs = lambda: 5
+    assert list(holder.handleExpiredTimer(("a",), state, None)) == []
