@@ -36,13 +36,14 @@ def candidates(bases: DataFrame, qualities: DataFrame, params: Params = Params()
     return made.withColumns(own).withColumn("quality", lattice.combine([F.col("CANDIDATE_PHRED")], [F.col("MAX_MOLECULE_Q")]))
 
 
-def insert_summary(bases: DataFrame) -> DataFrame:
-    """Smallest and largest insert, mean mapping quality and far mates of each allele."""
+def insert_summary(bases: DataFrame, *more: Column) -> DataFrame:
+    """Smallest and largest insert, mean mapping quality and far mates of each allele; `more` aggregates come from the same shuffle."""
     return bases.groupBy(*LOCATION, "allele").agg(
         F.min("insert_size").alias("min_insert"),
         F.max("insert_size").alias("max_insert"),
         F.round(F.avg("mapq"), 6).alias("mean_mapq"),
         F.count_if("wrong_pair").alias("n_far_mates"),
+        *more,
     )
 
 
@@ -156,13 +157,13 @@ def concurring(molecules: DataFrame, params: Params = Params()) -> DataFrame:
 def detailed(found: DataFrame, bases: DataFrame, graded: DataFrame, params: Params = Params()) -> DataFrame:
     """Calls with what their reads, molecules and places show: inserts, mapping, phred scores, wrong pairs, concurring molecules.
 
-    graded: molecules at places with alleles and quality. Each part is one aggregate over places and alleles; only calls are joined to them.
+    graded: molecules at places with alleles and quality. Each part is one aggregate over places and alleles, one of them for all that reads show of an allele; only calls are joined to them.
     """
     n = F.coalesce("top_n_strand", F.lit(0)) + F.coalesce("bottom_n_strand", F.lit(0))
     made = graded.select(*MOLECULE, F.coalesce("top_allele", "bottom_allele").alias("allele"), "quality", n.alias("n_reads"))
     places = position_statistics(bases).withColumnRenamed("median_phred", "place_median_phred")
-    own = bases.groupBy(*LOCATION, "allele").agg(element("phred", 0.5).alias("median_phred"), F.count("*").alias("n_reads"))
-    by_allele = [insert_summary(bases), own, concurring(made.join(molecule_ends(bases), MOLECULE), params)]
+    own = insert_summary(bases, element("phred", 0.5).alias("median_phred"), F.count("*").alias("n_reads"))
+    by_allele = [own, concurring(made.join(molecule_ends(bases), MOLECULE), params)]
     rows = found.join(places, LOCATION, "left")
     for part in by_allele:
         rows = rows.join(part, [*LOCATION, "allele"], "left")

@@ -40,6 +40,11 @@ def allele_counts(bases: DataFrame, min_phred: int = 0, q2_phred: int = 30) -> D
     )
 
 
+def by_molecule(bases: DataFrame) -> DataFrame:
+    """Bases dealt out by molecule, so that its alleles, strands and consensus are made by one shuffle and not by three."""
+    return bases.repartition(*MOLECULE)
+
+
 def strand_consensus(counts: DataFrame) -> DataFrame:
     """Most frequent allele of each strand: top, n_top, n_strand, n_q2."""
     best = F.min_by(F.struct("allele", "n", "n_q2"), F.struct(-F.col("n"), F.col("allele")))
@@ -64,7 +69,7 @@ def passes(share: float) -> Column:
 
 
 def consensus_molecules(bases: DataFrame, params: Params = Params()) -> DataFrame:
-    made = molecules(strand_consensus(allele_counts(bases)))
+    made = molecules(strand_consensus(allele_counts(by_molecule(bases))))
     both = F.col("top_allele").isNotNull() & F.col("bottom_allele").isNotNull()
     agree = both & (F.col("top_allele") == F.col("bottom_allele"))
     return made.withColumns(
@@ -102,7 +107,7 @@ def assays(params: Params) -> dict[str, Column]:
 
 def graded_molecules(bases: DataFrame, params: Params = Params(), more: dict[str, Column] | None = None) -> DataFrame:
     """Molecules with a column for each assay and their quality; `more` holds further assays by name."""
-    return grade(molecules(strand_consensus(allele_counts(bases))), params, more)
+    return grade(molecules(strand_consensus(allele_counts(by_molecule(bases)))), params, more)
 
 
 def grade(made: DataFrame, params: Params = Params(), more: dict[str, Column] | None = None) -> DataFrame:
@@ -126,7 +131,7 @@ def molecule_mapping_quality(bases: DataFrame) -> DataFrame:
 
 def disagreements(bases: DataFrame, wildtype: str, params: Params = Params()) -> DataFrame:
     """As `disagreeing`, from bases."""
-    return disagreeing(molecules(strand_consensus(allele_counts(bases))), wildtype, params)
+    return disagreeing(molecules(strand_consensus(allele_counts(by_molecule(bases)))), wildtype, params)
 
 
 def disagreeing(made: DataFrame, wildtype: Column | str, params: Params = Params()) -> DataFrame:
