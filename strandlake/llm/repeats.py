@@ -1,22 +1,25 @@
 """Removal of byte strings that also start in a document with a smaller doc_id.
 
-A string of `length` bytes is known by the smallest hash among its k-byte parts (its minimizer), so
-equal strings always meet. Texts are dealt to homes by a hash of the text. Stages, all keyed and bounded:
-
-1. every batch of documents sends each minimizer of its strings with the home of its text, as one
-   number a row; those that two homes have are told to these homes (texts of one home find there what
-   they share);
-2. homes cut out the stretches of strings under such a minimizer (their contents, each once with its
-   smallest document) and send them to the minimizers' buckets;
-3. there a suffix array of the contents (two-stage sorting) and the common prefixes of neighbours
+A string of `length` bytes is known by the part of k bytes in it with the smallest hash, the leftmost
+of several (its minimizer), and the bytes that reach from this part into the string's longer side: its
+key is a hash of both, so equal strings always have one key, and strings that agree in a few words only
+seldom do. Texts are dealt to homes by a hash of the text. Stages, all keyed and bounded:
+
+1. texts go to their homes, packed and once; a home sends each key of its strings, with the number of
+   its texts that have it, to the key's bucket;
+2. there the keys that two homes have are told to these homes (texts of one home find there what they
+   share);
+3. homes cut out the stretches of strings under such a key (their contents, each once with its
+   smallest document) and send them to the keys' buckets;
+4. there a suffix array of the contents (two-stage sorting) and the common prefixes of neighbours
    give the smallest document of every string, which goes back to the homes;
-4. homes mark what is covered, and hash what is left.
+5. homes mark what is covered, and hash what is left.
 
-A minimizer with over `HOT` rows of the first stage (a very common passage) has no bucket: its strings
-are rows of their own, one for each home, with the smallest document of the home; each gets the smallest
-one of all homes from a window over equal strings. So no group holds the edges of a common passage's
-copies, and of one string there is a row for each home (some 6 MB of text) at most. Equal texts are one text with its smallest document, in every stage. Texts travel
-compressed, once. Nothing is sampled or capped.
+A key of over `HOT` different texts (a very common passage) has no stretches: its strings are sent one
+by one as digests, once by each home, to buckets of the digests, and get the smallest document of all
+homes there. So no group holds the edges of a common passage's copies, and of one string there is an
+entry for each home (some 6 MB of text) at most. Equal texts are one text with its smallest document, in
+every stage. All that is sent travels in packs, compressed. Nothing is sampled or capped.
 
 Defined results: a null text is empty; a text shorter than `length` keeps all; of equal texts all
 but those with the smallest id lose every byte (if long enough); repeated rows of one id are no
@@ -34,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,19 +51,23 @@ FEWEST_BUCKETS = 256
 BATCH_BYTES = 8 << 20
 WORK_BYTES = 256 << 10
 LAST = (1 << 63) - 1
-#: Bits of a home in a row of the first stage; the rest are the minimizer's.
-HOME_BITS = 24
-#: Rows of the first stage (one for each batch and home) beyond which a minimizer is hot.
+#: Bits of a home beside a key in one number, of a key, and of a place in a text beside a part's hash.
+HOME_BITS, KEY_BITS, PLACE_BITS = 24, 39, 31
+#: Buckets of contents for each bucket of keys, which are smaller.
+KEYS_WIDE = 4
+#: Texts beyond which a key is hot.
 HOT = 4096
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _PACK = zstandard.ZstdCompressor(level=1, write_checksum=False)
 _UNPACK = zstandard.ZstdDecompressor()
 
 TEXTS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
-CONTENTS = pa.schema([("bucket", pa.int32()), ("source", pa.int32()), ("blob", pa.binary())])
-STRINGS = pa.schema([("bucket", pa.int32()), ("d", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("m", pa.int64())])
+KEYS = pa.schema([("bucket", pa.int32()), ("source", pa.int32()), ("blob", pa.binary())])
+#: single: digests of hot strings in place of contents.
+CONTENTS = pa.schema([("bucket", pa.int32()), ("source", pa.int32()), ("single", pa.bool_()), ("blob", pa.binary())])
+ANSWERS = pa.schema([("bucket", pa.int32()), ("single", pa.bool_()), ("blob", pa.binary())])
 DONE = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-_SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+_SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string", pa.bool_(): "boolean"}
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -68,7 +75,7 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def part_hashes(data: np.ndarray) -> np.ndarray:
-    """40-bit hash of the PART bytes from each place. It only brings strings together: where two parts
+    """Hash of the PART bytes from each place. It only brings strings together: where two parts
     have one hash, strings meet that differ, and are told apart by their bytes."""
     value = words_at(data)
     nxt = np.zeros_like(value)
@@ -76,11 +83,19 @@ def part_hashes(data: np.ndarray) -> np.ndarray:
     value = (value ^ (value >> np.uint64(29))) * _ODD[0] + (nxt ^ (nxt >> np.uint64(31))) * _ODD[1]
     value ^= value >> np.uint64(32)
     value *= _ODD[2]
-    return (value ^ (value >> np.uint64(29))) >> np.uint64(HOME_BITS)
+    return value ^ (value >> np.uint64(29))
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """KEY_BITS of a hash of two parts' hashes."""
+    value = a * _ODD[3] + (b ^ (b >> np.uint64(31)))
+    value ^= value >> np.uint64(32)
+    value *= _ODD[1]
+    return ((value ^ (value >> np.uint64(29))) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
 def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, first place in the text, strings, minimizer) of runs of strings with one minimizer.
+    """(text number, first place in the text, strings, key) of runs of strings with one key.
 
     Texts are taken some at a time, so that the arrays of a place each stay in cache.
     """
@@ -102,16 +117,21 @@ def _stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     empty = np.zeros(0, np.int64)
     if total < length:
         return empty, empty, empty, np.zeros(0, np.int64)
-    least = part_hashes(data)
+    hashes = part_hashes(data)
+    # of equal hashes the leftmost is least
+    least = hashes >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(data), dtype=np.uint64)
     span, want = 1, length - PART + 1
     while 2 * span <= want:
         np.minimum(least[: len(least) - span], least[span:], out=least[: len(least) - span])
         span *= 2
     if want > span:
         np.minimum(least[: len(least) - (want - span)], least[want - span :], out=least[: len(least) - (want - span)])
+    at = (least[:total] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    half = (length - PART) // 2
+    late = at - np.arange(total) >= half
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     new = np.ones(total, bool)
-    new[1:] = least[1:total] != least[: total - 1]
+    new[1:] = (at[1:] != at[:-1]) | (late[1:] != late[:-1])
     whole = sizes >= length
     valid = np.zeros(total + 1, np.int8)
     valid[starts[whole]] = 1
@@ -119,11 +139,15 @@ def _stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     valid = np.cumsum(valid[:-1]).astype(bool)
     new[starts[sizes > 0]] = True
     begins = np.flatnonzero(new & valid)
-    stops = np.flatnonzero(new)
-    stops = np.append(stops, total)[np.searchsorted(stops, begins, side="right")]
     owner = np.searchsorted(starts, begins, side="right") - 1
-    stops = np.minimum(stops, starts[owner] + sizes[owner] - length + 1)
-    return owner, begins - starts[owner], stops - begins, least[begins].astype(np.int64)
+    # a string's longer side holds `half` bytes before its part or behind it
+    near = np.where(late[begins], at[begins] - half, at[begins])
+    key = _key(hashes[near], hashes[near + half])
+    more = np.ones(len(begins), bool)
+    more[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    begins, owner, key = begins[more], owner[more], key[more]
+    stops = np.minimum(np.append(begins[1:], total), starts[owner] + sizes[owner] - length + 1)
+    return owner, begins - starts[owner], stops - begins, key
 
 
 def key_of(text: bytes) -> int:
@@ -147,6 +171,31 @@ def unpack(blob: bytes) -> tuple[list[bytes], Callable[[int], np.ndarray]]:
     return items, lambda k: np.frombuffer(raw, "<i8", n, 4 + 4 * n + 8 * n * k)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def pack_keys(keys: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Ascending keys with a number each, by steps and bytes of one weight, compressed."""
+    return _PACK.compress(_planes(np.diff(keys, prepend=0)) + _planes(numbers))
+
+
+def unpack_keys(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, numbers, place of the pack) of some packs."""
+    found = [np.frombuffer(_UNPACK.decompress(blob), np.uint8).reshape(2, 8, -1) for blob in blobs]
+    values = [np.ascontiguousarray(x.transpose(0, 2, 1)).view("<i8")[:, :, 0] for x in found]
+    empty = [np.zeros(0, np.int64)]
+    keys, numbers = np.concatenate(empty + [np.cumsum(v[0]) for v in values]), np.concatenate(empty + [v[1] for v in values])
+    return keys, numbers, np.repeat(np.arange(len(values)), [v.shape[1] for v in values])
+
+
+def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the ascending ones."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
 def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(key, places) of each distinct key."""
     order = np.argsort(keys, kind="stable")
@@ -198,10 +247,12 @@ def homes(texts: list[bytes], buckets: int) -> np.ndarray:
 
 
 def minimizer_rows(texts: dict[bytes, int], length: int, buckets: int) -> np.ndarray:
-    """Each minimizer with each home that the batch has for it, in one number."""
+    """Each key with the home of each text that has it, in one number, ascending by keys."""
     every = list(texts)
-    owner, _, _, least = stretches(every, length)
-    return np.unique(least << HOME_BITS | homes(every, buckets)[owner])
+    owner, _, _, key = stretches(every, length)
+    x = np.sort(key << HOME_BITS | owner)
+    x = x[np.concatenate((x[:1] >= 0, x[1:] != x[:-1]))]
+    return x >> HOME_BITS << HOME_BITS | homes(every, buckets)[x & ((1 << HOME_BITS) - 1)]
 
 
 def text_rows(texts: dict[bytes, int], buckets: int) -> list[tuple[int, bytes]]:
@@ -219,27 +270,56 @@ def _texts_of(table: pa.Table) -> dict[bytes, int]:
     return _smallest(pairs())
 
 
-def _met_here(m: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Minimizers that two texts of the home itself have."""
-    order = np.argsort(m, kind="stable")
-    m, owner = m[order], owner[order]
-    return m[1:][(m[1:] == m[:-1]) & (owner[1:] != owner[:-1])]
+def _keys(length: int, buckets: int, few: int):
+    """Keys of a home's strings, each with the number of texts that have it, for the keys' buckets."""
+
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        every = minimizer_rows(_texts_of(texts), length, buckets) >> HOME_BITS
+        begins = np.flatnonzero(np.concatenate((every[:1] >= 0, every[1:] != every[:-1])))
+        keys, number = every[begins], np.diff(np.append(begins, len(every)))
+        source = key[0].as_py()
+        return _table([(b, source, pack_keys(keys[p], number[p])) for b, p in _split(keys * few >> KEY_BITS)], KEYS)
+
+    return run
+
+
+def _tell(most: int):
+    """Keys of several homes to each of these, and whether over `most` texts have them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, number, pack_of = unpack_keys(table["blob"].to_pylist())
+        order = np.argsort(keys)
+        keys, number, source = keys[order], number[order], table["source"].to_numpy()[pack_of[order]]
+        begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.append(begins, len(keys)))
+        hot = np.repeat(np.add.reduceat(number, begins) > most, size)
+        shared = np.flatnonzero(np.repeat(size > 1, size))
+        return _table([(s, pack_keys(keys[p], hot[p])) for s, p in ((s, shared[p]) for s, p in _split(source[shared]))], TEXTS)
 
+    return run
 
-def _wanted(shared: pa.Table, hot: bool) -> np.ndarray:
-    return np.unique(shared["m"].to_numpy()[shared["hot"].to_numpy(zero_copy_only=False) == hot])
+
+def _met_here(m: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Keys that two texts of the home itself have."""
+    x = np.sort(m << HOME_BITS | owner)
+    m = x >> HOME_BITS
+    return m[1:][(m[1:] == m[:-1]) & (x[1:] != x[:-1])]
 
 
 def _cut_out(length: int, buckets: int):
-    def run(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
+    """Contents under shared keys, and every string under a hot key, with their smallest and largest document in the home."""
+
+    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         found = _texts_of(texts)
         if not found:
             return _table([], CONTENTS)
         every, source = list(found), key[0].as_py()
         owner, first, n, least = stretches(every, length)
-        cold = np.setdiff1d(np.concatenate((_wanted(shared, False), _met_here(least, owner))), _wanted(shared, True))
-        use = np.flatnonzero(np.isin(least, cold))
+        keys, is_hot, _ = unpack_keys(told["blob"].to_pylist())
+        hot = np.sort(keys[is_hot == 1])
+        cold = np.setdiff1d(np.concatenate((keys, _met_here(least, owner))), hot)
         contents: dict[bytes, list[int]] = {}
+        use = np.flatnonzero(_among(least, cold))
         for o, a, z, m in zip(owner[use].tolist(), first[use].tolist(), (first + n)[use].tolist(), least[use].tolist(), strict=True):
             text = every[o]
             content, doc = text[a : z + length - 1], found[text]
@@ -250,32 +330,23 @@ def _cut_out(length: int, buckets: int):
                 old[0] = doc
             elif doc > old[1]:
                 old[1] = doc
-        listed = list(contents)
-        low, high, m = (np.array([contents[c][k] for c in listed], np.int64) for k in range(3))
-        rows = [(b, source, pack([listed[k] for k in p.tolist()], low[p], high[p], m[p])) for b, p in _split(m % buckets)]
-        return _table(rows, CONTENTS)
-
-    return run
-
-
-def _hot_strings(length: int):
-    """Every string under a hot minimizer, with its smallest and largest document in the home."""
-
-    def run(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
-        hot = _wanted(shared, True)
-        if not len(hot):
-            return _table([], STRINGS)
-        found, source = _texts_of(texts), key[0].as_py()
-        every, strings = list(found), {}
-        owner, first, n, least = stretches(every, length)
-        use = np.flatnonzero(np.isin(least, hot))
+        strings: dict[bytes, list[int]] = {}
+        use = np.flatnonzero(_among(least, hot))
         for o, a, size, m in zip(owner[use].tolist(), first[use].tolist(), n[use].tolist(), least[use].tolist(), strict=True):
             text = every[o]
             doc = found[text]
             for k in range(a, a + size):
                 old = strings.setdefault(text[k : k + length], [doc, doc, m])
                 old[0], old[1] = min(old[0], doc), max(old[1], doc)
-        return _table([(source, xxhash.xxh3_128_digest(s), *v) for s, v in strings.items()], STRINGS)
+        rows = []
+        for single, made in ((False, contents), (True, strings)):
+            if not made:
+                continue
+            low, high, m = np.array(list(made.values()), np.int64).T
+            listed = [xxhash.xxh3_128_digest(c) for c in made] if single else list(made)
+            deal = np.frombuffer(b"".join(listed), "<u8")[::2] % np.uint64(buckets) if single else m % buckets
+            rows += [(b, source, single, pack([listed[k] for k in p.tolist()], low[p], high[p], m[p])) for b, p in _split(deal)]
+        return _table(rows, CONTENTS)
 
     return run
 
@@ -304,6 +375,11 @@ def smallest_documents(contents: list[bytes], docs: np.ndarray, length: int) ->
 
 def _answer(length: int):
     def run(table: pa.Table) -> pa.Table:
+        singles = table["single"].to_numpy()
+        rows = _answer_strings(table.filter(pa.array(singles))) if singles.any() else []
+        table = table.filter(pa.array(~singles))
+        if not table.num_rows:
+            return _table(rows, ANSWERS)
         number: dict[bytes, int] = {}
         asked = []
         for source, blob in zip(table["source"].to_pylist(), table["blob"].to_pylist(), strict=True):
@@ -314,7 +390,7 @@ def _answer(length: int):
         np.minimum.at(docs, every, np.concatenate([a[2] for a in asked]))
         m[every] = np.concatenate([a[4] for a in asked])
         listed = list(number)
-        # a content that is alone under its minimizer has no string in common with another
+        # a content that is alone under its key has no string in common with another
         _, back, counts = np.unique(m, return_inverse=True, return_counts=True)
         several = np.flatnonzero(counts[back] > 1)
         lowest, runs = docs.copy(), {}
@@ -324,19 +400,33 @@ def _answer(length: int):
             lowest[several] = np.minimum.reduceat(at, starts)
             for k, s, content in zip(several.tolist(), starts.tolist(), some, strict=True):
                 runs[k] = (s, s + len(content) - length + 1)
-        rows = []
         for source, places, _, high, marked in asked:
             # a string of a smaller document matters only to a text of a larger one
             tell = np.flatnonzero(lowest[places] < high)
             if len(tell):
                 own = places[tell].tolist()
                 least = [_runs(at[slice(*runs[k])]) if k in runs else _one_run(len(listed[k]) - length + 1, int(docs[k])) for k in own]
-                rows.append((source, pack([xxhash.xxh3_128_digest(listed[k]) + v for k, v in zip(own, least, strict=True)], marked[tell])))
-        return _table(rows, TEXTS)
+                rows.append((source, False, pack([xxhash.xxh3_128_digest(listed[k]) + v for k, v in zip(own, least, strict=True)], marked[tell])))
+        return _table(rows, ANSWERS)
 
     return run
 
 
+def _answer_strings(table: pa.Table) -> list[tuple]:
+    """The smallest document of each digest, for the homes that have a larger one."""
+    packs = [unpack(blob) for blob in table["blob"].to_pylist()]
+    digests = np.frombuffer(b"".join(d for items, _ in packs for d in items), "<u8").reshape(-1, 2)
+    low, high, m = (np.concatenate([arrays(k) for _, arrays in packs]) for k in range(3))
+    source = np.repeat(table["source"].to_numpy(), [len(items) for items, _ in packs])
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    ranked = digests[order]
+    begins = np.flatnonzero(np.concatenate(([True], (ranked[1:] != ranked[:-1]).any(axis=1))))
+    least = np.empty_like(low)
+    least[order] = np.repeat(np.minimum.reduceat(low[order], begins), np.diff(np.append(begins, len(order))))
+    tell = np.flatnonzero(least < high)
+    return [(s, True, pack([digests[k].tobytes() for k in p.tolist()], least[p], m[p])) for s, p in ((s, tell[p]) for s, p in _split(source[tell]))]
+
+
 def _one_run(size: int, value: int) -> bytes:
     return struct.pack("<qq", size, value)
 
@@ -363,22 +453,24 @@ def merge(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 def _finish(length: int):
     def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        known: dict[bytes, list[list[int]]] = {}
-        cold = [np.zeros(0, np.int64)]
-        for blob in answers["blob"].drop_null().to_pylist():
+        known: dict[bytes, bytes] = {}
+        least_of: dict[bytes, int] = {}
+        cold, hot = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for single, blob in zip(answers["single"].to_pylist(), answers["blob"].to_pylist(), strict=True):
             items, arrays = unpack(blob)
-            cold.append(arrays(0))
-            known.update((item[:16], np.frombuffer(item, "<i8", offset=16).reshape(-1, 2).tolist()) for item in items)
-        strings = answers.filter(answers["d"].is_valid())
-        least_of = dict(zip(strings["d"].to_pylist(), strings["least"].to_pylist(), strict=True))
-        hot = np.unique(strings["m"].to_numpy().astype(np.int64))
+            if single:
+                hot.append(arrays(1))
+                least_of.update(zip(items, arrays(0).tolist(), strict=True))
+            else:
+                cold.append(arrays(0))
+                known.update((item[:16], item[16:]) for item in items)
         found = _texts_of(texts)
         every = list(found)
         edges: dict[int, list[tuple[int, int]]] = {}
         if known or least_of:
             owner, first, n, m = stretches(every, length)
-            is_hot = np.isin(m, hot)
-            use = np.flatnonzero(is_hot | np.isin(m, np.unique(np.concatenate(cold))))
+            is_hot = _among(m, np.sort(np.concatenate(hot)))
+            use = np.flatnonzero(is_hot | _among(m, np.sort(np.concatenate(cold))))
             digest = xxhash.xxh3_128_digest
             for o, a, size, single in zip(owner[use].tolist(), first[use].tolist(), n[use].tolist(), is_hot[use].tolist(), strict=True):
                 text = every[o]
@@ -387,7 +479,7 @@ def _finish(length: int):
                     spans = [(k, k + length) for k in range(a, a + size) if least_of.get(digest(text[k : k + length]), LAST) < doc]
                 else:
                     begin, spans = 0, []
-                    for end, least in known.get(digest(text[a : a + size + length - 1]), ()):
+                    for end, least in struct.iter_unpack("<qq", known.get(digest(text[a : a + size + length - 1]), b"")):
                         if least < doc:
                             spans.append((a + begin, a + end + length - 1))
                         begin = end
@@ -416,20 +508,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     buckets = min(1 << HOME_BITS, max(FEWEST_BUCKETS, -(-total // BUCKET_BYTES)))
 
-    sent = _batches(rows, lambda texts: pa.table({"x": minimizer_rows(texts, length, buckets)}), "x long", length)
-    m = F.shiftrightunsigned("x", HOME_BITS)
-    by_minimizer = Window.partitionBy("m")
-    dealt = sent.repartition(m).select("x", m.alias("m"))
-    dealt = dealt.withColumns({"low": F.min("x").over(by_minimizer), "high": F.max("x").over(by_minimizer), "many": F.count("*").over(by_minimizer)})
-    home = F.col("x").bitwiseAND(F.lit((1 << HOME_BITS) - 1)).cast("int")
-    shared = dealt.where("low <> high").select(home.alias("bucket"), "m", (F.col("many") > HOT).alias("hot")).groupBy("bucket")
-
     texts = _batches(rows, lambda found: _table(text_rows(found, buckets), TEXTS), _ddl(TEXTS), length).groupBy("bucket")
-    contents = texts.cogroup(shared).applyInArrow(_cut_out(length, buckets), _ddl(CONTENTS))
-    answers = contents.groupBy("bucket").applyInArrow(_answer(length), _ddl(TEXTS))
-    strings = texts.cogroup(shared).applyInArrow(_hot_strings(length), _ddl(STRINGS))
-    told = strings.withColumn("least", F.min("low").over(Window.partitionBy("d"))).where("least < high").select("bucket", "d", "least", "m")
-    done = texts.cogroup(answers.unionByName(told, allowMissingColumns=True).groupBy("bucket")).applyInArrow(_finish(length), _ddl(DONE))
+    keys = texts.applyInArrow(_keys(length, buckets, max(FEWEST_BUCKETS, buckets // KEYS_WIDE)), _ddl(KEYS)).groupBy("bucket")
+    told = keys.applyInArrow(_tell(HOT), _ddl(TEXTS)).groupBy("bucket")
+    contents = texts.cogroup(told).applyInArrow(_cut_out(length, buckets), _ddl(CONTENTS)).groupBy("bucket")
+    answers = contents.applyInArrow(_answer(length), _ddl(ANSWERS)).groupBy("bucket")
+    done = texts.cogroup(answers).applyInArrow(_finish(length), _ddl(DONE))
 
     narrow = rows.select("doc_id", "doc", F.xxhash64("text").alias("k"), F.octet_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     least = narrow.where(F.col("n") >= length).groupBy("k", "n").agg(F.min("doc").alias("least"))

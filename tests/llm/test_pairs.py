@@ -8,6 +8,7 @@ from collections import defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -195,6 +196,36 @@ def test_rows_of_the_first_stage_do_not_grow_with_buckets():
     assert all(sum(len(b) for _, b in repeats.text_rows(texts, buckets)) < 1.1 * raw for buckets in (256, 5_000, 500_000))
 
 
+def test_common_words_are_no_shared_keys():
+    """Texts that share pieces far shorter than a string don't meet; those that share a string do."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    words = [letters(28) for _ in range(30)]
+    keys = []
+    for _ in range(2):
+        texts = {"".join(letters(22) + rng.choice(words) for _ in range(40)).encode(): k for k in range(40)}
+        keys.append(np.unique(repeats.minimizer_rows(texts, 50, 256).astype(np.uint64) >> np.uint64(repeats.HOME_BITS)))
+    assert len(np.intersect1d(*keys)) < 0.001 * len(keys[0])
+    one, other = ({(letters(a) + "x" * 9 + words[0] + words[1] + letters(a)).encode(): 1} for a in (100, 37))
+    same = np.intersect1d(*[repeats.minimizer_rows(t, 50, 256) >> repeats.HOME_BITS for t in (one, other)])
+    assert len(same) > 0
+
+
+def test_copies_of_a_text_are_not_hot(docs, monkeypatch):
+    """What is hot are keys of many different texts, in how many batches they may be."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    singles = []
+    keys = [pa.table({"bucket": [0], "source": [k], "blob": [repeats.pack_keys(np.array([7, 9]), np.array([1, 2]))]}) for k in range(2)]
+    told = repeats._tell(3)(pa.concat_tables(keys))
+    for blob in told["blob"].to_pylist():
+        found, hot, _ = repeats.unpack_keys([blob])
+        singles.append((found.tolist(), hot.tolist()))
+    assert singles == [([7, 9], [0, 1])] * 2
+    rows = [(k, "The same sentence of a good sixty bytes, told over and over." + "!" * (k % 3)) for k in range(40)]
+    found = sorted(tuple(r) for r in repeats.remove_repeats(docs(*rows, partitions=8)).collect())
+    assert found == plain_repeats([(i, t.encode()) for i, t in rows])
+
+
 def test_repeats_of_other_columns_and_ids(docs):
     rows = docs((1, "y" * 60), (2, "y" * 60)).withColumns({c: F.lit("x") for c in ("doc", "k", "n", "least", "bucket", "blob", "whole")})
     assert sorted((r["doc_id"], r["n_removed"]) for r in repeats.remove_repeats(rows).collect()) == [(1, 0), (2, 60)]
