@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,57 +99,146 @@ def merged_barcode_mismatches(molecules: DataFrame, merged: DataFrame, length: i
     return letters.where("fst <> snd").groupBy("place", "fst", "snd").agg(F.count("*").alias("n"))
 
 
-#: Width of a bin of molecules' ends, in tolerances.
-BINS_WIDE = 6
+#: Width of a bin of molecules' starts, in tolerances; rows that are compared in one go, about, and pairs of them at once.
+BINS_WIDE = 60
+ROWS, PAIRS = 50_000, 2_000_000
 ORDER = ["left_start", "right_end", "left_bc", "right_bc"]
 
 
-def _differ(a: Column, b: Column, length: int) -> Column:
-    """Letters that differ between two barcodes, up to the end of the shorter one; N fits anything."""
-    total = F.lit(0)
-    for k in range(1, length + 1):
-        x, y = F.substring(a, k, 1), F.substring(b, k, 1)
-        total = total + F.when((x != y) & ~x.isin("N", "") & ~y.isin("N", ""), 1).otherwise(0)
-    return total
+def _by_bins(rows: DataFrame, tolerance: int, keys: list[str], made: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]], ddl: str) -> DataFrame:
+    """What `made` gives of rows and the number of each one's bin, some whole bins at a time.
+
+    Rows are dealt out by `keys` and a bin of their starts, once; those within `tolerance` of a bin's end also go to
+    the next one, as `guest`. `open` marks rows that two bins have. A task holds the rows of `ROWS` or of one bin.
+    """
+    width = BINS_WIDE * tolerance or BINS_WIDE
+    own, last = F.floor(F.col("left_start") / width), F.floor((F.col("left_start") + tolerance) / width)
+    placed = rows.where("left_start IS NOT NULL AND right_end IS NOT NULL").select("*", (own != last).alias("open"), F.explode(F.sequence(own, last)).alias("bin"))
+    dealt = placed.withColumn("guest", F.col("bin") != own).repartition(*keys, "bin").sortWithinPartitions(*keys, "bin")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(pa.Table.from_batches([batch]))
+                size += batch.num_rows
+            if size >= ROWS:
+                table = pa.concat_tables(held).combine_chunks()
+                bins = _runs_of(table, [*keys, "bin"])
+                whole = int(np.searchsorted(bins, bins[-1]))
+                held, size = [table.slice(whole)], len(bins) - whole
+                if whole:
+                    for part in made(table.slice(0, whole), bins[:whole]):
+                        yield from part.to_batches()
+        if size:
+            table = pa.concat_tables(held).combine_chunks()
+            for part in made(table, _runs_of(table, [*keys, "bin"])):
+                yield from part.to_batches()
+
+    return dealt.mapInArrow(run, ddl)
+
+
+def _runs_of(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """Number of the run of rows that are equal in all of `columns`."""
+    new = np.zeros(table.num_rows, bool)
+    for c in columns:
+        code = pd.factorize(table[c].to_pandas(), use_na_sentinel=False)[0]
+        new[1:] |= code[1:] != code[:-1]
+    return np.cumsum(new)
+
+
+def _letters(column: pa.ChunkedArray) -> np.ndarray:
+    """The letters of each barcode as numbers, 0 behind its end."""
+    text = np.array([x or "" for x in column.to_pylist()], "U")
+    return np.ascontiguousarray(text).view(np.uint32).reshape(len(text), -1)
+
+
+def _expanded(rows: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, number) for each row and each number from its `begin` to before its `stop`, about `PAIRS` at once."""
+    size = np.maximum(stop - begin, 0)
+    rows, begin, size = rows[size > 0], begin[size > 0], size[size > 0]
+    before = np.concatenate(([0], np.cumsum(size)))
+    a = 0
+    while a < len(rows):
+        z = max(a + 1, int(np.searchsorted(before, before[a] + PAIRS, side="right")) - 1)
+        n = size[a:z]
+        step = np.arange(int(n.sum())) - np.repeat(before[a:z] - before[a], n)
+        yield np.repeat(rows[a:z], n), np.repeat(begin[a:z], n) + step
+        a = z
+
+
+def _compatible(table: pa.Table, bins: np.ndarray, tolerance: int, mismatches: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of compatible pairs, each once, of rows in one bin; not of two guests.
+
+    Barcodes of the common length and without N meet by bands: with m letters allowed in each, one of 2 m + 1 bands
+    of both together is equal, and a pair is given where its first such band is. Others, few, meet all rows of their places.
+    """
+    start, end = (table[c].to_numpy().astype(np.int64) for c in ("left_start", "right_end"))
+    guest = table["guest"].to_numpy()
+    left, right = _letters(table["left_bc"]), _letters(table["right_bc"])
+    both, n = np.hstack((left, right)), ord("N")
+    bands = 2 * mismatches + 1
+    edges = [round(both.shape[1] * k / bands) for k in range(bands + 1)]
+    loose = ((both == n) | (both == 0)).any(axis=1) | (bands > both.shape[1])
+    codes = []
+    for a, z in zip(edges, edges[1:], strict=False):
+        code = np.zeros(len(both), np.int64)
+        for k in range(a, z):
+            code = code * 1_000_003 + both[:, k]
+        codes.append(code)
+    # a bin's starts lie closer together than this
+    base = start - start.min()
+    span = int(base.max()) + tolerance + 1
+
+    def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = (np.abs(end[i] - end[j]) <= tolerance) & ~(guest[i] & guest[j])
+        i, j = i[near], j[near]
+        for part in (left, right):
+            differ = np.zeros(len(i), np.int64)
+            for k in range(part.shape[1]):
+                x, y = part[i, k], part[j, k]
+                differ += (x != y) & (x != n) & (y != n) & (x != 0) & (y != 0)
+            i, j = i[differ <= mismatches], j[differ <= mismatches]
+        return i, j
+
+    strict = np.flatnonzero(~loose)
+    for k, code in enumerate(codes):
+        order = strict[np.lexsort((base[strict], code[strict], bins[strict]))]
+        group = np.cumsum(np.concatenate((order[:0], [0][: len(order)], (bins[order][1:] != bins[order][:-1]) | (code[order][1:] != code[order][:-1]))))
+        at = group * span + base[order]
+        for i, j in _expanded(order, np.arange(len(order)) + 1, np.searchsorted(at, at + tolerance, side="right")):
+            j = order[j]
+            first = np.ones(len(i), bool)
+            for earlier in codes[:k]:
+                first &= earlier[i] != earlier[j]
+            yield fit(i[first], j[first])
+    open_ = np.flatnonzero(loose)
+    if len(open_):
+        order = np.lexsort((base, bins))
+        at, own = bins[order] * span + base[order], bins[open_] * span + base[open_]
+        low = np.maximum(own - tolerance, bins[open_] * span)
+        for i, j in _expanded(open_, np.searchsorted(at, low), np.searchsorted(at, own + tolerance, side="right")):
+            j = order[j]
+            once = ~loose[j] | (i < j)
+            yield fit(i[once], j[once])
 
 
 def compatible_molecules(rows: DataFrame, tolerance: int, barcode_mismatches: int, keys: list[str], name: str = "molecule") -> DataFrame:
     """(a, b), each pair once: rows of equal `keys` with both ends within `tolerance` and both barcodes within `barcode_mismatches` letters.
 
-    Ends meet by bins a few times as wide as `tolerance`: each row lies in one, and the one that begins first
-    also looks into those that its tolerance reaches. Barcodes of the common length and without N are also dealt
-    out by bands: with m letters allowed in each, one of 2 m + 1 bands of both together is equal, and a pair is
-    given where its first such band is. Others, few, meet all molecules at their place.
+    Letters are compared up to the end of the shorter barcode, and N fits anything. Each row is shuffled once, but
+    for the few near the end of a bin of starts; pairs are made within tasks.
     """
-    left, right = (c or 0 for c in rows.agg(F.max(F.length("left_bc")), F.max(F.length("right_bc"))).first())
-    bands = 2 * barcode_mismatches + 1
-    banded = bands <= left + right
-    edges = [round((left + right) * k / bands) for k in range(bands + 1)]
-    cuts = lambda mark="": [F.substring(F.concat(f"{mark}left_bc", f"{mark}right_bc"), a + 1, z - a) for a, z in zip(edges, edges[1:], strict=False)]
+    kind = rows.schema[name].dataType.simpleString()
     held = rows.select(*keys, F.col(name).alias("id"), *ORDER)
-    loose = lambda mark="": F.lit(not banded) | F.contains(F.concat(f"{mark}left_bc", f"{mark}right_bc"), F.lit("N")) | (F.length(f"{mark}left_bc") != left) | (F.length(f"{mark}right_bc") != right)
-    width = BINS_WIDE * tolerance or 1
-    binned = lambda c, by=0: F.floor((F.col(c) + by) / width)
-
-    def probe(frame: DataFrame, back: int) -> DataFrame:
-        found = frame.withColumn("i", F.explode(F.sequence(binned("left_start", -back), binned("left_start", tolerance))))
-        return found.withColumn("j", F.explode(F.sequence(binned("right_end", -tolerance), binned("right_end", tolerance))))
-
-    other = [F.col(c).alias(f"__{c}") for c in ("id", *ORDER)]
-    build = lambda frame, *more: frame.select(*keys, binned("left_start").alias("i"), binned("right_end").alias("j"), *more, *other)
-    close = (F.abs(F.col("left_start") - F.col("__left_start")) <= tolerance) & (F.abs(F.col("right_end") - F.col("__right_end")) <= tolerance)
-    similar = (_differ(F.col("left_bc"), F.col("__left_bc"), left) <= barcode_mismatches) & (_differ(F.col("right_bc"), F.col("__right_bc"), right) <= barcode_mismatches)
-    pair = [F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")]
-    place = [*keys, "i", "j"]
-    own = probe(held.where(loose()), tolerance).join(build(held), place).where((~loose("__") | (F.col("id") < F.col("__id"))) & (F.col("id") != F.col("__id")))
-    found = own.where(close & similar).select(*pair)
-    if banded:
-        strict = held.where(~loose()).select("*", F.posexplode(F.array(*cuts())).alias("band", "text"))
-        met = probe(strict, 0).join(build(strict, "band", "text"), [*place, "band", "text"])
-        earlier = (F.col("left_start") < F.col("__left_start")) | ((F.col("left_start") == F.col("__left_start")) & (F.col("id") < F.col("__id")))
-        first = F.array_position(F.array(*[x == y for x, y in zip(cuts(), cuts("__"), strict=True)]), True) == F.col("band") + 1
-        found = found.union(met.where(earlier & close & first & similar).select(*pair))
-    return found
+
+    def made(table: pa.Table, bins: np.ndarray) -> Iterator[pa.Table]:
+        for i, j in _compatible(table, bins, tolerance, barcode_mismatches):
+            yield pa.table({"x": table["id"].take(pa.array(i)), "y": table["id"].take(pa.array(j))})
+
+    found = _by_bins(held, tolerance, keys, made, f"x {kind}, y {kind}")
+    return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def leaders(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -183,27 +274,76 @@ def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, c
     molecules are compatible if they have equal `chunk` columns, both ends lie within `tolerance` and both
     barcodes differ in `barcode_mismatches` letters at most, N fitting anything.
 
-    Done in rounds over the links of compatible molecules: one that has a link to an earlier molecule that
-    stays is merged, one whose earlier links are all merged stays, others wait. The result is that of going
-    through all molecules in turn; no island of linked molecules is held by one task. Rounds are as many as
-    the longest chain of decisions that wait for each other, and each is checkpointed.
+    Done where molecules meet: one with a link to an earlier molecule that stays is merged, one whose earlier links
+    are all merged stays. What hangs on molecules near the end of a bin, which two tasks have, is decided after that
+    in rounds over the links left. The result is that of going through all molecules in turn; no island of linked
+    molecules is held by one task. Rounds are as many as the longest chain of decisions that wait for each other
+    over such ends, and each is checkpointed. With a tolerance of 0 no bins touch, and there are none.
     """
-    ends = [(-(F.col("n_top") + F.col("n_bottom"))).alias("reads"), (-F.least("n_top", "n_bottom")).alias("least"), *ORDER, "molecule"]
-    ranked = cut(molecules.select("molecule", F.struct(*ends).alias("rank"), *chunk, *ORDER))
-    links = compatible_molecules(ranked, tolerance, barcode_mismatches, chunk)
-    rank = lambda k: ranked.select(F.col("molecule").alias(k), F.col("rank").alias(f"rank_{k}"))
-    first = F.col("rank_a") < F.col("rank_b")
-    later = links.join(rank("a"), "a").join(rank("b"), "b").select(
-        F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.least("rank_a", "rank_b").alias("rank")
-    )
-    later = cut(later)
-    if not later.limit(1).count():
-        return molecules.withColumn("merged_into", F.col("molecule"))
-    kept = leaders(later, max_rounds)
-    targets = later.join(kept, later["u"] == kept["node"]).groupBy(F.col("v").alias("molecule")).agg(F.min_by("u", "rank").alias("merged_into"))
+    rank = ["reads", "least", *ORDER, "molecule"]
+    lowest = F.lit(-(1 << 63))
+    reads, least = -(F.col("n_top") + F.col("n_bottom")), -F.least("n_top", "n_bottom")
+    rows = molecules.select(*chunk, "molecule", *ORDER, F.coalesce(reads.cast("long"), lowest).alias("reads"), F.coalesce(least.cast("long"), lowest).alias("least"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def made(table: pa.Table, bins: np.ndarray) -> Iterator[pa.Table]:
+        none = np.zeros(0, np.int64)
+        i, j = (np.concatenate(c) for c in zip((none, none), *_compatible(table, bins, tolerance, barcode_mismatches), strict=True))
+        v, u, known, final = _decided(table, i, j, rank)
+        found = {"v": table["molecule"].take(pa.array(v)), "u": table["molecule"].take(pa.array(u)), "known": pa.array(known), "final": pa.array(final)}
+        yield pa.table(found | {c: table[c].take(pa.array(u, mask=final)) for c in rank})
+
+    links = _by_bins(rows, tolerance, chunk, made, f"v {kind['molecule']}, u {kind['molecule']}, known boolean, final boolean, " + ", ".join(f"{c} {kind[c]}" for c in rank))
+    if tolerance == 0:
+        targets = links.select(F.col("v").alias("molecule"), F.col("u").alias("merged_into"))
+    else:
+        links = cut(links.select("v", "u", "known", "final", F.when(~F.col("final"), F.struct(*rank)).alias("rank")))
+        later = links.where("NOT final").drop("final")
+        if later.where("NOT known").limit(1).count():
+            kept = leaders(later, max_rounds)
+            later = later.join(kept, later["u"] == kept["node"])
+        merged = later.groupBy("v").agg(F.min_by("u", "rank").alias("u"))
+        targets = links.where("final").select("v", "u").union(merged).toDF("molecule", "merged_into")
     return molecules.join(targets, "molecule", "left").withColumn("merged_into", F.coalesce("merged_into", "molecule"))
 
 
+def _decided(table: pa.Table, i: np.ndarray, j: np.ndarray, rank: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(v, u, known, final): links of those that are merged or wait to earlier rows, as far as a merge may be by them.
+
+    known: the earlier row stays; else it waits. final: this is where the row is merged.
+    """
+    n = table.num_rows
+    columns = [pd.factorize(table[c].to_pandas(), sort=True)[0] for c in reversed(rank)]
+    place = np.empty(n, np.int64)
+    place[np.lexsort(columns)] = np.arange(n)
+    far = (table["open"].to_numpy() | table["guest"].to_numpy()).astype(bool)
+    v, u = np.where(place[i] < place[j], j, i), np.where(place[i] < place[j], i, j)
+    merged, stays = np.zeros(n, bool), np.zeros(n, bool)
+    a, b = v, u
+    while True:
+        waits = np.zeros(n, bool)
+        waits[a] = True
+        # those without an earlier link left
+        fresh = ~far & ~waits & ~merged & ~stays
+        stays |= fresh
+        now = np.zeros(n, bool)
+        now[a[stays[b]]] = True
+        now &= ~merged
+        if not fresh.any() and not now.any():
+            break
+        merged |= now
+        left = ~merged[a] & ~merged[b]
+        a, b = a[left], b[left]
+    best = np.full(n, n)
+    sure = stays[u]
+    np.minimum.at(best, v[sure], place[u[sure]])
+    use = np.flatnonzero(~stays[v] & ~merged[u] & (place[u] <= best[v]))
+    v, u, known = v[use], u[use], sure[use]
+    unsure = far.copy()
+    unsure[v[~known]] = True
+    return v, u, known, ~unsure[v]
+
+
 def start_islands(molecules: DataFrame, gap: int, stretch: int = STRETCH) -> DataFrame:
     """Molecules with `island` (from 1 in each sample and contig): runs of starts that follow each other within `gap`.
 
@@ -234,8 +374,8 @@ def neighbours(molecules: DataFrame, distance: int = 5, keys: tuple[str, ...] =
     return left.join(right, [*keys, "bin"]).where((F.col("a") < F.col("b")) & near & both).select("a", "b")
 
 
-#: Spots of one bucket of molecules and tiles, about, and pairs of spots that are compared at once.
-SPOTS, PAIRS = 50_000, 2_000_000
+#: Spots of one bucket of molecules and tiles, about.
+SPOTS = 50_000
 
 
 def _chains(spots: pd.DataFrame, group: list[str], distance: float) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -352,6 +353,31 @@ def test_compatible_molecules_against_all_pairs(spark):
         assert got == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)]
 
 
+def test_compatible_molecules_are_shuffled_once(spark):
+    """No join of exploded rows: one exchange, of the rows and of those near a bin's end twice."""
+    rows = spark.range(6000).selectExpr("id AS molecule", "0 AS chunk", "id % 500 AS left_start", "id % 500 + 90 AS right_end", "'ACG' AS left_bc", "substring('ACGTCA', id % 3 + 1, 3) AS right_bc", "id % 7 AS n_top", "id % 5 AS n_bottom")
+    plan = lambda frame: frame._jdf.queryExecution().sparkPlan().toString()
+    pairs = plan(molecules.compatible_molecules(rows, 2, 1, ["chunk"]))
+    assert pairs.count("Exchange") == 1 and "Join" not in pairs
+    assert plan(molecules.fuzzy_merge(rows, 0, 1, ["chunk"])).count("Exchange") == 1
+    near = molecules._by_bins(rows, 2, ["chunk"], lambda table, bins: [pa.table({"n": [table.num_rows]})], "n long")
+    assert 6000 <= near.agg(F.sum("n")).first()[0] < 6200
+
+
+@pytest.mark.parametrize(("tolerance", "seed"), [(1, 0), (2, 1), (3, 2)])
+def test_merging_over_the_ends_of_small_bins(spark, monkeypatch, tolerance, seed):
+    """Bins hardly wider than the tolerance, few rows in one go, few pairs at once."""
+    for name, value in (("BINS_WIDE", 2), ("ROWS", 12), ("PAIRS", 7)):
+        monkeypatch.setattr(molecules, name, value)
+    rng = random.Random(seed)
+    rows = [(k, rng.randint(-20, 40), 100 + rng.randint(0, 4), rng.choice(["AC", "AG", "NC"]), rng.choice(["TT", "TC"]), rng.randint(0, 3), rng.randint(0, 3), rng.randint(0, 1)) for k in range(200)]
+    frame = spark.createDataFrame(rows, MERGE).repartition(4)
+    assert {r["molecule"]: r["merged_into"] for r in molecules.fuzzy_merge(frame, tolerance, 0, ["chunk"]).collect()} == greedy(rows, tolerance, 0)
+    got = sorted(map(tuple, molecules.compatible_molecules(frame, tolerance, 0, ["chunk"]).collect()))
+    near = lambda a, b: a[7] == b[7] and max(abs(a[1] - b[1]), abs(a[2] - b[2])) <= tolerance and not differs(a[3], b[3]) and not differs(a[4], b[4])
+    assert got == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)]
+
+
 def test_adapter_places_are_those_of_every_start():
     """Against a plain search of each start; the edits of many texts' places are counted together."""
     import random
