@@ -116,27 +116,35 @@ def _by_bins(rows: DataFrame, tolerance: int, keys: list[str], made: Callable[[p
     placed = rows.where("left_start IS NOT NULL AND right_end IS NOT NULL").select("*", (own != last).alias("open"), F.explode(F.sequence(own, last)).alias("bin"))
     dealt = placed.withColumn("guest", F.col("bin") != own).repartition(*keys, "bin").sortWithinPartitions(*keys, "bin")
 
+    return dealt.mapInArrow(_by_runs([*keys, "bin"], ROWS, made), ddl)
+
+
+def _by_runs(columns: list[str], rows: int, made: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches sorted by `columns`: what `made` gives of about `rows`, and of whole runs of equal `columns`, with each row's run."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        size = 0
+        size, enough = 0, rows
         for batch in batches:
             if batch.num_rows:
                 held.append(pa.Table.from_batches([batch]))
                 size += batch.num_rows
-            if size >= ROWS:
+            if size >= enough:
                 table = pa.concat_tables(held).combine_chunks()
-                bins = _runs_of(table, [*keys, "bin"])
-                whole = int(np.searchsorted(bins, bins[-1]))
-                held, size = [table.slice(whole)], len(bins) - whole
+                number = _runs_of(table, columns)
+                whole = int(np.searchsorted(number, number[-1]))
+                held, size = [table.slice(whole)], len(number) - whole
+                # a long run is not looked through again for each batch
+                enough = max(rows, 2 * size)
                 if whole:
-                    for part in made(table.slice(0, whole), bins[:whole]):
+                    for part in made(table.slice(0, whole), number[:whole]):
                         yield from part.to_batches()
         if size:
             table = pa.concat_tables(held).combine_chunks()
-            for part in made(table, _runs_of(table, [*keys, "bin"])):
+            for part in made(table, _runs_of(table, columns)):
                 yield from part.to_batches()
 
-    return dealt.mapInArrow(run, ddl)
+    return run
 
 
 def _runs_of(table: pa.Table, columns: list[str]) -> np.ndarray:
@@ -374,7 +382,7 @@ def neighbours(molecules: DataFrame, distance: int = 5, keys: tuple[str, ...] =
     return left.join(right, [*keys, "bin"]).where((F.col("a") < F.col("b")) & near & both).select("a", "b")
 
 
-#: Spots of one bucket of molecules and tiles, about.
+#: Spots that go to Python in one go, about.
 SPOTS = 50_000
 
 
@@ -417,24 +425,27 @@ def _chains(spots: pd.DataFrame, group: list[str], distance: float) -> np.ndarra
 def optical_duplicates(reads: DataFrame, distance: int, key: list[str]) -> DataFrame:
     """Reads with optical_duplicate: all but the best of a chain of close spots on a tile.
 
-    Of the reads at one spot a window keeps the best, and only spots that share their molecule and tile with
-    others leave the JVM. They do so in buckets of about `SPOTS`, each of many molecules, so that there is no
-    call for each molecule.
+    Reads are dealt out by molecule and tile, once. An aggregate keeps the best of the reads at one spot, and spots
+    go to Python about `SPOTS` at a time, of many molecules, or all of one molecule on one tile. What comes back is
+    the best read of each chain; all others with a place are duplicates.
     """
     if distance <= 0:
         return reads.withColumn("optical_duplicate", F.lit(False))
     where = [*key, "run_tile"]
-    narrow = reads.where("x IS NOT NULL AND y IS NOT NULL").select(*where, "read_id", "x", "y", "avg_phred").repartition(*where)
-    best = F.row_number().over(Window.partitionBy(*where, "x", "y").orderBy(F.desc("avg_phred"), "read_id")) == 1
-    ranked = narrow.withColumn("__best", best).withColumn("__spots", F.count_if("__best").over(Window.partitionBy(*where)))
-    seen = cut(ranked.where("NOT __best OR __spots > 1").select(*where, "read_id", "x", "y", "avg_phred", "__best"))
-    spots = seen.where("__best").drop("__best")
-    bucket = F.pmod(F.xxhash64(*where), F.lit(spots.count() // SPOTS + 1)).alias("__bucket")
-
-    def behind(rows: pd.DataFrame) -> pd.DataFrame:
-        ranked = rows.assign(__chain=_chains(rows, where, distance)).sort_values(["__chain", "avg_phred", "read_id"], ascending=[True, False, True])
-        return ranked.loc[ranked.duplicated("__chain"), ["read_id"]]
-
-    lost = seen.where("NOT __best").select("read_id").union(spots.groupBy(bucket).applyInPandas(lambda g: behind(g), "read_id long"))
-    flags = lost.withColumn("optical_duplicate", F.lit(True))
-    return reads.join(flags, "read_id", "left").withColumn("optical_duplicate", F.coalesce("optical_duplicate", F.lit(False)))
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    # the larger phred, and of equal ones the smaller id
+    best = F.max(F.struct("avg_phred", F.bitwise_not("read_id").alias("id"))).alias("best")
+    spots = reads.where(placed).select(*where, "read_id", "x", "y", "avg_phred").repartition(*where).groupBy(*where, "x", "y").agg(best)
+    sorted_ = spots.select(*where, "x", "y", F.col("best.avg_phred").alias("avg_phred"), F.bitwise_not("best.id").alias("read_id")).sortWithinPartitions(*where)
+
+    def made(table: pa.Table, runs: np.ndarray) -> Iterator[pa.Table]:
+        rows = table.select(["x", "y", "avg_phred", "read_id"]).to_pandas().assign(__run=runs)
+        several = np.bincount(runs)[runs] > 1
+        alone, rows = rows.loc[~several, "read_id"], rows[several].reset_index(drop=True)
+        if len(rows):
+            ranked = rows.assign(__chain=_chains(rows, ["__run"], distance)).sort_values(["__chain", "avg_phred", "read_id"], ascending=[True, False, True])
+            alone = pd.concat([alone, ranked.drop_duplicates("__chain")["read_id"]])
+        yield pa.table({"read_id": pa.array(alone.to_numpy(), pa.int64())})
+
+    stays = sorted_.mapInArrow(_by_runs(where, SPOTS, made), "read_id long").withColumn("__stays", F.lit(True))
+    return reads.withColumn("__placed", placed).join(stays, "read_id", "left").withColumn("optical_duplicate", F.col("__placed") & F.col("__stays").isNull()).drop("__placed", "__stays")

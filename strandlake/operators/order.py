@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_in_packs
 
 #: Rows of one partition that an id of Spark's can tell apart, in bits.
 ROW_BITS = 33
 SALT_SEED = 11
 
 
-def numbered(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
+def numbered(rows: DataFrame, order: list, name: str = "place", keep: list[str] | None = None) -> DataFrame:
     """`rows` in range partitions of `order`, with their place (long, from 1) in all of it.
 
     Rows are sorted within ranges and kept so by a cut; a row's place is its number within the range
-    plus the rows of the ranges before it. What is gathered has one row a partition.
+    plus the rows of the ranges before it. What is gathered has one row a partition. With `keep`, only these
+    columns stay beside the place, and the cut holds them in packs.
     """
-    held = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__id", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = (cut(ordered) if keep is None else cut_in_packs(ordered.select(*keep))).withColumn("__id", F.monotonically_increasing_id())
     held = held.withColumn("__part", F.shiftright("__id", ROW_BITS))
     sizes = held.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

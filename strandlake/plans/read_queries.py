@@ -293,12 +293,14 @@ def j13(spark, sf):
 
 
 def _optical(spark, sf):
-    ordered = numbered(_reads(spark, sf), ["order_id", "line", "start", "seq", "qual", "cigar"], "read_id")
-    rows = ordered.select(
-        "read_id", "order_id", S.run_tile(F.col("qname")).alias("run_tile"),
-        S.tile_coordinate(F.col("qname"), 6).alias("x"), S.tile_coordinate(F.col("qname"), 7).alias("y"), F.col("median_phred").alias("avg_phred"), F.floor(F.col("start") / 8).alias("molecule"),
+    """In the order of order_id, line, start, seq, qual and cigar; in the view seq follows from start and cigar from line, so they break no tie."""
+    order = ["order_id", "line", "start", "qual"]
+    rows = _reads(spark, sf).select(
+        *order, S.run_tile(F.col("qname")).alias("run_tile"),
+        S.tile_coordinate(F.col("qname"), 6).alias("x"), S.tile_coordinate(F.col("qname"), 7).alias("y"), F.col("median_phred").alias("avg_phred"),
     )
-    return M.optical_duplicates(rows, 6, ["molecule"])
+    ordered = numbered(rows, order, "read_id", keep=["order_id", "start", "run_tile", "x", "y", "avg_phred"])
+    return M.optical_duplicates(ordered.withColumn("molecule", F.floor(F.col("start") / 8)).drop("start"), 6, ["molecule"])
 
 
 @query("J15_optical_duplicates")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from strandlake import session
 from strandlake.operators.order import numbered, numbered_within, ranged, stretches, summed_before
 from strandlake.streaming import windows
 
@@ -51,3 +52,13 @@ def test_places_within_groups_and_sums_before(spark, partitions):
     expected = [(g, a, v, sum(x[1] for x in own[:k]), sum(x[1] for x in own)) for g, own in by_group.items() for k, (a, v) in enumerate(own)]
     assert sorted(map(tuple, sums.collect())) == sorted(expected)
     assert numbered_within(rows.limit(0), "g", ["a"]).count() == 0
+
+
+def test_numbers_with_a_cut_in_packs(spark, monkeypatch):
+    """Kept columns of all kinds, over many packs, have the places that all columns have."""
+    monkeypatch.setattr(session, "PACK_ROWS", 70)
+    rows = spark.range(3000).selectExpr("id * 7919 % 3001 AS a", "id % 5 AS b", "IF(id % 3 = 0, NULL, concat('t', id)) AS text", "named_struct('x', id, 'y', array(id % 4, NULL)) AS s").repartition(7)
+    expected = sorted(map(tuple, numbered(rows, ["a", "b"]).select("text", "s", "place").collect()), key=lambda r: r[2])
+    got = numbered(rows, ["a", "b"], keep=["text", "s"])
+    assert got.columns == ["text", "s", "place"]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == expected

@@ -353,6 +353,22 @@ def test_compatible_molecules_against_all_pairs(spark):
         assert got == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)]
 
 
+def test_optical_duplicates_make_no_checkpoint(spark, monkeypatch):
+    """Reads move once by molecule and tile; two of three spots are close, and a hot spot has many reads."""
+
+    def refused(_):
+        raise AssertionError("a checkpoint")
+
+    monkeypatch.setattr(molecules, "cut", refused)
+    rows = spark.range(9000).selectExpr("id AS read_id", "id div 300 AS molecule", "'t' AS run_tile", "CAST(id % 3 * 5 + IF(id % 3 = 2, 90, 0) AS INT) AS x", "0 AS y", "CAST(id % 50 AS INT) AS avg_phred")
+    made = molecules.optical_duplicates(rows, 10, ["molecule"])
+    assert made._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1
+    assert made.where("NOT optical_duplicate").count() == 60
+    best = {r["read_id"] for r in made.where("NOT optical_duplicate AND molecule = 0").collect()}
+    near = [k for k in range(300) if k % 3 < 2]
+    assert best == {max(near, key=lambda k: (k % 50, -k)), max((k for k in range(300) if k % 3 == 2), key=lambda k: (k % 50, -k))}
+
+
 def test_compatible_molecules_are_shuffled_once(spark):
     """No join of exploded rows: one exchange, of the rows and of those near a bin's end twice."""
     rows = spark.range(6000).selectExpr("id AS molecule", "0 AS chunk", "id % 500 AS left_start", "id % 500 + 90 AS right_end", "'ACG' AS left_bc", "substring('ACGTCA', id % 3 + 1, 3) AS right_bc", "id % 7 AS n_top", "id % 5 AS n_bottom")
