@@ -20,29 +20,34 @@ SIDES = ["contig", "place", "other_contig", "other_place"]
 SLACK = 10
 
 
-def _break(half: Column) -> Column:
-    """struct<right, place>: whether a half leads to the junction, and its place next to it."""
-    return F.struct(half["right_break"].isNotNull().alias("right"), F.coalesce(half["right_break"], half["left_break"]).alias("place"))
+def _break(half: Column) -> list[Column]:
+    """Whether a half leads to the junction, and its place next to it."""
+    return [half["right_break"].isNotNull(), F.coalesce(half["right_break"], half["left_break"])]
 
 
 def junctions(reads: DataFrame) -> DataFrame:
     """(sample, qname, is_first, kind, contig, place, other_contig, other_place), one row for each split read and junction.
 
     Both halves of a read tell the same junction and count once. Reads without a tag of exactly one other half, or
-    without a clipped end, have none.
+    without a clipped end, have none. The kind follows from the sides and `inverted`, and is made behind the shuffle.
     """
     mapped = reads.where(~flagged(UNMAPPED) & ~flagged(SECONDARY))
     rows = mapped.withColumn("__other", C.supplementary(F.try_element_at("tags", F.lit("SA")))).where("__other IS NOT NULL AND cigar RLIKE '[SH]' AND __other.cigar RLIKE '[SH]'")
     soft = lambda c: F.translate(c, "H", "S")  # noqa: E731  of hard-clipped halves the clip is as long
-    own, other = _break(C.split_read(soft(F.col("cigar")), F.col("start"))), _break(C.split_read(soft(F.col("__other.cigar")), F.col("__other.start")))
-    rows = rows.select("sample", "qname", flagged(FIRST).alias("is_first"), F.col("contig").alias("c1"), own.alias("a"), F.col("__other.contig").alias("c2"), other.alias("b"), (flagged(16) != F.col("__other.negative")).alias("turned"))
-    here, there = F.struct(F.col("c1").alias("contig"), F.col("a.place").alias("place")), F.struct(F.col("c2").alias("contig"), F.col("b.place").alias("place"))
-    one_side = F.col("a.right") == F.col("b.right")
-    first = F.when(one_side, F.least(here, there)).when(F.col("a.right"), here).otherwise(there)
-    second = F.when(one_side, F.greatest(here, there)).when(F.col("a.right"), there).otherwise(here)
-    kind = C.rearrangement(first["contig"], first["place"], F.lit(False), second["contig"], second["place"], F.col("turned") | one_side)
-    made = rows.select("sample", "qname", "is_first", kind.alias("kind"), first["contig"].alias("contig"), first["place"].alias("place"), second["contig"].alias("other_contig"), second["place"].alias("other_place"))
-    return made.distinct()
+    right1, p1 = _break(C.split_read(soft(F.col("cigar")), F.col("start")))
+    right2, p2 = _break(C.split_read(soft(F.col("__other.cigar")), F.col("__other.start")))
+    rows = rows.select("sample", "qname", flagged(FIRST).alias("is_first"), F.col("contig").alias("c1"), p1.alias("p1"), right1.alias("right1"), F.col("__other.contig").alias("c2"), p2.alias("p2"), right2.alias("right2"), (flagged(16) != F.col("__other.negative")).alias("turned"))
+    one_side = F.col("right1") == F.col("right2")
+    ahead = F.when(one_side, F.struct("c1", "p1") <= F.struct("c2", "p2")).otherwise(F.col("right1"))
+    # of sides on one contig; with the sides it tells the kind
+    inverted = ~F.coalesce(F.col("c1") != F.col("c2"), F.lit(False)) & F.coalesce(F.col("turned") | one_side, F.lit(False))
+    rows = rows.select("sample", "qname", "is_first", "c1", "p1", "c2", "p2", ahead.alias("ahead"), inverted.alias("inverted"))
+    side = lambda c, d: F.when(F.col("ahead"), F.col(c)).otherwise(F.col(d))
+    made = rows.select("sample", "qname", "is_first", "inverted", side("c1", "c2").alias("contig"), side("p1", "p2").alias("place"), side("c2", "c1").alias("other_contig"), side("p2", "p1").alias("other_place"))
+    # distinct rows; numbers stand before texts, so that a shuffle's rows are alike for long and compress
+    once = made.groupBy("is_first", "inverted", "place", "other_place", "sample", "contig", "other_contig", "qname").agg(F.count("*").alias("halves"))
+    kind = C.rearrangement(F.col("contig"), F.col("place"), F.lit(False), F.col("other_contig"), F.col("other_place"), F.col("inverted"))
+    return once.select("sample", "qname", "is_first", kind.alias("kind"), *SIDES)
 
 
 def far_pairs(reads: DataFrame, params: Params = Params()) -> DataFrame:

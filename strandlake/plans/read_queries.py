@@ -269,7 +269,8 @@ def x23_junctions(spark, sf):
 
     other = F.concat_ws(",", "mate_contig", (F.col("mate_start") + 1).cast("string"), F.when(F.col("order_id") % 5 == 0, "-").otherwise("+"), F.when(F.col("line") % 3 == 1, "12M20S").otherwise("20S12M"), F.lit("60"), F.lit("0;"))
     rows = _reads(spark, sf).withColumns({"sample": F.lit("s"), "tags": F.create_map(F.lit("SA"), other), "cigar": F.when(F.col("line") % 2 == 1, "20M12S").otherwise("12S20M")})
-    return rearrangements.junctions(rows).groupBy("kind", *rearrangements.SIDES).agg(F.count("*").alias("n"))
+    found = rearrangements.junctions(rows).groupBy("kind", "place", "other_place", "contig", "other_contig").agg(F.count("*").alias("n"))
+    return found.select("kind", *rearrangements.SIDES, "n")
 
 
 @query("J03_reference_bases", """WITH r AS (SELECT 'chr' || c AS contig, string_agg(translate(md5(c || k::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGN'), '' ORDER BY k) AS seq FROM (VALUES ('A'), ('N'), ('R')) v(c), range(0, 700) t(k) GROUP BY c)

@@ -73,3 +73,53 @@ def test_no_split_reads(frame):
     assert R.called(plain).count() == 0
     several = half("m", 97, "c1", 900, "30M30S", ("c1", 1, "+", "30S30M")).replace(",60,0;", ",60,0;c2,5,+,30S30M,60,0;")
     assert R.junctions(frame(A=[several])).count() == 0
+
+
+ODD = "sample string, qname string, flag int, contig string, start int, cigar string, tags map<string,string>"
+
+
+def test_odd_rows_and_repeated_halves(spark):
+    """Rows that come twice, halves that disagree in strand on two contigs, and nulls."""
+    sa = lambda *x: {"SA": ",".join(map(str, x)) + ",60,0;"}
+    rows = [
+        ("s", "far", 64, "c1", 100, "30M30S", sa("c2", 501, "+", "30S30M")),
+        ("s", "far", 64, "c2", 500, "30H30M", sa("c1", 101, "-", "30M30S")),  # the strand differs, the kind does not
+        ("s", "near", 64, "c1", 100, "30M30S", sa("c1", 501, "+", "30S30M")),
+        ("s", "near", 64, "c1", 100, "30M30S", sa("c1", 501, "+", "30S30M")),
+        ("s", "near", 80, "c1", 100, "30M30S", sa("c1", 501, "+", "30S30M")),
+        ("s", "near", 128, "c1", 500, "30S30M", sa("c1", 51, "+", "30M30S")),
+        (None, None, 64, "c1", 500, "30M30S", sa("c1", 101, "+", "30S30M")),
+        (None, None, 64, "c1", 500, "30M30S", sa("c1", 101, "+", "30S30M")),
+        ("s", "nowhere", 64, None, 500, "30M30S", sa("c1", 101, "+", "30M30S")),
+        ("s", "nowhere", 64, "c1", None, "30M30S", sa("c1", 101, "+", "30S30M")),
+        ("s", "flag", None, "c1", 100, "30M30S", sa("c1", 501, "+", "30S30M")),
+        ("s", "cigar", 64, "c1", 100, None, sa("c1", 501, "+", "30S30M")),
+        ("s", "whole", 64, "c1", 100, "60M", sa("c1", 501, "+", "30S30M")),
+        ("s", "tags", 64, "c1", 100, "30M30S", None),
+        ("s", "empty", 64, "c1", 100, "30M30S", {"SA": ""}),
+        ("s", "other", 64, "c1", 100, "30M30S", sa("c1", 501, "+", "30M")),
+        ("s", "short", 64, "c1", 100, "30M30S", {"SA": "c1,+,30S30M,60,0;"}),
+        ("s", "unmapped", 68, "c1", 100, "30M30S", sa("c1", 501, "+", "30S30M")),
+    ]
+    found = R.junctions(spark.createDataFrame(rows, ODD).repartition(3))
+    assert found.columns == ["sample", "qname", "is_first", "kind", *R.SIDES]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [
+            ("s", "far", True, "INTERCHROMOSOMAL", "c1", 129, "c2", 500),
+            ("s", "near", True, "DELETION", "c1", 129, "c1", 500),
+            ("s", "near", True, "INVERSION", "c1", 129, "c1", 500),
+            ("s", "near", False, "DELETION", "c1", 79, "c1", 500),
+            (None, None, True, "TANDEM_REPEAT", "c1", 529, "c1", 100),
+            ("s", "nowhere", True, "INVERSION", None, 529, "c1", 129),
+            ("s", "nowhere", True, "INVERSION", "c1", None, "c1", 100),
+        ],
+        key=str,
+    )
+
+
+def test_names_go_without_kinds_and_numbers_first(spark):
+    """Of a shuffle of names the kind is no part, since it follows from the rest; texts stand behind numbers."""
+    plan = R.junctions(spark.createDataFrame([], ODD))._jdf.queryExecution().executedPlan().toString()
+    (dealt,) = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    names = [c.strip().split("#")[0] for c in dealt.split("(", 1)[1].split(")")[0].split(",")][:-1]
+    assert names == ["is_first", "inverted", "place", "other_place", "sample", "contig", "other_contig", "qname"]
