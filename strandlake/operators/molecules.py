A46_barcode_mismatches takes merged barcodes from where molecules meet

Symptom: A46_barcode_mismatches at sf0.1 writes 52 MB and reads 66 MB of shuffle, and makes its molecules twice with other columns, in two scans.
Evidence: the profiler before: 52 MB written, 66 MB read, 917 and 1039 task seconds a GB, 1200000 rows read, 7 exchanges; the merge gave names only, so both barcodes of each pair were joined back from the molecules by name (13 MB for the second making of the molecules, 3 MB and 2 MB for the names).
Fix: fuzzy_merge has an option for molecules that are named once, as those of this query are: rows come whole out of the tasks where they meet, with the left barcode of the one they go to, and merged_barcode_mismatches uses it. Without the option names are joined as before, so repeated names give what they gave.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1593 -> 1157 s, shuffle 3.93 -> 2.47 GB, spill 0.00 -> 0.00 GB, read 1.02 -> 0.51 GB, longest task 35 -> 35 s, most memory of a task 503 -> 503 MB; at 6 GB of input CPU 8299 -> 4936 s, shuffle 24.37 -> 15.32 GB, spill 0.00 -> 0.00 GB, read 7.64 -> 3.85 GB, longest task 52 -> 61 s, most memory of a task 772 -> 772 MB.

@@ -89,9 +89,15 @@ def covering_clipping(molecules: DataFrame) -> DataFrame:
 
 
 def merged_barcode_mismatches(molecules: DataFrame, merged: DataFrame, length: int) -> DataFrame:
-    """Counts of letters that differ between merged molecules' left barcodes and their targets', by place."""
-    into = molecules.select(F.col("molecule").alias("merged_into"), F.col("left_bc").alias("target_bc"))
-    pairs = merged.where("molecule <> merged_into").join(into, "merged_into")
+    """Counts of letters that differ between merged molecules' left barcodes and their targets', by place.
+
+    Targets' barcodes are looked up in `molecules`, unless `merged` has them, as `target_bc`.
+    """
+    # said of the name, Spark sees that rows without a place, which go nowhere, need not be read
+    pairs = merged.where("molecule IS NOT NULL AND molecule <> merged_into")
+    if "target_bc" not in merged.columns:
+        into = molecules.select(F.col("molecule").alias("merged_into"), F.col("left_bc").alias("target_bc"))
+        pairs = pairs.join(into, "merged_into")
     places = F.explode(F.sequence(F.lit(1), F.lit(length))).alias("place")
     letters = pairs.select(places, "left_bc", "target_bc").select(
         "place", F.substr("target_bc", F.col("place"), F.lit(1)).alias("fst"), F.substr("left_bc", F.col("place"), F.lit(1)).alias("snd")
@@ -105,18 +111,19 @@ ROWS, PAIRS = 50_000, 2_000_000
 ORDER = ["left_start", "right_end", "left_bc", "right_bc"]
 
 
-def _by_bins(rows: DataFrame, tolerance: int, keys: list[str], made: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]], ddl: str) -> DataFrame:
+def _by_bins(rows: DataFrame, tolerance: int, keys: list[str], made: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]], ddl: str, then: dict[str, Column] | None = None) -> DataFrame:
     """What `made` gives of rows and the number of each one's bin, some whole bins at a time.
 
     Rows are dealt out by `keys` and a bin of their starts, once; those within `tolerance` of a bin's end also go to
     the next one, as `guest`. `open` marks rows that two bins have. A task holds the rows of `ROWS` or of one bin.
+    `then`: columns that follow from a row, made where it was dealt to.
     """
     width = BINS_WIDE * tolerance or BINS_WIDE
     own, last = F.floor(F.col("left_start") / width), F.floor((F.col("left_start") + tolerance) / width)
     placed = rows.where("left_start IS NOT NULL AND right_end IS NOT NULL").select("*", (own != last).alias("open"), F.explode(F.sequence(own, last)).alias("bin"))
     dealt = placed.withColumn("guest", F.col("bin") != own).repartition(*keys, "bin").sortWithinPartitions(*keys, "bin")
 
-    return dealt.mapInArrow(_by_runs([*keys, "bin"], ROWS, made), ddl)
+    return dealt.withColumns(then or {}).mapInArrow(_by_runs([*keys, "bin"], ROWS, made), ddl)
 
 
 def _by_runs(columns: list[str], rows: int, made: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -275,7 +282,7 @@ def leaders(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return reduce(DataFrame.union, staying)
 
 
-def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, chunk: list[str], max_rounds: int = 10_000) -> DataFrame:
+def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, chunk: list[str], max_rounds: int = 10_000, named_once: bool = False) -> DataFrame:
     """Molecules with merged_into: each in turn goes to the first one before it that stays and is compatible, or stays itself.
 
     Order: most reads, then larger minimum over strands, positions, barcodes and the molecule's name. Two
@@ -287,11 +294,17 @@ def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, c
     in rounds over the links left. The result is that of going through all molecules in turn; no island of linked
     molecules is held by one task. Rounds are as many as the longest chain of decisions that wait for each other
     over such ends, and each is checkpointed. With a tolerance of 0 no bins touch, and there are none.
+
+    `named_once`: no two rows have one name. With a tolerance of 0 rows then come whole from where they meet, without
+    a join by name, and with `target_bc`, the left barcode of the molecule that they go to. All their columns are dealt out.
     """
     rank = ["reads", "least", *ORDER, "molecule"]
     lowest = F.lit(-(1 << 63))
     reads, least = -(F.col("n_top") + F.col("n_bottom")), -F.least("n_top", "n_bottom")
-    rows = molecules.select(*chunk, "molecule", *ORDER, F.coalesce(reads.cast("long"), lowest).alias("reads"), F.coalesce(least.cast("long"), lowest).alias("least"))
+    counts = {"reads": F.coalesce(reads.cast("long"), lowest), "least": F.coalesce(least.cast("long"), lowest)}
+    if named_once and tolerance == 0:
+        return _merged_in_place(molecules, barcode_mismatches, chunk, rank, counts)
+    rows = molecules.select(*chunk, "molecule", *ORDER, *[c.alias(name) for name, c in counts.items()])
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def made(table: pa.Table, bins: np.ndarray) -> Iterator[pa.Table]:
@@ -315,6 +328,28 @@ def fuzzy_merge(molecules: DataFrame, tolerance: int, barcode_mismatches: int, c
     return molecules.join(targets, "molecule", "left").withColumn("merged_into", F.coalesce("merged_into", "molecule"))
 
 
+def _merged_in_place(molecules: DataFrame, barcode_mismatches: int, chunk: list[str], rank: list[str], counts: dict[str, Column]) -> DataFrame:
+    """`fuzzy_merge` of molecules named once, at a tolerance of 0: each bin has all that its molecules may go to."""
+    columns = molecules.columns
+    kind = {f.name: f.dataType.simpleString() for f in molecules.schema.fields}
+
+    def made(table: pa.Table, bins: np.ndarray) -> Iterator[pa.Table]:
+        none = np.zeros(0, np.int64)
+        i, j = (np.concatenate(c) for c in zip((none, none), *_compatible(table, bins, 0, barcode_mismatches), strict=True))
+        v, u, _, _ = _decided(table, i, j, rank)
+        target = np.arange(table.num_rows)
+        target[v] = u
+        into = pa.array(target)
+        yield table.select(columns).append_column("merged_into", table["molecule"].take(into)).append_column("target_bc", table["left_bc"].take(into))
+
+    ddl = ", ".join([*(f"`{c}` {kind[c]}" for c in columns), f"merged_into {kind['molecule']}, target_bc {kind['left_bc']}"])
+    # a molecule without a name goes nowhere, and none goes to it
+    own = F.when(F.col("molecule").isNotNull(), F.coalesce("merged_into", "molecule"))
+    met = _by_bins(molecules, 0, chunk, made, ddl, counts).withColumn("merged_into", own)
+    alone = molecules.where("left_start IS NULL OR right_end IS NULL").select("*", F.col("molecule").alias("merged_into"), F.col("left_bc").alias("target_bc"))
+    return met.union(alone)
+
+
 def _decided(table: pa.Table, i: np.ndarray, j: np.ndarray, rank: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(v, u, known, final): links of those that are merged or wait to earlier rows, as far as a merge may be by them.
 

@@ -818,7 +818,8 @@ def s13(spark, sf):
 SELECT place::INT AS place, fst, snd, count(*) AS n FROM l WHERE fst <> snd GROUP BY ALL""")
 def a46(spark, sf):
     rows = _single(spark, sf)
-    return M.merged_barcode_mismatches(rows, M.fuzzy_merge(rows, 0, 1, ["sample", "contig"]), 3)
+    placed = rows.select("sample", "contig", "molecule", *M.ORDER, "n_top", "n_bottom")
+    return M.merged_barcode_mismatches(rows, M.fuzzy_merge(placed, 0, 1, ["sample", "contig"], named_once=True), 3)
 
 
 @query("A49_records", "SELECT contig, count(*) AS n_records, sum(length(seq))::BIGINT AS n_bases FROM reads_v GROUP BY contig")

@@ -432,3 +432,35 @@ def test_blocks_are_made_once_for_a_position(spark):
     split = rows.select(C.split_read(F.col("cigar"), F.col("start"))["matched"].alias("v"))
     assert "aggregate" not in split._jdf.queryExecution().optimizedPlan().toString()
     assert [r["v"] for r in split.collect()] == [5, None]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_merging_of_molecules_named_once(spark, monkeypatch, seed):
+    """The rows of the merge by name, and its mismatches; with nulls, several bins, and few rows in one go."""
+    for name, value in (("BINS_WIDE", 3), ("ROWS", 12), ("PAIRS", 7)):
+        monkeypatch.setattr(molecules, name, value)
+    rng = random.Random(seed)
+    letters = ["ACG", "ACC", "NCG", "AC", "TTT", "", None]
+    number = lambda *some: rng.choice(some)
+    rows = [(k or None, number(1, 2, 2, 5, None), number(101, 101, 101, None), rng.choice(letters), rng.choice(letters[:3]), number(0, 1, None), rng.randint(0, 3), rng.randint(0, 1)) for k in range(150)]
+    frame = spark.createDataFrame(rows, MERGE).repartition(4)
+    by_name, whole = molecules.fuzzy_merge(frame, 0, 1, ["chunk"]), molecules.fuzzy_merge(frame, 0, 1, ["chunk"], named_once=True)
+    assert whole.columns == [*by_name.columns, "target_bc"]
+    assert sorted(map(tuple, whole.drop("target_bc").collect()), key=str) == sorted(map(tuple, by_name.collect()), key=str)
+    mismatches = [sorted(map(tuple, molecules.merged_barcode_mismatches(frame, merged, 3).collect())) for merged in (by_name, whole)]
+    assert mismatches[0] == mismatches[1] != []
+
+
+def test_names_that_come_twice_are_joined_by_name(spark):
+    rows = [(1, 0, 100, "AAA", "AAA", 9, 9, 0), (2, 0, 100, "AAC", "AAA", 1, 1, 0), (2, 0, 100, "AAG", "AAA", 1, 1, 0), (3, 0, 100, "TTT", "AAA", 5, 5, 0)]
+    frame = spark.createDataFrame(rows, MERGE)
+    merged = molecules.fuzzy_merge(frame, 0, 1, ["chunk"])
+    assert sorted((r["molecule"], r["left_bc"], r["merged_into"]) for r in merged.collect()) == [(1, "AAA", 1), (2, "AAC", 1), (2, "AAC", 1), (2, "AAG", 1), (2, "AAG", 1), (3, "TTT", 3)]
+    assert sorted(map(tuple, molecules.merged_barcode_mismatches(frame, merged, 3).collect())) == [(3, "A", "C", 2), (3, "A", "G", 2)]
+
+
+def test_mismatches_of_molecules_named_once_need_no_join(spark):
+    rows = spark.createDataFrame([(1, 0, 100, "AAA", "AAA", 9, 9, 0), (None, None, 100, "AAC", "AAA", 1, 1, 0)], MERGE)
+    made = molecules.merged_barcode_mismatches(rows, molecules.fuzzy_merge(rows, 0, 1, ["chunk"], named_once=True), 3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan and "Union" not in plan
